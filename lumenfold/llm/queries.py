@@ -4,25 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import decontaminate, near_dedup
+from lumenfold.llm import decontaminate, mixing, near_dedup, quality, token_store
 from lumenfold.llm.common import read_table
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), epochs=3)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=80)
 
 
+def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.tokenize_and_index(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op3_near_dedup": op3_near_dedup,
+    "op4_quality": op4_quality,
     "op8_decontaminate": op8_decontaminate,
+    "op10_token_orc": op10_token_orc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": mixing.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
 }
