@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import decontaminate, mixing, near_dedup, quality, token_store
+from lumenfold.llm import chat, decontaminate, language, mixing, near_dedup, quality, sharding, token_store, toxicity
 from lumenfold.llm.common import read_table
 
 
@@ -15,6 +15,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), epochs=3)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
 
@@ -23,23 +27,40 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read_table(spark, sf_dir, "documents"), leaves=16)
+
+
+def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_flat(read_table(spark, sf_dir, "conversations"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=80)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.tokenize_and_index(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_toxicity": op2_toxicity,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality": op4_quality,
+    "op5_kd_shards": op5_kd_shards,
+    "op6_chat_perspectives": op6_chat_perspectives,
     "op8_decontaminate": op8_decontaminate,
+    "op9_language_id": op9_language_id,
     "op10_token_orc": op10_token_orc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE_SQL,
+    "op6_chat_perspectives": chat.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
 }
