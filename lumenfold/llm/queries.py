@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import chat, decontaminate, language, mixing, near_dedup, quality, sharding, token_store, toxicity
+from lumenfold.llm import chat, decontaminate, language, mixing, near_dedup, quality, sharding, tiff, token_store, toxicity
 from lumenfold.llm.common import read_table
 
 
@@ -35,6 +35,10 @@ def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_flat(read_table(spark, sf_dir, "conversations"))
 
 
+def op7_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_media(read_table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=80)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_kd_shards": op5_kd_shards,
     "op6_chat_perspectives": op6_chat_perspectives,
+    "op7_tiff_media": op7_tiff_media,
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_token_orc": op10_token_orc,
