@@ -145,7 +145,8 @@ def token_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def atom_class(surface: Column) -> Column:
     """Class of a lower-cased, dash-folded surface."""
     return (
-        F.when(surface.rlike(MONEY), "money").when(surface.rlike(PERCENT), "percent").when(surface.rlike(DATE), "date").when(surface.rlike(YEAR), "tax_year")
+        F.when(~surface.rlike("[0-9]"), "word")  # every other class has a digit; most tokens end here
+        .when(surface.rlike(MONEY), "money").when(surface.rlike(PERCENT), "percent").when(surface.rlike(DATE), "date").when(surface.rlike(YEAR), "tax_year")
         .when(surface.rlike(FORM), "form_like").when(surface.rlike(NUMBER), "number").otherwise("word")
     )
 
@@ -153,7 +154,8 @@ def atom_class(surface: Column) -> Column:
 def atom_key(surface: Column) -> Column:
     """Canonical key of a lower-cased, dash-folded surface."""
     kind = atom_class(surface)
-    return F.when(kind.isin("money", "percent", "date", "number"), F.concat(F.lit("<"), kind, F.lit(">"))).otherwise(surface)
+    placeholder = F.when(kind.isin("money", "percent", "date", "number"), F.concat(F.lit("<"), kind, F.lit(">"))).otherwise(surface)
+    return F.when(surface.rlike("[0-9]"), placeholder).otherwise(surface)
 
 
 def atom_aliases(surface: Column, most: int = 4) -> Column:
@@ -182,14 +184,12 @@ def keyed_runs(text: Column) -> Column:
 def word_grams(text: Column, orders: tuple[int, ...] = (1, 2, 3, 4)) -> Column:
     """array of struct(order, key): word n-grams that no sentence break interrupts."""
 
-    def grams(run: Column) -> Column:
-        per_order = [
-            F.when(F.size(run) >= n, F.transform(F.sequence(F.lit(1), F.size(run) - (n - 1)), lambda i, n=n: F.struct(F.lit(n).alias("order"), F.array_join(F.slice(run, i, n), " ").alias("key")))).otherwise(F.array().cast("array<struct<order:int,key:string>>"))
-            for n in orders
-        ]
-        return F.concat(*per_order)
+    def of_order(run: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(run) - (n - 1))
+        found = F.transform(starts, lambda i: F.struct(F.lit(n).alias("order"), F.array_join(F.slice(run, i, n), " ").alias("key")))
+        return F.when(F.size(run) >= n, found).otherwise(F.array().cast("array<struct<order:int,key:string>>"))
 
-    return F.flatten(F.transform(keyed_runs(text), grams))
+    return F.flatten(F.transform(keyed_runs(text), lambda run: F.concat(*[of_order(run, n) for n in orders])))
 
 
 def char_gram_eligible(surface: Column, key: Column, shortest: int = 7, longest: int = 64) -> Column:
@@ -200,8 +200,10 @@ def char_gram_eligible(surface: Column, key: Column, shortest: int = 7, longest:
 
 def char_grams(key: Column, orders: tuple[int, ...] = (3, 4, 5)) -> Column:
     """array of struct(order, pos, key): all substrings of these lengths."""
-    per_order = [
-        F.when(F.length(key) >= n, F.transform(F.sequence(F.lit(0), F.length(key) - n), lambda p, n=n: F.struct(F.lit(n).alias("order"), p.alias("pos"), key.substr(p + 1, F.lit(n)).alias("key")))).otherwise(F.array().cast("array<struct<order:int,pos:int,key:string>>"))
-        for n in orders
-    ]
-    return F.concat(*per_order)
+
+    def of_order(n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.length(key) - n)
+        found = F.transform(starts, lambda p: F.struct(F.lit(n).alias("order"), p.alias("pos"), key.substr(p + 1, F.lit(n)).alias("key")))
+        return F.when(F.length(key) >= n, found).otherwise(F.array().cast("array<struct<order:int,pos:int,key:string>>"))
+
+    return F.concat(*[of_order(n) for n in orders])

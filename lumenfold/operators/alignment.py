@@ -65,7 +65,8 @@ def map_to_segments(tokens: DataFrame, segments: DataFrame, key: str = "record_i
     span local to the segment, and ``problem``: a token that crosses a
     segment's border or touches several. Tokens outside all segments keep null.
     """
-    overlap = tokens.join(segments, (tokens[key] == segments[key]) & (F.col("start") < F.col("seg_end")) & (F.col("seg_start") < F.col("end")), "left").drop(segments[key])
+    held = segments.select(F.col(key).alias("of__"), "segment_id", "seg_start", "seg_end")
+    overlap = tokens.join(held, (F.col(key) == F.col("of__")) & (F.col("start") < F.col("seg_end")) & (F.col("seg_start") < F.col("end")), "left")
     hits = overlap.groupBy(key, "token_index", "start", "end").agg(F.count("segment_id").alias("hits"), F.first("segment_id").alias("segment_id"), F.first("seg_start").alias("seg_start"), F.first("seg_end").alias("seg_end"))
     crosses = (F.col("hits") > 1) | (F.col("start") < F.col("seg_start")) | (F.col("end") > F.col("seg_end"))
     bad = F.coalesce(crosses, F.lit(False))

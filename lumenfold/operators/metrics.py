@@ -26,13 +26,19 @@ def status_accuracy(predicted: Column, gold: Column) -> Column:
 
 
 def json_scores(text: Column, required: list[str]) -> Column:
-    """struct(json_valid, schema_valid): whether a text is JSON, and an object with the keys."""
+    """struct(json_valid, schema_valid): whether a text is JSON, and an object with the keys.
+
+    The parser stops after one value; what follows it shows when the text is
+    read once inside a list and once inside an object: no text but a single
+    value is good in both places.
+    """
     parsed = F.try_parse_json(text)
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
     is_object = F.schema_of_variant(parsed).startswith("OBJECT")
     has = F.lit(True)
     for key in required:
         has = has & F.array_contains(F.json_object_keys(text), key)
-    valid = parsed.isNotNull()
+    valid = F.coalesce(parsed.isNotNull() & whole, F.lit(False))
     return F.struct(valid.cast("double").alias("json_valid"), F.coalesce(valid & is_object & has, F.lit(False)).cast("double").alias("schema_valid"))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import hashing, text
 from lumenfold.operators import alignment, clusters, corpus, sequences
 from lumenfold.plans.base import query, table
+from lumenfold.sources.storage import checkpoint
 
 _HASH = "sha256('[\"cpt-split-v1\",\"' || doc_id || '\"]')"
 _SPLIT = f"CASE WHEN ('0x' || substr({_HASH}, 1, 8))::UBIGINT % 100 < 10 THEN 'validation' ELSE 'train' END"
@@ -161,15 +162,14 @@ def pad_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.groupBy("source").agg(padded.alias("padded"), F.sum("n").alias("tokens"), F.round(F.sum("n") / (F.count("*") * padded), 9).alias("utilization"))
 
 
-@query(f"""{_SPANS}, b AS (SELECT doc_id, ord, run, start_char, lead(end_char) OVER w AS end_char, {_KEY.replace('s,', 'lower(surface),').replace('ELSE s END', 'ELSE lower(surface) END')} || ' ' || lead({_KEY.replace('s,', 'lower(surface),').replace('ELSE s END', 'ELSE lower(surface) END')}) OVER w AS key FROM t WINDOW w AS (PARTITION BY doc_id, run ORDER BY ord)),
-f AS (SELECT doc_id, start_char, end_char, ('0x' || substr(sha256(key), 1, 6))::INT AS feature_id FROM b WHERE end_char IS NOT NULL),
-j AS (SELECT f.doc_id, t.ord AS token_index, f.feature_id FROM f ASOF JOIN t ON f.doc_id = t.doc_id AND f.end_char - 1 >= t.start_char WHERE f.end_char - 1 < t.end_char)
-SELECT doc_id, count(DISTINCT (token_index, feature_id)) AS aligned, sum(token_index)::BIGINT AS index_sum, sum(feature_id)::BIGINT AS feature_sum FROM j GROUP BY doc_id""")
+@query(f"""{_SPANS}, k AS (SELECT doc_id, ord, run, start_char, end_char, {_KEY} AS key FROM (SELECT *, lower(surface) AS s FROM t)),
+b AS (SELECT doc_id, start_char, lead(end_char) OVER w AS end_char, key || ' ' || lead(key) OVER w AS key FROM k WINDOW w AS (PARTITION BY doc_id, run ORDER BY ord)),
+f AS (SELECT doc_id, end_char - 1 AS edge, end_char, ('0x' || substr(sha256(key), 1, 6))::INT AS feature_id FROM b WHERE end_char IS NOT NULL),
+j AS (SELECT f.doc_id, t.ord AS token_index, f.feature_id FROM f JOIN (SELECT *, unnest(range(start_char // 64, (end_char - 1) // 64 + 1)) AS bin FROM t) t ON f.doc_id = t.doc_id AND f.edge // 64 = t.bin WHERE f.edge >= t.start_char AND f.edge < t.end_char)
+SELECT doc_id, count(DISTINCT token_index * 16777216::BIGINT + feature_id) AS aligned, sum(token_index)::BIGINT AS index_sum, sum(feature_id)::BIGINT AS feature_sum FROM j GROUP BY doc_id""")
 def range_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word pairs aligned to the token that holds their last character."""
     spans = text.token_spans(table(spark, sf_dir, "documents"))
-    from pyspark.sql import Window
-
     keyed = spans.withColumn("key", text.atom_key(text.canonical_surface(F.col("surface"))))
     run = Window.partitionBy("doc_id", "run").orderBy("ord")
     pairs = keyed.select("doc_id", "start_char", F.lead("end_char").over(run).alias("end_char"), F.concat("key", F.lit(" "), F.lead("key").over(run)).alias("key")).where("end_char IS NOT NULL")
@@ -182,8 +182,6 @@ def range_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def token_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word and character n-grams of every document, hashed, aligned and cut to the best 24 per token."""
-    from pyspark.sql import Window
-
     spans = text.token_spans(table(spark, sf_dir, "documents")).withColumn("key", text.atom_key(text.canonical_surface(F.col("surface"))))
     run = Window.partitionBy("doc_id", "run").orderBy("ord")
     words = None
@@ -225,10 +223,6 @@ def shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ordered_places(rows: DataFrame, *order: str) -> DataFrame:
     """(first order column's row, place from 1): ranks inside range partitions plus the counts before them."""
-    from pyspark.sql import Window
-
-    from lumenfold.sources.storage import checkpoint
-
     dealt = checkpoint(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # one row per partition

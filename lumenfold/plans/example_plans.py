@@ -1 +1,141 @@
-"""Queries."""
+"""Queries over conversations, records and token caches."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lumenfold.operators import alignment, export, sequences
+from lumenfold.plans.base import query, table
+from lumenfold.sources import readers, writers
+
+_GROUPED = "c AS (SELECT conv_id, arg_max(role, turn) AS last_role, count(*) FILTER (WHERE role = 'assistant') AS n_assistant, count(*) FILTER (WHERE role = 'user') AS n_user, count(*) AS n FROM conversations GROUP BY conv_id)"
+_PROBLEM = "CASE WHEN last_role <> 'assistant' THEN 'no final assistant message' WHEN n_assistant <> 1 THEN 'not exactly one assistant message' WHEN n_user = 0 THEN 'no user message' ELSE 'valid' END"
+
+
+@query(f"WITH {_GROUPED} SELECT conv_id, n::INT AS messages, {_PROBLEM} AS verdict FROM c")
+def sft_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = export.conversations_of(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", F.size("messages").alias("messages"), F.coalesce(export.conversation_problem(F.col("messages")), F.lit("valid")).alias("verdict"))
+
+
+@query(f"""WITH {_GROUPED} SELECT conv_id, string_agg('<' || role || '>' || text, chr(10) ORDER BY turn) AS rendered FROM conversations JOIN c USING (conv_id) WHERE {_PROBLEM} = 'valid' GROUP BY conv_id""")
+def sft_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid conversations, rendered with a plain template."""
+    good = export.conversations_of(table(spark, sf_dir, "conversations")).where(export.conversation_problem(F.col("messages")).isNull())
+    return good.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat(F.lit("<"), m["role"], F.lit(">"), m["content"])), "\n").alias("rendered"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, '<' || role || '>' AS head, text FROM conversations),
+o AS (SELECT conv_id, turn, coalesce(sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a, length(text) AS n FROM m)
+SELECT conv_id, string_agg(a::BIGINT || '-' || (a + n)::BIGINT, ',' ORDER BY turn) AS spans FROM o GROUP BY conv_id""")
+def message_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each message stands in its conversation's rendering, by searching one after the other.
+
+    Each message is looked for with its head, so that repeated texts are told apart.
+    """
+    said = export.conversations_of(table(spark, sf_dir, "conversations"))
+    parts = F.transform("messages", lambda m: F.concat(F.lit("<"), m["role"], F.lit(">"), m["content"]))
+    placed = said.withColumn("heads", F.transform("messages", lambda m: F.length(m["role"]) + 2)).withColumn("s", alignment.message_segments(parts, F.array_join(parts, "\n")))
+    spans = F.zip_with("s", "heads", lambda s, h: F.concat_ws("-", (s["start"] + h).cast("string"), s["end"].cast("string")))
+    return placed.select("conv_id", F.array_join(spans, ",").alias("spans"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, length(text) AS n, coalesce(sum(length(text) + 10) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM conversations),
+t AS (SELECT conv_id, unnest(range(((SELECT max(x.a + x.n) FROM m x WHERE x.conv_id = y.conv_id) // 7 + 1)::BIGINT)) AS i FROM (SELECT DISTINCT conv_id FROM m) y),
+j AS (SELECT t.conv_id, i, count(m.turn) AS hits, min(a) AS a, min(n) AS n FROM t LEFT JOIN m ON m.conv_id = t.conv_id AND i * 7 < a + n AND a < i * 7 + 7 GROUP BY ALL)
+SELECT conv_id, count(*) FILTER (WHERE hits = 1 AND i * 7 >= a AND i * 7 + 7 <= a + n) AS inside, count(*) FILTER (WHERE hits > 1 OR (hits = 1 AND NOT (i * 7 >= a AND i * 7 + 7 <= a + n))) AS crossing, count(*) FILTER (WHERE hits = 0) AS outside FROM j GROUP BY conv_id""")
+def span_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of seven characters against message segments ten characters apart."""
+    turns = table(spark, sf_dir, "conversations")
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    segments = turns.select(F.col("conv_id").alias("record_id"), F.col("turn").alias("segment_id"), F.coalesce(F.sum(F.length("text") + 10).over(before), F.lit(0)).alias("seg_start"), F.length("text").alias("n"))
+    segments = segments.select("record_id", "segment_id", "seg_start", (F.col("seg_start") + F.col("n")).alias("seg_end"))
+    ends = segments.groupBy("record_id").agg(F.max("seg_end").alias("stop"))
+    tokens = ends.select("record_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("stop") / 7))).alias("token_index")).withColumn("start", F.col("token_index") * 7).withColumn("end", F.col("start") + 7)
+    found = alignment.map_to_segments(tokens, segments)
+    return found.groupBy(F.col("record_id").alias("conv_id")).agg(F.count("segment_id").alias("inside"), F.count("problem").alias("crossing"), F.count_if(F.col("segment_id").isNull() & F.col("problem").isNull()).alias("outside"))
+
+
+@query("""SELECT 'c' || conv_id || '-' || turn AS record_id, CASE WHEN turn % 3 = 0 THEN 'validation' ELSE 'train' END AS split, CASE WHEN turn % 2 = 0 THEN 's' || conv_id ELSE role END AS source_id FROM conversations""")
+def reader_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose id, split and source stand in different places, as a reader sees them."""
+    raw = table(spark, sf_dir, "conversations").select(
+        F.when(F.col("turn") % 2 == 0, "").alias("record_id"), F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), F.lit("never").alias("example_id"), "text", F.when(F.col("turn") % 3 == 0, "").alias("split"),
+        F.when(F.col("turn") % 2 == 0, F.concat(F.lit("s"), "conv_id")).alias("source_id"), F.lit(None).cast("string").alias("chunk_id"),
+        F.map_filter(F.create_map(F.lit("source_id"), F.col("role"), F.lit("split"), F.when(F.col("turn") % 3 == 0, "validation")), lambda _, v: v.isNotNull()).alias("metadata"),
+    )
+    return readers.corpus_records(raw).select("record_id", "split", "source_id")
+
+
+def cached_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A token cache of the turns: ids are code points, assistants' tokens are trained."""
+    turns = table(spark, sf_dir, "conversations")
+    ids = F.transform(F.split(F.regexp_replace("text", "[^\\x00-\\x7f]", ""), ""), lambda c: F.ascii(c))
+    trained = (F.col("role") == "assistant").cast("int")
+    rows = turns.select(F.format_string("%d-%d", "conv_id", "turn").alias("record_id"), F.when(F.col("conv_id") % 10 == 0, "validation").otherwise("train").alias("split"), F.filter(ids, lambda x: x > 0).alias("input_ids"), trained.alias("trained"))
+    return rows.select("record_id", "split", "input_ids", sequences.masked_labels(F.col("input_ids"), F.transform("input_ids", lambda _: F.col("trained"))).alias("labels"), F.size("input_ids").alias("token_count"))
+
+
+_CACHE = "t AS (SELECT conv_id || '-' || turn AS record_id, CASE WHEN conv_id % 10 = 0 THEN 'validation' ELSE 'train' END AS split, role, length(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g'))::BIGINT AS n FROM conversations)"
+
+
+@query(f"WITH {_CACHE} SELECT split, count(*) AS records, sum(n)::BIGINT AS tokens, sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END)::BIGINT AS supervised, min(record_id) AS first_id, max(record_id) AS last_id FROM t GROUP BY split")
+def cache_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard statistics with the number of trained tokens."""
+    rows = cached_tokens(spark, sf_dir)
+    trained = rows.groupBy("split").agg(F.sum(sequences.supervised(F.col("labels"))).alias("supervised"))
+    return writers.shard_statistics(rows).join(trained, "split").select("split", "records", "tokens", "supervised", "first_id", "last_id")
+
+
+@query(f"WITH {_CACHE} SELECT split, count(*) FILTER (WHERE n <= 512) AS accepted, count(*) FILTER (WHERE n > 512) AS rejected FROM t GROUP BY split")
+def overflow_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, gone = sequences.without_overflow(cached_tokens(spark, sf_dir), 512)
+    both = kept.select("split", F.lit(1).alias("k")).unionAll(gone.select("split", F.lit(0).alias("k")))
+    return both.groupBy("split").agg(F.count_if(F.col("k") == 1).alias("accepted"), F.count_if(F.col("k") == 0).alias("rejected"))
+
+
+@query(f"WITH {_CACHE}, p AS (SELECT split, (ceil(max(n) / 8.0) * 8)::BIGINT AS width FROM t GROUP BY split) SELECT record_id, width, (width - n)::BIGINT AS padding, n AS attended FROM t JOIN p USING (split)")
+def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every split as one batch, padded on the right to a multiple of eight."""
+    rows = cached_tokens(spark, sf_dir)
+    width = rows.groupBy("split").agg(sequences.padded_length(F.max("token_count")).alias("width"))
+    wide = rows.join(width, "split").withColumn("padded", sequences.pad_right(F.col("labels"), F.col("width"), sequences.IGNORED)).withColumn("mask", sequences.attention(F.col("input_ids"), F.col("width")))
+    return wide.select("record_id", F.size("padded").cast("long").alias("width"), (F.size("padded") - F.col("token_count")).cast("long").alias("padding"), F.size(F.filter("mask", lambda m: m == 1)).cast("long").alias("attended"))
+
+
+@query(f"WITH {_CACHE} SELECT record_id, ceil(n / 24.0)::INT AS rows, 24 AS width, (24 - least(n, 24))::INT AS zeros FROM t WHERE n > 0")
+def fixed_width_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids as rows of 24, flattened and restored; and the padding of the first 24."""
+    rows = cached_tokens(spark, sf_dir).where("token_count > 0")
+    full = F.concat("input_ids", F.array_repeat(F.lit(0), F.pmod(-F.size("input_ids"), F.lit(24)).cast("int")))
+    square = sequences.unflatten(full, 24)
+    fixed = sequences.fixed_width(F.col("input_ids"), 24)
+    return rows.select("record_id", F.size(square).alias("rows"), F.size(F.element_at(square, -1)).alias("width"), F.size(F.filter(fixed, lambda x: x == 0)).alias("zeros"))
+
+
+@query(f"WITH {_CACHE} SELECT record_id, 'different' AS problem FROM t WHERE role = 'assistant' AND n > 0 UNION ALL SELECT record_id, 'missing right' FROM t WHERE role <> 'assistant' AND split = 'validation'")
+def cache_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache against one that trains on nothing and lacks the untrained validation records."""
+    rows = cached_tokens(spark, sf_dir)
+    other = rows.where((F.col("split") != "validation") | F.exists("labels", lambda x: x != sequences.IGNORED)).withColumn("labels", F.transform("labels", lambda _: F.lit(sequences.IGNORED)))
+    return alignment.same_examples(rows, other)
+
+
+@query("""WITH m AS (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) - length(text) - CASE WHEN turn % 5 = 4 THEN 3 ELSE 0 END AS a FROM conversations)
+SELECT conv_id AS record_id, turn AS token_index, 'runs backwards' AS problem FROM m WHERE turn % 5 = 4 AND n > 0 AND turn > 0""")
+def offset_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets of the turns, every fifth of which begins three characters too early."""
+    turns = table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    early = F.when(F.col("turn") % 5 == 4, 3).otherwise(0)
+    rows = turns.select(F.col("conv_id").alias("record_id"), F.col("turn").alias("token_index"), (F.sum(F.length("text")).over(w) - F.length("text") - early).alias("start"), F.sum(F.length("text")).over(w).alias("end"), F.sum(F.length("text")).over(Window.partitionBy("conv_id")).alias("text_length"))
+    return alignment.offset_problems(rows).select("record_id", "token_index", "problem")
+
+
+@query("SELECT role, count(*) AS n, count(DISTINCT text) AS texts FROM conversations WHERE role IN (SELECT role FROM conversations WHERE turn = 0 INTERSECT SELECT role FROM conversations WHERE turn = 2) GROUP BY role")
+def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the roles that both open a conversation and speak third."""
+    turns = table(spark, sf_dir, "conversations")
+    both = turns.where("turn = 0").select("role").intersect(turns.where("turn = 2").select("role"))
+    return turns.join(both, "role", "left_semi").groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
