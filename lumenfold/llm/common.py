@@ -71,6 +71,20 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``ids`` (one stashed column doc_id); columns unchanged, null ids stay."""
+    gone = fresh(docs, "gone_id")
+    return docs.join(broadcast_if_small(ids.withColumnRenamed("doc_id", gone)), docs["doc_id"] == F.col(gone), "left_anti")
+
+
 def id_crc(col: Column | str) -> Column:
     """Unsigned crc32 of an id as text; the rule of every held-out fold."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))

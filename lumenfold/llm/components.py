@@ -1,9 +1,11 @@
-"""Connected components of a link table, by alternating star contractions.
-
-Each round links every node's larger neighbours (then its smaller ones) to
-the smallest node it knows; the rounds end when no link changes. The work per
-round is two aggregations over links, never a group of neighbours in one row:
-minima and joins only, so a hub with millions of links is no single task.
+"""Connected components of a link table, by hooking and pointer doubling.
+
+Each round points every node to its smallest neighbour (or itself), follows
+the pointers to their ends by doubling, and merges all that ends in one node.
+Every end takes in at least one more node, so rounds and doublings grow with
+the logarithm of the largest component, chains included. A round is made of
+minima and joins only, never of a group of neighbours in one row, so a hub
+with millions of links is no single task.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, component) for every node of a link; component is its smallest reachable node.
 
     Links of a node to itself are fine; null ends are ignored. An empty table
-    gives an empty result. More than ``max_rounds`` rounds raise an error
-    (each round at least halves long chains, so 60 exceed any real input).
+    gives an empty result. More than ``max_rounds`` rounds raise an error; as
+    each round at least halves a component, 60 exceed any real input.
     """
     clean = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     # component(node): the smallest node known so far; edges shrink to edges between components
@@ -31,7 +33,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("parent"))
-        parent = stash(_shorten(near), "parents")
+        parent = _ends(stash(near, "parents"))
         labels.append(parent)
         x = parent.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
         y = parent.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
@@ -46,7 +48,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     return stash(out, "components")
 
 
-def _shorten(parents: DataFrame) -> DataFrame:
-    """One pointer jump: parent of the parent."""
-    up = parents.select(F.col("node").alias("at"), F.col("parent").alias("top"))
-    return parents.join(up, parents["parent"] == up["at"], "left").select("node", F.coalesce("top", "parent").alias("parent"))
+def _ends(parents: DataFrame) -> DataFrame:
+    """Every node with the end of its chain of parents."""
+    while True:
+        up = parents.select(F.col("node").alias("at"), F.col("parent").alias("top"))
+        jumped = parents.join(up, parents["parent"] == up["at"]).select("node", F.col("top").alias("parent"), (F.col("top") != F.col("parent")).alias("moved"))
+        jumped = stash(jumped, "parents")
+        parents = jumped.select("node", "parent")
+        if jumped.where("moved").isEmpty():
+            return parents

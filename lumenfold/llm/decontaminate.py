@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import SHINGLE_WORDS, broadcast_if_small, map_arrow, shingle_hashes, stash, text_bytes, word_hashes, words_of
+from lumenfold.llm.common import SHINGLE_WORDS, map_arrow, shingle_hashes, stash, text_bytes, without_ids, word_hashes, words_of
 
 #: Shingles of a block of items; about 100 MB of words and tables in a Python worker.
 BLOCK_SHINGLES = 400_000
@@ -128,8 +128,8 @@ def _searcher(block, percent: int):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` without the documents that contain an item; columns unchanged."""
-    gone = stash(contaminated(docs, items, percent).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id__")).distinct(), "contaminated")
-    return docs.join(broadcast_if_small(gone), docs["doc_id"] == F.col("gone_id__"), "left_anti")
+    gone = stash(contaminated(docs, items, percent).where("doc_id IS NOT NULL").select("doc_id").distinct(), "contaminated")
+    return without_ids(docs, gone)
 
 
 #: The same matches by SQL alone.

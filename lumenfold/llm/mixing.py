@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import WORD_PATTERN, broadcast_if_small, stash
+from lumenfold.llm.common import WORD_PATTERN, broadcast_if_small, fresh, stash
 
 #: Bins of the seeded order, by the first three hex digits of its hash.
 BINS = 4096
@@ -103,13 +103,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: int = 3, seed
     ready = broadcast_if_small(stash(ready, "mix-plan"))
     planned = sized.join(ready, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
-    clear = planned.where(F.col("bin") != F.col("cut_bin")).withColumn("once_more", F.col("bin") < F.col("cut_bin"))
+    clear = planned.where(F.col("bin") != F.col("cut_bin")).withColumn("once_more", (F.col("rest") > 0) & (F.col("bin") < F.col("cut_bin")))
     inside = Window.partitionBy("source").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     edge = stash(planned.where(F.col("bin") == F.col("cut_bin")).withColumn("end", F.col("cut_before") + F.sum("size").over(inside)), "mix-edge")
     reached = F.coalesce(F.max(F.when(F.col("end") <= F.col("rest"), F.col("end"))), F.first("cut_before"))
     gaps = edge.groupBy("source").agg((F.first("rest") - reached).alias("gap")).select(F.col("source").alias("gap_of"), "gap")
     gaps = broadcast_if_small(stash(gaps, "mix-gaps"))
-    edge = edge.withColumn("once_more", F.col("end") <= F.col("rest")).drop("end")
+    edge = edge.withColumn("once_more", (F.col("rest") > 0) & (F.col("end") <= F.col("rest"))).drop("end")
     every = clear.unionByName(edge)
     # The one document whose size is nearest to what is still missing, if that is nearer than none.
     spare = every.where("NOT once_more").join(gaps, F.col("source").eqNullSafe(F.col("gap_of"))).withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
@@ -126,9 +126,10 @@ def take_mix(docs: DataFrame, weights: DataFrame | None = None, epochs: int = 3,
 
     Decisions are looked up by doc_id; rows that share one share its count.
     """
-    counts = stash(mix(docs, weights, epochs, seed).groupBy(F.col("doc_id").alias("mix_id__")).agg(F.max("times").cast("int").alias("mix_times__")), "mix-counts")
-    joined = docs.join(broadcast_if_small(counts), docs["doc_id"].eqNullSafe(F.col("mix_id__"))).where("mix_times__ > 0")
-    return joined.withColumn("mix_copy__", F.explode(F.sequence(F.lit(1), F.col("mix_times__")))).drop("mix_id__", "mix_times__", "mix_copy__")
+    own, times, copy = (fresh(docs, n) for n in ("mix_id", "mix_times", "mix_copy"))
+    counts = stash(mix(docs, weights, epochs, seed).groupBy(F.col("doc_id").alias(own)).agg(F.max("times").cast("int").alias(times)), "mix-counts")
+    joined = docs.join(broadcast_if_small(counts), docs["doc_id"].eqNullSafe(F.col(own))).where(F.col(times) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(own, times, copy)
 
 
 #: The same mix by SQL alone.
@@ -148,7 +149,7 @@ r AS (SELECT d.doc_id, d.source, d.size, ord, source_size, target, whole, rest,
   FROM sized d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 g AS (SELECT source, rest - coalesce(max(ends) FILTER (WHERE ends <= rest), 0) AS gap FROM r GROUP BY source, rest),
 n AS (SELECT r.source, min({'off': abs(size - gap), 'ord': ord, 'doc_id': doc_id}) AS best FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source WHERE ends > rest AND abs(size - gap) < gap GROUP BY r.source),
-u AS (SELECT r.*, (whole + CASE WHEN ends <= rest OR coalesce(ord = best.ord AND doc_id IS NOT DISTINCT FROM best.doc_id, FALSE) THEN 1 ELSE 0 END)::BIGINT AS times
+u AS (SELECT r.*, (whole + CASE WHEN (rest > 0 AND ends <= rest) OR coalesce(ord = best.ord AND doc_id IS NOT DISTINCT FROM best.doc_id, FALSE) THEN 1 ELSE 0 END)::BIGINT AS times
   FROM r LEFT JOIN n ON r.source IS NOT DISTINCT FROM n.source)
 SELECT doc_id, source, size, source_size, target, times, times * size AS taken FROM u
 """

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import broadcast_if_small, list_array, map_arrow, mix64, shingle_set, stash, text_bytes
+from lumenfold.llm.common import broadcast_if_small, list_array, map_arrow, mix64, shingle_set, stash, text_bytes, without_ids
 from lumenfold.llm.components import connected_components
 
 RING_BITS = 20
@@ -240,8 +240,8 @@ def _links_of_large(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Rows of ``docs`` whose document represents its component; columns unchanged."""
-    gone = stash(near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id__")).distinct(), "near-copies")
-    return docs.join(broadcast_if_small(gone), docs["doc_id"] == F.col("gone_id__"), "left_anti")
+    gone = stash(near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct(), "near-copies")
+    return without_ids(docs, gone)
 
 
 def brute_force(rows: Iterator[tuple[int, str | None]], percent: int = 85) -> dict[int, tuple[int, int]]:

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenfold.llm.common import fresh
+
 # Fixed values of the format: tags, field types and compression codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
@@ -362,5 +364,8 @@ def _pages(file: bytes) -> Iterator[dict]:
 
 
 def read_pages(files: DataFrame, media: str = "media") -> DataFrame:
-    """One row per page: all columns but ``media``, then a struct column ``tiff_page`` of the page."""
-    return files.withColumn("tiff_page", F.explode(tiff_pages(F.col(media)))).drop(media)
+    """One row per page: all columns but ``media``, then a struct column ``tiff_page`` of the page.
+
+    Where the input has that name already, underscores are added.
+    """
+    return files.withColumn(fresh(files, "tiff_page"), F.explode(tiff_pages(F.col(media)))).drop(media)
