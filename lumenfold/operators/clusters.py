@@ -22,9 +22,10 @@ def shared_key_links(rows: DataFrame, node: str, *keys: str) -> DataFrame:
 def components(rows: DataFrame, node: str, links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that links lead to; single rows are their own.
 
-    Every round each group of linked nodes points to its smallest neighbour
-    and groups that meet are merged, so rounds grow with the logarithm of the
-    longest chain. Rounds are cut off by reliable checkpoints.
+    Every round each node points to its smallest neighbour, pointers are
+    followed to their ends by doubling, and what ends in one node is merged:
+    rounds and doublings grow with the logarithm of the largest component.
+    Rounds are cut off by reliable checkpoints.
     """
     label = checkpoint(rows.select(F.col(node).alias("node")).distinct().withColumn("component", F.col("node")))
     edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
@@ -33,6 +34,12 @@ def components(rows: DataFrame, node: str, links: DataFrame, most_rounds: int =
             return label.withColumnRenamed("node", node)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lower = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("to")))
+        while True:
+            up = lower.select(F.col("u").alias("at"), F.col("to").alias("top"))
+            jumped = checkpoint(lower.join(up, lower["to"] == up["at"]).select("u", F.col("top").alias("to"), (F.col("top") != F.col("to")).alias("moved")))
+            lower = jumped.select("u", "to")
+            if jumped.where("moved").isEmpty():
+                break
         x, y = lower.select(F.col("u").alias("x"), F.col("to").alias("tx")), lower.select(F.col("u").alias("y"), F.col("to").alias("ty"))
         label = checkpoint(label.join(x, label["component"] == x["x"], "left").select("node", F.coalesce("tx", "component").alias("component")))
         edges = checkpoint(edges.join(x, edges["u"] == x["x"]).join(y, edges["v"] == y["y"]).select(F.greatest("tx", "ty").alias("u"), F.least("tx", "ty").alias("v")).where("u != v").distinct())
