@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenfold.sources.storage import content_hash
+
 #: How many hex digits of the hash each kind of identifier keeps.
 ID_DIGITS = {
     "SCENARIO": 24, "EXAMPLE": 24,
@@ -114,3 +116,9 @@ def feature_hash(secret: bytes = b"ngram-v1"):
         return pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.int32()) for i in (0, 1)], names=["feature_id", "bucket"])
 
     return hashed
+
+
+def hash_manifest(secret: bytes = b"ngram-v1") -> dict[str, object]:
+    """What a cache of hashed features must agree on, with a digest of it."""
+    payload = {"algorithm": "blake2b-64", "key": hashlib.sha256(secret).hexdigest(), "namespaces": {n: list(v) for n, v in namespace_table().items()}, "rows": 1 + sum(NAMESPACE_BUCKETS.values())}
+    return payload | {"digest": content_hash(payload)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,3 +82,17 @@ def without_overflow(records: DataFrame, limit: int, ids_col: str = "input_ids")
 
 def padding_utilization(records: DataFrame, length: str, padded: str) -> DataFrame:
     return records.agg((F.sum(length) / (F.count("*") * F.max(padded))).alias("utilization"))
+
+
+def pass_order(n: int, seed: int, pass_index: int) -> list[int]:
+    """A seeded permutation of 0..n-1 for one pass, on the driver; for tables order by a hash instead."""
+    order = list(range(n))
+    random.Random((seed << 16) ^ pass_index).shuffle(order)
+    return order
+
+
+def token_conservation(blocks_: DataFrame, expected: int) -> None:
+    """Raises unless the blocks hold exactly the expected number of tokens."""
+    found = blocks_.agg(F.coalesce(F.sum("token_count"), F.lit(0))).first()[0]
+    if found != expected:
+        raise ValueError(f"blocks hold {found} tokens, not {expected}")

@@ -220,3 +220,44 @@ def test_stream(spark, tmp_path):
     w.processAllAvailable()
     w.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() >= 3
+
+
+def test_chat_tokens(spark):
+    from lumenfold.functions import tokenizer
+
+    rows = spark.createDataFrame([(1, [("user", "hi there"), ("assistant", "a 1é!"), ("user", "")])], "id int, messages array<struct<role:string,content:string>>")
+    r = tokenizer.tokenize_chat(rows).first()
+    assert "".join(r["rendered"][s["start"] : s["end"]] for s in r["spans"]) == r["rendered"]
+    assert "".join(r["rendered"][s["start"] : s["end"]] for s, m in zip(r["spans"], r["assistant_mask"], strict=True) if m) == "a 1é!"
+    assert [r["rendered"][g["start"] : g["end"]] for g in r["segments"]] == ["hi there", "a 1é!", ""]
+    assert all(tokenizer.capabilities().values())
+
+
+def test_build(spark, tmp_path):
+    import json
+
+    from lumenfold.plans.build import Build, BuildError
+
+    rule_rows = [("R", "verified", [], [("asset.proceeds", "EXISTS", None, None)], [("ADD_TOPIC", "sale")]), ("Q", "verified", [], [], [("REQUIRE_INFORMATION", "asset.proceeds")])]
+    config = {"rules": rule_rows, "rule_schema": rule_plans.RULE_SCHEMA, "templates": rule_plans.TEMPLATES, "counts": {"T-SALE": 6}, "tax_year": 2025, "seed": 1, "mark_unknown": ["asset.proceeds"], "tasks": ["t1", "t2"]}
+    build = Build(spark, tmp_path, config)
+    summary = build.run()
+    record = json.loads((build.folder / "build.json").read_text())
+    assert record["state"] == "COMPLETED" and [h[0] for h in record["history"]][:2] == ["PREPARING", "GENERATING"]
+    assert summary["base"] == 6 and summary["mutated"] == 6 and summary["examples"] == 48 and summary["clusters"] == 1
+    bad = Build(spark, tmp_path, config | {"seed": 2})
+    bad.validate = lambda *a: ["SPLIT-LEAKAGE: 1 values of family_id"]
+    with pytest.raises(BuildError):
+        bad.run()
+    assert json.loads((bad.folder / "build.json").read_text())["state"] == "FAILED" and not (bad.folder / "exports").exists()
+
+
+def test_orders_and_conservation(spark):
+    from lumenfold.functions.hashing import hash_manifest
+
+    assert sorted(sequences.pass_order(9, 3, 1)) == list(range(9)) and sequences.pass_order(9, 3, 1) == sequences.pass_order(9, 3, 1) != sequences.pass_order(9, 3, 2)
+    rows = spark.createDataFrame([(4,), (5,)], "token_count int")
+    sequences.token_conservation(rows, 9)
+    with pytest.raises(ValueError):
+        sequences.token_conservation(rows, 8)
+    assert hash_manifest()["rows"] == 147_457 and hash_manifest(b"other")["digest"] != hash_manifest()["digest"]
