@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -27,7 +28,7 @@ SHINGLE_WORDS = 5
 BROADCAST_ROWS = 500_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -174,10 +175,21 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 yield fn(batch.slice(at, 512))
+        trim()
 
     return df.mapInArrow(each, schema)
 
 
+def trim() -> None:
+    """Gives a Python worker's unused memory back; workers live on and would hold it beside later stages."""
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An Arrow list column from flat values and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, np.int32)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import broadcast_if_small, list_array, map_arrow, mix64, shingle_set, stash, text_bytes, without_ids
+from lumenfold.llm.common import broadcast_if_small, list_array, map_arrow, mix64, shingle_set, stash, text_bytes, trim, without_ids
 from lumenfold.llm.components import connected_components
 
 RING_BITS = 20
@@ -165,6 +165,7 @@ def _block_links(percent: int):
             if x != y:
                 root[max(x, y)] = min(x, y)
                 out.append((ids[i], ids[j]))
+        trim()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return links

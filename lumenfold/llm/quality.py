@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from lumenfold.llm import labelled
-from lumenfold.llm.common import fold_is, shingle_hashes, text_bytes, word_hashes
+from lumenfold.llm.common import fold_is, shingle_hashes, text_bytes, trim, word_hashes
 
 TRAIN_ROWS = 12_000
 THRESHOLD = 0.3
@@ -184,6 +184,7 @@ def scorer(docs: DataFrame, model: Gam):
     @F.arrow_udf(DoubleType())
     def score(texts: pa.Array) -> pa.Array:
         found = [text_features(t) for t in text_bytes(texts)]
+        trim()
         return pa.array(held.value.score(np.array(found, float).reshape(len(found), len(FEATURES))), pa.float64())
 
     return lambda text: score(F.col(text).cast("string"))

@@ -33,7 +33,7 @@ from lumenfold.llm.common import broadcast_if_small, list_array, map_arrow, one_
 #: Rows to which an ORC row index entry refers.
 ROW_GROUP = 1000
 STRIPE_BYTES = 16 << 20
-_CACHE_PIECES = 600_000
+_CACHE_PIECES = 400_000
 
 # What this tokenizer cuts a lower-cased piece into, for the letters of FAST.
 _CUTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
