@@ -80,6 +80,21 @@ def without_overflow(records: DataFrame, limit: int, ids_col: str = "input_ids")
     return records.where(~long_), records.where(long_)
 
 
+def padding_problem(ids: Column, labels: Column, mask: Column, features: Column | None = None) -> Column:
+    """Why a padded row is invalid, or null: lists of one length, and neutral values wherever the mask is 0.
+
+    ``features``: lists of feature ids per token, whose padding is 0.
+    """
+    width = F.size(ids)
+    uneven = (F.size(labels) != width) | (F.size(mask) != width)
+    off = F.exists(F.arrays_zip(labels.alias("l"), mask.alias("m")), lambda t: (t["m"] == 0) & (t["l"] != IGNORED))
+    problem = F.when(uneven, "lengths differ").when(F.exists(mask, lambda m: ~m.isin(0, 1)), "mask is not 0 or 1").when(off, "a padded label is trained")
+    if features is None:
+        return problem
+    stray = F.exists(F.arrays_zip(features.alias("f"), mask.alias("m")), lambda t: (t["m"] == 0) & F.exists(t["f"], lambda i: i != 0))
+    return F.coalesce(problem, F.when(F.size(features) != width, "lengths differ").when(stray, "a padded token has features"))
+
+
 def padding_utilization(records: DataFrame, length: str, padded: str) -> DataFrame:
     return records.agg((F.sum(length) / (F.count("*") * F.max(padded))).alias("utilization"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,7 +11,7 @@ def sorted_json(df: DataFrame):
     return F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
 
 
-def write_json_lines(df: DataFrame, path: str, *order: str) -> None:
+def write_json_lines(df: DataFrame, path: str, *order: str | Column) -> None:
     """One JSON object per line, in the given order; an existing path is replaced when all is written."""
     rows = df.orderBy(*order) if order else df
     rows.select(sorted_json(df).alias("value")).write.mode("overwrite").text(path)
