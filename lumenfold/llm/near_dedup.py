@@ -127,11 +127,15 @@ def _block_links(percent: int):
     """
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
+        pdf = pdf.sort_values(["block", "doc_id"])
         ids, sets = pdf["doc_id"].to_numpy(), list(pdf["shingles"])
         side, sizes = pdf["block"].to_numpy(), np.array([len(s) for s in sets], np.int64)
         names, comps = np.unique(pdf["component"].to_numpy(), return_inverse=True)
-        one_block = side.min() == side.max()
+        if pdf["i"].iat[0] != pdf["j"].iat[0] and side[0] == side[-1]:
+            return pd.DataFrame([], columns=["a", "b"], dtype="int64")  # the other block is empty
+        # rows x columns: all x all inside one block, else first block x second
+        split = int(np.searchsorted(side, side[-1]))
+        rows, cols = (slice(split), slice(split, None)) if split else (slice(None), slice(None))
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
         order = np.cumsum(count > 1) - 1
@@ -139,18 +143,16 @@ def _block_links(percent: int):
         column, owner = order[at[keep]], owner[keep]
         by_column = np.argsort(column, kind="stable")
         column, owner = column[by_column], owner[by_column]
-        common = np.zeros((len(sets), len(sets)), np.float32)
+        common = np.zeros((len(sizes[rows]), len(sizes[cols])), np.float32)
         width, top = 4096, int(column[-1]) + 1 if len(column) else 0
         for low in range(0, top, width):
             a, b = np.searchsorted(column, [low, low + width])
             part = np.zeros((len(sets), min(width, top - low)), np.float32)
             part[owner[a:b], column[a:b] - low] = 1
-            common += part @ part.T
+            common += part[rows] @ part[cols].T
         shared = common.astype(np.int64)
-        hit = shared * 100 >= (sizes[:, None] + sizes[None, :] - shared) * percent
-        hit &= comps[:, None] != comps[None, :]
-        if not one_block:
-            hit &= side[:, None] != side[None, :]
+        hit = shared * 100 >= (sizes[rows, None] + sizes[None, cols] - shared) * percent
+        hit &= comps[rows, None] != comps[None, cols]
         root = list(range(len(names)))
 
         def find(x: int) -> int:
@@ -160,11 +162,12 @@ def _block_links(percent: int):
             return x
 
         out = []
-        for i, j in zip(*np.nonzero(np.triu(hit, 1)), strict=True):
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            j += split
             x, y = find(comps[i]), find(comps[j])
             if x != y:
                 root[max(x, y)] = min(x, y)
-                out.append((ids[i], ids[j]))
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         trim()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
@@ -215,8 +218,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def _unresolved(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """Members, with components, of the buckets that hold several components."""
     labelled = buckets.join(found, buckets["rep"] == found["node"], "left").select("key", "rep", "n", "hub", "members", F.coalesce("component", "rep").alias("component"))
-    spread = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("in_bucket"), F.sum("n").alias("shingles")).where("low != high AND in_bucket > 2")
-    return stash(labelled.join(spread.select("key", "shingles"), "key"), "unresolved")
+    spread = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("in_bucket")).where("low != high AND in_bucket > 2")
+    return stash(labelled.join(spread.select("key"), "key"), "unresolved")
 
 
 def _pairs_of_small(members: DataFrame, percent: int) -> DataFrame:
@@ -228,17 +231,36 @@ def _pairs_of_small(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _links_of_large(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of large buckets, from exact comparison of every two blocks."""
-    q = F.greatest(F.ceil(F.col("members") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    blocked = members.withColumn("q", q).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("q")).cast("int"))
-    # Equal member lists in several bands are compared once.
-    lists = blocked.groupBy("key", "q").agg(F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("sum"), F.count("*").alias("size")).groupBy("sum", "size", "q").agg(F.min("key").alias("key"))
-    once = blocked.join(lists.select("key"), "key", "left_semi")
-    spread = once.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", F.col("rep").alias("doc_id"))
-    full = spread.join(sets, "doc_id")
+    """Links of large buckets, from exact comparison in blocks."""
+    full = _block_pairs(members).join(sets, "doc_id")
     return full.groupBy("key", "i", "j").applyInPandas(_block_links(percent), "a long, b long").distinct()
 
 
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """Members once for every pair (i, j) of blocks that they take part in.
+
+    A bucket's largest component is its *core*, the other members the *rest*.
+    Blocks of the rest (numbered first) meet each other and the blocks of the
+    core; core blocks never meet, as they could only link what is linked.
+    So work grows with rest times members, not with members squared. A bucket
+    that fits one block is one block.
+    """
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    cores = parts.groupBy("key").agg(F.max(F.struct("c", "w", "component")).alias("core"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    n_blocks = lambda c, w: F.greatest(F.ceil(c / BLOCK_DOCS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    several = n_blocks(F.col("c"), F.col("w")) > 1
+    q_core, q_rest = n_blocks(F.col("core.c"), F.col("core.w")), n_blocks(F.col("c") - F.col("core.c"), F.col("w") - F.col("core.w"))
+    sized = cores.select("key", F.when(several, F.col("core.component")).alias("core"), F.when(several, q_core).alias("q_core"), F.when(several, q_rest).otherwise(1).alias("q_rest"))
+    # Equal member lists in several bands are compared once.
+    lists = members.groupBy("key").agg(F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("sum"), F.count("*").alias("size")).groupBy("sum", "size").agg(F.min("key").alias("key"))
+    once = members.select("key", "rep", "component").join(sized.join(lists.select("key"), "key"), "key")
+    in_core, place = F.col("component").eqNullSafe(F.col("core")), F.xxhash64("rep")
+    block = F.when(in_core, F.col("q_rest") + F.pmod(place, F.col("q_core"))).otherwise(F.pmod(place, F.col("q_rest"))).cast("int")
+    met = F.when(in_core, F.col("q_rest")).otherwise(F.col("q_rest") + F.coalesce("q_core", F.lit(0)))
+    spread = once.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+    return spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", F.col("rep").alias("doc_id"))
+
+
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Rows of ``docs`` whose document represents its component; columns unchanged."""
     gone = stash(near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct(), "near-copies")

@@ -39,6 +39,34 @@ def test_a_large_group_at_the_threshold(spark, monkeypatch):
     check(spark.createDataFrame(rows, DOCS), rows, 85)
 
 
+def test_few_strays_of_a_large_core(spark, monkeypatch):
+    """Texts that link to some of a large group but not to its smallest member, which is the bucket's hub."""
+    monkeypatch.setattr(nd, "BLOCK_DOCS", 25)
+    rng, base, rows = random.Random(9), prose(3, 150).split(), []
+    for i in range(200):
+        words, edits = list(base), 0 if i == 0 else 1 if i < 190 else 4
+        for at in rng.sample(range(10, 140), edits):
+            words[at] = f"edit{i}x{at}"
+        if i % 2:
+            words = words + ["tail", "of", "half", "the", "group"]
+        rows.append((i, " ".join(words), "en", "s", 1))
+    check(spark.createDataFrame(rows, DOCS), rows, 85)
+    check(spark.createDataFrame(rows, DOCS), rows, 80)
+
+
+def test_core_blocks_never_meet(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_DOCS", 10)
+    members = [(key, i, 5, 0 if i < 1000 else i) for key in (7, 8) for i in range(1020)] + [(9, i, 5, i % 3) for i in range(9)]
+    pairs = nd._block_pairs(spark.createDataFrame(members, "key long, rep long, n long, component long")).collect()
+    assert {r["key"] for r in pairs} == {7, 9}  # one member list is compared once
+    assert sum(r["key"] == 7 for r in pairs) == 1000 * 2 + 20 * (2 + 100)
+    blocks = {}
+    for r in pairs:
+        blocks.setdefault((r["key"], r["i"], r["j"]), []).append(r["doc_id"])
+    met = {(a, b) for ids in blocks.values() for a in ids for b in ids}
+    assert all((a, b) in met for a in range(1000, 1020) for b in range(1020))
+
+
 def test_shared_passage_is_no_link(spark):
     rows = [(i, prose(7, 60) + " " + prose(50 + i, 60), "en", "s", 1) for i in range(60)]
     check(spark.createDataFrame(rows, DOCS), rows, 80)
