@@ -126,8 +126,10 @@ def char_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ngram_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collision statistics per namespace: each distinct key is hashed once."""
-    words = word_ngram_counts(spark, sf_dir).select(hashing.namespace(F.lit("word"), F.col("order")).alias("namespace"), "key")
+    """Collision statistics per namespace: each distinct key, canonical or alias, is hashed once."""
+    grams = table(spark, sf_dir, "documents").select(F.explode(text.word_grams(F.col("text"))).alias("g")).select("g.order", "g.key")
+    aliases = _surfaces(spark, sf_dir).select(F.lit(1).alias("order"), F.explode(text.atom_aliases(F.col("surface"))).alias("key"))
+    words = grams.unionByName(aliases).distinct().select(hashing.namespace(F.lit("word"), F.col("order")).alias("namespace"), "key")
     chars = char_ngram_counts(spark, sf_dir).select(hashing.namespace(F.lit("char"), F.col("order")).alias("namespace"), "key")
     hashed = words.unionByName(chars).withColumn("h", hashing.feature_hash()("namespace", "key"))
     depth = hashed.groupBy("namespace", F.col("h.bucket").alias("bucket")).agg(F.count("*").alias("keys"))
@@ -181,7 +183,7 @@ def range_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def token_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word and character n-grams of every document, hashed, aligned and cut to the best 24 per token."""
+    """Word n-grams, aliases (as single words) and character n-grams of every document, hashed, aligned and cut to the best 24 per token."""
     spans = text.token_spans(table(spark, sf_dir, "documents")).withColumn("key", text.atom_key(text.canonical_surface(F.col("surface"))))
     run = Window.partitionBy("doc_id", "run").orderBy("ord")
     words = None
@@ -191,8 +193,10 @@ def token_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = spans.select("doc_id", "ord", F.when(whole, F.concat_ws(" ", *keys)).alias("key"), F.lead("ord", n - 1).over(run).alias("token_index") if n > 1 else F.col("ord").alias("token_index")).where("key IS NOT NULL").select("doc_id", "token_index", F.lit("word").alias("kind"), F.lit(n).alias("ord"), "key")
         words = part if words is None else words.unionByName(part)
     chars = spans.where(text.char_gram_eligible(F.col("surface"), F.col("key"))).select("doc_id", F.col("ord").alias("token_index"), F.explode(text.char_grams(F.col("key"))).alias("g")).select("doc_id", "token_index", F.lit("char").alias("kind"), F.col("g.order").alias("ord"), "g.key")
-    hashed = words.unionByName(chars).withColumn("h", hashing.feature_hash()(hashing.namespace(F.col("kind"), F.col("ord")), F.col("key")))
-    top = alignment.top_features(hashed.select("doc_id", "token_index", "kind", "ord", F.lit(False).alias("alias"), F.col("h.feature_id").alias("feature_id")))
+    canonical = words.unionByName(chars).withColumn("alias", F.lit(False))
+    aliases = spans.select("doc_id", F.col("ord").alias("token_index"), F.lit("word").alias("kind"), F.lit(1).alias("ord"), F.explode(text.atom_aliases(text.canonical_surface(F.col("surface")))).alias("key"), F.lit(True).alias("alias"))
+    hashed = canonical.unionByName(aliases).withColumn("h", hashing.feature_hash()(hashing.namespace(F.col("kind"), F.col("ord")), F.col("key")))
+    top = alignment.top_features(hashed.select("doc_id", "token_index", "kind", "ord", "alias", F.col("h.feature_id").alias("feature_id")))
     return top.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum(F.size("feature_ids")).alias("selected"), F.sum("dropped").alias("dropped"), F.count_if(F.col("dropped") > 0).alias("hitting_cap"))
 
 
