@@ -100,6 +100,16 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(broadcast_if_small(ids.withColumnRenamed("doc_id", gone)), docs["doc_id"] == F.col(gone), "left_anti")
 
 
+def text_digest(col: Column | str = "text") -> Column:
+    """MD5 of a text; null as empty."""
+    return F.md5(F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit("")))
+
+
+def without_rows(docs: DataFrame, named: DataFrame, digest: str) -> DataFrame:
+    """Rows of ``docs`` (which has a column ``digest``) whose doc_id, null too, and digest ``named`` (stashed gone_doc, gone_text) lacks."""
+    return docs.join(broadcast_if_small(named), docs["doc_id"].eqNullSafe(F.col("gone_doc")) & (docs[digest] == F.col("gone_text")), "left_anti")
+
+
 def id_crc(col: Column | str) -> Column:
     """Unsigned crc32 of an id as text; the rule of every held-out fold."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))

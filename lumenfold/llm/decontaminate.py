@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import SHINGLE_WORDS, map_arrow, shingle_hashes, stash, text_bytes, without_ids, word_hashes, words_of
+from lumenfold.llm.common import SHINGLE_WORDS, broadcast_if_small, fresh, map_arrow, shingle_hashes, stash, text_bytes, text_digest, word_hashes, words_of
 
 #: Shingles of a block of items; about 100 MB of words and tables in a Python worker.
 BLOCK_SHINGLES = 400_000
@@ -102,34 +102,43 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
 
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
     """One row per document and item it contains: doc_id, item_id, n_item_shingles, n_found, containment."""
-    schema = "doc_id long, item_id long, n_item_shingles long, n_found long, containment double"
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return _search(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), items, percent)
+
+
+def _search(slim: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """The matches of rows (key, text); the first column names the row in the result."""
+    key = slim.schema[0]
+    schema = f"{key.name} {key.dataType.simpleString()}, item_id long, n_item_shingles long, n_found long, containment double"
     queries = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     out = None
     for block in _blocks(queries):
-        part = map_arrow(slim, _searcher(slim.sparkSession.sparkContext.broadcast(block), percent), schema)
+        part = map_arrow(slim, _searcher(slim.sparkSession.sparkContext.broadcast(block), percent, key.name), schema)
         out = part if out is None else out.unionByName(part)
     return slim.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _searcher(block, percent: int):
+def _searcher(block, percent: int, name: str):
     index: list[ItemIndex] = []
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not index:
             index.append(ItemIndex(block.value, percent))
-        rows = [(d, *m) for d, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True) for m in index[0].matches(text)]
-        doc_id, item_id, size, found = zip(*rows, strict=True) if rows else ((), (), (), ())
-        ints = [pa.array(x, pa.int64()) for x in (doc_id, item_id, size, found)]
-        return pa.RecordBatch.from_arrays([*ints, pa.array([f / n for f, n in zip(found, size, strict=True)], pa.float64())], names=["doc_id", "item_id", "n_item_shingles", "n_found", "containment"])
+        rows = [(k, *m) for k, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True) for m in index[0].matches(text)]
+        key, item_id, size, found = zip(*rows, strict=True) if rows else ((), (), (), ())
+        ints = [pa.array(x, pa.int64()) for x in (item_id, size, found)]
+        return pa.RecordBatch.from_arrays([pa.array(key, batch.schema.field(0).type), *ints, pa.array([f / n for f, n in zip(found, size, strict=True)], pa.float64())], names=[name, "item_id", "n_item_shingles", "n_found", "containment"])
 
     return search
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` without the documents that contain an item; columns unchanged."""
-    gone = stash(contaminated(docs, items, percent).where("doc_id IS NOT NULL").select("doc_id").distinct(), "contaminated")
-    return without_ids(docs, gone)
+    """Rows of ``docs`` whose text contains no item; columns unchanged.
+
+    A row goes by its own text, named by its digest: null and repeated ids matter nothing.
+    """
+    gone, digest = fresh(docs, "gone_text"), text_digest()
+    found = _search(docs.select(digest.alias(gone), F.col("text").cast("string")), items, percent)
+    return docs.join(broadcast_if_small(stash(found.select(gone).distinct(), "contaminated")), digest == F.col(gone), "left_anti")
 
 
 #: The same matches by SQL alone.

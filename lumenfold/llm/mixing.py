@@ -72,8 +72,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: int = 3, seed
     ``weights`` (source, weight) defaults to the cyclic rule. A source that it
     lacks has weight 0 and target 0.
     """
+    return _mix(docs, weights, epochs, seed)
+
+
+def _mix(docs: DataFrame, weights: DataFrame | None, epochs: int, seed: int, **extra: Column) -> DataFrame:
+    """As ``mix``, with further columns of ``docs`` by name."""
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))))
-    sized = stash(docs.select("doc_id", "source", n_words("text").alias("size"), order.alias("order")), "sizes")
+    sized = stash(docs.select("doc_id", "source", n_words("text").alias("size"), order.alias("order"), *[c.alias(n) for n, c in extra.items()]), "sizes")
     sized = sized.withColumn("bin", F.conv(F.substring("order", 1, 3), 16, 10).cast("int"))
     bins = stash(sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
     sources = bins.groupBy("source").agg(F.sum("bin_size").alias("size"))
@@ -104,7 +109,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: int = 3, seed
     planned = sized.join(ready, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
     clear = planned.where(F.col("bin") != F.col("cut_bin")).withColumn("once_more", (F.col("rest") > 0) & (F.col("bin") < F.col("cut_bin")))
-    inside = Window.partitionBy("source").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source").orderBy("order", "doc_id", "size", *extra).rowsBetween(Window.unboundedPreceding, 0)
     edge = stash(planned.where(F.col("bin") == F.col("cut_bin")).withColumn("end", F.col("cut_before") + F.sum("size").over(inside)), "mix-edge")
     reached = F.coalesce(F.max(F.when(F.col("end") <= F.col("rest"), F.col("end"))), F.first("cut_before"))
     gaps = edge.groupBy("source").agg((F.first("rest") - reached).alias("gap")).select(F.col("source").alias("gap_of"), "gap")
@@ -118,18 +123,27 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: int = 3, seed
     is_last = F.coalesce((F.col("order") == F.col("last_order")) & F.col("doc_id").eqNullSafe(F.col("last_id")), F.lit(False))
     every = every.join(last, F.col("source").eqNullSafe(F.col("last_of")), "left").withColumn("once_more", F.col("once_more") | is_last)
     times = (F.col("whole") + F.col("once_more").cast("long")).cast("long")
-    return every.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+    return every.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"), *extra)
 
 
 def take_mix(docs: DataFrame, weights: DataFrame | None = None, epochs: int = 3, seed: int = 7) -> DataFrame:
     """``docs`` with every row as often as the mix takes it; columns unchanged.
 
-    Decisions are looked up by doc_id; rows that share one share its count.
+    Decisions are looked up by row: doc_id, source and the text's hash. Rows
+    that repeat these and are not all taken equally often are numbered.
     """
-    own, times, copy = (fresh(docs, n) for n in ("mix_id", "mix_times", "mix_copy"))
-    counts = stash(mix(docs, weights, epochs, seed).groupBy(F.col("doc_id").alias(own)).agg(F.max("times").cast("int").alias(times)), "mix-counts")
-    joined = docs.join(broadcast_if_small(counts), docs["doc_id"].eqNullSafe(F.col(own))).where(F.col(times) > 0)
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(own, times, copy)
+    own, origin, mark, times, few, many, number, copy = (fresh(docs, f"mix_{n}") for n in ("id", "source", "mark", "times", "few", "many", "number", "copy"))
+    row = [F.col("doc_id").alias(own), F.col("source").alias(origin), F.col("mark").alias(mark)]
+    rows = _mix(docs, weights, epochs, seed, mark=F.xxhash64("text")).groupBy(*row, F.col("times").cast("int").alias("n")).agg(F.count("*").alias("rows"))
+    counts = stash(rows.groupBy(own, origin, mark).agg(F.max("n").alias(times), F.min("n").alias(few), F.max_by("rows", "n").alias(many)), "mix-counts")
+    joined = docs.join(broadcast_if_small(counts), docs["doc_id"].eqNullSafe(F.col(own)) & docs["source"].eqNullSafe(F.col(origin)) & (F.xxhash64(docs["text"]) == F.col(mark)))
+    if not counts.where(F.col(few) < F.col(times)).isEmpty():  # at most the rows of one order and id per source
+        place = F.row_number().over(Window.partitionBy(own, origin, mark).orderBy(F.md5(F.to_json(F.struct(*docs.columns)))))
+        cut = joined.where(F.col(few) < F.col(times)).withColumn(number, place)
+        cut = cut.withColumn(times, F.when(F.col(number) <= F.col(many), F.col(times)).otherwise(F.col(few))).drop(number)
+        joined = joined.where(F.col(few) == F.col(times)).unionByName(cut)
+    joined = joined.where(F.col(times) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(own, origin, mark, times, few, many, copy)
 
 
 #: The same mix by SQL alone.

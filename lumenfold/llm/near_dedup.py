@@ -36,10 +36,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import broadcast_if_small, list_array, map_arrow, mix64, shingle_set, stash, text_bytes, trim, without_ids
+from lumenfold.llm.common import broadcast_if_small, fresh, list_array, map_arrow, mix64, shingle_set, stash, text_bytes, text_digest, trim, without_ids, without_rows
 from lumenfold.llm.components import connected_components
 
 RING_BITS = 20
@@ -262,9 +262,42 @@ def _block_pairs(members: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Rows of ``docs`` whose document represents its component; columns unchanged."""
-    gone = stash(near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct(), "near-copies")
-    return without_ids(docs, gone)
+    """Rows of ``docs`` that represent their component, one per component; columns unchanged.
+
+    Where ids are null or repeat, rows are told apart by id and text: the
+    smallest id, null last, represents its component, and of rows that repeat
+    both one stays. Rows of empty sets all stay.
+    """
+    if docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        gone = stash(near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct(), "near-copies")
+        return without_ids(docs, gone)
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_digest().alias("digest"))
+    names = _numbered(stash(slim.groupBy("doc_id", "digest").agg(F.count("*").alias("rows")), "row-names"))
+    own = names.select(F.col("doc_id").alias("own_doc"), F.col("digest").alias("own_text"), "number")
+    once = slim.groupBy("doc_id", "digest").agg(F.first("text").alias("text"))
+    texts = stash(once.join(own, F.col("doc_id").eqNullSafe(F.col("own_doc")) & (F.col("digest") == F.col("own_text"))).select(F.col("number").alias("doc_id"), "text"), "row-texts")
+    found = stash(near_duplicates(texts, percent).select(F.col("doc_id").alias("number"), "n_shingles", "kept"), "row-verdicts")
+    named = names.join(found, "number").select(F.col("doc_id").alias("gone_doc"), F.col("digest").alias("gone_text"), "rows", "n_shingles", "kept")
+    gone = stash(named.where("NOT kept").select("gone_doc", "gone_text"), "near-copies")
+    repeated = stash(named.where("kept AND rows > 1 AND n_shingles > 0").select("gone_doc", "gone_text"), "row-repeats")
+
+    digest, row = fresh(docs, "gone_digest"), fresh(docs, "gone_row")
+    kept = without_rows(docs.withColumn(digest, text_digest()), gone, digest)
+    match = kept["doc_id"].eqNullSafe(F.col("gone_doc")) & (kept[digest] == F.col("gone_text"))
+    whole = F.struct(*[kept[c] for c in docs.columns])
+    # Of repeats the one row with the smallest digest of all its columns; combines before the shuffle.
+    one = kept.join(broadcast_if_small(repeated), match, "left_semi").groupBy("doc_id", digest).agg(F.min_by(whole, F.md5(F.to_json(whole))).alias(row)).select(f"{row}.*")
+    return without_rows(kept, repeated, digest).drop(digest).unionByName(one)
+
+
+def _numbered(names: DataFrame) -> DataFrame:
+    """Adds ``number``: the place by doc_id, null last, and digest; ranks inside range partitions plus the counts before them."""
+    order = (F.col("doc_id").asc_nulls_last(), F.col("digest"))
+    dealt = stash(names.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "row-parts")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # one row per partition
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return stash(dealt.withColumn("inside", inside).join(F.broadcast(starts), "part").withColumn("number", (F.col("start") + F.col("inside")).cast("long")).drop("part", "inside", "start"), "row-numbers")
 
 
 def brute_force(rows: Iterator[tuple[int, str | None]], percent: int = 85) -> dict[int, tuple[int, int]]:
