@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.hashing import identifier, json_string
-from lumenfold.sources.storage import content_hash, content_int
+from lumenfold.operators import rules
+from lumenfold.sources.storage import checkpoint, content_hash, content_int
 
 FACT = "struct<fact_id:string,concept_id:string,state:string,value:string,event_id:string,assertions:array<string>>"
 SCENARIO = f"scenario_id string, family_id string, template_id string, tax_year int, seed decimal(20,0), attempt int, facts array<{FACT}>, events array<string>, documents array<string>"
@@ -69,10 +70,10 @@ def constraints_hold(constraints: list[dict[str, Any]], made: dict[str, Any]) ->
     return True
 
 
-def make_scenario(template: dict[str, Any], year: int, seed: int, index: int, known: dict[str, int], version: str = "0.1") -> dict[str, Any]:
-    """The first attempt whose values satisfy the template's constraints."""
+def make_scenario(template: dict[str, Any], year: int, seed: int, index: int, known: dict[str, int], version: str = "0.1", after: int = 0) -> dict[str, Any]:
+    """The first attempt later than ``after`` whose values satisfy the template's constraints."""
     name, revision = template["template_id"], template.get("revision", 1)
-    for attempt in range(1, template.get("max_attempts", 100) + 1):
+    for attempt in range(after + 1, template.get("max_attempts", 100) + 1):
         made: dict[str, Any] = {}
         for v in template["variables"]:
             made[v["id"]] = draw(v["generator"], random.Random(content_int(version, seed, name, v["id"], attempt)), year, made, known)
@@ -90,21 +91,47 @@ def make_scenario(template: dict[str, Any], year: int, seed: int, index: int, kn
 
 def generate(spark: SparkSession, templates: list[dict[str, Any]], counts: dict[str, int], year: int, seed: int, known: dict[str, int] | None = None) -> DataFrame:
     """``counts[template]`` scenarios of each template; templates are configuration and travel with the function."""
-    by_id, values = {t["template_id"]: t for t in templates}, known or {}
+    return _drawn(_indexed(spark, counts), templates, year, seed, known).drop("index")
+
+
+def generate_complete(spark: SparkSession, templates: list[dict[str, Any]], counts: dict[str, int], year: int, seed: int, active: DataFrame, known: dict[str, int] | None = None) -> DataFrame:
+    """As ``generate``, drawing again while the ``active`` rules find concepts missing.
+
+    A template with ``require_complete_base_scenario`` false takes incomplete
+    scenarios; one that runs out of attempts is an error.
+    """
+    lenient = [t["template_id"] for t in templates if not t.get("require_complete_base_scenario", True)]
+    todo, done = _indexed(spark, counts), None
+    while True:
+        drawn = checkpoint(_drawn(todo, templates, year, seed, known))
+        missing = rules.analyse(drawn, active, facts_of(drawn)).where(F.size("missing") > 0).select("scenario_id")
+        again = checkpoint(drawn.where(~F.col("template_id").isin(lenient)).join(missing, "scenario_id", "left_semi"))
+        complete = drawn.join(again.select("scenario_id"), "scenario_id", "left_anti").drop("index")
+        done = complete if done is None else done.unionByName(complete)
+        if again.isEmpty():
+            return done
+        todo = again.select("template_id", "index", F.col("attempt").alias("after"))
+
+
+def _indexed(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
     wanted = spark.createDataFrame(list(counts.items()), "template_id string, n int").where("n > 0")
-    indexed = wanted.select("template_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("index"))
+    return wanted.select("template_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("index"), F.lit(0).alias("after"))
+
+
+def _drawn(indexed: DataFrame, templates: list[dict[str, Any]], year: int, seed: int, known: dict[str, int] | None) -> DataFrame:
+    by_id, values = {t["template_id"]: t for t in templates}, known or {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from decimal import Decimal
 
         for pdf in batches:
             rows = []
-            for t, i in zip(pdf["template_id"], pdf["index"], strict=True):
-                row = make_scenario(by_id[t], year, content_int(seed, t, int(i)), int(i), values)
-                rows.append(row | {"seed": Decimal(row["seed"])})
-            yield pd.DataFrame(rows, columns=["scenario_id", "family_id", "template_id", "tax_year", "seed", "attempt", "facts", "events", "documents"])
+            for t, i, after in zip(pdf["template_id"], pdf["index"], pdf["after"], strict=True):
+                row = make_scenario(by_id[t], year, content_int(seed, t, int(i)), int(i), values, after=int(after))
+                rows.append(row | {"seed": Decimal(row["seed"]), "index": i})
+            yield pd.DataFrame(rows, columns=["scenario_id", "family_id", "template_id", "tax_year", "seed", "attempt", "facts", "events", "documents", "index"])
 
-    return indexed.mapInPandas(run, SCENARIO)
+    return indexed.mapInPandas(run, f"{SCENARIO}, index int")
 
 
 def facts_of(scenarios: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ class Build:
         self.enter("PREPARING")
         rule_rows = self.spark.createDataFrame(c["rules"], c["rule_schema"])
         self.enter("GENERATING")
-        base = scenarios.generate(self.spark, c["templates"], c["counts"], c["tax_year"], c["seed"])
+        base = scenarios.generate_complete(self.spark, c["templates"], c["counts"], c["tax_year"], c["seed"], rules.active_rules(rule_rows, c["tax_year"]))
         self.enter("MUTATING")
         cols = base.columns
         every = base.withColumn("origin", F.lit("generated"))
