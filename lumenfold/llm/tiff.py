@@ -234,19 +234,42 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
 
 
 def read_tiff(data: bytes) -> Iterator[Page]:
-    """The file's pages in the order of its directories."""
+    """The file's pages in the order of its directories; the first that cannot be read raises."""
+    for page in _walk(data):
+        if isinstance(page, TiffError):
+            raise page
+        yield page
+
+
+def _walk(data: bytes) -> Iterator[Page | TiffError]:
+    """For each directory its page, or the error of that page; an error of the chain itself comes last."""
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(bytes(data[:4]))
     if order is None:
-        raise TiffError("not a TIFF file")
+        yield TiffError("not a TIFF file")
+        return
+    broken = False
     try:
         at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
         while at and at not in seen:
             seen.add(at)
             n = struct.unpack_from(order + "H", data, at)[0]
-            yield _page(data, order, dict(_field(data, order, at + 2 + 12 * i) for i in range(n)))
+            page = _read_page(data, order, at, n)
+            broken = isinstance(page, TiffError)
+            yield page
             at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
-    except (struct.error, IndexError) as e:
-        raise TiffError(f"cut short: {e}") from e
+            broken = False
+    except struct.error as e:
+        if not broken:  # else the directory's own error says so
+            yield TiffError(f"cut short: {e}")
+
+
+def _read_page(data: bytes, order: str, at: int, n: int) -> Page | TiffError:
+    try:
+        return _page(data, order, dict(_field(data, order, at + 2 + 12 * i) for i in range(n)))
+    except TiffError as e:
+        return e
+    except (struct.error, LookupError, ArithmeticError, TypeError, ValueError) as e:  # fields that contradict each other
+        return TiffError(f"damaged page: {e}")
 
 
 def _field(data: bytes, order: str, at: int) -> tuple[int, list[int]]:
@@ -354,17 +377,16 @@ def tiff_pages(files: pa.Array) -> pa.Array:
 
 
 def _pages(file: bytes) -> Iterator[dict]:
-    n = 0
-    try:
-        for n, p in enumerate(read_tiff(file), 1):
-            h, w, d = p.samples.shape
-            yield {"page": n, "width": w, "height": h, "samples_per_pixel": d, "compression": p.compression, "predictor": p.predictor, "tiled": p.tiled, "samples": p.samples.tobytes(), "error": None}
-    except TiffError as e:
-        yield {"page": n + 1, "error": str(e)}
+    for n, p in enumerate(_walk(file), 1):
+        if isinstance(p, TiffError):
+            yield {"page": n, "error": str(p)}
+            continue
+        h, w, d = p.samples.shape
+        yield {"page": n, "width": w, "height": h, "samples_per_pixel": d, "compression": p.compression, "predictor": p.predictor, "tiled": p.tiled, "samples": p.samples.tobytes(), "error": None}
 
 
 def read_pages(files: DataFrame, media: str = "media") -> DataFrame:
-    """One row per page: all columns but ``media``, then a struct column ``tiff_page`` of the page.
+    """One row per page, with an error where it cannot be read: all columns but ``media``, then a struct column ``tiff_page`` of the page.
 
     Where the input has that name already, underscores are added.
     """
