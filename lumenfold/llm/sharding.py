@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,7 +88,7 @@ def _median_cuts(rows: DataFrame, want: dict[int, list[str]], weight: str, total
                 before += w
             low, high = lo + k * width, min(hi, lo + (k + 1) * width - 1)
             under, over = half - before, before + w - half
-            may_miss = GROUP_TOLERANCE if low == high and len(s["left"]) == 2 else TOLERANCE
+            may_miss = GROUP_TOLERANCE if low == high and s["left"][0] == "by_text" else TOLERANCE
             if min(under, over) <= may_miss * totals[n] or (low == high and len(s["left"]) == 1):
                 value = low if under <= over else high + 1
                 done[n] = [*s["fixed"], (s["left"][0], value)]
@@ -100,17 +101,21 @@ def _median_cuts(rows: DataFrame, want: dict[int, list[str]], weight: str, total
     return done
 
 
-def kd_tree(rows: DataFrame, dims: list[str], ties: list[str], weight: str, leaves: int) -> dict[int, list[tuple[str, int]]]:
-    """Cuts by node of a tree with ``leaves`` leaves (a power of two); columns are long."""
+def kd_tree(rows: DataFrame, dims: list[str], ties: list[str], weight: str, leaves: int | None, most: int = 0) -> dict[int, list[tuple[str, int]]]:
+    """Cuts by node of a tree with ``leaves`` leaves (a power of two); columns are long.
+
+    Where ``leaves`` is None every node heavier than ``most`` is cut until only
+    single rows are; the last of ``ties`` must then tell all rows apart.
+    """
     spread = rows.agg(*[f(c).alias(f"{p}_{c}") for c in dims for p, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("n")).first()
     cuts: dict[int, list[tuple[str, int]]] = {}
     if not spread["n"]:
         return cuts
     whole = {c: max(1, spread[f"hi_{c}"] - spread[f"lo_{c}"]) for c in dims}
-    for _ in range(int(math.log2(leaves))):
+    for _ in count() if leaves is None else range(int(math.log2(leaves))):
         placed = rows.withColumn("node", _node_of(cuts))
         found = placed.groupBy("node").agg(F.sum(weight).alias("w"), F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in dims]).collect()
-        open_ = {r["node"]: sorted(dims, key=lambda c, r=r: (-r[c] / whole[c], dims.index(c))) for r in found if r["n"] > 1}
+        open_ = {r["node"]: sorted(dims, key=lambda c, r=r: (-r[c] / whole[c], dims.index(c))) for r in found if r["n"] > 1 and (leaves is not None or r["w"] > most)}
         if not open_:
             break
         cuts |= _median_cuts(placed, {n: [order[0], *[t for t in ties if t != order[0]]] for n, order in open_.items()}, weight, {r["node"]: r["w"] for r in found})
@@ -120,8 +125,8 @@ def kd_tree(rows: DataFrame, dims: list[str], ties: list[str], weight: str, leav
 def shard(docs: DataFrame, leaves: int | None = 16, target_bytes: int | None = None) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    ``leaves`` shards (a power of two), or as many as keep a shard within
-    ``target_bytes``. The law is ``bytes``: shards hold nearly equal bytes.
+    ``leaves`` shards (a power of two), or, with ``leaves`` None, as many as
+    keep a shard within ``target_bytes``, unless one row alone is heavier. The law is ``bytes``: shards hold nearly equal bytes.
     Dimensions: length, language and the text's hash.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -134,15 +139,16 @@ def shard(docs: DataFrame, leaves: int | None = 16, target_bytes: int | None = N
         F.shiftrightunsigned(F.xxhash64(text), 24).alias("by_text"),
         F.shiftrightunsigned(F.xxhash64("doc_id", text), 24).alias("by_row"),
     ).withColumn("by_lang", F.coalesce("by_lang", F.lit(0).cast("long")))
-    rows = stash(rows, "points")
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("w"), F.count("*").alias("n")).first()
     if leaves is None:
-        leaves = 1 << max(0, math.ceil(math.log2(max(1, total["w"] / target_bytes))))
-    cuts = kd_tree(rows, ["by_length", "by_lang", "by_text"], ["by_text", "by_row"], "size", leaves)
+        rows = rows.withColumn("by_copy", F.monotonically_increasing_id())  # tells repeated rows apart, which are alike in the result
+    rows = stash(rows, "points")
+    total = rows.agg(F.count("*").alias("n")).first()
+    ties = ["by_text", "by_row"] if leaves is not None else ["by_text", "by_row", "by_copy"]
+    cuts = kd_tree(rows, ["by_length", "by_lang", "by_text"], ties, "size", leaves, target_bytes or 0)
     numbers = {leaf: i for i, leaf in enumerate(_leaves(cuts))}
     named = F.create_map(*[F.lit(x).cast("int") for pair in numbers.items() for x in pair])
     placed = rows.withColumn("shard", named[_node_of(cuts)])
-    return with_slots(placed, "shard", max(1, math.ceil(total["n"] / leaves / SLOT_ROWS))).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return with_slots(placed, "shard", max(1, math.ceil(total["n"] / (leaves or len(numbers)) / SLOT_ROWS))).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def _leaves(cuts: dict[int, list[tuple[str, int]]], node: int = 1) -> list[int]:
