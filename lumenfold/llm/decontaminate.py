@@ -10,7 +10,9 @@ misses at most p(n) - 1 of its shingles, so it holds at least one of the
 sketch. The search is therefore complete, however long the document is, where
 a signature of fixed length over the document would hardly ever meet a short
 item. A document probes the sketches of all partitions with its own hashes in
-one vectorised pass; candidates are verified on the shingles' words.
+one vectorised pass; candidates are verified on the shingles' words. "Complete"
+is in terms of shingles: an item of fewer than five words matches only a document
+that is exactly those words, and is not searched inside longer texts.
 
 Items are the stated query set: they go to the executors in blocks of at most
 ``BLOCK_SHINGLES`` shingles (a bound checked while blocks are cut), each block
