@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,20 +143,94 @@ def test_ids_equal_whole_text_encoding(clashing, odd_rows, empty):
 
 def test_pieces_equal_whole_texts():
     """Every printable character of many scripts, alone and joined, and contractions."""
-    own = token_store.PieceEncoder(TOKENIZER)
-    chars = [chr(c) for c in [*range(1, 0x600), *range(0x900, 0x980), *range(0x1E00, 0x2100), *range(0x3040, 0x3100), 0x1F600, 0x1F468] if not 0xD800 <= c < 0xE000]
-    texts = chars + [f"a{c}b" for c in chars] + [f"A{c} {c}'s" for c in chars] + ["It's WE'RE i'D don't 12,5% x--y ...", "é ́ Å", "a<|endoftext|>b <|startoftext|>", "ÀÉîöß ŁódŹ ŒŸĲſŉİ", prose(1, 3000)]
-    for t in texts:
-        assert np.frombuffer(own.encode(t), "<u4").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
-
-
-def test_files_are_ordered_and_pruned(spark):
-    docs = spark.createDataFrame([(i, prose(i, 30)) for i in range(4000)], "doc_id long, text string").repartition(5)
+    own = token_store.encoder(TOKENIZER)
+    assert isinstance(own, token_store.PieceEncoder)
+    chars = [chr(c) for c in [*range(1, 0x600), *range(0x900, 0x980), 0x1680, 0x180E, *range(0x1E00, 0x2100), *range(0x3000, 0x3100), 0x1F600, 0x1F468] if not 0xD800 <= c < 0xE000]
+    texts = chars + [f"a{c}b" for c in chars] + [f"A{c} {c}'s" for c in chars] + ["It's WE'RE i'D don't 12,5% x--y !!'s ...", "é ́ Å", "a<|endoftext|>b <|startoftext|>", "ÀÉîöß ŁódŹ ŒŸĲſŉİ", prose(1, 3000), "", None, "  ", " a ", "x" * 5000]
+    whole = token_store.whole_text_ids(texts, TOKENIZER)
+    for _ in range(2):  # the second time from memory
+        ids, sizes = own.encode_batch(pa.array(texts), 2)
+        stops = np.cumsum(sizes)
+        for t, want, a, b in zip(texts, whole, stops - sizes, stops, strict=True):
+            assert ids[a:b].tolist() == want, repr(t)
+    ids, sizes = own.encode_batch(pa.array([], pa.string()), 2)
+    assert len(ids) == len(sizes) == 0
+    other = token_store.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert type(other) is token_store.TextEncoder
+
+
+def test_recent_forgets_what_is_not_used():
+    memory = token_store.Recent(3)
+    for k in range(9):
+        memory.add({f"k{k}": b"x"})
+        assert memory.get_all(["k0"])[0] == [b"x"] and len(memory.young) + len(memory.old) <= 8
+    assert memory.get_all(["k0", "k1", "k8"])[1] == [1]
+
+
+def test_a_tokenizer_that_does_not_cut_at_blanks(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a  b\n\nc", "  lead", None, "It's  12 %"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["ids_crc32"] for r in token_store.tokenize_and_index(docs, path, 50256).orderBy("doc_id").collect()]
+    assert got == [zlib.crc32(np.array(w, "<u4").tobytes()) for w in token_store.whole_text_ids(texts, path, 50256)]
+
+
+def test_files_are_ordered_and_pruned(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 30)) for i in range(12_000)], "doc_id long, text string").repartition(5)
     path = scratch_path(spark, "test-tokens")
+    monkeypatch.setattr(token_store, "STRIPE_BYTES", 1 << 16)
     token_store.write_tokens(docs, path, TOKENIZER, 2)
     stored = token_store.read_tokens(spark, path)
     per_file = sorted((r["low"], r["high"]) for r in stored.groupBy(F.input_file_name()).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect())
     assert all(a[1] < b[0] for a, b in zip(per_file, per_file[1:], strict=False))
     plan = stored.where("doc_id = 77")
-    assert plan.count() == 1 and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,77)]" in plan._jdf.queryExecution().toString()
+    assert len(plan.collect()) == 1 and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,77)]" in plan._jdf.queryExecution().toString()
+    # The scan gives the one row group that can hold the id, no more.
+    scan = plan._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert 0 < scan.metrics().apply("numOutputRows").value() <= token_store.ROW_GROUP
     assert all(r["ids"][-1] == 2 for r in stored.select("ids").take(20))
+
+
+def test_stripes_have_indexes_and_filters(spark, monkeypatch):
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = scratch_path(spark, "test-stripes")
+    monkeypatch.setattr(token_store, "STRIPE_BYTES", 1 << 16)
+    token_store.write_tokens(spark.createDataFrame([(i, prose(i, 60)) for i in range(12_000)], "doc_id long, text string").coalesce(1), path, TOKENIZER, 2)
+    files = [f for f in jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).listStatus(jvm.org.apache.hadoop.fs.Path(path)) if f.getPath().getName().endswith(".orc")]
+    stripes = 0
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(f.getPath(), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == token_store.ROW_GROUP
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            kinds = {(s.getKind().toString(), s.getColumn()) for s in footer.getStreamsList()}
+            assert ("BLOOM_FILTER_UTF8", 1) in kinds and ("ROW_INDEX", 1) in kinds and not any(k.startswith("BLOOM") and c != 1 for k, c in kinds)
+            assert {c.getKind().toString() for c in footer.getColumnsList()} <= {"DIRECT", "DIRECT_V2"}
+            stripes += 1
+        rows.close()
+    assert stripes > len(files)
+
+
+def test_repeated_rows_and_ids_take_their_places(spark):
+    """One row many times fills several files; rows of one id stand by text; starts are places in the files."""
+    rows = [(5, "the same words again")] * 3000 + [(7, prose(i, 6)) for i in range(50)] + [(None, "none here")] * 40 + [(9, None), (1, "first")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    path = scratch_path(spark, "test-repeats")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_store.write_tokens(docs, path, TOKENIZER, 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stored = token_store.read_tokens(spark, path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "*").orderBy("at").collect()
+    assert len({r["file"] for r in stored if r["doc_id"] == 5}) > 1
+    by_file = {}
+    for r in stored:
+        by_file.setdefault(r["file"], []).append(((r["doc_id"] is not None, r["doc_id"] or 0, r["text_hash"]), r["ids"]))
+    files = sorted(by_file.values(), key=lambda f: (f[0][0], f[-1][0]))
+    in_order = [row for f in files for row in f]
+    assert [k for k, _ in in_order] == sorted(k for k, _ in in_order)
+    starts = np.cumsum([0, *(len(ids) for _, ids in in_order)])
+    want = sorted((int(s), k[1] if k[0] else -1, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for s, (k, ids) in zip(starts, in_order, strict=False))
+    got = sorted((r["start"], -1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_store.token_index(spark, path).collect())
+    assert got == want
