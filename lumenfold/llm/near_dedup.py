@@ -5,26 +5,34 @@ Plan
 1. One pass over the texts makes, per document, the size of its shingle set,
    a 128-bit digest of that set, and the band keys of its circulant MinHash
    signature. Texts are not kept.
-2. Documents of equal sets form a *class*; its smallest id represents it, so
-   exact copies cost nothing afterwards.
-3. In each band bucket every representative is paired with the bucket's
-   smallest one (a star, never all pairs). Pairs whose sizes cannot reach the
-   threshold are not made.
+2. Documents of equal sets form a *class*, which is one numbered node from
+   here on, so exact copies cost nothing afterwards.
+3. In each band bucket every class is paired with the bucket's smallest one
+   (a star, never all pairs). Pairs whose sizes cannot reach the threshold are
+   not made.
 4. Star pairs are verified on full shingle sets inside the JVM.
-5. Linked representatives become components. In a bucket whose members still
-   lie in several components, members are compared exactly, in blocks of
-   bounded size, and only links that join components are returned.
+5. Linked classes become components. In a bucket whose members still lie in
+   several components, members are compared exactly, in blocks of bounded
+   size, and only links that join components are returned.
 6. Components over all links give each document's smallest reachable id.
 
+A key that many rows share (a hot bucket, or a hub with many pairs) is never
+joined in one task: what is known of such keys, at most ``HOT_KEYS`` rows, is
+broadcast, and a hot hub's set goes to several tasks (``_meet``, ``_linked``).
+
 Circulant MinHash: one permutation (sigma) scatters shingles over a ring of
-``RING`` places; the second (pi) is a table of random ranks on that ring.
-Coordinate k of a signature is the smallest ``pi[place + k]``: the same table
-turned by k, so two permutations yield all coordinates.
+places; the second (pi) ranks the places. Coordinate k of a signature is the
+smallest ``pi[place + k]``: the same permutation turned by k, so two
+permutations yield all coordinates. Sets of fewer than ``WIDE`` shingles use a
+ring of ``RING`` places and a table of ranks; larger ones, which would crowd
+it, use all 64-bit integers as ring and a bijection as pi. Sets near that
+limit have the bands of both, so that no pair is told apart by it.
 
 Defined results: a null or empty text has an empty set, links with nothing
 and is its own component. Rows that repeat a doc_id each go by their own text
-and may so differ in component. Rows of null doc_id link with nothing, have a
-null component and are kept. Other columns of the input are not read.
+and may so differ in component; copies count as one text. Rows of null doc_id
+link with nothing, have a null component and are kept. An empty table gives an
+empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +44,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import broadcast_if_small, fresh, list_array, map_arrow, mix64, shingle_set, stash, text_bytes, text_digest, trim, without_ids, without_rows
@@ -48,6 +56,10 @@ RING = 1 << RING_BITS
 #: pair shares no band with probability (1 - 0.85**6)**32 = 2.6e-7; at 0.8 with 5.4e-5.
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
+#: Sets of fewer shingles use the ring of RING places.
+WIDE = 1 << 16
+#: A key with more rows than this, and than 1 / HOT_KEYS of all, is hot; so there are never more than HOT_KEYS hot keys.
+HOT_ROWS, HOT_KEYS = 256, 400_000
 #: A verification block holds at most so many documents, and shingles unless one document alone has more.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
 #: Buckets up to this many members are resolved by pairs, larger ones in blocks.
@@ -62,25 +74,38 @@ def ring_table() -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(table, COORDINATES)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, wide: bool = False) -> np.ndarray:
     """All coordinates of a non-empty set; rows of pi are reduced in slices of bounded size."""
-    places = (mix64(shingles ^ np.uint64(0xA5A5_5A5A_1234_9876)) >> np.uint64(64 - RING_BITS)).astype(np.int64)
-    turns, out = ring_table(), None
+    places = mix64(shingles ^ np.uint64(0xA5A5_5A5A_1234_9876))
+    out = np.full(COORDINATES, np.iinfo(np.uint64).max)
+    if wide:
+        turn = np.arange(COORDINATES, dtype=np.uint64)
+        for at in range(0, len(places), 512):
+            np.minimum(out, mix64((places[at : at + 512, None] + turn) ^ np.uint64(0x3C6E_F372_FE94_F82B)).min(axis=0), out=out)
+        return out
+    turns, places = ring_table(), (places >> np.uint64(64 - RING_BITS)).astype(np.int64)
     for at in range(0, len(places), 4096):
-        low = turns[places[at : at + 4096]].min(axis=0)
-        out = low if out is None else np.minimum(out, low)
+        np.minimum(out, turns[places[at : at + 4096]].min(axis=0), out=out)
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band; the band's number is part of the key."""
+def band_keys(sig: np.ndarray, first: int = 1) -> np.ndarray:
+    """One 64-bit key per band; the band's number, counted from ``first``, is part of the key."""
     rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keys = np.arange(first, first + BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for i in range(ROWS):
         keys = mix64(keys ^ rows[:, i])
     return keys
 
 
+def set_bands(shingles: np.ndarray) -> np.ndarray:
+    """The band keys of a set: of the small ring, the wide one, or, near the limit, both."""
+    n = len(shingles)
+    narrow = [band_keys(signature(shingles))] if 0 < n < 2 * WIDE else []
+    wide = [band_keys(signature(shingles, True), 1 + BANDS)] if n > WIDE // 2 else []
+    return np.concatenate([np.empty(0, np.uint64), *narrow, *wide])
+
+
 def _profile_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     sizes, high, low, keys, counts = [], [], [], [], []
     for text in text_bytes(batch.column(1)):
@@ -89,9 +114,8 @@ def _profile_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         digest = xxhash.xxh3_128_intdigest(shingles.tobytes())
         high.append(digest >> 64)
         low.append(digest & 0xFFFF_FFFF_FFFF_FFFF)
-        counts.append(BANDS if len(shingles) else 0)
-        if len(shingles):
-            keys.append(band_keys(signature(shingles)))
+        keys.append(set_bands(shingles))
+        counts.append(len(keys[-1]))
     flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
     return pa.RecordBatch.from_arrays(
         [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (high, low)), list_array(flat.view(np.int64), np.array(counts, np.int32), pa.int64())],
@@ -100,9 +124,12 @@ def _profile_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _sets_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = [shingle_set(text) for text in text_bytes(batch.column(1))]
+    sets = [shingle_set(text) for text in text_bytes(batch.column(0))]
+    digests = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in sets]
+    high, low = ([d >> 64 for d in digests], [d & 0xFFFF_FFFF_FFFF_FFFF for d in digests])
     flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    return pa.RecordBatch.from_arrays([batch.column(0), list_array(flat.view(np.int64), np.array([len(s) for s in sets], np.int32), pa.int64())], names=["doc_id", "shingles"])
+    halves = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (high, low)]
+    return pa.RecordBatch.from_arrays([*halves, list_array(flat.view(np.int64), np.array([len(s) for s in sets], np.int32), pa.int64())], names=["high", "low", "shingles"])
 
 
 def _can_link(a: str, b: str, percent: int):
@@ -110,11 +137,35 @@ def _can_link(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold, as links (a, b)."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
-    both = pairs.join(right, "b").join(left, "a")
+def _hot_limit(rows: int) -> int:
+    """How many rows of one key, of ``rows`` in all, a task may join."""
+    return max(HOT_ROWS, rows // HOT_KEYS)
+
+
+def _meet(rows: DataFrame, keyed: DataFrame, hot: Column, key: str = "key") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has each key once, by ``key``.
+
+    Rows of keys for which ``hot`` holds (a column of ``keyed``, stashed) stay
+    where they are and meet a broadcast; so no task gathers such a key.
+    """
+    hot_keys = F.broadcast(keyed.where(hot))
+    cold = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti").join(keyed.where(~hot), key)
+    return rows.join(hot_keys, key).unionByName(cold)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the threshold, as links (a, b); ``total``: about how many pairs there are.
+
+    An ``a`` of many pairs has its set in several tasks, one per part of its pairs.
+    """
+    limit = _hot_limit(total)
+    parts = F.ceil(F.col("n") / limit).cast("int").alias("parts")
+    many = F.broadcast(stash(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("a", parts), "hot-hubs"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")).join(many, "a", "left")
+    left = left.select("a", "left", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    both = dealt.join(right, "b").join(left, ["a", "part"])
     common = both.select("a", "b", F.size(F.array_intersect("left", "right")).alias("common"), (F.size("left") + F.size("right")).alias("total"))
     return common.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("a", "b")
 
@@ -127,8 +178,8 @@ def _block_links(percent: int):
     """
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "doc_id"])
-        ids, sets = pdf["doc_id"].to_numpy(), list(pdf["shingles"])
+        pdf = pdf.sort_values(["block", "node"])
+        ids, sets = pdf["node"].to_numpy(), list(pdf["shingles"])
         side, sizes = pdf["block"].to_numpy(), np.array([len(s) for s in sets], np.int64)
         names, comps = np.unique(pdf["component"].to_numpy(), return_inverse=True)
         if pdf["i"].iat[0] != pdf["j"].iat[0] and side[0] == side[-1]:
@@ -174,9 +225,16 @@ def _block_links(percent: int):
     return links
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents named in ``ids``, one row per id and text."""
-    return docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi")
+def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles), once each, of the classes named in ``nodes`` (one stashed column), stashed."""
+    wanted = stash(classes.join(broadcast_if_small(nodes), "node", "left_semi").select("high", "low", "node", "rep"), "wanted")
+    reps = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(broadcast_if_small(reps), "doc_id", "left_semi")
+    made = map_arrow(texts.select("text"), _sets_batch, "high long, low long, shingles array<long>")
+    sets = stash(made.join(broadcast_if_small(wanted.drop("rep")), ["high", "low"]).select("node", "shingles"), "sets")
+    if sets.count() > nodes.count():  # ids repeat
+        sets = stash(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    return sets
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -185,58 +243,65 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ``percent``: two documents are linked where 100 * |A & B| >= percent * |A | B|;
     the bands are laid out for 80 and more.
     """
-    profile = stash(map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _profile_batch, "doc_id long, n long, high long, low long, bands array<long>"), "profile")
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    profile = stash(map_arrow(slim, _profile_batch, "doc_id long, n long, high long, low long, bands array<long>"), "profile")
     filled = profile.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = filled.groupBy("high", "low", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    classes = stash(classes, "classes")
+    classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
 
-    placed = classes.select("rep", "n", F.explode("bands").alias("key"))
-    starts = placed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    buckets = stash(placed.join(starts, "key").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), "members"), "buckets")
+    placed = classes.select("node", "n", F.explode("bands").alias("key"))
+    limit = _hot_limit(classes.count() * BANDS)
+    starts = stash(placed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")).where("members > 1").select("key", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), "members"), "bucket-starts")
+    buckets = stash(_meet(placed, starts, F.col("members") > limit), "buckets")
 
-    star = buckets.where((F.col("rep") != F.col("hub")) & _can_link("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    ids = stash(buckets.select(F.col("rep").alias("doc_id")).distinct(), "bucket-ids")
-    sets = map_arrow(_texts_of(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), ids), _sets_batch, "doc_id long, shingles array<long>")
-    sets = stash(sets.where(F.size("shingles") > 0), "sets")
-    links = stash(_linked(star, sets, percent), "links")
+    star = stash(buckets.where((F.col("node") != F.col("hub")) & _can_link("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    sets = _sets_of(docs, classes, stash(buckets.select("node").distinct(), "bucket-nodes"))
+    links = stash(_linked(star, sets, percent, star.count()), "links")
 
     found = connected_components(links)
-    open_ = _unresolved(buckets, found)
-    pairs = _pairs_of_small(open_.where(F.col("members") <= SMALL_BUCKET), percent)
-    more = _linked(pairs, sets, percent).unionByName(_links_of_large(open_.where(F.col("members") > SMALL_BUCKET), sets, percent))
+    open_ = _unresolved(buckets, found, limit)
+    pairs = stash(_pairs_of_small(open_.where(F.col("members") <= SMALL_BUCKET), percent), "pairs")
+    more = _linked(pairs, sets, percent, pairs.count()).unionByName(_links_of_large(open_.where(F.col("members") > SMALL_BUCKET), sets, percent, limit))
     links = stash(links.unionByName(more), "all-links")
     found = connected_components(links)
 
-    rep_of = classes.select("high", "low", "n", "rep")
-    rep_to = rep_of.join(found, rep_of["rep"] == found["node"], "left").select("high", "low", "n", F.coalesce("component", "rep").alias("component_id"))
+    # A component is named by the smallest id in it.
+    own = classes.select("high", "low", "n", "rep", "node")
+    named = own.join(found.withColumnRenamed("node", "at"), F.col("node") == F.col("at")).select("high", "low", "n", "rep", "component")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked_classes = stash(named.join(least, "component").select("high", "low", "n", "component_id"), "named")
+    rest = own.join(found.select(F.col("node").alias("at")), F.col("node") == F.col("at"), "left_anti").select("high", "low", "n", F.col("rep").alias("component_id"))
+    class_ids = linked_classes.unionByName(rest)
     keyed = profile.select("doc_id", "n", "high", "low")
-    linked = keyed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).join(rep_to, ["high", "low", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    linked = keyed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).join(class_ids, ["high", "low", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = keyed.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _unresolved(buckets: DataFrame, found: DataFrame) -> DataFrame:
+def _unresolved(buckets: DataFrame, found: DataFrame, limit: int) -> DataFrame:
     """Members, with components, of the buckets that hold several components."""
-    labelled = buckets.join(found, buckets["rep"] == found["node"], "left").select("key", "rep", "n", "hub", "members", F.coalesce("component", "rep").alias("component"))
+    at = found.withColumnRenamed("node", "at")
+    labelled = stash(buckets.join(at, F.col("node") == F.col("at"), "left").select("key", "node", "n", "hub", "members", F.coalesce("component", "node").alias("component")), "labelled")
     spread = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("in_bucket")).where("low != high AND in_bucket > 2")
-    return stash(labelled.join(spread.select("key"), "key"), "unresolved")
+    spread = stash(spread.select("key", "in_bucket"), "spread")
+    return stash(_meet(labelled, spread, F.col("in_bucket") > limit).drop("in_bucket"), "unresolved")
 
 
 def _pairs_of_small(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in small buckets, without the star pairs."""
-    x = members.select("key", "hub", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
-    y = members.select("key", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
+    x = members.select("key", "hub", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
+    y = members.select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
     both = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("a") != F.col("hub")) & (F.col("a_component") != F.col("b_component")) & _can_link("a_n", "b_n", percent))
     return both.select("a", "b").distinct()
 
 
-def _links_of_large(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links_of_large(members: DataFrame, sets: DataFrame, percent: int, limit: int) -> DataFrame:
     """Links of large buckets, from exact comparison in blocks."""
-    full = _block_pairs(members).join(sets, "doc_id")
+    full = _block_pairs(members, limit).join(sets, "node")
     return full.groupBy("key", "i", "j").applyInPandas(_block_links(percent), "a long, b long").distinct()
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
+def _block_pairs(members: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
     """Members once for every pair (i, j) of blocks that they take part in.
 
     A bucket's largest component is its *core*, the other members the *rest*.
@@ -250,15 +315,16 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     n_blocks = lambda c, w: F.greatest(F.ceil(c / BLOCK_DOCS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
     several = n_blocks(F.col("c"), F.col("w")) > 1
     q_core, q_rest = n_blocks(F.col("core.c"), F.col("core.w")), n_blocks(F.col("c") - F.col("core.c"), F.col("w") - F.col("core.w"))
-    sized = cores.select("key", F.when(several, F.col("core.component")).alias("core"), F.when(several, q_core).alias("q_core"), F.when(several, q_rest).otherwise(1).alias("q_rest"))
+    sized = cores.select("key", F.col("c").alias("in_bucket"), F.when(several, F.col("core.component")).alias("core"), F.when(several, q_core).alias("q_core"), F.when(several, q_rest).otherwise(1).alias("q_rest"))
     # Equal member lists in several bands are compared once.
-    lists = members.groupBy("key").agg(F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("sum"), F.count("*").alias("size")).groupBy("sum", "size").agg(F.min("key").alias("key"))
-    once = members.select("key", "rep", "component").join(sized.join(lists.select("key"), "key"), "key")
-    in_core, place = F.col("component").eqNullSafe(F.col("core")), F.xxhash64("rep")
+    lists = members.groupBy("key").agg(F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("sum"), F.count("*").alias("size")).groupBy("sum", "size").agg(F.min("key").alias("key"))
+    sized = stash(sized.join(lists.select("key"), "key"), "block-counts")
+    once = _meet(members.select("key", "node", "component"), sized, F.col("in_bucket") > limit).drop("in_bucket")
+    in_core, place = F.col("component").eqNullSafe(F.col("core")), F.xxhash64("node")
     block = F.when(in_core, F.col("q_rest") + F.pmod(place, F.col("q_core"))).otherwise(F.pmod(place, F.col("q_rest"))).cast("int")
     met = F.when(in_core, F.col("q_rest")).otherwise(F.col("q_rest") + F.coalesce("q_core", F.lit(0)))
     spread = once.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
-    return spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", F.col("rep").alias("doc_id"))
+    return spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "node")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -41,11 +41,11 @@ from lumenfold.llm.common import broadcast_if_small, list_array, one_thread, scr
 ROW_GROUP = 1000
 STRIPE_BYTES = 16 << 20
 #: Texts are encoded together up to so many bytes, unless one text alone has more.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 #: Parts that a generation of an encoder's memory holds.
 RECENT = 100_000
 #: Parts that go to the tokenizer in one call.
-CALL_PARTS = 64
+CALL_PARTS = 256
 
 # Settings of a tokenizer file under which texts may be cut at blanks.
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -61,7 +61,8 @@ def cuts_at_blanks(path: str) -> bool:
     """Whether the settings in a tokenizer file are those under which blanks part texts.
 
     Blanks become one blank, which no piece of the split matches, and nothing
-    is added at a text's ends; special tokens hold no blank and take none.
+    is added at a text's ends; special tokens hold no blank and take none; a
+    word's last token, and no other, carries the suffix of word ends.
     """
     with open(path, encoding="utf-8") as f:
         found = json.load(f)
@@ -69,7 +70,8 @@ def cuts_at_blanks(path: str) -> bool:
     split = parts[0].get("type") == "Split" and parts[0].get("pattern") == {"Regex": _SPLIT} and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
     bytes_only = [(p.get("type"), p.get("add_prefix_space"), p.get("use_regex")) for p in parts[1:]] == [("ByteLevel", False, False)]
     special = all(not re.search(r"\s", t["content"]) and t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in found.get("added_tokens") or [])
-    return split and bytes_only and special and (found.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and not (found.get("truncation") or found.get("padding"))
+    ends = found["model"].get("end_of_word_suffix") and not found["model"].get("unk_token") and not found.get("post_processor")
+    return bool(ends) and split and bytes_only and special and (found.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and not (found.get("truncation") or found.get("padding"))
 
 
 class Recent:
@@ -133,6 +135,9 @@ class PieceEncoder(TextEncoder):
         # The same model for parts, which are normalised and cut already.
         self.of_parts = Tokenizer.from_str(json.dumps(settings | {"normalizer": None}))
         self.of_parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary, suffix = self.tokenizer.get_vocab(), settings["model"]["end_of_word_suffix"]
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.parts = Recent()
 
     def encode_batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,17 +176,14 @@ class PieceEncoder(TextEncoder):
         return found
 
     def _ids_of_parts(self, parts: list[str]) -> list[bytes]:
-        """Parts joined by blanks are told apart by their word numbers."""
-        out: list[bytes] = []
-        for at in range(0, len(parts), CALL_PARTS):
-            group = parts[at : at + CALL_PARTS]
-            found = self.of_parts.encode(" ".join(group), add_special_tokens=False)
-            words, ids = np.array(found.word_ids, np.int64), np.array(found.ids, "<u4").tobytes()
-            stops = [0, *np.searchsorted(words, np.arange(len(group)), "right").tolist()]
-            if stops[-1] != len(words) or len(words) and words[-1] != len(group) - 1:
-                raise ValueError("the tokenizer does not take parts as words")
-            out += [ids[4 * a : 4 * b] for a, b in zip(stops, stops[1:], strict=False)]
-        return out
+        """Parts joined by blanks are told apart by the tokens that end a word."""
+        some = [" ".join(parts[at : at + CALL_PARTS]) for at in range(0, len(parts), CALL_PARTS)]
+        ids = np.array([i for found in self.of_parts.encode_batch_fast(some, add_special_tokens=False) for i in found.ids], "<u4")
+        stops = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(stops) != len(parts) or (stops[-1] if len(stops) else 0) != len(ids):
+            raise ValueError("the tokenizer does not take parts as words")
+        packed, stops = ids.tobytes(), (4 * stops).tolist()
+        return [packed[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
     def rest(self) -> None:
         """Between tasks only one generation is kept."""

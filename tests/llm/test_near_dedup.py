@@ -57,12 +57,12 @@ def test_few_strays_of_a_large_core(spark, monkeypatch):
 def test_core_blocks_never_meet(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK_DOCS", 10)
     members = [(key, i, 5, 0 if i < 1000 else i) for key in (7, 8) for i in range(1020)] + [(9, i, 5, i % 3) for i in range(9)]
-    pairs = nd._block_pairs(spark.createDataFrame(members, "key long, rep long, n long, component long")).collect()
+    pairs = nd._block_pairs(spark.createDataFrame(members, "key long, node long, n long, component long")).collect()
     assert {r["key"] for r in pairs} == {7, 9}  # one member list is compared once
     assert sum(r["key"] == 7 for r in pairs) == 1000 * 2 + 20 * (2 + 100)
     blocks = {}
     for r in pairs:
-        blocks.setdefault((r["key"], r["i"], r["j"]), []).append(r["doc_id"])
+        blocks.setdefault((r["key"], r["i"], r["j"]), []).append(r["node"])
     met = {(a, b) for ids in blocks.values() for a in ids for b in ids}
     assert all((a, b) in met for a in range(1000, 1020) for b in range(1020))
 
@@ -80,6 +80,57 @@ def test_filter_keeps_columns(clashing, empty):
     assert nd.near_duplicates(empty).count() == 0 and nd.drop_near_duplicates(empty).count() == 0
 
 
+def test_rows_of_one_id_go_by_their_own_text(spark):
+    """Two texts under one id fuse nothing; copies of a row count once."""
+    a, b = prose(1, 60), prose(2, 60)
+    near_a, near_b = " ".join(a.split()[:59] + ["x"]), " ".join(b.split()[:59] + ["y"])
+    rows = [(5, a), (5, b), (3, near_a), (9, near_b), (9, near_b), (9, near_b), (4, prose(3, 60)), (None, a), (6, None), (6, "")]
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect() if r["doc_id"])
+    assert got == [(3, 56, 3), (4, 56, 4), (5, 56, 3), (5, 56, 5), (6, 0, 6), (6, 0, 6), (9, 56, 5), (9, 56, 5), (9, 56, 5)]
+
+
+def test_hot_keys_are_met_by_broadcast(spark, monkeypatch):
+    """The same rows with every key hot as with none."""
+    rng, base, rows = random.Random(6), prose(4, 120).split(), []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randrange(0, 5)):
+            words[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(words), "en", "s", 1))
+    df = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(nd, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(nd, "HOT_ROWS", 2)
+    check(df, rows, 85)
+    monkeypatch.setattr(nd, "HOT_ROWS", 10**6)
+    check(df, rows, 85)
+
+
+def test_large_sets_share_no_band_by_chance(monkeypatch):
+    """Unrelated sets that would crowd the small ring; related ones on both sides of the limit meet."""
+    rng = np.random.default_rng(7)
+    draw = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    keys = [set(nd.set_bands(draw(300_000)).tolist()) for _ in range(4)]
+    assert all(keys[i].isdisjoint(keys[j]) for i in range(4) for j in range(i)) and all(len(k) == nd.BANDS for k in keys)
+    common = draw(60_000)
+    small, large = set(nd.set_bands(common).tolist()), set(nd.set_bands(np.unique(np.concatenate([common, draw(9_000)]))).tolist())
+    assert small & large and len(small) == len(large) == 2 * nd.BANDS
+
+
+@pytest.mark.parametrize(("percent", "least"), [(80, 0.999), (85, 0.9999)])
+def test_recall_of_the_bands(percent, least):
+    """Pairs at the very threshold: the share that meets in some band, for sets of many sizes."""
+    rng = np.random.default_rng(percent)
+    met = pairs = 0
+    for _ in range(3000):
+        n = int(rng.integers(20, 800))
+        common = -(-n * percent // 100)
+        sets = [rng.integers(0, 2**63, k).astype(np.uint64) for k in (common, (n - common) // 2, n - common - (n - common) // 2)]
+        x, y = (set(nd.set_bands(np.concatenate([sets[0], own])).tolist()) for own in sets[1:])
+        met += not x.isdisjoint(y)
+        pairs += 1
+    assert met >= least * pairs - 1
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))
