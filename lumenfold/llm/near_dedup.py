@@ -41,7 +41,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -61,7 +60,7 @@ WIDE = 1 << 16
 #: A key with more rows than this, and than 1 / HOT_KEYS of all, is hot; so there are never more than HOT_KEYS hot keys.
 HOT_ROWS, HOT_KEYS = 256, 400_000
 #: A verification block holds at most so many documents, and shingles unless one document alone has more.
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 19
 #: Buckets up to this many members are resolved by pairs, larger ones in blocks.
 SMALL_BUCKET = 6
 
@@ -176,34 +175,41 @@ def _block_links(percent: int):
     Intersection sizes come from products of 0/1 matrices over the shingles
     that at least two of the documents have, some columns at a time.
     """
-
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "node"])
-        ids, sets = pdf["node"].to_numpy(), list(pdf["shingles"])
-        side, sizes = pdf["block"].to_numpy(), np.array([len(s) for s in sets], np.int64)
-        names, comps = np.unique(pdf["component"].to_numpy(), return_inverse=True)
-        if pdf["i"].iat[0] != pdf["j"].iat[0] and side[0] == side[-1]:
-            return pd.DataFrame([], columns=["a", "b"], dtype="int64")  # the other block is empty
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    def links(rows: pa.Table) -> pa.Table:
+        ids, side, component = (rows[c].to_numpy() for c in ("node", "block", "component"))
+        order = np.lexsort((ids, side))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        ids, side, component = ids[order], side[order], component[order]
+        names, comps = np.unique(component, return_inverse=True)
+        if rows["i"][0] != rows["j"][0] and side[0] == side[-1]:
+            return none  # the other block is empty
         # rows x columns: all x all inside one block, else first block x second
         split = int(np.searchsorted(side, side[-1]))
-        rows, cols = (slice(split), slice(split, None)) if split else (slice(None), slice(None))
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
-        order = np.cumsum(count > 1) - 1
-        keep = (count > 1)[at]
-        column, owner = order[at[keep]], owner[keep]
-        by_column = np.argsort(column, kind="stable")
-        column, owner = column[by_column], owner[by_column]
-        common = np.zeros((len(sizes[rows]), len(sizes[cols])), np.float32)
-        width, top = 4096, int(column[-1]) + 1 if len(column) else 0
-        for low in range(0, top, width):
+        down, right = (slice(split), slice(split, None)) if split else (slice(None), slice(None))
+        lists = rows["shingles"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        owner, flat = np.repeat(place, sizes), lists.flatten().to_numpy()
+        sizes = sizes[order]
+        by_shingle = np.argsort(flat, kind="stable")
+        flat, owner = flat[by_shingle], owner[by_shingle]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, np.int64)
+        counts = np.diff(np.append(first, len(flat)))
+        owner = owner[np.repeat(counts > 1, counts)]
+        counts = counts[counts > 1]
+        column = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        common = np.zeros((len(sizes[down]), len(sizes[right])), np.float32)
+        width = 4096
+        for low in range(0, len(counts), width):
             a, b = np.searchsorted(column, [low, low + width])
-            part = np.zeros((len(sets), min(width, top - low)), np.float32)
+            part = np.zeros((len(sizes), min(width, len(counts) - low)), np.float32)
             part[owner[a:b], column[a:b] - low] = 1
-            common += part[rows] @ part[cols].T
+            common += part[down] @ part[right].T
         shared = common.astype(np.int64)
-        hit = shared * 100 >= (sizes[rows, None] + sizes[None, cols] - shared) * percent
-        hit &= comps[rows, None] != comps[None, cols]
+        hit = shared * 100 >= (sizes[down, None] + sizes[None, right] - shared) * percent
+        hit &= comps[down, None] != comps[None, right]
         root = list(range(len(names)))
 
         def find(x: int) -> int:
@@ -220,7 +226,7 @@ def _block_links(percent: int):
                 root[max(x, y)] = min(x, y)
                 out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         trim()
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return links
 
@@ -298,7 +304,7 @@ def _pairs_of_small(members: DataFrame, percent: int) -> DataFrame:
 def _links_of_large(members: DataFrame, sets: DataFrame, percent: int, limit: int) -> DataFrame:
     """Links of large buckets, from exact comparison in blocks."""
     full = _block_pairs(members, limit).join(sets, "node")
-    return full.groupBy("key", "i", "j").applyInPandas(_block_links(percent), "a long, b long").distinct()
+    return full.groupBy("key", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct()
 
 
 def _block_pairs(members: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
