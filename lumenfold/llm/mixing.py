@@ -19,8 +19,10 @@ sorted.
 
 Defined results: null texts have size 0 and are taken as often as their source
 asks; null sources are one source, last in order; sources without any word have
-target 0. Rows that repeat wholly are each a document of their own, but if they
-are the last to be taken, they are taken together.
+target 0. Every row is a document of its own, whether its doc_id is null or
+repeats: the seeded order goes by doc_id and text. Which of several rows alike
+in doc_id, source and text is taken once more is open. An empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -72,14 +74,28 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: int = 3, seed
     ``weights`` (source, weight) defaults to the cyclic rule. A source that it
     lacks has weight 0 and target 0.
     """
-    return _mix(docs, weights, epochs, seed)
+    clear, edge, _ = _decide(docs, weights, epochs, seed)
+    times = (F.col("whole") + F.col("once_more").cast("long")).cast("long")
+    return clear.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+
+
+def seeded_order(seed: int) -> Column:
+    """The place of a row: a hash of seed, doc_id and text, as hex digits."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+
 
+def bin_of(order: str | Column) -> Column:
+    return F.conv(F.substring(order, 1, 3), 16, 10).cast("int")
 
-def _mix(docs: DataFrame, weights: DataFrame | None, epochs: int, seed: int, **extra: Column) -> DataFrame:
-    """As ``mix``, with further columns of ``docs`` by name."""
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))))
-    sized = stash(docs.select("doc_id", "source", n_words("text").alias("size"), order.alias("order"), *[c.alias(n) for n, c in extra.items()]), "sizes")
-    sized = sized.withColumn("bin", F.conv(F.substring("order", 1, 3), 16, 10).cast("int"))
+
+def _decide(docs: DataFrame, weights: DataFrame | None, epochs: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clear, edge, plan): rows with ``whole`` and ``once_more``, and a row per source.
+
+    The plan alone decides about clear rows: those outside a source's cut bin, but for the one
+    document that fills the gap. The edge holds the others.
+    """
+    sized = stash(docs.select("doc_id", "source", n_words("text").alias("size"), seeded_order(seed).alias("order"), F.monotonically_increasing_id().alias("row")), "sizes")
+    sized = sized.withColumn("bin", bin_of("order"))
     bins = stash(sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
     sources = bins.groupBy("source").agg(F.sum("bin_size").alias("size"))
     if weights is None:
@@ -105,50 +121,70 @@ def _mix(docs: DataFrame, weights: DataFrame | None, epochs: int, seed: int, **e
     ready = plan.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").select(
         F.col("source").alias("of"), F.col("size").alias("source_size"), "target", "whole", "rest", F.coalesce("cut.bin", F.lit(BINS)).alias("cut_bin"), F.coalesce("cut.before", F.lit(0)).alias("cut_before")
     )
-    ready = broadcast_if_small(stash(ready, "mix-plan"))
-    planned = sized.join(ready, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    ready = stash(ready, "mix-plan")
+    planned = sized.join(broadcast_if_small(ready), F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
-    clear = planned.where(F.col("bin") != F.col("cut_bin")).withColumn("once_more", (F.col("rest") > 0) & (F.col("bin") < F.col("cut_bin")))
-    inside = Window.partitionBy("source").orderBy("order", "doc_id", "size", *extra).rowsBetween(Window.unboundedPreceding, 0)
+    before_cut = (F.col("rest") > 0) & (F.col("bin") < F.col("cut_bin"))
+    outside = planned.where(F.col("bin") != F.col("cut_bin")).withColumn("once_more", before_cut)
+    inside = Window.partitionBy("source").orderBy("order", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     edge = stash(planned.where(F.col("bin") == F.col("cut_bin")).withColumn("end", F.col("cut_before") + F.sum("size").over(inside)), "mix-edge")
     reached = F.coalesce(F.max(F.when(F.col("end") <= F.col("rest"), F.col("end"))), F.first("cut_before"))
     gaps = edge.groupBy("source").agg((F.first("rest") - reached).alias("gap")).select(F.col("source").alias("gap_of"), "gap")
     gaps = broadcast_if_small(stash(gaps, "mix-gaps"))
     edge = edge.withColumn("once_more", (F.col("rest") > 0) & (F.col("end") <= F.col("rest"))).drop("end")
-    every = clear.unionByName(edge)
     # The one document whose size is nearest to what is still missing, if that is nearer than none.
-    spare = every.where("NOT once_more").join(gaps, F.col("source").eqNullSafe(F.col("gap_of"))).withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
-    last = spare.groupBy("source").agg(F.min(F.struct("off", "order", "doc_id")).alias("best")).select(F.col("source").alias("last_of"), F.col("best.order").alias("last_order"), F.col("best.doc_id").alias("last_id"))
-    last = broadcast_if_small(stash(last, "mix-last"))
-    is_last = F.coalesce((F.col("order") == F.col("last_order")) & F.col("doc_id").eqNullSafe(F.col("last_id")), F.lit(False))
-    every = every.join(last, F.col("source").eqNullSafe(F.col("last_of")), "left").withColumn("once_more", F.col("once_more") | is_last)
-    times = (F.col("whole") + F.col("once_more").cast("long")).cast("long")
-    return every.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"), *extra)
+    spare = outside.unionByName(edge).where("NOT once_more").join(gaps, F.col("source").eqNullSafe(F.col("gap_of"))).withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
+    last = spare.groupBy("source").agg(F.min(F.struct("off", "order", "doc_id", "row")).alias("best")).select(F.col("source").alias("last_of"), F.col("best.order").alias("last_order"), F.col("best.row").alias("last_row"))
+    full_plan = stash(ready.join(last, F.col("of").eqNullSafe(F.col("last_of")), "left").drop("last_of"), "mix-decided")
+    last_row = broadcast_if_small(full_plan.where("last_row IS NOT NULL").select("last_row", "last_order", F.col("of").alias("last_of")))
+    mark = lambda rows: rows.join(last_row, F.col("row") == F.col("last_row"), "left").withColumn("once_more", F.col("once_more") | F.col("last_row").isNotNull()).drop("last_row", "last_order", "last_of")
+    return mark(outside), mark(edge), full_plan
 
 
 def take_mix(docs: DataFrame, weights: DataFrame | None = None, epochs: int = 3, seed: int = 7) -> DataFrame:
     """``docs`` with every row as often as the mix takes it; columns unchanged.
 
-    Decisions are looked up by row: doc_id, source and the text's hash. Rows
-    that repeat these and are not all taken equally often are numbered.
+    Decisions follow from the row and the plan of its source; only rows of the
+    bin that a target cuts, and those like the one that fills the gap, are
+    looked up: by source and place in the seeded order.
     """
-    own, origin, mark, times, few, many, number, copy = (fresh(docs, f"mix_{n}") for n in ("id", "source", "mark", "times", "few", "many", "number", "copy"))
-    row = [F.col("doc_id").alias(own), F.col("source").alias(origin), F.col("mark").alias(mark)]
-    rows = _mix(docs, weights, epochs, seed, mark=F.xxhash64("text")).groupBy(*row, F.col("times").cast("int").alias("n")).agg(F.count("*").alias("rows"))
-    counts = stash(rows.groupBy(own, origin, mark).agg(F.max("n").alias(times), F.min("n").alias(few), F.max_by("rows", "n").alias(many)), "mix-counts")
-    joined = docs.join(broadcast_if_small(counts), docs["doc_id"].eqNullSafe(F.col(own)) & docs["source"].eqNullSafe(F.col(origin)) & (F.xxhash64(docs["text"]) == F.col(mark)))
-    if not counts.where(F.col(few) < F.col(times)).isEmpty():  # at most the rows of one order and id per source
-        place = F.row_number().over(Window.partitionBy(own, origin, mark).orderBy(F.md5(F.to_json(F.struct(*docs.columns)))))
-        cut = joined.where(F.col(few) < F.col(times)).withColumn(number, place)
-        cut = cut.withColumn(times, F.when(F.col(number) <= F.col(many), F.col(times)).otherwise(F.col(few))).drop(number)
-        joined = joined.where(F.col(few) == F.col(times)).unionByName(cut)
-    joined = joined.where(F.col(times) > 0)
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(own, origin, mark, times, few, many, copy)
+    names = ("order", "bin", "of", "whole", "rest", "cut_bin", "last_order", "at", "like", "more", "rows", "part", "place", "start", "times", "copy")
+    own = {n: fresh(docs, f"mix_{n}") for n in names}
+    outside, edge, plan = _decide(docs, weights, epochs, seed)
+    plan = broadcast_if_small(plan.select(*[F.col(n).alias(own[n]) for n in ("of", "whole", "rest", "cut_bin", "last_order")]))
+    c = {n: F.col(x) for n, x in own.items()}
+    placed = docs.withColumn(own["order"], seeded_order(seed)).withColumn(own["bin"], bin_of(c["order"]))
+    placed = placed.join(plan, docs["source"].eqNullSafe(c["of"]))
+    open_ = (c["bin"] == c["cut_bin"]) | F.coalesce(c["order"] == c["last_order"], F.lit(False))
+    clear = placed.where(~open_).withColumn(own["times"], c["whole"] + ((c["rest"] > 0) & (c["bin"] < c["cut_bin"])).cast("long"))
+
+    # How many rows of one source and place are taken once more.
+    gap_rows = outside.join(F.broadcast(plan.select(c["of"], c["last_order"])), F.col("source").eqNullSafe(c["of"]) & (F.col("order") == c["last_order"])).select("source", "order", "once_more")
+    decided = edge.select("source", "order", "once_more").unionByName(gap_rows)
+    counts = stash(decided.groupBy(F.col("source").alias(own["like"]), F.col("order").alias(own["at"])).agg(F.sum(F.col("once_more").cast("long")).alias(own["more"]), F.count("*").alias(own["rows"])), "mix-counts")
+    looked_up = placed.where(open_).join(broadcast_if_small(counts), docs["source"].eqNullSafe(c["like"]) & (c["order"] == c["at"]))
+    looked_up = stash(looked_up.withColumn(own["part"], F.spark_partition_id()), "mix-open")
+    whole = looked_up.where((c["more"] == 0) | (c["more"] == c["rows"])).withColumn(own["times"], c["whole"] + (c["more"] > 0).cast("long"))
+    # Rows alike of which some are taken once more are numbered in runs, one per written part.
+    alike = (own["like"], own["at"], own["part"])
+    some = looked_up.where((c["more"] > 0) & (c["more"] < c["rows"]))
+    before = Window.partitionBy(own["like"], own["at"]).orderBy(own["part"]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = some.groupBy(*alike).agg(F.count("*").alias("n")).select(*alike, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(own["start"]))
+    starts = broadcast_if_small(stash(starts.select(F.col(own["like"]).alias("s"), F.col(own["at"]).alias("o"), F.col(own["part"]).alias("p"), own["start"]), "mix-starts"))
+    numbered = some.withColumn(own["place"], F.row_number().over(Window.partitionBy(*alike).orderBy(own["order"])))
+    numbered = numbered.join(starts, c["like"].eqNullSafe(F.col("s")) & (c["at"] == F.col("o")) & (c["part"] == F.col("p"))).drop("s", "o", "p")
+    numbered = numbered.withColumn(own["times"], c["whole"] + (c["start"] + c["place"] <= c["more"]).cast("long"))
+
+    every = clear.select(*docs.columns, own["times"])
+    for part in (whole, numbered):
+        every = every.unionByName(part.select(*docs.columns, own["times"]))
+    taken = every.where(c["times"] > 0).withColumn(own["copy"], F.explode(F.sequence(F.lit(1).cast("long"), c["times"].cast("long"))))
+    return taken.select(*docs.columns)
 
 
 #: The same mix by SQL alone.
 ORACLE_SQL = r"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS ord FROM documents),
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS ord, row_number() OVER () AS row FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight FROM sized GROUP BY source),
 l AS (SELECT *, 3 * size AS cap, (3 * size)::DOUBLE / weight AS fill, sum(size) OVER ()::BIGINT AS total,
   coalesce(sum(3 * size) OVER (ORDER BY (3 * size)::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
@@ -158,12 +194,12 @@ v AS (SELECT coalesce(min_by(own_level, fill), 'inf'::DOUBLE) AS level FROM o WH
 t AS (SELECT source, size AS source_size, CASE WHEN size = 0 THEN 0.0::DOUBLE ELSE least(cap::DOUBLE, level * weight) END AS target FROM o, v),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 q AS (SELECT *, target - whole * source_size AS rest FROM p),
-r AS (SELECT d.doc_id, d.source, d.size, ord, source_size, target, whole, rest,
-  sum(d.size) OVER (PARTITION BY d.source ORDER BY ord, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS ends
+r AS (SELECT d.doc_id, d.source, d.size, ord, row, source_size, target, whole, rest,
+  sum(d.size) OVER (PARTITION BY d.source ORDER BY ord, d.doc_id, d.size, row ROWS UNBOUNDED PRECEDING) AS ends
   FROM sized d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 g AS (SELECT source, rest - coalesce(max(ends) FILTER (WHERE ends <= rest), 0) AS gap FROM r GROUP BY source, rest),
-n AS (SELECT r.source, min({'off': abs(size - gap), 'ord': ord, 'doc_id': doc_id}) AS best FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source WHERE ends > rest AND abs(size - gap) < gap GROUP BY r.source),
-u AS (SELECT r.*, (whole + CASE WHEN (rest > 0 AND ends <= rest) OR coalesce(ord = best.ord AND doc_id IS NOT DISTINCT FROM best.doc_id, FALSE) THEN 1 ELSE 0 END)::BIGINT AS times
+n AS (SELECT r.source, min({'off': abs(size - gap), 'ord': ord, 'doc_id': doc_id, 'row': row}) AS best FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source WHERE ends > rest AND abs(size - gap) < gap GROUP BY r.source),
+u AS (SELECT r.*, (whole + CASE WHEN (rest > 0 AND ends <= rest) OR coalesce(row = best.row, FALSE) THEN 1 ELSE 0 END)::BIGINT AS times
   FROM r LEFT JOIN n ON r.source IS NOT DISTINCT FROM n.source)
 SELECT doc_id, source, size, source_size, target, times, times * size AS taken FROM u
 """

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenfold.llm import mixing
 
@@ -57,6 +58,20 @@ def test_given_weights_and_repeats(spark, odd):
     assert mixing.take_mix(odd).columns == odd.columns
 
 
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    """Long and short texts under one id, null ids, and a row that is there many times: the mix stays near its targets."""
+    rows = [(100, "w " * 3, "a"), (100, "x " * 4000, "a")] + [(i % 7 if i % 3 else None, f"v{i} " * (1 + i % 50), "abc"[i % 3]) for i in range(300)] + [(5, "same words here", "b")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).toPandas()
+    same(got, duck({"documents": table(docs)}, mixing.ORACLE_SQL))
+    for _, g in got.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max() / 2
+    taken = mixing.take_mix(docs.withColumn("mix_of", F.lit("own"))).withColumn("size", mixing.n_words("text"))
+    assert taken.columns == ["doc_id", "text", "source", "mix_of", "size"]
+    words = {r["source"]: r["n"] for r in taken.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    assert words == got.groupby("source").taken.sum().to_dict()
+
+
 def test_reruns_and_partitions_agree(odd):
     key = ["doc_id", "size", "times"]
     a = mixing.mix(odd.repartition(1)).toPandas().sort_values(key).reset_index(drop=True)
