@@ -39,6 +39,11 @@ def op7_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(read_table(spark, sf_dir, "documents"))
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reader of op7: one row per page of the texts stored as TIFF."""
+    return tiff.text_pages(read_table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=80)
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_kd_shards": op5_kd_shards,
     "op6_chat_perspectives": op6_chat_perspectives,
     "op7_tiff_media": op7_tiff_media,
+    "media_pages": media_pages,
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_token_orc": op10_token_orc,

@@ -37,6 +37,12 @@ _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 
 #: Samples in a row of a stored text; rows of a strip; rows of a page.
 ROW, STRIP_ROWS, PAGE_ROWS, TILE = 64, 128, 1024, 64
+#: Pages leave a task together up to so many bytes.
+PAGE_BYTES = 1 << 20
+
+
+#: No supported coding makes more bytes of one.
+MOST_RATIO = 4096
 
 
 class TiffError(ValueError):
@@ -284,23 +290,31 @@ def _field(data: bytes, order: str, at: int) -> tuple[int, list[int]]:
 def _page(data: bytes, order: str, tags: dict[int, list[int]]) -> Page:
     one = lambda tag, default=None: (tags.get(tag) or [default])[0]
     width, height, depth = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-    if not width or not height or width * height * depth > 1 << 31:
+    if not width or not height or min(width, height) < 1 or width * height * depth > 1 << 31:
         raise TiffError("page without a usable size")
     if set(tags.get(BITS) or [1]) != {8} or one(PLANAR, 1) != 1 or one(PREDICTOR, 1) not in (1, 2):
         raise TiffError("only 8-bit interleaved samples with predictor 1 or 2 are supported")
     compression, predictor, tiled = one(COMPRESSION, NONE), one(PREDICTOR, 1), TILE_OFFSETS in tags
-    image = np.zeros((height, width, depth), np.uint8)
     if tiled:
-        w, h = one(TILE_WIDTH), one(TILE_HEIGHT)
-        places = [(y, x, h) for y in range(0, height, h) for x in range(0, width, w)]
+        w, h = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)
         offsets, counts = tags[TILE_OFFSETS], tags.get(TILE_COUNTS, [])
     else:
         w, h = width, min(one(ROWS_PER_STRIP, height), height)
-        places = [(y, 0, min(h, height - y)) for y in range(0, height, h)]
         offsets, counts = tags.get(STRIP_OFFSETS, []), tags.get(STRIP_COUNTS, [])
-    if len(offsets) < len(places) or len(counts) < len(places):
+    if min(w, h, depth) < 1:
+        raise TiffError("strips or tiles without a usable size")
+    blocks = -(-height // h) * -(-width // w)
+    if len(offsets) < blocks or len(counts) < blocks:
         raise TiffError("strips or tiles are missing")
+    stored = sum(max(0, min(offset + count, len(data)) - offset) for offset, count in zip(offsets[:blocks], counts, strict=False) if offset >= 0 < count)
+    # Nothing of a page's size is made before its bytes are known to be there.
+    if stored * MOST_RATIO < max(width * height, w * h if tiled else 0) * depth:
+        raise TiffError("strips or tiles are cut short")
+    places = ((y, x, h if tiled else min(h, height - y)) for y in range(0, height, h) for x in range(0, width, w))
+    image = np.zeros((height, width, depth), np.uint8)
     for (y, x, rows), offset, count in zip(places, offsets, counts, strict=False):
+        if offset < 0 or count < 0:
+            raise TiffError("a strip or tile outside the file")
         size = rows * w * depth
         raw = _decode(bytes(data[offset : offset + count]), compression, size)
         if len(raw) < size:
@@ -371,11 +385,6 @@ def text_media(docs: DataFrame) -> DataFrame:
 _PAGE = pa.struct([("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples_per_pixel", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("samples", pa.binary()), ("error", pa.string())])
 
 
-@F.arrow_udf(T.ArrayType(_spark_struct(_PAGE)))
-def tiff_pages(files: pa.Array) -> pa.Array:
-    return pa.array([None if f is None else list(_pages(f)) for f in files.to_pylist()], pa.list_(_PAGE))
-
-
 def _pages(file: bytes) -> Iterator[dict]:
     for n, p in enumerate(_walk(file), 1):
         if isinstance(p, TiffError):
@@ -388,6 +397,40 @@ def _pages(file: bytes) -> Iterator[dict]:
 def read_pages(files: DataFrame, media: str = "media") -> DataFrame:
     """One row per page, with an error where it cannot be read: all columns but ``media``, then a struct column ``tiff_page`` of the page.
 
-    Where the input has that name already, underscores are added.
+    Where the input has that name already, underscores are added. Pages leave
+    as they are decoded, some PAGE_BYTES together, so a file of any number of
+    pages takes no more memory than its bytes and a page.
     """
-    return files.withColumn(fresh(files, "tiff_page"), F.explode(tiff_pages(F.col(media)))).drop(media)
+    name = fresh(files, "tiff_page")
+    others = [f for f in files.schema if f.name != media]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.select([f.name for f in others])
+            for i, pages in _page_runs(batch.column(batch.schema.get_field_index(media))):
+                yield pa.RecordBatch.from_arrays([*rest.take(pa.array(i)).columns, pa.array(pages, _PAGE)], names=[*rest.schema.names, name])
+
+    return files.mapInArrow(each, T.StructType([*others, T.StructField(name, _spark_struct(_PAGE))]))
+
+
+def _page_runs(files: pa.Array) -> Iterator[tuple[list[int], list[dict]]]:
+    """Pages, some together, with the row that each is of."""
+    rows, pages, held = [], [], 0
+    for i in range(len(files)):
+        if files[i].is_valid:
+            for page in _pages(files[i].as_py()):
+                rows.append(i)
+                pages.append(page)
+                held += len(page.get("samples", b"")) + 100
+                if held >= PAGE_BYTES:
+                    yield rows, pages
+                    rows, pages, held = [], [], 0
+    if rows:
+        yield rows, pages
+
+
+def text_pages(docs: DataFrame) -> DataFrame:
+    """The pages of every text stored as TIFF: doc_id, page, width, height, compression, predictor, tiled, samples_sha256, error."""
+    stored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_to_tiff(F.col("text").cast("string")).alias("media"))
+    p = read_pages(stored).select("doc_id", "tiff_page.*")
+    return p.select("doc_id", "page", "width", "height", "compression", "predictor", "tiled", F.sha2("samples", 256).alias("samples_sha256"), "error")

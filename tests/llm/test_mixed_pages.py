@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 
+import numpy as np
 import pytest
 
 from lumenfold.llm import tiff
@@ -32,3 +34,47 @@ def test_readable_pages_of_a_mixed_file(spark):
         assert all(bytes(rows[p]["samples"]) == image.tobytes() for p, image in enumerate(images(), 1) if p != bad)
         with pytest.raises(tiff.TiffError):
             list(tiff.read_tiff(media))
+
+
+def test_damaged_files_give_error_rows(spark):
+    """Files cut short anywhere, and files with any byte altered: rows with an error, never an exception."""
+    rng = np.random.default_rng(3)
+    page = rng.integers(0, 9, (40, 48), dtype=np.uint8)
+    seen = 0
+    for compression in (tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE):
+        for tile in (None, 16):
+            good = tiff.write_tiff([page, page], compression, 2, tile)
+            cut = [good[:n] for n in range(0, len(good), 7)]
+            altered = []
+            for _ in range(400):
+                bad = bytearray(good)
+                for at in rng.integers(0, len(good), 3):
+                    bad[at] = rng.integers(0, 256)
+                altered.append(bytes(bad))
+            heads = []  # every field of the first directory set to zero, to its largest and to a negative value
+            first = int.from_bytes(good[4:8], "little")
+            for k in range(int.from_bytes(good[first : first + 2], "little")):
+                for value in (b"\0" * 4, b"\xff" * 4, b"\xf0\xff\xff\xff"):
+                    bad = bytearray(good)
+                    bad[first + 2 + 12 * k + 8 : first + 14 + 12 * k] = value
+                    heads.append(bytes(bad))
+            for file in cut + altered + heads:
+                for p in tiff._pages(file):
+                    seen += p["error"] is not None
+    assert seen > 1000
+
+
+def test_a_page_per_row(spark):
+    """Pages of stored texts against slices of their payloads."""
+    texts = ["", None, "x" * 70, "y\n" * 9000, "long text " * 30_000]
+    docs = spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)], "doc_id long, text string, tiff_page string")
+    got = {(r["doc_id"], r["page"]): r for r in tiff.text_pages(docs).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        payload = tiff.payload_of((t or "").encode())
+        step = tiff.ROW * tiff.PAGE_ROWS
+        for n, at in enumerate(range(0, len(payload), step), 1):
+            part = payload[at : at + step]
+            want[i, n] = (tiff.ROW, len(part) // tiff.ROW, hashlib.sha256(part).hexdigest(), None)
+    assert {k: (r["width"], r["height"], r["samples_sha256"], r["error"]) for k, r in got.items()} == want
+    assert tiff.text_pages(docs.where("false")).count() == 0
