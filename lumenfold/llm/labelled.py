@@ -15,7 +15,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, limit: i
     """(doc_id, text, label) of at most ``limit`` labelled documents for which ``use`` holds.
 
     ``use`` is a condition on doc_id. Null ids and labels are left out; of
-    several labels of one id the largest counts. A label is 0 or 1.
+    several labels of one id the largest counts. A label is 0 or 1. Of several
+    rows of one id the smallest text is taken, so no more than ``limit`` rows
+    come back.
     """
     ids = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -26,4 +28,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, limit: i
         .limit(limit)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(ids), "doc_id")
+    # Texts of an id are reduced before the shuffle, so an id that many rows share is no single task's load.
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")

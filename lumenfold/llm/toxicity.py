@@ -2,18 +2,23 @@
 
 Transducers, composed left to right:
 
-1. *Lexicon*: an Aho-Corasick automaton over the lower-cased text emits tokens
-   of the classes insult, threat, target, negation and report with weights.
-   Its insult patterns are word stems learned from labelled rows, beside a
-   short fixed list; a stem matches at the start of a word.
-2. *Clauses*: a text is cut at ``.!?;:`` and line ends; clauses without insult
-   or threat are passed over without further work.
-3. *Grammar*: the product of the negation transducer (a negation holds for the
-   next ``SCOPE`` words), the reported-speech transducer (a report holds to the
-   clause's end) and the target transducer (a target before or after an insult
-   binds to it) reads a clause's tokens. It is compiled into one table of
-   states; each insult or threat that it accepts is emitted under one context:
-   plain, targeted, negated, reported or threat.
+1. *Lexicon*: an Aho-Corasick automaton over the lower-cased text finds insults
+   and threats. Insult patterns are word stems learned from labelled rows,
+   beside a short fixed list; a stem matches at the start of a word. Threats
+   are fixed verbs with their inflections.
+2. *Clauses*: a text is cut at ``.!?;`` (unless a quotation mark follows) and
+   line ends; clauses without insult or threat are passed over without further
+   work. Words become the symbols insult, threat, target, negation, report and
+   other; colons, commas and quotation marks are symbols as well.
+3. *Grammar*: five transducers, each of which reads symbols and marks some of
+   them. ``compose`` feeds one's output to the next and compiles the result
+   into one table. From right to left: a target up to ``REACH`` words after an
+   insult or threat binds to it (target), and a report after a quotation, or
+   after a comma, covers what stands before (reported). From left to right: a
+   negation holds for the next ``SCOPE`` words (negated), a report or a colon
+   after it holds to the clause's end (reported), and a target binds to what
+   follows it (target). Weights add along a path; an insult or threat is
+   accepted under one context: plain, targeted, negated, reported or threat.
 
 A document's score is a logistic model over the number of matched clauses per
 context, each clause counting with its strongest pattern's weight; stems that
@@ -25,15 +30,17 @@ Lexicon and weights are learned from at most ``TRAIN_ROWS`` labelled documents
 (a parameter); every whole text is scored. Labels, lang, source and doc_id are
 never inputs of a score. Defined results: null or empty texts match nothing
 and get the score of a text without matches. Without toxic labelled rows only
-the fixed list and the fixed weights hold.
+the fixed list and the fixed weights hold. Of rows that repeat an id the sample
+takes one. Time is linear in a text's length, and clauses are cut from the text
+as it stands. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from itertools import product
 
 import ahocorasick
 import numpy as np
@@ -48,13 +55,14 @@ from lumenfold.llm.common import fold_is, stash
 TRAIN_ROWS = 12_000
 THRESHOLD = 0.3
 SCOPE = 3
+REACH = 3
 
 # Small closed word lists of the grammar's classes.
 INSULTS = "idiot moron stupid loser pathetic worthless disgusting scum trash clown".split()
-THREATS = "kill hurt destroy beat shoot stab burn".split()
+THREATS = "kill hurt destroy beat shoot stab burn shot beaten".split()
 TARGETS = "you your yourself he she they them him her people everyone du dich ihr euch tu toi vous eres usted ustedes".split()
 NEGATIONS = "not never no isn't aren't wasn't don't nobody nicht kein keine ne pas jamais nunca".split()
-REPORTS = "said says wrote called claimed quoted sagte schrieb nannte dit écrit dijo escribió".split()
+REPORTS = "said says say told tells wrote called claimed quoted sagte schrieb nannte dit écrit dijo escribió".split()
 
 CONTEXTS = ("plain", "targeted", "negated", "reported", "threat")
 #: Features of a document: matched clauses per context, then the clauses and the density (per 100 words) of patterns weaker than STRONG.
@@ -66,45 +74,184 @@ STEMS = range(4, 9)
 #: those that have it must be at least MIN_SHARE with 97.5 % confidence (Wilson bound): 12 of 12 are enough, 11 of 11 are not.
 MIN_DOCS, MIN_SHARE, MAX_CANDIDATES = 6, 0.75, 3000
 
-_WORD = re.compile(r"[^\W_](?:['\w-]*[^\W_])?")
-_CLAUSE = re.compile(r"[.!?;:\n\r]+")
+_TOKEN = re.compile("[^\\W_](?:['\\w-]*[^\\W_])?|[:,\"“”„«»]")
+_END = re.compile("[.!?;]+(?![\"“”„«»])|[\n\r]+")
 
 
-class Grammar:
-    """Negation, report and target transducers, composed into one state table.
+def inflected(verb: str) -> list[str]:
+    """A verb with its regular endings, with and without a doubled consonant."""
+    stem = verb.removesuffix("e")
+    return [verb, *(verb + e for e in ("s", "es")), *(x + e for x in (stem, verb + verb[-1]) for e in ("ed", "ing"))]
+
+
+# Symbols: a class and the marks that transducers have put on it.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, COLON, COMMA, QUOTE = range(9)
+TARGETED, NEGATED, REPORTED = 16, 32, 64
+WORDS = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT)
+SYMBOLS = [c | m for c in range(9) for m in range(0, 128, 16) if not m or c in (INSULT, THREAT)]
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """start: a state; step: (state, symbol) -> (state, symbol, weight)."""
+
+    start: object
+    step: Callable[[object, int], tuple[object, int, float]]
+
+
+_HITS = (INSULT, THREAT)
+
+
+def _hit(symbol: int) -> bool:
+    return symbol & 15 in _HITS
+
+
+def negation() -> Transducer:
+    """State: words left under a negation."""
+
+    def step(left: int, x: int):
+        if x == NEGATION:
+            return SCOPE, x, 0.0
+        return max(0, left - (x & 15 in WORDS)), x | NEGATED if left and _hit(x) else x, -1.0 if left and _hit(x) else 0.0
+
+    return Transducer(0, step)
+
+
+def report_before() -> Transducer:
+    """State: whether a report stands before. It holds to the clause's end, through colons and quotation marks."""
+
+    def step(said: bool, x: int):
+        if x == REPORT:
+            return True, x, 0.0
+        return said, x | REPORTED if said and _hit(x) else x, -1.0 if said and _hit(x) else 0.0
+
+    return Transducer(False, step)
+
+
+def target_before() -> Transducer:
+    """State: whether a target stands before."""
+
+    def step(seen: bool, x: int):
+        return seen or x == TARGET, x | TARGETED if seen and _hit(x) else x, 0.5 if seen and _hit(x) else 0.0
+
+    return Transducer(False, step)
 
-    Symbols: other 0, insult 1, threat 2, target 3, negation 4, report 5. A
-    state is (words left under a negation, inside a report, target seen).
-    """
+
+def target_after() -> Transducer:
+    """Read from the right. State: words left in which a target binds."""
+
+    def step(left: int, x: int):
+        if x == TARGET:
+            return REACH, x, 0.0
+        return max(0, left - (x & 15 in WORDS)), x | TARGETED if left and _hit(x) else x, 0.5 if left and _hit(x) else 0.0
+
+    return Transducer(0, step)
+
+
+def report_after() -> Transducer:
+    """Read from the right. State: 0 nothing; 1 to REACH: words left in which a report looks for the end of
+    what it reports; -1: inside a quotation that it reports; -2: before a comma, to the clause's start."""
+
+    def step(at: int, x: int):
+        if x == REPORT:
+            return REACH if at >= 0 else at, x, 0.0
+        if x == QUOTE:
+            return -1 if at > 0 else 0 if at == -1 else at, x, 0.0
+        if x == COMMA and at > 0:
+            return -2, x, 0.0
+        inside = at < 0 and _hit(x)
+        return at - 1 if at > 0 and x & 15 in WORDS else at, x | REPORTED if inside else x, -1.0 if inside else 0.0
+
+    # A comma right before the closing mark ("...", he said) stands between it and the report.
+    def skipping(state: tuple[int, bool], x: int):
+        at, comma = state
+        if comma and x != QUOTE:
+            at = -2
+        if x == COMMA and at > 0:
+            return (at, True), x, 0.0
+        to, y, w = step(at, x)
+        return (to, False), y, w
+
+    return Transducer((0, False), skipping)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """What ``second`` makes of ``first``'s output; weights add."""
+
+    def step(state, x: int):
+        a, y, v = first.step(state[0], x)
+        b, z, w = second.step(state[1], y)
+        return (a, b), z, v + w
+
+    return Transducer((first.start, second.start), step)
+
+
+def compiled(machine: Transducer) -> tuple[list[list[int]], list[list[int]], list[list[float]]]:
+    """Tables next, out and weight by numbered state (0 is the start) and symbol, of the states that can be reached."""
+    numbers, rows = {machine.start: 0}, [machine.start]
+    to, out, weight = [], [], []
+    for state in rows:
+        line = [[0] * 128, [0] * 128, [0.0] * 128]
+        for x in SYMBOLS:
+            after, line[1][x], line[2][x] = machine.step(state, x)
+            if after not in numbers:
+                numbers[after] = len(rows)
+                rows.append(after)
+            line[0][x] = numbers[after]
+        for table, values in zip((to, out, weight), line, strict=True):
+            table.append(values)
+    return to, out, weight
+
+
+class Grammar:
+    """The composed transducers: one table read from right to left, then one from left to right."""
 
     def __init__(self) -> None:
-        states = list(product(range(SCOPE + 1), (0, 1), (0, 1)))
-        at = {s: i for i, s in enumerate(states)}
-        self.start = at[0, 0, 0]
-        self.next = np.zeros((len(states), 6), np.int16)
-        self.emit = np.full((len(states), 6), -1, np.int8)
-        for (left, report, target), i in at.items():
-            ahead = max(0, left - 1)
-            for symbol in range(6):
-                to = (SCOPE, report, target) if symbol == 4 else (left, 1, target) if symbol == 5 else (ahead, report, 1) if symbol == 3 else (ahead, report, target)
-                self.next[i, symbol] = at[to]
-                if symbol in (1, 2):
-                    context = "reported" if report else "negated" if left else "threat" if symbol == 2 else "targeted" if target else "plain"
-                    # A threat is one only towards a target; otherwise the words are innocent.
-                    if symbol == 1 or target or report or left:
-                        self.emit[i, symbol] = CONTEXTS.index(context)
-
-    def contexts(self, symbols: list[int]) -> list[int]:
-        """For each symbol the context under which it is accepted, or -1."""
-        state, out = self.start, []
-        for s in symbols:
-            out.append(int(self.emit[state, s]))
-            state = int(self.next[state, s])
-        return out
+        self.passes = (compiled(compose(target_after(), report_after())), compiled(compose(compose(negation(), report_before()), target_before())))
+
+    def read(self, symbols: list[int]) -> list[tuple[int, float]]:
+        """Each symbol with its marks, and the weight that the paths give it."""
+        weights = [0.0] * len(symbols)
+        for (to, out, weight), order in zip(self.passes, (range(len(symbols) - 1, -1, -1), range(len(symbols))), strict=True):
+            state, marked = 0, []
+            for i in order:
+                x = symbols[i]
+                if x & 15 in _HITS:
+                    marked.append((i, out[state][x]))
+                    weights[i] += weight[state][x]
+                state = to[state][x]
+            symbols = list(symbols)
+            for i, x in marked:
+                symbols[i] = x
+        return list(zip(symbols, weights, strict=True))
+
+    def contexts(self, symbols: list[int]) -> list[str | None]:
+        """For each symbol the context under which it is accepted, or None."""
+        return [context_of(x) for x, _ in self.read(symbols)]
+
+
+def context_of(symbol: int) -> str | None:
+    if not _hit(symbol):
+        return None
+    if symbol & REPORTED:
+        return "reported"
+    if symbol & NEGATED:
+        return "negated"
+    # A threat is one only towards a target; otherwise the words are innocent.
+    if symbol & 15 == THREAT:
+        return "threat" if symbol & TARGETED else None
+    return "targeted" if symbol & TARGETED else "plain"
 
 
 _GRAMMAR = Grammar()
-_CLASS = {w: k for k, words in ((2, THREATS), (3, TARGETS), (4, NEGATIONS), (5, REPORTS)) for w in words}
+THREAT_WORDS = {w for v in THREATS for w in inflected(v)}
+_CLASS = {**{w: THREAT for w in THREAT_WORDS}, **{w: k for k, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}, ":": COLON, ",": COMMA, **dict.fromkeys('"“”„«»', QUOTE)}
+
+
+def lowered(text: str) -> str:
+    """Lower case, with every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 @dataclass
@@ -118,35 +265,46 @@ class Model:
 
     def automaton(self):
         keys = ahocorasick.Automaton()
-        for key in {*self.stems, *self.words, *THREATS}:
+        for key in {*self.stems, *self.words, *THREAT_WORDS}:
             keys.add_word(key, len(key))
         keys.make_automaton()
         return keys
 
+    known: dict[str, tuple[int, float]] = field(default_factory=dict, repr=False, compare=False)
+
+    def symbol(self, token: str) -> tuple[int, float]:
+        """A token's class, and its weight as an insult; remembered up to a bound."""
+        found = self.known.get(token)
+        if found is None:
+            weight = self.insult(token)
+            found = (INSULT if weight else _CLASS.get(token, OTHER), weight or 1.0)
+            if len(self.known) >= 50_000:
+                self.known.clear()
+            self.known[token] = found
+        return found
+
     def insult(self, word: str) -> float:
         return max([self.words.get(word, 0.0), *(self.stems.get(word[:k], 0.0) for k in STEMS)])
 
     def clauses(self, text: str, keys) -> list[tuple[str, str, float, int]]:
         """(clause, context, weight, hits) of every clause that the grammar accepts."""
-        low = text.lower()
+        low = lowered(text)
         starts = sorted({end - length + 1 for end, length in keys.iter(low) if end == length - 1 or not low[end - length].isalnum()})
-        out, done = [], -1
+        out, done = [], 0
         for start in starts:
             if start < done:
                 continue
-            left = max((low.rfind(c, 0, start) for c in ".!?;:\n\r"), default=-1) + 1
-            found = _CLAUSE.search(low, start)
+            # The clause begins after the last end before the match; what was read before is not read again.
+            left = done
+            for end in _END.finditer(low, done, start):
+                left = end.end()
+            found = _END.search(low, start)
             done = found.start() if found else len(low)
-            tokens = _WORD.findall(low[left:done])
-            strong = [self.insult(t) for t in tokens]
-            symbols = [1 if s else _CLASS.get(t, 0) for s, t in zip(strong, tokens, strict=True)]
-            # A target right after an insult binds to it as well: read it first.
-            if 1 in symbols and 3 in symbols[symbols.index(1) : symbols.index(1) + 3]:
-                symbols = [3, *symbols]
-                strong = [0.0, *strong]
-            hits = [(CONTEXTS[c], s or 1.0) for c, s in zip(_GRAMMAR.contexts(symbols), strong, strict=True) if c >= 0]
+            found = [self.symbol(t) for t in _TOKEN.findall(low[left:done])]
+            read = _GRAMMAR.read([x for x, _ in found])
+            hits = [(weight + path, context, weight) for (_, weight), (x, path) in zip(found, read, strict=True) if x & 15 in _HITS and (context := context_of(x))]
             if hits:
-                context, weight = max(hits, key=lambda h: (START_WEIGHTS[CONTEXTS.index(h[0])], h[1]))
+                _, context, weight = max(hits)  # the heaviest path names the clause
                 out.append((text[left:done].strip(), context, weight, len(hits)))
         return out
 

@@ -91,12 +91,79 @@ def test_grammar_contexts():
     assert context("idiot you are") == ["targeted"]
     assert context("he is not stupid") == ["negated"]
     assert context("she said he was a moron") == ["reported"]
-    assert context("i will hurt you. no harm") == ["reported"] or context("you will hurt") == ["threat"]
+    for reported in ("he said: you are an idiot", '"You are an idiot", he said.', '"You are an idiot!" he said', "“You are an idiot”, she says.", "You are an idiot, she says"):
+        assert context(reported) == ["reported"], reported
+    for threat in ("they killed him", "I am killing you", "i will hurt you. no harm", "you will be shot"):
+        assert context(threat) == ["threat"], threat
+    assert context("you idiot. he said hello") == ["targeted"] and context("the killing of time") == []
+    assert context('he said "fine", and left. you moron') == ["targeted"]
+    odd = "İİİ. You IDIOT! rest"
+    assert [c[0] for c in model.clauses(odd, keys)] == ["You IDIOT"]
     assert context("kill the process") == [] and context("idiotic? worthlessness") == []
     scores = {t: float(model.score(np.array([model.features(t, keys)]))[0]) for t in ("you idiot", "not an idiot", "they said idiot", "good day")}
     assert scores["you idiot"] > 0.6 > scores["not an idiot"] > scores["good day"] and scores["they said idiot"] < 0.6
 
 
+def test_composed_tables_equal_the_chain_of_transducers():
+    """The compiled passes against running the five transducers one after another, over all short and many long readings."""
+    import itertools
+
+    chain = [(toxicity.target_after(), True), (toxicity.report_after(), True), (toxicity.negation(), False), (toxicity.report_before(), False), (toxicity.target_before(), False)]
+    rng = random.Random(8)
+    readings = [list(r) for n in range(4) for r in itertools.product(range(9), repeat=n)] + [[rng.randrange(9) for _ in range(rng.randrange(4, 30))] for _ in range(500)]
+    for symbols in readings:
+        want, weights = list(symbols), [0.0] * len(symbols)
+        for machine, backwards in chain:
+            state = machine.start
+            for i in range(len(want) - 1, -1, -1) if backwards else range(len(want)):
+                state, want[i], w = machine.step(state, want[i])
+                weights[i] += w
+        assert toxicity._GRAMMAR.read(symbols) == list(zip(want, weights, strict=True)), symbols
+
+
+def test_scores_of_very_long_texts_take_linear_time():
+    import time
+
+    model = toxicity.Model()
+    keys = model.automaton()
+    seconds = []
+    for n in (20_000, 160_000):
+        began = time.process_time()
+        for text in ("you idiot and more words " * n, "word idiot. " * n):
+            model.features(text, keys)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 20 * seconds[0]
+
+
+def test_brute_force_scores(corpus):
+    """Scores of the query against scores made from matched clauses alone, by plain arithmetic."""
+    import math
+
+    docs, labels = corpus
+    model = toxicity.train(docs, labels, ~fold_is("doc_id", 4, 2))
+    keys = model.automaton()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.score_toxicity(docs, labels).collect():
+        strong, weak, dense = dict.fromkeys(toxicity.CONTEXTS, 0.0), 0.0, 0
+        for _, context, weight, hits in model.clauses(texts[r["doc_id"]], keys):
+            if weight >= toxicity.STRONG:
+                strong[context] += weight
+            else:
+                weak, dense = weak + weight, dense + hits
+        x = [*(min(strong[c], 3.0) for c in toxicity.CONTEXTS), min(weak, 4.0), min(dense * 100 / (len(texts[r["doc_id"]].split()) + 5), 8.0)]
+        z = model.base + sum(a * b for a, b in zip(model.weights, x, strict=True))
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9 and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_sample_bound_holds_for_repeated_ids(spark):
+    from lumenfold.llm import labelled
+
+    docs = spark.createDataFrame([(i % 10, f"t{i}") for i in range(500)] + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 20, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = labelled.sample(docs, labels, "toxic", F.lit(True), 8).collect()
+    assert len(got) <= 8 and len({r["doc_id"] for r in got}) == len(got)
+
+
 def test_stems_are_learned_and_chance_words_are_not(corpus):
     docs, labels = corpus
     model = toxicity.train(docs, labels, ~fold_is("doc_id", 4, 2))
