@@ -27,6 +27,9 @@ SHINGLE_WORDS = 5
 #: Rows that a broadcast side may have; larger sides are shuffled instead.
 BROADCAST_ROWS = 500_000
 
+#: A key with more rows than this, and than 1 / HOT_KEYS of all, is hot; so there are never more than HOT_KEYS hot keys.
+HOT_ROWS, HOT_KEYS = 256, 400_000
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CACHE_WORDS = 150_000
 
@@ -34,12 +37,15 @@ _CACHE_WORDS = 150_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, one machine) a temporary folder
-    is made and remembered in the session.
+    Only where that setting is absent and the master is local (tests, one
+    machine) a temporary folder is made and remembered in the session; on a
+    cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not set_dir.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = set_dir.get() if set_dir.isDefined() else tempfile.mkdtemp(prefix="lumenfold-")
         if not set_dir.isDefined():
             spark.sparkContext.setCheckpointDir(found)
@@ -86,6 +92,22 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def hot_limit(rows: int) -> int:
+    """How many rows of one key, of ``rows`` in all, a task may join."""
+    return max(HOT_ROWS, rows // HOT_KEYS)
+
+
+def meet(rows: DataFrame, keyed: DataFrame, hot: Column, key: str = "key") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has each key once, by ``key``.
+
+    Rows of keys for which ``hot`` holds (a column of ``keyed``, stashed) stay
+    where they are and meet a broadcast; so no task gathers such a key.
+    """
+    hot_keys = F.broadcast(keyed.where(hot))
+    cold = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti").join(keyed.where(~hot), key)
+    return rows.join(hot_keys, key).unionByName(cold)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

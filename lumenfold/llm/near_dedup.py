@@ -18,7 +18,7 @@ Plan
 
 A key that many rows share (a hot bucket, or a hub with many pairs) is never
 joined in one task: what is known of such keys, at most ``HOT_KEYS`` rows, is
-broadcast, and a hot hub's set goes to several tasks (``_meet``, ``_linked``).
+broadcast, and a hot hub's set goes to several tasks (``meet``, ``_linked``).
 
 Circulant MinHash: one permutation (sigma) scatters shingles over a ring of
 places; the second (pi) ranks the places. Coordinate k of a signature is the
@@ -43,10 +43,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import broadcast_if_small, fresh, list_array, map_arrow, mix64, shingle_set, stash, text_bytes, text_digest, trim, without_ids, without_rows
+from lumenfold.llm.common import HOT_ROWS, broadcast_if_small, fresh, hot_limit, list_array, map_arrow, meet, mix64, shingle_set, stash, text_bytes, text_digest, trim, without_ids, without_rows
 from lumenfold.llm.components import connected_components
 
 RING_BITS = 20
@@ -57,8 +57,6 @@ BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 #: Sets of fewer shingles use the ring of RING places.
 WIDE = 1 << 16
-#: A key with more rows than this, and than 1 / HOT_KEYS of all, is hot; so there are never more than HOT_KEYS hot keys.
-HOT_ROWS, HOT_KEYS = 256, 400_000
 #: A verification block holds at most so many documents, and shingles unless one document alone has more.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 19
 #: Buckets up to this many members are resolved by pairs, larger ones in blocks.
@@ -136,28 +134,12 @@ def _can_link(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _hot_limit(rows: int) -> int:
-    """How many rows of one key, of ``rows`` in all, a task may join."""
-    return max(HOT_ROWS, rows // HOT_KEYS)
-
-
-def _meet(rows: DataFrame, keyed: DataFrame, hot: Column, key: str = "key") -> DataFrame:
-    """``rows`` joined with ``keyed``, which has each key once, by ``key``.
-
-    Rows of keys for which ``hot`` holds (a column of ``keyed``, stashed) stay
-    where they are and meet a broadcast; so no task gathers such a key.
-    """
-    hot_keys = F.broadcast(keyed.where(hot))
-    cold = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti").join(keyed.where(~hot), key)
-    return rows.join(hot_keys, key).unionByName(cold)
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold, as links (a, b); ``total``: about how many pairs there are.
 
     An ``a`` of many pairs has its set in several tasks, one per part of its pairs.
     """
-    limit = _hot_limit(total)
+    limit = hot_limit(total)
     parts = F.ceil(F.col("n") / limit).cast("int").alias("parts")
     many = F.broadcast(stash(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("a", parts), "hot-hubs"))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")).join(many, "a", "left")
@@ -256,9 +238,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
 
     placed = classes.select("node", "n", F.explode("bands").alias("key"))
-    limit = _hot_limit(classes.count() * BANDS)
+    limit = hot_limit(classes.count() * BANDS)
     starts = stash(placed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")).where("members > 1").select("key", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), "members"), "bucket-starts")
-    buckets = stash(_meet(placed, starts, F.col("members") > limit), "buckets")
+    buckets = stash(meet(placed, starts, F.col("members") > limit), "buckets")
 
     star = stash(buckets.where((F.col("node") != F.col("hub")) & _can_link("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star")
     sets = _sets_of(docs, classes, stash(buckets.select("node").distinct(), "bucket-nodes"))
@@ -290,7 +272,7 @@ def _unresolved(buckets: DataFrame, found: DataFrame, limit: int) -> DataFrame:
     labelled = stash(buckets.join(at, F.col("node") == F.col("at"), "left").select("key", "node", "n", "hub", "members", F.coalesce("component", "node").alias("component")), "labelled")
     spread = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("in_bucket")).where("low != high AND in_bucket > 2")
     spread = stash(spread.select("key", "in_bucket"), "spread")
-    return stash(_meet(labelled, spread, F.col("in_bucket") > limit).drop("in_bucket"), "unresolved")
+    return stash(meet(labelled, spread, F.col("in_bucket") > limit).drop("in_bucket"), "unresolved")
 
 
 def _pairs_of_small(members: DataFrame, percent: int) -> DataFrame:
@@ -325,7 +307,7 @@ def _block_pairs(members: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
     # Equal member lists in several bands are compared once.
     lists = members.groupBy("key").agg(F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("sum"), F.count("*").alias("size")).groupBy("sum", "size").agg(F.min("key").alias("key"))
     sized = stash(sized.join(lists.select("key"), "key"), "block-counts")
-    once = _meet(members.select("key", "node", "component"), sized, F.col("in_bucket") > limit).drop("in_bucket")
+    once = meet(members.select("key", "node", "component"), sized, F.col("in_bucket") > limit).drop("in_bucket")
     in_core, place = F.col("component").eqNullSafe(F.col("core")), F.xxhash64("node")
     block = F.when(in_core, F.col("q_rest") + F.pmod(place, F.col("q_core"))).otherwise(F.pmod(place, F.col("q_rest"))).cast("int")
     met = F.when(in_core, F.col("q_rest")).otherwise(F.col("q_rest") + F.coalesce("q_core", F.lit(0)))

@@ -5,10 +5,12 @@ dimension's spread over all rows, at the weighted median, until leaves reach
 the target bytes. The median is found by zooming: one aggregation per step
 gives, for all nodes of a level at once, the bytes in ``BINS`` equal intervals
 of the current range; the interval that holds the middle becomes the next
-range. Only these histograms (nodes x BINS rows) reach the driver.
+range. Only that interval, one row a node, reaches the driver, and rows find
+their node by lookups in broadcast tables of cuts.
 
-Rows that tie in a dimension are told apart by the text's hash, and rows of
-one text by a hash of the row; so equal texts stay in one shard unless the
+Metadata are those of a row's text: its length, and the smallest language,
+source and doc_id that rows of equal text have. Rows that tie in a dimension
+are told apart by the text's hash, and rows of one text by a hash of the row; so equal texts stay in one shard unless the
 group alone is too heavy for an even cut, and a hot group is split rather than
 making a shard too large.
 
@@ -19,13 +21,14 @@ metadata counts as the smallest value; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import broadcast_if_small, stash
+from lumenfold.llm.common import broadcast_if_small, hot_limit, meet, stash
 
 BINS = 2048
 #: A cut may miss the middle of its node by this share of the node's bytes.
@@ -36,90 +39,110 @@ GROUP_TOLERANCE = 0.01
 SLOT_ROWS = 50_000
 
 
-def _less(cut: list[tuple[str, int]]) -> Column:
-    """True for rows before the cut, in lexicographic order of its columns."""
-    out = F.lit(False)
-    for name, value in reversed(cut):
-        out = (F.col(name) < value) | ((F.col(name) == value) & out)
-    return out
+#: Below all values: a tie that a cut does not look at.
+_NONE = -(1 << 63)
 
 
-def _node_of(cuts: dict[int, list[tuple[str, int]]]) -> Column:
-    """The number of a row's node: root 1, children 2n and 2n + 1."""
+@dataclass
+class Cut:
+    """Rows before the cut: those less in dimension ``dim``, then in each tie; values are in that order."""
 
-    def below(node: int) -> Column:
-        if node not in cuts:
-            return F.lit(node)
-        return F.when(_less(cuts[node]), below(2 * node)).otherwise(below(2 * node + 1))
+    dim: int
+    values: list[int]
 
-    return below(1)
 
+def _value_of(dims: list[str], dim: str) -> Column:
+    """The value of the dimension whose number is in column ``dim``."""
+    return reduce(lambda out, k: F.when(F.col(dim) == k, F.col(dims[k])).otherwise(out), range(len(dims) - 1), F.col(dims[-1]))
 
-def _median_cuts(rows: DataFrame, want: dict[int, list[str]], weight: str, totals: dict[int, int]) -> dict[int, list[tuple[str, int]]]:
-    """For each node the cut that halves its weight: the columns of ``want`` in order.
 
-    State of a node: columns fixed so far, the column being searched, its
-    range, and the weight known to lie before that range.
+def _below(placed: DataFrame, cuts: dict[int, Cut], dims: list[str], ties: list[str]) -> DataFrame:
+    """``placed`` with rows of cut nodes moved to the node's children, 2n and 2n + 1: a lookup in a broadcast table of the level's cuts."""
+    if not cuts:
+        return placed
+    names = ["cut_node", "cut_dim", *[f"cut_{k}" for k in range(len(ties) + 1)]]
+    rows = [(n, c.dim, *c.values, *[_NONE] * (1 + len(ties) - len(c.values))) for n, c in cuts.items()]
+    table = F.broadcast(placed.sparkSession.createDataFrame(rows, ", ".join(f"{x} long" for x in names)))
+    found = placed.join(table, F.col("node") == F.col("cut_node"), "left")
+    less = F.lit(False)
+    for k, col in reversed(list(enumerate([_value_of(dims, "cut_dim"), *map(F.col, ties)]))):
+        less = (col < F.col(f"cut_{k}")) | ((col == F.col(f"cut_{k}")) & less)
+    moved = F.when(F.col("cut_node").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(less, 0).otherwise(1))
+    return found.withColumn("node", moved.cast("long")).drop(*names)
+
+
+def _median_cuts(placed: DataFrame, want: dict[int, int], dims: list[str], ties: list[str], weight: str, totals: dict[int, int]) -> dict[int, Cut]:
+    """For each node of ``want`` the cut along its dimension that halves its weight.
+
+    State of a node: values fixed so far, the range being searched in the next
+    column, and the weight known to lie before that range. One aggregation a
+    step serves all nodes; each gives one row, the bin that holds its middle.
     """
-    ranges = {(r["node"], c): (r[f"lo_{c}"], r[f"hi_{c}"]) for r in rows.groupBy("node").agg(*[f(c).alias(f"{p}_{c}") for c in sorted({x for v in want.values() for x in v}) for p, f in (("lo", F.min), ("hi", F.max))]).collect() for c in want.get(r["node"], [])}
-    state = {n: {"fixed": [], "left": list(cols), "range": ranges[n, cols[0]], "before": 0} for n, cols in want.items()}
-    done: dict[int, list[tuple[str, int]]] = {}
+    ends = placed.groupBy("node").agg(*[f(c).alias(f"{p}_{c}") for c in (*dims, *ties) for p, f in (("lo", F.min), ("hi", F.max))]).collect()
+    ranges = {r["node"]: r for r in ends}
+    column = lambda n, k: dims[want[n]] if k == 0 else ties[k - 1]
+    range_of = lambda n, k: (ranges[n][f"lo_{column(n, k)}"], ranges[n][f"hi_{column(n, k)}"])
+    state = {n: {"fixed": [], "range": range_of(n, 0), "before": 0} for n in want}
+    done: dict[int, Cut] = {}
+    fixed = [f"fix_{k}" for k in range(len(ties) + 1)]
     while state:
-        branches = []
+        rows = []
         for n, s in state.items():
             lo, hi = s["range"]
-            width = -(-(hi - lo + 1) // BINS)
-            here = reduce(lambda a, b: a & b, [F.col(c) == v for c, v in s["fixed"]], F.col("node") == n)
-            col = F.col(s["left"][0])
-            branches.append((here & (col >= lo) & (col <= hi), n, F.expr(f"({s['left'][0]} - {lo}L) div {width}L")))
-        node = reduce(lambda out, b: out.when(b[0], F.lit(b[1])), branches[1:], F.when(branches[0][0], F.lit(branches[0][1])))
-        place = reduce(lambda out, b: out.when(b[0], b[2]), branches[1:], F.when(branches[0][0], branches[0][2]))
-        sums = rows.select(node.alias("at"), place.alias("bin"), weight).where("at IS NOT NULL").groupBy("at", "bin").agg(F.sum(weight).alias("w")).collect()
-        by_node: dict[int, list[tuple[int, int]]] = {}
-        for r in sums:
-            by_node.setdefault(r["at"], []).append((r["bin"], r["w"]))
-        for n, s in list(state.items()):
+            rows.append((n, want[n], len(s["fixed"]), lo, hi, -(-(hi - lo + 1) // BINS), s["before"], totals[n], *s["fixed"], *[None] * (len(fixed) - len(s["fixed"]))))
+        names = ["at", "at_dim", "at_k", "lo", "hi", "width", "known", "total", *fixed]
+        table = F.broadcast(placed.sparkSession.createDataFrame(rows, ", ".join(f"{x} long" for x in names)))
+        near = placed.join(table, F.col("node") == F.col("at"))
+        columns = [_value_of(dims, "at_dim"), *map(F.col, ties)]
+        here = reduce(lambda a, b: a & b, [F.col(f).isNull() | (c == F.col(f)) for f, c in zip(fixed, columns, strict=True)])
+        value = reduce(lambda out, k: F.when(F.col("at_k") == k, columns[k]).otherwise(out), range(len(columns) - 1), columns[-1])
+        binned = near.withColumn("value", value).where(here & F.col("value").between(F.col("lo"), F.col("hi"))).withColumn("bin", F.expr("(value - lo) div width"))
+        sums = binned.groupBy("at", "bin").agg(F.sum(weight).alias("w"), F.first("known").alias("known"), F.first("total").alias("total"))
+        run = Window.partitionBy("at").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # at most BINS rows a node
+        upto = sums.withColumn("upto", F.col("known") + F.sum("w").over(run)).where(2 * F.col("upto") >= F.col("total"))
+        for r in upto.groupBy("at").agg(F.min(F.struct("bin", "upto", "w")).alias("m")).collect():
+            n, s = r["at"], state[r["at"]]
             lo, hi = s["range"]
             width = -(-(hi - lo + 1) // BINS)
-            half, before = totals[n] / 2, s["before"]
-            for k, w in sorted(by_node[n]):
-                if before + w >= half:
-                    break
-                before += w
+            k, upto_w, before = r["m"]["bin"], r["m"]["upto"], r["m"]["upto"] - r["m"]["w"]
             low, high = lo + k * width, min(hi, lo + (k + 1) * width - 1)
-            under, over = half - before, before + w - half
-            may_miss = GROUP_TOLERANCE if low == high and s["left"][0] == "by_text" else TOLERANCE
-            if min(under, over) <= may_miss * totals[n] or (low == high and len(s["left"]) == 1):
-                value = low if under <= over else high + 1
-                done[n] = [*s["fixed"], (s["left"][0], value)]
+            under, over = totals[n] / 2 - before, upto_w - totals[n] / 2
+            level = len(s["fixed"])
+            may_miss = GROUP_TOLERANCE if low == high and column(n, level) == "by_text" else TOLERANCE
+            if min(under, over) <= may_miss * totals[n] or (low == high and level == len(ties)):
+                done[n] = Cut(want[n], [*s["fixed"], low if under <= over else high + 1])
                 del state[n]
             elif low == high:
-                s["fixed"].append((s["left"].pop(0), low))
-                s["range"], s["before"] = ranges[n, s["left"][0]], before
+                s["fixed"].append(low)
+                s["range"], s["before"] = range_of(n, level + 1), before
             else:
                 s["range"], s["before"] = (low, high), before
     return done
 
 
-def kd_tree(rows: DataFrame, dims: list[str], ties: list[str], weight: str, leaves: int | None, most: int = 0) -> dict[int, list[tuple[str, int]]]:
-    """Cuts by node of a tree with ``leaves`` leaves (a power of two); columns are long.
+def kd_tree(rows: DataFrame, dims: list[str], ties: list[str], weight: str, leaves: int | None, most: int = 0) -> tuple[DataFrame, list[dict[int, Cut]]]:
+    """``rows`` with the number of their leaf in ``node`` (root 1, children 2n and 2n + 1), and the cuts by level.
 
-    Where ``leaves`` is None every node heavier than ``most`` is cut until only
-    single rows are; the last of ``ties`` must then tell all rows apart.
+    Columns are long. Where ``leaves`` (a power of two) is None every node
+    heavier than ``most`` is cut until only single rows are; the last of
+    ``ties`` must then tell all rows apart. The driver holds one row a node.
     """
+    placed, levels = rows.withColumn("node", F.lit(1).cast("long")), []
     spread = rows.agg(*[f(c).alias(f"{p}_{c}") for c in dims for p, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("n")).first()
-    cuts: dict[int, list[tuple[str, int]]] = {}
     if not spread["n"]:
-        return cuts
+        return placed, levels
     whole = {c: max(1, spread[f"hi_{c}"] - spread[f"lo_{c}"]) for c in dims}
-    for _ in count() if leaves is None else range(int(math.log2(leaves))):
-        placed = rows.withColumn("node", _node_of(cuts))
+    for level in count() if leaves is None else range(int(math.log2(leaves))):
         found = placed.groupBy("node").agg(F.sum(weight).alias("w"), F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in dims]).collect()
-        open_ = {r["node"]: sorted(dims, key=lambda c, r=r: (-r[c] / whole[c], dims.index(c))) for r in found if r["n"] > 1 and (leaves is not None or r["w"] > most)}
-        if not open_:
+        widest = {r["node"]: min(range(len(dims)), key=lambda k, r=r: (-r[dims[k]] / whole[dims[k]], k)) for r in found if r["n"] > 1 and (leaves is not None or r["w"] > most)}
+        if not widest:
             break
-        cuts |= _median_cuts(placed, {n: [order[0], *[t for t in ties if t != order[0]]] for n, order in open_.items()}, weight, {r["node"]: r["w"] for r in found})
-    return cuts
+        cuts = _median_cuts(placed, widest, dims, ties, weight, {r["node"]: r["w"] for r in found})
+        levels.append(cuts)
+        placed = _below(placed, cuts, dims, ties)
+        if level % 4 == 3:
+            placed = stash(placed, "kd-level")
+    return placed, levels
 
 
 def shard(docs: DataFrame, leaves: int | None = 16, target_bytes: int | None = None) -> DataFrame:
@@ -127,7 +150,8 @@ def shard(docs: DataFrame, leaves: int | None = 16, target_bytes: int | None = N
 
     ``leaves`` shards (a power of two), or, with ``leaves`` None, as many as
     keep a shard within ``target_bytes``, unless one row alone is heavier. The law is ``bytes``: shards hold nearly equal bytes.
-    Dimensions: length, language and the text's hash.
+    Dimensions: length, language, source and doc_id. Languages and sources are
+    placed by their first bytes; those of one place are one value to a cut.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -135,24 +159,34 @@ def shard(docs: DataFrame, leaves: int | None = 16, target_bytes: int | None = N
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.floor(F.log2(F.octet_length(text) + 1) * (1 << 20)).cast("long").alias("by_length"),
-        F.conv(F.substring(F.hex(F.coalesce(F.col("lang").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long").alias("by_lang"),
+        _place_of("lang").alias("own_lang"),
+        _place_of("source").alias("own_source"),
+        F.xxhash64(text).alias("key"),
         F.shiftrightunsigned(F.xxhash64(text), 24).alias("by_text"),
         F.shiftrightunsigned(F.xxhash64("doc_id", text), 24).alias("by_row"),
-    ).withColumn("by_lang", F.coalesce("by_lang", F.lit(0).cast("long")))
+    )
     if leaves is None:
         rows = rows.withColumn("by_copy", F.monotonically_increasing_id())  # tells repeated rows apart, which are alike in the result
-    rows = stash(rows, "points")
+    points = stash(rows, "points")
+    least = [F.min(c).alias(n) for c, n in (("own_lang", "by_lang"), ("own_source", "by_source"), (F.coalesce("doc_id", F.lit(0)), "by_id"))]
+    groups = stash(points.groupBy("key").agg(F.count("*").alias("copies"), *least), "equal-texts")
+    rows = stash(meet(points, groups, F.col("copies") > hot_limit(points.count())).drop("key", "copies", "own_lang", "own_source"), "placed-points")
     total = rows.agg(F.count("*").alias("n")).first()
     ties = ["by_text", "by_row"] if leaves is not None else ["by_text", "by_row", "by_copy"]
-    cuts = kd_tree(rows, ["by_length", "by_lang", "by_text"], ties, "size", leaves, target_bytes or 0)
-    numbers = {leaf: i for i, leaf in enumerate(_leaves(cuts))}
-    named = F.create_map(*[F.lit(x).cast("int") for pair in numbers.items() for x in pair])
-    placed = rows.withColumn("shard", named[_node_of(cuts)])
-    return with_slots(placed, "shard", max(1, math.ceil(total["n"] / (leaves or len(numbers)) / SLOT_ROWS))).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
-def _leaves(cuts: dict[int, list[tuple[str, int]]], node: int = 1) -> list[int]:
-    return [*_leaves(cuts, 2 * node), *_leaves(cuts, 2 * node + 1)] if node in cuts else [node]
+    placed, levels = kd_tree(rows, ["by_length", "by_lang", "by_source", "by_id"], ties, "size", leaves, target_bytes or 0)
+    cut = {n for cuts in levels for n in cuts}
+    found = [*({1} - cut), *(c for n in cut for c in (2 * n, 2 * n + 1) if c not in cut)]
+    # Leaves are numbered from left to right: by their paths from the root.
+    numbers = sorted(found, key=lambda n: bin(n)[3:] + "2")
+    named = F.broadcast(docs.sparkSession.createDataFrame(list(zip(numbers, range(len(numbers)), strict=True)), "leaf long, shard int"))
+    numbered = placed.join(named, F.col("node") == F.col("leaf"))
+    return with_slots(numbered, "shard", max(1, math.ceil(total["n"] / (leaves or len(numbers)) / SLOT_ROWS))).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _place_of(name: str) -> Column:
+    """The first six bytes of a string as a number; null and empty: 0."""
+    first = F.substring(F.hex(F.encode(F.coalesce(F.col(name).cast("string"), F.lit("")), "UTF-8")), 1, 12)
+    return F.coalesce(F.conv(F.rpad(first, 12, "0"), 16, 10).cast("long"), F.lit(0).cast("long"))
 
 
 def with_slots(placed: DataFrame, shard_col: str, runs: int) -> DataFrame:

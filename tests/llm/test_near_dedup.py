@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfold.llm import common
 from lumenfold.llm import near_dedup as nd
 from lumenfold.llm.components import connected_components
 
@@ -99,9 +100,9 @@ def test_hot_keys_are_met_by_broadcast(spark, monkeypatch):
         rows.append((i, " ".join(words), "en", "s", 1))
     df = spark.createDataFrame(rows, DOCS)
     monkeypatch.setattr(nd, "BLOCK_DOCS", 20)
-    monkeypatch.setattr(nd, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
     check(df, rows, 85)
-    monkeypatch.setattr(nd, "HOT_ROWS", 10**6)
+    monkeypatch.setattr(common, "HOT_ROWS", 10**6)
     check(df, rows, 85)
 
 
