@@ -11,7 +11,7 @@ import re
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,9 @@ BREAK = r"[.!?;:\n\r]+"
 GAP = r"[^A-Za-z0-9$+\-]+"
 DASHES = "–—−‑‒"
 
+# What is stripped at a line's ends: all white space but LF.
+BLANKS = r"[\x09\x0B-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
 # Classes of atoms by pattern, first match first.
 MONEY = r"^[+-]?\$\s*\d[\d,]*(?:\.\d+)?$"
 PERCENT = r"^[+-]?\d+(?:\.\d+)?%$"
@@ -48,12 +51,14 @@ def normalize_lines(text: Column) -> Column:
     """Line-wise clean-up, after NFKC where that is wanted; null gives an empty text.
 
     NULs go, line ends become LF, blanks collapse and are stripped per line,
-    runs of blank lines become one, and leading and trailing ones go.
+    runs of blank lines become one, and leading and trailing ones go. Only LF
+    ends a line; other separators (NEL, U+2028, U+001C to U+001F) are blanks at
+    a line's ends and stay inside it.
     """
     out = F.replace(F.coalesce(text, F.lit("")), F.lit("\0"), F.lit(""))
     out = F.regexp_replace(out, r"\r\n?", "\n")
     out = F.regexp_replace(out, r"[\t\f\x0B ]+", " ")
-    out = F.regexp_replace(out, r"(?U)(?m)^[\s&&[^\n]]+|[\s&&[^\n]]+$", "")
+    out = F.regexp_replace(out, f"(?dm)^{BLANKS}+|{BLANKS}+$", "")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     return F.regexp_replace(out, r"^\n+|\n+$", "")
 
@@ -120,26 +125,47 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def token_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_SPAN = pa.struct([("ord", pa.int32()), ("surface", pa.string()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("run", pa.int32())])
+_TOKEN, _GAP, _BREAK = re.compile(TOKEN, re.ASCII), re.compile(GAP), re.compile(BREAK)
+
+
+def spans_of(text: str) -> list[tuple[int, str, int, int, int]]:
+    """(ord, surface, start, end, run) of each token."""
+    out, run, done = [], 0, 0
+    for n, m in enumerate(_TOKEN.finditer(text)):
+        between = text[done : m.start()]
+        if between and _BREAK.search(between):
+            run += sum(_BREAK.search(g) is not None for g in _GAP.findall(between))
+        done = m.end()
+        out.append((n, m.group(), m.start(), done, run))
+    return out
+
+
+_SPAN_TYPE = T.StructType([T.StructField(f.name, T.StringType() if f.type == pa.string() else T.IntegerType()) for f in _SPAN])
+
+
+@F.arrow_udf(T.ArrayType(_SPAN_TYPE))
+def _spans(texts: pa.Array) -> pa.Array:
+    found = [spans_of(t or "") for t in texts.to_pylist()]
+    columns = list(zip(*[s for spans in found for s in spans], strict=True)) or [()] * 5
+    flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SPAN, strict=True)], fields=list(_SPAN))
+    offsets = [0]
+    for spans in found:
+        offsets.append(offsets[-1] + len(spans))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+
+
+def token_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
     """(id, ord, surface, start_char, end_char, run): tokens with offsets in code points.
 
-    The text is cut into tokens and what lies between them; offsets are running
-    lengths of the pieces, and ``run`` counts the sentence breaks before a
-    token, so that tokens of one run have no break between them. The window
-    lies within one document.
+    ``run`` counts the sentence breaks before a token, so that tokens of one
+    run have no break between them. A text is read within its row, without a
+    shuffle: rows that repeat an id, or have none, are texts of their own;
+    ``row`` names a column to tell them apart. A null text has no tokens.
     """
-    pieces = docs.select(id_col, F.posexplode(F.regexp_extract_all(text_col, F.lit(f"(?s){TOKEN}|{GAP}|."), F.lit(0))).alias("piece", "surface"))
-    before = Window.partitionBy(id_col).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    is_token = F.col("surface").rlike(f"^(?:{TOKEN})$")
-    placed = pieces.select(
-        id_col,
-        "surface",
-        is_token.alias("is_token"),
-        F.coalesce(F.sum(F.length("surface")).over(before), F.lit(0)).cast("int").alias("start_char"),
-        F.coalesce(F.sum((~is_token & F.col("surface").rlike(BREAK)).cast("int")).over(before), F.lit(0)).cast("int").alias("run"),
-        F.coalesce(F.sum(is_token.cast("int")).over(before), F.lit(0)).cast("int").alias("ord"),
-    )
-    return placed.where("is_token").select(id_col, "ord", "surface", "start_char", (F.col("start_char") + F.length("surface")).alias("end_char"), "run")
+    ids = [F.col(id_col), *([F.monotonically_increasing_id().alias(row)] if row else [])]
+    found = docs.select(*ids, _spans(F.col(text_col).cast("string")).alias("spans"))
+    return found.select(id_col, *([row] if row else []), F.inline("spans"))
 
 
 def atom_class(surface: Column) -> Column:

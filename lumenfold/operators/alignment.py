@@ -18,13 +18,13 @@ def align_right_edge(spans: DataFrame, tokens: DataFrame, key: str = "doc_id") -
     under every bin of characters it touches, a span looks in the one bin of
     its last character: an equi-join on (key, bin), so the pairs compared per
     document grow with its length, not with its square. Of several tokens the
-    first wins.
+    first wins. Repeated spans stay as many rows.
     """
     listed = tokens.withColumn("bin", F.explode(F.sequence(F.floor(F.col("token_start") / BIN), F.floor((F.col("token_end") - 1) / BIN))))
-    edge = spans.withColumn("edge", F.col("end_char") - 1).withColumn("bin", F.floor(F.col("edge") / BIN))
+    edge = spans.withColumn("span_row", F.monotonically_increasing_id()).withColumn("edge", F.col("end_char") - 1).withColumn("bin", F.floor(F.col("edge") / BIN))
     joined = edge.join(listed, [key, "bin"]).where("token_start <= edge AND edge < token_end")
     rest = list(spans.columns)
-    return joined.groupBy(*rest).agg(F.min("token_index").alias("token_index"))
+    return joined.groupBy("span_row", *rest).agg(F.min("token_index").alias("token_index")).drop("span_row")
 
 
 def unaligned(spans: DataFrame, tokens: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -9,9 +9,13 @@ else as text. Predicates are two-valued: nothing is ever null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.sources.storage import broadcast_if_small, checkpoint
+
 OPERATORS = ("EXISTS", "MISSING", "EQ", "NE", "GT", "GTE", "LT", "LTE")
 #: Effect types and the result column that each one feeds.
 EFFECTS = {
@@ -32,15 +36,48 @@ def first_present(facts: DataFrame) -> DataFrame:
 
 
 def compare(op: Column, left: Column, right: Column) -> Column:
-    """EQ to LTE, on numbers where both sides are some, else on text; anything unknown raises."""
-    a, b = (c.try_cast("decimal(38,6)") for c in (left, right))
-    numeric = a.isNotNull() & b.isNotNull()
-    order = F.when(numeric, F.signum((a - b).cast("double"))).when(left < right, -1.0).when(left > right, 1.0).otherwise(0.0)
+    """EQ to LTE, on numbers where both sides are some, else on text; anything unknown raises.
+
+    Numbers compare exactly: by their whole part, then by up to 37 decimals.
+    """
+    numbers = F.struct(_number(left).alias("a"), _number(right).alias("b"), left.cast("string").alias("left"), right.cast("string").alias("right"))
+
+    def order(x: Column) -> Column:
+        numeric = x["a"]["whole"].isNotNull() & x["b"]["whole"].isNotNull()
+        side = lambda p, q: F.when(p < q, -1).when(p > q, 1)
+        by_number = F.coalesce(side(x["a"]["whole"], x["b"]["whole"]), side(x["a"]["rest"], x["b"]["rest"]), F.lit(0))
+        return F.when(numeric, by_number).otherwise(F.coalesce(side(x["left"], x["right"]), F.lit(0)))
+
     code = F.upper(op)
-    return (
-        F.when(code == "EQ", order == 0).when(code == "NE", order != 0).when(code == "GT", order > 0).when(code == "GTE", order >= 0).when(code == "LT", order < 0).when(code == "LTE", order <= 0)
-        .otherwise(F.raise_error(F.concat(F.lit("unknown operator "), op)))
-    )
+
+    def holds(o: Column) -> Column:
+        return (
+            F.when(code == "EQ", o == 0).when(code == "NE", o != 0).when(code == "GT", o > 0).when(code == "GTE", o >= 0).when(code == "LT", o < 0).when(code == "LTE", o <= 0)
+            .otherwise(F.raise_error(F.concat(F.lit("unknown operator "), op)))
+        )
+
+    return _let(_let(numbers, order), holds)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _number(value: Column) -> Column:
+    """struct(whole, rest): a number's whole part and its decimals, both signed; null where the text is no number."""
+    text = F.trim(value.cast("string"))
+    plain = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$")
+    # Other spellings (exponents) are written out by the decimal type.
+    digits = F.when(plain, text).otherwise(text.try_cast("decimal(38,12)").cast("string"))
+
+    def parts(d: Column) -> Column:
+        sign = F.when(d.startswith("-"), "-").otherwise("")
+        whole = F.concat(sign, F.lit("0"), F.regexp_extract(d, r"^[+-]?0*(\d*)", 1))
+        rest = F.concat(sign, F.rpad(F.substring(F.regexp_extract(d, r"\.(\d*)", 1), 1, 37), 37, "0"))
+        return F.struct(whole.try_cast("decimal(38,0)").alias("whole"), rest.try_cast("decimal(38,0)").alias("rest"))
+
+    return _let(digits, parts)
 
 
 def condition_holds(op: Column, present: Column, left: Column, right: Column) -> Column:
@@ -52,28 +89,37 @@ def condition_holds(op: Column, present: Column, left: Column, right: Column) ->
 def activated(scenarios: DataFrame, rules: DataFrame, facts: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """(scenario_id, rule_id) of rules all of whose conditions hold; no conditions: active.
 
-    Rules are configuration, a driver-side table of known size, and are
-    broadcast; scenarios and facts meet in one equi-join on (scenario, concept).
+    Conditions meet facts on the concept and are counted: a rule is active where
+    as many hold as it has, and no MISSING one meets a fact. Rules that need no
+    fact are active wherever nothing speaks against them; these alone are paired
+    with every scenario, which is their result.
     """
     listed = rules.select("rule_id", F.posexplode_outer("conditions").alias("n", "c")).select("rule_id", "n", "c.*")
     if values is not None:
         known = values.select(F.col("value_id").alias("value_ref"), F.col("value").cast("string").alias("resolved"))
-        listed = listed.join(F.broadcast(known), "value_ref", "left")
+        listed = listed.join(known, "value_ref", "left")
     else:
         listed = listed.withColumn("resolved", F.lit(None).cast("string"))
     listed = listed.withColumn("right", F.when(F.col("value_ref").isNotNull(), F.col("resolved")).otherwise(F.col("value"))).select("rule_id", "n", "concept_id", "operator", "right")
-    pairs = scenarios.select("scenario_id").crossJoin(F.broadcast(listed))
-    held = first_present(facts).select("scenario_id", "concept_id", F.col("value").cast("string").alias("left"), F.lit(True).alias("present"))
-    joined = pairs.join(held, ["scenario_id", "concept_id"], "left")
-    ok = F.when(F.col("n").isNull(), F.lit(True)).otherwise(condition_holds(F.col("operator"), F.coalesce("present", F.lit(False)), F.col("left"), F.col("right")))
-    return joined.groupBy("scenario_id", "rule_id").agg(F.bool_and(ok).alias("active")).where("active").select("scenario_id", "rule_id")
+    held = first_present(facts).select("scenario_id", "concept_id", F.col("value").cast("string").alias("left"))
+    missing = F.upper("operator") == "MISSING"
+    listed = broadcast_if_small(checkpoint(listed))
+    met = scenarios.select("scenario_id").distinct().join(held, "scenario_id").join(listed.where("n IS NOT NULL"), "concept_id")
+    ok = condition_holds(F.col("operator"), F.lit(True), F.col("left"), F.col("right"))
+    counts = met.groupBy("scenario_id", "rule_id").agg(F.count_if(missing).alias("against"), F.count_if(~missing & ok).alias("held"))
+    needs = listed.groupBy("rule_id").agg(F.count_if(F.col("n").isNotNull() & ~F.coalesce(missing, F.lit(False))).alias("needed"))
+    needs = broadcast_if_small(checkpoint(needs))
+    full = counts.join(needs.where("needed > 0"), "rule_id").where("against = 0 AND held = needed").select("scenario_id", "rule_id")
+    free = scenarios.select("scenario_id").distinct().crossJoin(needs.where("needed = 0").select("rule_id"))
+    against = counts.where("against > 0").select("scenario_id", "rule_id")
+    return full.unionByName(free.join(against, ["scenario_id", "rule_id"], "left_anti"))
 
 
 def analyse(scenarios: DataFrame, rules: DataFrame, facts: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Per scenario the sorted distinct outcome lists of its active rules, and its status."""
     active = activated(scenarios, rules, facts, values)
     effects = rules.select("rule_id", F.explode("effects").alias("e")).select("rule_id", F.upper("e.effect_type").alias("effect"), "e.target")
-    reached = active.join(F.broadcast(effects), "rule_id", "left")
+    reached = active.join(broadcast_if_small(effects), "rule_id", "left")
     known = facts.where("state = 'present'").select("scenario_id", F.col("concept_id").alias("target")).distinct().withColumn("known", F.lit(True))
     reached = reached.join(known, ["scenario_id", "target"], "left")
     counts = lambda kind: (F.col("effect") == kind) & (F.lit(True) if kind != "REQUIRE_INFORMATION" else F.col("known").isNull())

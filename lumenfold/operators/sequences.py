@@ -75,8 +75,8 @@ def unflatten(flat: Column, width: int = 24) -> Column:
 
 
 def without_overflow(records: DataFrame, limit: int, ids_col: str = "input_ids") -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): sequences beyond the limit are rejected, never cut."""
-    long_ = F.size(ids_col) > limit
+    """(accepted, rejected): sequences beyond the limit are rejected, never cut; a null one is accepted."""
+    long_ = F.coalesce(F.size(ids_col) > limit, F.lit(False))
     return records.where(~long_), records.where(long_)
 
 

@@ -59,12 +59,12 @@ class Build:
             every = every.unionByName(scenarios.mark_unknown(base, concept).select(*cols).withColumn("origin", F.lit("mutated")))
         every = checkpoint(every)
         analysed = rules.analyse(every, rules.active_rules(rule_rows, c["tax_year"]), scenarios.facts_of(every))
-        full = every.join(analysed, "scenario_id")
+        full = every.join(analysed, "scenario_id", "left")
         tasks = F.array(*map(F.lit, c["tasks"]))
         full = checkpoint(full.withColumn("structure", scenarios.structural_fingerprint(F.col("facts"), F.col("events"), F.col("documents"), tasks)))
         self.enter("SPLITTING")
         placed = clusters.clusters(full, "scenario_id", "family_id", "structure")
-        split = checkpoint(full.join(placed.select("scenario_id", "cluster_id", "split"), "scenario_id"))
+        split = checkpoint(full.join(placed.select("scenario_id", "cluster_id", "split"), "scenario_id", "left"))
         self.enter("VALIDATING")
         problems = self.validate(split, rule_rows)
         if problems:
@@ -82,7 +82,8 @@ class Build:
 
     def validate(self, split: DataFrame, rule_rows: DataFrame) -> list[str]:
         """Leakage across splits, and outcomes that a second analysis does not confirm."""
-        problems = []
+        lost = split.where(F.col("status").isNull() | F.col("cluster_id").isNull()).count()
+        problems = [f"NO-CLUSTER: {lost} scenarios without an analysis or a cluster"] if lost else []
         for key in ("family_id", "structure"):
             n = corpus.leakage(split, F.col(key), F.col("split")).count()
             problems += [f"SPLIT-LEAKAGE: {n} values of {key}"] if n else []

@@ -24,18 +24,22 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.corpus_totals(table(spark, sf_dir, "documents"))
 
 
-_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(0), ''), '\r\n?', chr(10), 'g'), '[\t\f\v ]+', ' ', 'g'), '(?m)^[ ]+|[ ]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')"
+# Blanks of many kinds are put in first, so that the rules act.
+_ODD = "(chr(8232) || ' ' || replace(coalesce(text, ''), ', ', ',' || chr(13) || chr(10) || chr(12288) || chr(9) || ' ' || chr(8232) || ' ') || chr(133) || chr(28) || chr(10) || chr(10))"
+_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(@ODD, chr(0), ''), '\r\n?', chr(10), 'g'), '[\t\f\v ]+', ' ', 'g'), '(?m)^[\t\v-\r\x{1c}-\x{20}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+|[\t\v-\r\x{1c}-\x{20}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')".replace("@ODD", _ODD)
 
 
 @query(f"SELECT doc_id, sha256({_NORMAL}) AS text_hash, length({_NORMAL}) AS characters FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = text.normalize_lines(F.col("text"))
+    odd = F.concat(F.lit("\u2028 "), F.replace(F.coalesce("text", F.lit("")), F.lit(", "), F.lit(",\r\n\u3000\t \u2028 ")), F.lit("\x85\x1c\n\n"))
+    clean = text.normalize_lines(odd)
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(clean, 256).alias("text_hash"), F.length(clean).cast("long").alias("characters"))
 
 
 @query("SELECT doc_id, sha256(nfc_normalize(coalesce(text, ''))) AS text_hash FROM documents")
 def normalize_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.nfkc(F.coalesce("text", F.lit(""))), 256).alias("text_hash"))
+    """Full-width letters are put in first; compatibility normalisation gives the plain ones back."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.nfkc(F.translate(F.coalesce("text", F.lit("")), "abcXYZ17", "ａｂｃＸＹＺ１７")), 256).alias("text_hash"))
 
 
 @query("""SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS total, round(avg(length(text)), 6) AS mean, median(length(text)) AS median, quantile_disc(length(text), 0.9)::BIGINT AS p90,
@@ -171,36 +175,37 @@ j AS (SELECT f.doc_id, t.ord AS token_index, f.feature_id FROM f JOIN (SELECT *,
 SELECT doc_id, count(DISTINCT token_index * 16777216::BIGINT + feature_id) AS aligned, sum(token_index)::BIGINT AS index_sum, sum(feature_id)::BIGINT AS feature_sum FROM j GROUP BY doc_id""")
 def range_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word pairs aligned to the token that holds their last character."""
-    spans = text.token_spans(table(spark, sf_dir, "documents"))
+    spans = checkpoint(text.token_spans(table(spark, sf_dir, "documents"), row="row"))
     keyed = spans.withColumn("key", text.atom_key(text.canonical_surface(F.col("surface"))))
-    run = Window.partitionBy("doc_id", "run").orderBy("ord")
-    pairs = keyed.select("doc_id", "start_char", F.lead("end_char").over(run).alias("end_char"), F.concat("key", F.lit(" "), F.lead("key").over(run)).alias("key")).where("end_char IS NOT NULL")
-    features = pairs.select("doc_id", "start_char", "end_char", F.conv(F.substring(F.sha2("key", 256), 1, 6), 16, 10).cast("int").alias("feature_id"))
-    tokens = spans.select("doc_id", F.col("ord").alias("token_index"), F.col("start_char").alias("token_start"), F.col("end_char").alias("token_end"))
-    aligned = alignment.align_right_edge(features, tokens)
+    run = Window.partitionBy("row", "run").orderBy("ord")
+    pairs = keyed.select("row", "doc_id", "start_char", F.lead("end_char").over(run).alias("end_char"), F.concat("key", F.lit(" "), F.lead("key").over(run)).alias("key")).where("end_char IS NOT NULL")
+    features = pairs.select("row", "doc_id", "start_char", "end_char", F.conv(F.substring(F.sha2("key", 256), 1, 6), 16, 10).cast("int").alias("feature_id"))
+    tokens = spans.select("row", F.col("ord").alias("token_index"), F.col("start_char").alias("token_start"), F.col("end_char").alias("token_end"))
+    aligned = alignment.align_right_edge(features, tokens, "row")
     return aligned.groupBy("doc_id").agg(F.count_distinct("token_index", "feature_id").alias("aligned"), F.sum("token_index").alias("index_sum"), F.sum("feature_id").alias("feature_sum"))
 
 
 @query()
 def token_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word n-grams, aliases (as single words) and character n-grams of every document, hashed, aligned and cut to the best 24 per token."""
-    spans = text.token_spans(table(spark, sf_dir, "documents")).withColumn("key", text.atom_key(text.canonical_surface(F.col("surface"))))
-    run = Window.partitionBy("doc_id", "run").orderBy("ord")
+    spans = checkpoint(text.token_spans(table(spark, sf_dir, "documents"), row="row").withColumn("key", text.atom_key(text.canonical_surface(F.col("surface")))))
+    run = Window.partitionBy("row", "run").orderBy("ord")
     words = None
     for n in (1, 2, 3, 4):
         keys = [F.col("key"), *[F.lead("key", i).over(run) for i in range(1, n)]]
         whole = keys[-1].isNotNull()
-        part = spans.select("doc_id", "ord", F.when(whole, F.concat_ws(" ", *keys)).alias("key"), F.lead("ord", n - 1).over(run).alias("token_index") if n > 1 else F.col("ord").alias("token_index")).where("key IS NOT NULL").select("doc_id", "token_index", F.lit("word").alias("kind"), F.lit(n).alias("ord"), "key")
+        part = spans.select("row", "doc_id", "ord", F.when(whole, F.concat_ws(" ", *keys)).alias("key"), F.lead("ord", n - 1).over(run).alias("token_index") if n > 1 else F.col("ord").alias("token_index")).where("key IS NOT NULL").select("row", "doc_id", "token_index", F.lit("word").alias("kind"), F.lit(n).alias("ord"), "key")
         words = part if words is None else words.unionByName(part)
-    chars = spans.where(text.char_gram_eligible(F.col("surface"), F.col("key"))).select("doc_id", F.col("ord").alias("token_index"), F.explode(text.char_grams(F.col("key"))).alias("g")).select("doc_id", "token_index", F.lit("char").alias("kind"), F.col("g.order").alias("ord"), "g.key")
+    chars = spans.where(text.char_gram_eligible(F.col("surface"), F.col("key"))).select("row", "doc_id", F.col("ord").alias("token_index"), F.explode(text.char_grams(F.col("key"))).alias("g")).select("row", "doc_id", "token_index", F.lit("char").alias("kind"), F.col("g.order").alias("ord"), "g.key")
     canonical = words.unionByName(chars).withColumn("alias", F.lit(False))
-    aliases = spans.select("doc_id", F.col("ord").alias("token_index"), F.lit("word").alias("kind"), F.lit(1).alias("ord"), F.explode(text.atom_aliases(text.canonical_surface(F.col("surface")))).alias("key"), F.lit(True).alias("alias"))
+    aliases = spans.select("row", "doc_id", F.col("ord").alias("token_index"), F.lit("word").alias("kind"), F.lit(1).alias("ord"), F.explode(text.atom_aliases(text.canonical_surface(F.col("surface")))).alias("key"), F.lit(True).alias("alias"))
     hashed = canonical.unionByName(aliases).withColumn("h", hashing.feature_hash()(hashing.namespace(F.col("kind"), F.col("ord")), F.col("key")))
-    top = alignment.top_features(hashed.select("doc_id", "token_index", "kind", "ord", "alias", F.col("h.feature_id").alias("feature_id")))
+    top = alignment.top_features(hashed.select("row", "token_index", "kind", "ord", "alias", F.col("h.feature_id").alias("feature_id")), "row")
+    top = top.join(spans.select("row", "doc_id").distinct(), "row")
     return top.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum(F.size("feature_ids")).alias("selected"), F.sum("dropped").alias("dropped"), F.count_if(F.col("dropped") > 0).alias("hitting_cap"))
 
 
-@query("""WITH RECURSIVE k AS (SELECT doc_id, source || ':' || lang || ':' || (n_chars // 40) AS a, substr(sha256(text), 1, 12) AS b FROM documents),
+@query("""WITH RECURSIVE k AS (SELECT doc_id, source || ':' || lang || ':' || (n_chars // 40) AS a, sha256(text) AS b FROM documents),
 e AS (SELECT x.doc_id AS u, y.m AS v FROM k x JOIN (SELECT a, min(doc_id) AS m FROM k GROUP BY a) y USING (a) UNION SELECT x.doc_id, y.m FROM k x JOIN (SELECT b, min(doc_id) AS m FROM k GROUP BY b) y USING (b)),
 l AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT doc_id AS n, doc_id AS c FROM k UNION SELECT l.v, r.c FROM r JOIN l ON r.n = l.u WHERE r.c < l.v),
 m AS (SELECT n AS doc_id, min(c) AS component FROM r GROUP BY n), s AS (SELECT component, 'CLUSTER-' || substr(sha256('[[' || string_agg('"' || doc_id || '"', ',' ORDER BY doc_id::VARCHAR) || ']]'), 1, 20) AS cluster_id FROM m GROUP BY component),
@@ -209,7 +214,7 @@ SELECT doc_id, component, cluster_id, bucket, CASE WHEN bucket < 8000 THEN 'trai
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of documents that share a text, or source, language and length class."""
     docs = table(spark, sf_dir, "documents")
-    keyed = docs.select("doc_id", F.concat_ws(":", "source", "lang", F.floor(F.col("n_chars") / 40).cast("string")).alias("a"), F.substring(F.sha2("text", 256), 1, 12).alias("b"))
+    keyed = docs.select("doc_id", F.concat_ws(":", "source", "lang", F.floor(F.col("n_chars") / 40).cast("string")).alias("a"), F.sha2("text", 256).alias("b"))
     return clusters.clusters(keyed, "doc_id", "a", "b")
 
 

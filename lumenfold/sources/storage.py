@@ -10,17 +10,29 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows that a broadcast side may have; larger sides are shuffled instead.
+BROADCAST_ROWS = 500_000
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; a folder is made only where none is set."""
+    """A reliable checkpoint in ``spark.checkpoint.dir``; a folder is made only where none is set and the master is local."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenfold-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="lumenfold-"))
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``F.broadcast(df)`` if a count, which stops one row later, shows at most ``limit`` rows, else ``df``."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def canonical_json(value: Any) -> str:
     """Sorted keys, no blanks, UTF-8; other types by their text."""
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), default=str)
