@@ -42,6 +42,25 @@ def test_sketch_finds_every_item_at_the_bound():
         assert p == missing
 
 
+def test_partitions_change_nothing():
+    """Items of all size classes in documents around the fewest words that can match, against every pair compared."""
+    items = [(k, prose(200 + k, size).encode()) for k, size in enumerate((5, 6, 9, 12, 17, 36, 70, 140))]
+    index = dc.ItemIndex(items, 80)
+    assert [p.need for p in index.partitions] == sorted(p.need for p in index.partitions) and len(index.partitions) > 4
+
+    def shingles(text):
+        words = dc.words_of(text)
+        return {b" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+    for _, text in items:
+        words = text.split()
+        for cut in {1, len(words) // 2, *range(max(1, int(len(words) * 0.75)), len(words) + 1)}:
+            doc = b" ".join(words[:cut])
+            want = {(i, len(shingles(t)), len(shingles(t) & shingles(doc))) for i, t in items if len(shingles(t) & shingles(doc)) * 100 >= 80 * len(shingles(t))}
+            assert set(index.matches(doc)) == want
+            assert set(index.matches(b"x " * 400 + doc + b" y" * 400)) >= {m for m in want if m[1] > 1}
+
+
 def test_filter_and_odd_tables(planted, clashing, empty):
     docs, items = planted
     kept = dc.drop_contaminated(docs, items)
