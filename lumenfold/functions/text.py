@@ -168,6 +168,11 @@ def token_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(id_col, *([row] if row else []), F.inline("spans"))
 
 
+def span_array(text: Column) -> Column:
+    """A text's tokens as an array of struct(ord, surface, start_char, end_char, run)."""
+    return _spans(text.cast("string"))
+
+
 def atom_class(surface: Column) -> Column:
     """Class of a lower-cased, dash-folded surface."""
     return (

@@ -78,6 +78,28 @@ def tokenize_chat(rows: DataFrame, factory: Callable[[], Tokenizer] = word_token
     return cut.select("*", F.col("tokens.ids").alias("input_ids"), F.col("tokens.spans").alias("spans"), F.transform("tokens.spans", lambda s: inside(s).cast("int")).alias("assistant_mask")).drop("tokens")
 
 
+def align_messages(rows: DataFrame, factory: Callable[[], Tokenizer] = word_tokenizer, special: tuple[int, ...] = (), direct: Callable[[], Tokenizer] | None = None) -> DataFrame:
+    """Adds ``alignment``: total, content, control, special and cross-segment tokens of each row of messages.
+
+    Content tokens lie wholly inside one message and are not special; all
+    others are control tokens, and those that reach over a message's border
+    are counted as crossing too. ``direct`` is the tokenizer whose ids are
+    authoritative: a row for which the two streams differ raises.
+    """
+    cut = tokenize_chat(rows, factory)
+    if direct is not None:
+        same = tokenize(direct)("rendered")["ids"] == F.col("input_ids")
+        cut = cut.withColumn("input_ids", F.when(same, F.col("input_ids")).otherwise(F.raise_error(F.lit("the direct and the offset token stream differ"))))
+    marks = F.array(*map(F.lit, special)).cast("array<int>")
+    touched = lambda s: F.exists("segments", lambda g: (g["start"] < s["end"]) & (s["start"] < g["end"]))
+    inside = lambda s: F.exists("segments", lambda g: (g["start"] <= s["start"]) & (s["end"] <= g["end"]))
+    kinds = F.zip_with("input_ids", "spans", lambda i, s: F.struct(F.array_contains(marks, i).alias("special"), inside(s).alias("inside"), touched(s).alias("touched")))
+    count = lambda f: F.size(F.filter("kinds", f))
+    content = count(lambda k: k["inside"] & ~k["special"])
+    found = cut.withColumn("kinds", kinds)
+    return found.withColumn("alignment", F.struct(F.size("kinds").alias("total_tokens"), content.alias("content_tokens"), (F.size("kinds") - content).alias("control_tokens"), count(lambda k: k["special"]).alias("special_tokens"), count(lambda k: k["touched"] & ~k["inside"] & ~k["special"]).alias("crossing_tokens"))).drop("kinds")
+
+
 def capabilities(factory: Callable[[], Tokenizer] = word_tokenizer, probe: str = "a1 é!\n") -> dict[str, bool]:
     """What a tokenizer can do, tried on a probe."""
     ids, spans = factory()(probe)

@@ -83,20 +83,55 @@ class ReleaseError(RuntimeError):
     pass
 
 
+def audit_sources(registry: DataFrame, actual: DataFrame) -> DataFrame:
+    """Sources of a registry (source_id, raw_path, sha256) whose file is missing or has another hash: (source_id, code, severity).
+
+    A registry entry without a hash, or with the placeholder, only has to be there.
+    """
+    there = actual.select(F.col("path").alias("raw_path"), F.lower("sha256").alias("s"))
+    known = F.col("sha256").isNotNull() & ~F.col("sha256").isin("", "REPLACE_ME")
+    code = F.when(F.col("s").isNull(), "SRC-MISSING-RAW").when(known & (F.col("s") != F.lower("sha256")), "SRC-HASH-MISMATCH")
+    found = registry.join(there, "raw_path", "left").select("source_id", code.alias("code")).where("code IS NOT NULL")
+    return found.withColumn("severity", F.when(F.col("code") == "SRC-MISSING-RAW", "ERROR").otherwise("FATAL"))
+
+
+def stale(stored: DataFrame, recomputed: DataFrame, key: str, hashes: tuple[str, ...] = ("content", "semantic", "structural")) -> DataFrame:
+    """(key, part, problem): hashes of stored rows that a recomputation does not confirm, and rows on one side only."""
+    a = stored.select(key, F.struct(*hashes).alias("a"))
+    b = recomputed.select(key, F.struct(*hashes).alias("b"))
+    both = a.join(b, key, "full_outer")
+    lone = F.when(F.col("a").isNull(), "missing stored").when(F.col("b").isNull(), "missing recomputed")
+    differing = [F.when(~F.col("a")[h].eqNullSafe(F.col("b")[h]), F.struct(F.lit(h).alias("part"), F.lit("different").alias("problem"))) for h in hashes]
+    alone = F.array(F.struct(F.lit("row").alias("part"), lone.alias("problem")))
+    return both.select(key, F.inline(F.when(lone.isNotNull(), alone).otherwise(F.filter(F.array(*differing), lambda x: x.isNotNull()))))
+
+
 def freeze(df: DataFrame, folder: str, release_id: str, evidence: dict[str, bool] | None = None, *partition_by: str) -> dict[str, Any]:
     """Write a table as a release that is never overwritten, and its sealed manifest.
 
-    Every piece of evidence must hold. The manifest lists each file with size
-    and hash; ``verify_release`` checks a release against it.
+    Every piece of evidence must hold. All is written and hashed in a staging
+    folder beside the release and then renamed, so a crash leaves no half
+    release; what an earlier crash left in staging goes. The manifest lists
+    each file with size and hash; ``verify_release`` checks a release by it.
     """
     missing = [k for k, ok in (evidence or {}).items() if not ok]
     if missing:
         raise ReleaseError("evidence is missing: " + ", ".join(missing))
     spark = df.sparkSession
-    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(f"{folder}/data")
-    files = file_records(spark, f"{folder}/data").orderBy("path").collect()
-    manifest = sealed({"release_id": release_id, "status": "FROZEN", "files": [r.asDict() for r in files], "records": spark.read.parquet(f"{folder}/data").count()})
-    spark.createDataFrame([(content_hash(release_id), json.dumps(manifest))], "id string, manifest string").coalesce(1).write.mode("errorifexists").json(f"{folder}/manifest")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    target = path(folder)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise ReleaseError(f"the release exists already: {folder}")
+    staging = path(path(target.getParent(), ".staging"), target.getName())
+    files.delete(staging, True)
+    place = staging.toString()
+    df.write.partitionBy(*partition_by).parquet(f"{place}/data")
+    listed = file_records(spark, f"{place}/data").orderBy("path").collect()
+    manifest = sealed({"release_id": release_id, "status": "FROZEN", "files": [r.asDict() for r in listed], "records": spark.read.schema(df.schema).parquet(f"{place}/data").count()})
+    spark.createDataFrame([(content_hash(release_id), json.dumps(manifest))], "id string, manifest string").coalesce(1).write.json(f"{place}/manifest")
+    if not files.rename(staging, target):
+        raise ReleaseError(f"the release could not be moved to {folder}")
     return manifest
 
 

@@ -202,3 +202,8 @@ def semantic_fingerprint(facts: Column, events: Column, documents: Column, task_
         F.lit(',"statuses":'), _json_pairs(task_status), F.lit(',"tax_year":'), year.cast("string"), F.lit("}]"),
     )
     return F.sha2(payload, 256)
+
+
+def content_fingerprint(scenario: Column, analysis: Column) -> Column:
+    """Hash of a scenario's and its analysis' canonical JSON texts; everything matters."""
+    return F.sha2(F.concat(F.lit("["), scenario, F.lit(","), analysis, F.lit("]")), 256)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import hashing, text
-from lumenfold.operators import alignment, clusters, corpus, sequences
+from lumenfold.operators import alignment, clusters, corpus, integrity, occurrences, sequences
 from lumenfold.plans.base import query, table
 from lumenfold.sources.storage import checkpoint
 
@@ -188,23 +188,54 @@ def range_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def token_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word n-grams, aliases (as single words) and character n-grams of every document, hashed, aligned and cut to the best 24 per token."""
-    spans = checkpoint(text.token_spans(table(spark, sf_dir, "documents"), row="row").withColumn("key", text.atom_key(text.canonical_surface(F.col("surface")))))
-    run = Window.partitionBy("row", "run").orderBy("ord")
-    words = None
-    for n in (1, 2, 3, 4):
-        keys = [F.col("key"), *[F.lead("key", i).over(run) for i in range(1, n)]]
-        whole = keys[-1].isNotNull()
-        part = spans.select("row", "doc_id", "ord", F.when(whole, F.concat_ws(" ", *keys)).alias("key"), F.lead("ord", n - 1).over(run).alias("token_index") if n > 1 else F.col("ord").alias("token_index")).where("key IS NOT NULL").select("row", "doc_id", "token_index", F.lit("word").alias("kind"), F.lit(n).alias("ord"), "key")
-        words = part if words is None else words.unionByName(part)
-    chars = spans.where(text.char_gram_eligible(F.col("surface"), F.col("key"))).select("row", "doc_id", F.col("ord").alias("token_index"), F.explode(text.char_grams(F.col("key"))).alias("g")).select("row", "doc_id", "token_index", F.lit("char").alias("kind"), F.col("g.order").alias("ord"), "g.key")
-    canonical = words.unionByName(chars).withColumn("alias", F.lit(False))
-    aliases = spans.select("row", "doc_id", F.col("ord").alias("token_index"), F.lit("word").alias("kind"), F.lit(1).alias("ord"), F.explode(text.atom_aliases(text.canonical_surface(F.col("surface")))).alias("key"), F.lit(True).alias("alias"))
-    hashed = canonical.unionByName(aliases).withColumn("h", hashing.feature_hash()(hashing.namespace(F.col("kind"), F.col("ord")), F.col("key")))
-    top = alignment.top_features(hashed.select("row", "token_index", "kind", "ord", "alias", F.col("h.feature_id").alias("feature_id")), "row")
-    top = top.join(spans.select("row", "doc_id").distinct(), "row")
+    found = occurrences.occurrences(table(spark, sf_dir, "documents"))
+    hashed = found.withColumn("h", hashing.feature_hash()(hashing.namespace(F.col("kind"), F.col("order")), F.col("key")))
+    candidates = hashed.select(F.struct("row", "doc_id").alias("of"), "token_index", "kind", F.col("order").alias("ord"), "alias", F.col("h.feature_id").alias("feature_id"))
+    top = alignment.top_features(candidates, "of").select("of.doc_id", "feature_ids", "dropped")
     return top.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum(F.size("feature_ids")).alias("selected"), F.sum("dropped").alias("dropped"), F.count_if(F.col("dropped") > 0).alias("hitting_cap"))
 
 
+_OCCURRENCES = f"""{_SPANS}, k AS (SELECT doc_id, ord, run, start_char, end_char, s, {_KEY} AS key FROM (SELECT *, lower(surface) AS s FROM t)),
+g AS (SELECT *, lead(key, 1) OVER w AS k2, lead(key, 2) OVER w AS k3, lead(key, 3) OVER w AS k4, lead(end_char, 1) OVER w AS e2, lead(end_char, 2) OVER w AS e3, lead(end_char, 3) OVER w AS e4 FROM k WINDOW w AS (PARTITION BY doc_id, run ORDER BY ord)),
+o AS (SELECT doc_id, 'word' AS kind, 1 AS n, key, start_char, end_char, false AS alias FROM k
+  UNION ALL SELECT doc_id, 'word', 1, unnest(list_distinct(list_filter({_ALIASES}, lambda x: x <> ''))[1:4]), start_char, end_char, true FROM k
+  UNION ALL SELECT doc_id, 'word', 2, key || ' ' || k2, start_char, e2, false FROM g WHERE k2 IS NOT NULL
+  UNION ALL SELECT doc_id, 'word', 3, key || ' ' || k2 || ' ' || k3, start_char, e3, false FROM g WHERE k3 IS NOT NULL
+  UNION ALL SELECT doc_id, 'word', 4, key || ' ' || k2 || ' ' || k3 || ' ' || k4, start_char, e4, false FROM g WHERE k4 IS NOT NULL
+  UNION ALL SELECT doc_id, 'char', m, substr(s, i + 1, m), start_char + i, start_char + i + m, false FROM (SELECT *, unnest(range(greatest(length(s) - m + 1, 0)))::INT AS i FROM k, (VALUES (3), (4), (5)) v(m) WHERE {_ELIGIBLE}))"""
+
+
+@query(f"{_OCCURRENCES} SELECT doc_id, count(*) FILTER (WHERE kind = 'word' AND n = 1) AS lexical_tokens, count(*) FILTER (WHERE alias) AS alias_tokens, count(*) FILTER (WHERE kind = 'word') AS word_occurrences, count(*) FILTER (WHERE kind = 'char') AS char_occurrences FROM o GROUP BY doc_id")
+def extraction_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return occurrences.extraction_statistics(occurrences.occurrences(table(spark, sf_dir, "documents")))
+
+
+@query(f"""{_OCCURRENCES}, placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_char, end_char, kind, n, key, alias) - 1 AS place FROM o)
+SELECT doc_id, max(place) AS last_place, sum((place * end_char + n) % 1000003)::BIGINT AS place_digest, sum((place + 1) * (('0x' || substr(sha256(key), 1, 4))::INT) % 1000003)::BIGINT AS key_digest FROM placed GROUP BY doc_id""")
+def ordered_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all n-grams of a document in reading order, as digests of place, offsets and key."""
+    found = occurrences.ordered(occurrences.occurrences(table(spark, sf_dir, "documents")))
+    place, number = F.col("place").cast("long"), F.conv(F.substring(F.sha2("key", 256), 1, 4), 16, 10).cast("long")
+    return found.groupBy("row", "doc_id").agg(F.max(place).alias("last_place"), F.sum((place * F.col("end_char") + F.col("order")) % 1000003).alias("place_digest"), F.sum((place + 1) * number % 1000003).alias("key_digest")).drop("row")
+
+
+@query(f"{_SPANS}, k AS (SELECT doc_id, start_char, end_char, lower(surface) AS s FROM t) SELECT doc_id, a AS key, start_char, end_char::INT AS end_char FROM (SELECT doc_id, start_char, end_char, unnest(list_distinct(list_filter({_ALIASES}, lambda x: x <> ''))[1:4]) AS a FROM k)")
+def alias_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alias tokens with the offsets of the words they stand for."""
+    return occurrences.lexical(table(spark, sf_dir, "documents")).where("alias").select("doc_id", "key", "start_char", "end_char")
+
+
+@query("""SELECT doc_id AS source_id, CASE WHEN doc_id % 5 = 0 THEN 'SRC-MISSING-RAW' ELSE 'SRC-HASH-MISMATCH' END AS code, CASE WHEN doc_id % 5 = 0 THEN 'ERROR' ELSE 'FATAL' END AS severity
+FROM documents WHERE doc_id % 5 = 0 OR (doc_id % 7 = 1 AND doc_id % 3 <> 0)""")
+def source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry of all documents as files: every fifth is missing, others changed; changed ones without a known hash pass."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("raw/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("h"))
+    known = F.when(F.col("doc_id") % 3 != 0, F.upper("h")).when(F.col("doc_id") % 2 == 0, F.lit("REPLACE_ME"))
+    registry = docs.select(F.col("doc_id").alias("source_id"), F.col("path").alias("raw_path"), known.alias("sha256"))
+    actual = docs.where("doc_id % 5 != 0").select("path", F.when(F.col("doc_id") % 7 == 1, F.sha2("h", 256)).otherwise(F.col("h")).alias("sha256"))
+    return integrity.audit_sources(registry, actual)
+
+
 @query("""WITH RECURSIVE k AS (SELECT doc_id, source || ':' || lang || ':' || (n_chars // 40) AS a, sha256(text) AS b FROM documents),
 e AS (SELECT x.doc_id AS u, y.m AS v FROM k x JOIN (SELECT a, min(doc_id) AS m FROM k GROUP BY a) y USING (a) UNION SELECT x.doc_id, y.m FROM k x JOIN (SELECT b, min(doc_id) AS m FROM k GROUP BY b) y USING (b)),
 l AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT doc_id AS n, doc_id AS c FROM k UNION SELECT l.v, r.c FROM r JOIN l ON r.n = l.u WHERE r.c < l.v),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions import tokenizer
 from lumenfold.operators import alignment, export, sequences
 from lumenfold.plans.base import query, table
 from lumenfold.sources import readers, writers
@@ -139,3 +140,23 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     both = turns.where("turn = 0").select("role").intersect(turns.where("turn = 2").select("role"))
     return turns.join(both, "role", "left_semi").groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
+
+
+_PAT = r"[\p{L}\p{N}_]+|\s+|[^\p{L}\p{N}_\s]"
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said, len(regexp_extract_all(text, '{_PAT}')) AS n, regexp_matches(text, '^\\s')::INT AS cut FROM conversations)
+SELECT conv_id, len(regexp_extract_all(string_agg(said, '' ORDER BY turn), '{_PAT}')) AS total_tokens, sum(n - cut)::BIGINT AS content_tokens, (len(regexp_extract_all(string_agg(said, '' ORDER BY turn), '{_PAT}')) - sum(n - cut))::BIGINT AS control_tokens,
+  length(string_agg(said, '')) - length(replace(string_agg(said, ''), '|', '')) AS special_tokens, sum(cut)::BIGINT AS crossing_tokens FROM m GROUP BY conv_id""")
+def alignment_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every rendered conversation; the template's bars are its special tokens, the direct stream must be the same."""
+    found = tokenizer.align_messages(export.conversations_of(table(spark, sf_dir, "conversations")), _bar_tokenizer, (_BAR,), _bar_tokenizer)
+    counts = ("total_tokens", "content_tokens", "control_tokens", "special_tokens", "crossing_tokens")
+    return found.select("conv_id", *[F.col(f"alignment.{c}").cast("long").alias(c) for c in counts])
+
+
+def _bar_tokenizer() -> tokenizer.Tokenizer:
+    return tokenizer.word_tokenizer(1 << 31)
+
+
+_BAR = _bar_tokenizer()("|")[0][0]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.operators.integrity import file_records
+
 
 def sorted_json(df: DataFrame):
     """A row as JSON with its top-level keys in order and nulls kept."""
@@ -40,5 +42,14 @@ def shard_statistics(records: DataFrame) -> DataFrame:
     return records.groupBy("split").agg(F.count("*").alias("records"), F.sum("token_count").alias("tokens"), F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"))
 
 
+def shard_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(split, path, records, tokens, first_id, last_id, bytes, sha256) of every file of a cache."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/)?[^/]+$", 0)
+    rows = spark.read.parquet(path).select(name.alias("path"), "split", "token_count", "record_id")
+    inside = rows.groupBy("path", "split").agg(F.count("*").alias("records"), F.sum("token_count").alias("tokens"), F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"))
+    files = file_records(spark, path).withColumn("path", F.regexp_extract("path", "([^/]+/)?[^/]+$", 0))
+    return inside.join(files, "path")
+
+
 def append_metrics(steps: DataFrame, path: str) -> None:
     steps.write.mode("append").json(path)
