@@ -68,6 +68,16 @@ def test_chat_equals_sql(spark):
     assert chat.rotate(df.where("false")).count() == 0
 
 
+def test_crowded_turns_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(chat, "hot_limit", lambda rows: 20)
+    said = [(1, 3, "ann", "again")] * 60 + [(1, 3, f"p{i % 3}", f"m{i % 40}") for i in range(90)] + [(1, i, "bob", "t") for i in range(0, 400, 7)]
+    said += [(2, None, "ann", f"n{i}") for i in range(50)] + [(None, None, None, None)] * 45 + [(None, 1, "cy", "x"), (3, 0, "bob", "only")]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").repartition(5)
+    got = chat.rotate_flat(df, part_rows=16).toPandas()
+    same(got, duck({"conversations": df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"})}, chat.oracle_sql(16)))
+    assert got.n_turns.max() == 16 and got.part.max() > 3
+
+
 def test_masks_cover_the_speaker(spark):
     for r in chat.rotate(turns(spark)).collect():
         spans = [r["rendered"][m["start"] : m["end"]] for m in r["masks"]]
