@@ -8,8 +8,10 @@ measure). The nearest language wins.
 
 Language profiles are counted over a sample of labelled documents: at most
 about ``TRAIN_DOCS`` per language (a parameter), drawn by a hash of the id
-against the language's own count, so rare languages keep all of theirs. Every
-whole text is then compared in one pass.
+against the language's own count, so rare languages keep all of theirs. At
+most ``MOST_LANGS`` languages are learned, those with most labelled documents,
+so a column of stray values cannot outgrow the driver. Every whole text is
+then compared in one pass.
 
 Defined results: ``und`` with score 0 for a null text, a text without letters,
 or when nothing was learned. Ties go to the first language by code point.
@@ -30,6 +32,8 @@ from lumenfold.llm.common import fold_is
 
 PROFILE = 300
 TRAIN_DOCS = 1500
+#: Languages that profiles are learned for; bounds what the driver collects and broadcasts.
+MOST_LANGS = 200
 _EDGE, _STEP = 1, 21
 
 
@@ -84,7 +88,7 @@ class Profiles:
     def of(cls, lists: dict[str, np.ndarray]) -> Profiles:
         langs = sorted(lists)
         grams = np.unique(np.concatenate([*lists.values(), np.empty(0, np.int64)]))
-        ranks = np.full((len(grams), len(langs)), PROFILE, np.int64)
+        ranks = np.full((len(grams), len(langs)), PROFILE, np.int32)
         for j, lang in enumerate(langs):
             ranks[np.searchsorted(grams, lists[lang]), j] = np.arange(len(lists[lang]))
         return cls(langs, grams, ranks)
@@ -117,19 +121,17 @@ def _count_batch(batches):
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, use: Column, limit: int = TRAIN_DOCS) -> Profiles:
-    """Profiles of every language among the documents for which ``use`` holds."""
+def train(docs: DataFrame, use: Column, limit: int = TRAIN_DOCS, most: int = MOST_LANGS) -> Profiles:
+    """Profiles of the ``most`` languages with most documents among those for which ``use`` holds; ties by code point."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & use).select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row per language
-    if not sizes:
-        return Profiles.of({})
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, limit / r["n"]))])
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    shares = sizes.select("lang", F.least(F.lit(1.0), limit / F.col("n")).alias("share"))
+    drawn = known.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     counts = drawn.select("lang", F.col("text").cast("string")).mapInArrow(_count_batch, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE)
     lists: dict[str, list[tuple[int, int]]] = {}
-    for r in top.select("lang", "gram", "rank").collect():  # PROFILE rows per language
+    for r in top.select("lang", "gram", "rank").collect():  # PROFILE rows for each of at most ``most`` languages
         lists.setdefault(r["lang"], []).append((r["rank"], r["gram"]))
     return Profiles.of({lang: np.array([g for _, g in sorted(v)], np.int64) for lang, v in lists.items()})
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -204,3 +205,42 @@ def test_gram_counts_equal_counting():
         grams, counts = language.gram_counts(text)
         unpack = lambda g: "".join(" " if p == 1 else chr(p) for p in (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF) if p)
         assert {unpack(g): c for g, c in zip(grams.tolist(), counts.tolist(), strict=True)} == dict(want)
+
+
+def test_language_equals_plain_distances(spark):
+    """Predictions against rank lists and out-of-place distances in plain Python."""
+    from collections import Counter
+
+    rng, rows = random.Random(5), []
+    for i in range(120):
+        letters = ("abcdeixyz", "abmnopxez", "éüöabceix")[i % 3]
+        rows.append((i, " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 60))), f"l{i % 3}", "s", 1))
+    rows += [(200, "q" * 3000, "l1", "s", 1), (201, "", "l1", "s", 1), (202, "12 3!", "l2", "s", 1), (203, "abc", None, "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+
+    def profile(counts):
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: language.PROFILE]]
+
+    def counts(text):
+        return Counter(dict(zip(*(x.tolist() for x in language.gram_counts(text)), strict=True)))
+
+    total: dict = {}
+    for i, text, lang, *_ in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            total.setdefault(lang, Counter()).update(counts(text))
+    ranks = {lang: {g: k for k, g in enumerate(profile(c))} for lang, c in total.items()}
+    texts = {r[0]: r[1] for r in rows}
+    for r in language.identify_languages(docs).collect():
+        own = profile(counts(texts[r["doc_id"]]))
+        if not own:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(known[g] - k) if g in known else language.PROFILE for k, g in enumerate(own)) for lang, known in ranks.items()}
+        best = min(sorted(far), key=far.get)
+        assert r["lang_pred"] == best and abs(r["score"] - (1 - far[best] / (language.PROFILE * len(own)))) < 1e-12
+
+
+def test_stray_languages_are_bounded(spark):
+    rows = [(i, f"word{i} abc", f"x{i}" if i % 2 else "en", "s", 1) for i in range(400)]
+    got = language.train(spark.createDataFrame(rows, DOCS), F.lit(True), most=5)
+    assert got.langs == ["en", "x1", "x101", "x103", "x105"]
