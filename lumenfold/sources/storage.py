@@ -6,28 +6,39 @@ import hashlib
 import json
 import os
 import tempfile
+import uuid
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a broadcast side may have; larger sides are shuffled instead.
 BROADCAST_ROWS = 500_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; a folder is made only where none is set and the master is local."""
-    spark = df.sparkSession
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one is made only where none is set and the master is local."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="lumenfold-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``F.broadcast(df)`` if a count, which stops one row later, shows at most ``limit`` rows, else ``df``."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
