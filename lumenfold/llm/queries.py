@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import chat, decontaminate, exact_dedup, language, mixing, near_dedup, quality, sharding, tiff, token_store, toxicity
+from lumenfold.llm import chat, decontaminate, exact_dedup, language, mixing, near_dedup, quality, sharding, tiff, token_store, toxicity, whitening
 from lumenfold.llm.common import read_table
 
 
@@ -56,6 +56,10 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.tokenize_and_index(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_token_orc": op10_token_orc,
+    "op11_whitening": op11_whitening,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
