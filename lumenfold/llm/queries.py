@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import chat, decontaminate, exact_dedup, language, mixing, near_dedup, quality, sharding, tiff, token_store, toxicity, whitening
+from lumenfold.llm import chat, decontaminate, exact_dedup, language, mixing, near_dedup, prefix_trie, quality, sharding, tiff, token_store, toxicity, whitening
 from lumenfold.llm.common import read_table
 
 
@@ -60,6 +60,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_token_orc": op10_token_orc,
     "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -84,5 +89,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE_SQL,
     "op6_chat_perspectives": chat.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
     "op13_exact_dedup": exact_dedup.ORACLE_SQL,
 }
