@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # What counts as a token, in order of preference: money, percent, date-like, word, number.
-TOKEN = r"[+-]?\$\s*\d[\d,]*(?:\.\d+)?|\d+(?:\.\d+)?%|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|[A-Za-z0-9]+(?:[-_/'][A-Za-z0-9]+)*|\d+(?:[,.]\d+)*"
+TOKEN = r"(?:[+-]?\$\s*\d[\d,]*(?:\.\d+)?)|(?:\d+(?:\.\d+)?%)|(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4})|(?:[A-Za-z0-9]+(?:[-_/'][A-Za-z0-9]+)*)|(?:\d+(?:[,.]\d+)*)"
 BREAK = r"[.!?;:\n\r]+"
 #: Runs of characters with which no token begins, and then any one character: with TOKEN they cover a text.
 GAP = r"[^A-Za-z0-9$+\-]+"
@@ -96,15 +96,20 @@ def chunk_text(text: str, limit: int) -> list[str]:
     return [*done, pending] if pending else done
 
 
+_FILLED = re.compile(r"\S")
+
+
 def _hard_cuts(paragraph: str, limit: int):
-    rest = paragraph
-    while rest:
-        blank = rest.rfind(" ", 0, limit) if len(rest) > limit else -1
-        at = blank if blank > limit // 2 else limit
-        piece = rest[:at].strip()
-        if piece:
-            yield piece
-        rest = rest[at:].lstrip()
+    """Pieces between moving places, each looked at once: linear in the paragraph."""
+    begin, end = 0, len(paragraph)
+    while begin < end:
+        stop = end
+        if end - begin > limit:
+            blank = paragraph.rfind(" ", begin, begin + limit)
+            stop = blank if blank - begin > limit // 2 else begin + limit
+        yield paragraph[begin:stop].strip()
+        found = _FILLED.search(paragraph, stop)
+        begin = found.start() if found else end
 
 
 def chunks(limit: int = 6000):

@@ -3,8 +3,8 @@
 Tables: ``rules`` (rule_id, status, tax_years array, conditions array of
 struct(concept_id, operator, value, value_ref), effects array of
 struct(effect_type, target)); ``facts`` (scenario_id, ord, concept_id, state,
-value). Values are compared as decimal(38, 6) where both sides are numbers,
-else as text. Predicates are two-valued: nothing is ever null.
+value). Values are compared as exact numbers where both sides are some, else
+as text. Predicates are two-valued: nothing is ever null.
 """
 
 from __future__ import annotations
@@ -35,18 +35,18 @@ def first_present(facts: DataFrame) -> DataFrame:
     return facts.where("state = 'present'").groupBy("scenario_id", "concept_id").agg(F.min_by("value", "ord").alias("value"))
 
 
-def compare(op: Column, left: Column, right: Column) -> Column:
+def compare(op: Column, left: Column, right: Column, keys: tuple[Column, Column] | None = None) -> Column:
     """EQ to LTE, on numbers where both sides are some, else on text; anything unknown raises.
 
-    Numbers compare exactly: by their whole part, then by up to 37 decimals.
+    Numbers compare exactly, with any number of digits and exponents of up to
+    17 digits, by ``keys``: each side's `number_key`, where those are at hand.
     """
-    numbers = F.struct(_number(left).alias("a"), _number(right).alias("b"), left.cast("string").alias("left"), right.cast("string").alias("right"))
+    a, b = keys or (number_key(left), number_key(right))
+    sides = F.struct(a.alias("a"), b.alias("b"), left.cast("string").alias("left"), right.cast("string").alias("right"))
 
     def order(x: Column) -> Column:
-        numeric = x["a"]["whole"].isNotNull() & x["b"]["whole"].isNotNull()
-        side = lambda p, q: F.when(p < q, -1).when(p > q, 1)
-        by_number = F.coalesce(side(x["a"]["whole"], x["b"]["whole"]), side(x["a"]["rest"], x["b"]["rest"]), F.lit(0))
-        return F.when(numeric, by_number).otherwise(F.coalesce(side(x["left"], x["right"]), F.lit(0)))
+        side = lambda p, q: F.when(p < q, -1).when(p > q, 1).otherwise(0)
+        return F.when(x["a"].isNotNull() & x["b"].isNotNull(), side(x["a"], x["b"])).otherwise(F.coalesce(side(x["left"], x["right"]), F.lit(0)))
 
     code = F.upper(op)
 
@@ -56,7 +56,7 @@ def compare(op: Column, left: Column, right: Column) -> Column:
             .otherwise(F.raise_error(F.concat(F.lit("unknown operator "), op)))
         )
 
-    return _let(_let(numbers, order), holds)
+    return _let(_let(sides, order), holds)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -64,26 +64,37 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _number(value: Column) -> Column:
-    """struct(whole, rest): a number's whole part and its decimals, both signed; null where the text is no number."""
+def number_key(value: Column) -> Column:
+    """struct(sign, place, digits) that orders as the numbers do; null where the text is no number.
+
+    ``place`` is the power of ten of the first digit and ``digits`` are all
+    from there, without zeros at the end; of negative numbers the place is
+    negated and each digit replaced by its complement, ended by a mark that
+    stands after all digits.
+    """
     text = F.trim(value.cast("string"))
-    plain = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$")
-    # Other spellings (exponents) are written out by the decimal type.
-    digits = F.when(plain, text).otherwise(text.try_cast("decimal(38,12)").cast("string"))
+    number = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,17})?$")
+
+    def parts(t: Column) -> Column:
+        whole, rest = F.regexp_extract(t, r"^[+-]?(\d*)", 1), F.regexp_extract(t, r"^[+-]?\d*\.(\d*)", 1)
+        power = F.coalesce(F.nullif(F.regexp_extract(t, r"[eE]([+-]?\d+)$", 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
+        return F.struct(t.startswith("-").alias("minus"), F.concat(whole, rest).alias("all"), (F.length(whole) + power).alias("place"))
 
-    def parts(d: Column) -> Column:
-        sign = F.when(d.startswith("-"), "-").otherwise("")
-        whole = F.concat(sign, F.lit("0"), F.regexp_extract(d, r"^[+-]?0*(\d*)", 1))
-        rest = F.concat(sign, F.rpad(F.substring(F.regexp_extract(d, r"\.(\d*)", 1), 1, 37), 37, "0"))
-        return F.struct(whole.try_cast("decimal(38,0)").alias("whole"), rest.try_cast("decimal(38,0)").alias("rest"))
+    def key(p: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_replace(p["all"], "^0+", ""), "0+$", "")
+        first = p["place"] - (F.length(p["all"]) - F.length(F.regexp_replace(p["all"], "^0+", "")))
+        zero = F.struct(F.lit(0).alias("sign"), F.lit(0).cast("long").alias("place"), F.lit("").alias("digits"))
+        below = F.struct(F.lit(-1).alias("sign"), (-first).alias("place"), F.concat(F.translate(digits, "0123456789", "9876543210"), F.lit("~")).alias("digits"))
+        above = F.struct(F.lit(1).alias("sign"), first.alias("place"), digits.alias("digits"))
+        return F.when(digits == "", zero).when(p["minus"], below).otherwise(above)
 
-    return _let(digits, parts)
+    return F.when(number, _let(_let(F.when(number, text), parts), key))
 
 
-def condition_holds(op: Column, present: Column, left: Column, right: Column) -> Column:
+def condition_holds(op: Column, present: Column, left: Column, right: Column, keys: tuple[Column, Column] | None = None) -> Column:
     """A condition against the first present value; comparisons without a value on either side fail."""
     code = F.upper(op)
-    return F.when(code == "EXISTS", present).when(code == "MISSING", ~present).when(~present | left.isNull() | right.isNull(), F.lit(False)).otherwise(compare(op, left, right))
+    return F.when(code == "EXISTS", present).when(code == "MISSING", ~present).when(~present | left.isNull() | right.isNull(), F.lit(False)).otherwise(compare(op, left, right, keys))
 
 
 def activated(scenarios: DataFrame, rules: DataFrame, facts: DataFrame, values: DataFrame | None = None) -> DataFrame:
@@ -100,12 +111,12 @@ def activated(scenarios: DataFrame, rules: DataFrame, facts: DataFrame, values:
         listed = listed.join(known, "value_ref", "left")
     else:
         listed = listed.withColumn("resolved", F.lit(None).cast("string"))
-    listed = listed.withColumn("right", F.when(F.col("value_ref").isNotNull(), F.col("resolved")).otherwise(F.col("value"))).select("rule_id", "n", "concept_id", "operator", "right")
-    held = first_present(facts).select("scenario_id", "concept_id", F.col("value").cast("string").alias("left"))
+    listed = listed.withColumn("right", F.when(F.col("value_ref").isNotNull(), F.col("resolved")).otherwise(F.col("value"))).select("rule_id", "n", "concept_id", "operator", "right", number_key(F.col("right")).alias("right_key"))
+    held = first_present(facts).select("scenario_id", "concept_id", F.col("value").cast("string").alias("left")).withColumn("left_key", number_key(F.col("left")))
     missing = F.upper("operator") == "MISSING"
     listed = broadcast_if_small(checkpoint(listed))
     met = scenarios.select("scenario_id").distinct().join(held, "scenario_id").join(listed.where("n IS NOT NULL"), "concept_id")
-    ok = condition_holds(F.col("operator"), F.lit(True), F.col("left"), F.col("right"))
+    ok = condition_holds(F.col("operator"), F.lit(True), F.col("left"), F.col("right"), (F.col("left_key"), F.col("right_key")))
     counts = met.groupBy("scenario_id", "rule_id").agg(F.count_if(missing).alias("against"), F.count_if(~missing & ok).alias("held"))
     needs = listed.groupBy("rule_id").agg(F.count_if(F.col("n").isNotNull() & ~F.coalesce(missing, F.lit(False))).alias("needed"))
     needs = broadcast_if_small(checkpoint(needs))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import hashing, text
 from lumenfold.operators import alignment, clusters, corpus, integrity, occurrences, sequences
+from lumenfold.operators import token_features as token_features_of
 from lumenfold.plans.base import query, table
 from lumenfold.sources.storage import checkpoint
 
@@ -130,16 +131,8 @@ def char_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ngram_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collision statistics per namespace: each distinct key, canonical or alias, is hashed once."""
-    grams = table(spark, sf_dir, "documents").select(F.explode(text.word_grams(F.col("text"))).alias("g")).select("g.order", "g.key")
-    aliases = _surfaces(spark, sf_dir).select(F.lit(1).alias("order"), F.explode(text.atom_aliases(F.col("surface"))).alias("key"))
-    words = grams.unionByName(aliases).distinct().select(hashing.namespace(F.lit("word"), F.col("order")).alias("namespace"), "key")
-    chars = char_ngram_counts(spark, sf_dir).select(hashing.namespace(F.lit("char"), F.col("order")).alias("namespace"), "key")
-    hashed = words.unionByName(chars).withColumn("h", hashing.feature_hash()("namespace", "key"))
-    depth = hashed.groupBy("namespace", F.col("h.bucket").alias("bucket")).agg(F.count("*").alias("keys"))
-    size = F.create_map(*[F.lit(x) for pair in hashing.NAMESPACE_BUCKETS.items() for x in pair])[F.col("namespace")]
-    stats = depth.groupBy("namespace").agg(F.sum("keys").alias("unique_keys"), F.count("*").alias("occupied_buckets"), F.max("keys").alias("max_bucket_depth"))
-    return stats.select("namespace", "unique_keys", size.alias("bucket_count"), "occupied_buckets", (1 - F.col("occupied_buckets") / F.col("unique_keys")).alias("collision_rate"), (F.col("unique_keys") / size).alias("load_factor"), "max_bucket_depth")
+    """Collision statistics per namespace: each distinct key, canonical or alias, counts once."""
+    return token_features_of.bucket_statistics(table(spark, sf_dir, "documents"))
 
 
 @query()
@@ -187,12 +180,9 @@ def range_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def token_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word n-grams, aliases (as single words) and character n-grams of every document, hashed, aligned and cut to the best 24 per token."""
-    found = occurrences.occurrences(table(spark, sf_dir, "documents"))
-    hashed = found.withColumn("h", hashing.feature_hash()(hashing.namespace(F.col("kind"), F.col("order")), F.col("key")))
-    candidates = hashed.select(F.struct("row", "doc_id").alias("of"), "token_index", "kind", F.col("order").alias("ord"), "alias", F.col("h.feature_id").alias("feature_id"))
-    top = alignment.top_features(candidates, "of").select("of.doc_id", "feature_ids", "dropped")
-    return top.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum(F.size("feature_ids")).alias("selected"), F.sum("dropped").alias("dropped"), F.count_if(F.col("dropped") > 0).alias("hitting_cap"))
+    """Word n-grams, aliases (as single words) and character n-grams of every document, hashed, ranked and cut to the best 24 per token."""
+    top = token_features_of.token_features(table(spark, sf_dir, "documents"))
+    return top.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum(F.size("feature_ids")).alias("selected"), F.sum("dropped").cast("long").alias("dropped"), F.count_if(F.col("dropped") > 0).alias("hitting_cap"))
 
 
 _OCCURRENCES = f"""{_SPANS}, k AS (SELECT doc_id, ord, run, start_char, end_char, s, {_KEY} AS key FROM (SELECT *, lower(surface) AS s FROM t)),

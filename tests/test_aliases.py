@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from lumenfold.functions import hashing, text
+from lumenfold.operators import token_features
 from lumenfold.plans import corpus_plans
 
 TEXTS = {
@@ -16,26 +17,27 @@ TEXTS = {
 }
 
 
-def _atom(surface: str) -> tuple[str, list[str]]:
-    s = surface.lower()
-    for kind, pattern in (("money", text.MONEY), ("percent", text.PERCENT), ("date", text.DATE)):
-        if re.match(pattern, s):
-            return f"<{kind}>", []
-    if re.match(text.YEAR, s):
-        return s, []
-    if re.match(text.FORM, s):
-        compact = re.sub(r"[-_\s]", "", s)
-        return s, [compact] if compact != s else []
-    if re.match(text.NUMBER, s):
-        return "<number>", []
-    mark = "_" if "_" in s else "/" if "/" in s else "-" if "-" in s and any(c.isalpha() for c in s) else None
-    return s, list(dict.fromkeys(x for x in s.split(mark) if x))[:4] if mark else []
+#: What each token of TEXTS stands for, by hand: its key and its aliases. Others are their lower-case selves and have none.
+ATOMS = {
+    "well-known": ("well-known", ["well", "known"]),
+    "fine-tuned": ("fine-tuned", ["fine", "tuned"]),
+    "1099-B": ("1099-b", ["1099b"]),
+    "w-2": ("w-2", ["w2"]),
+    "a/b": ("a/b", ["a", "b"]),
+    "a_b_a_c_d_e": ("a_b_a_c_d_e", ["a", "b", "c", "d"]),
+    "$5": ("<money>", []),
+    "4.5%": ("<percent>", []),
+    "1/2/2025": ("<date>", []),
+    "pre-trained_model-v2/x": ("pre-trained_model-v2/x", ["pre-trained", "model-v2/x"]),
+    "pre-trained": ("pre-trained", ["pre", "trained"]),
+    "supercalifragilistic-expialidocious_documentation-sets": ("supercalifragilistic-expialidocious_documentation-sets", ["supercalifragilistic-expialidocious", "documentation-sets"]),
+}
 
 
 def _occurrences(value: str):
     """(token index, namespace, key, alias) of every occurrence."""
     found = list(re.finditer(text.TOKEN, value))
-    atoms = [_atom(m.group()) for m in found]
+    atoms = [ATOMS.get(m.group(), (m.group().lower(), [])) for m in found]
     broken = [bool(re.search(text.BREAK, value[a.end() : b.start()])) for a, b in zip(found, found[1:])]
     for i, (m, (key, aliases)) in enumerate(zip(found, atoms, strict=True)):
         yield i, "word_1", key, False
@@ -77,3 +79,34 @@ def test_ngram_buckets_hold_aliases(spark, tmp_path):
         want[space] = (len(found), len(set(buckets)), max(map(buckets.count, buckets)))
     got = {r["namespace"]: (r["unique_keys"], r["occupied_buckets"], r["max_bucket_depth"]) for r in corpus_plans.ngram_buckets(spark, _documents(spark, tmp_path)).collect()}
     assert got == want
+
+
+def test_features_are_ranked(spark):
+    """Longer words first, then aliases, then longer character n-grams; smaller ids first among these."""
+    number = lambda space, key: hashing.feature_id(space, key, b"ngram-v1")[0]
+    docs = spark.createDataFrame([(7, "one two w-2. three"), (7, "w-2"), (None, "x"), (8, None), (9, "")], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["row"], r["token_index"]), list(r["feature_ids"]), r["candidate_count"], r["dropped"]) for r in token_features.token_features(docs, most=5).collect())
+    own = [number("word_1", "w-2"), number("word_1", "w2"), number("char_3", "w-2")]
+    assert [g[1] for g in got] == [
+        [number("word_1", "x")], [number("word_1", "one")], [number("word_2", "one two"), number("word_1", "two")], [number("word_3", "one two w-2"), number("word_2", "two w-2"), *own], [number("word_1", "three")], own,
+    ]
+    assert [g[2:] for g in got] == [(1, 0), (1, 0), (2, 0), (5, 0), (1, 0), (3, 0)]
+    long = spark.createDataFrame([(1, "abcdefghijklmnop")], "doc_id long, text string")
+    ids = token_features.token_features(long, most=8).first()
+    key = "abcdefghijklmnop"
+    grams = [x for n in (5, 4, 3) for x in sorted({number(f"char_{n}", key[i : i + n]) for i in range(len(key) - n + 1)})]
+    assert list(ids["feature_ids"]) == [number("word_1", key), *grams][:8] and ids["candidate_count"] == len(set(grams)) + 1 and ids["dropped"] == len(set(grams)) - 7
+    assert token_features.token_features(docs.where("false")).collect() == []
+
+
+def test_bucket_statistics_over_many_runs(spark, monkeypatch):
+    """Runs handed over early, repeated keys in many tasks and texts: as if all keys were in one set."""
+    monkeypatch.setattr(token_features, "RUN_KEYS", 40)
+    texts = [f"alpha beta {i % 7} gamma-{i % 5} delta; epsilon {i % 11}" for i in range(200)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(6)
+    got = {r["namespace"]: r for r in token_features.bucket_statistics(docs).collect()}
+    pairs = {" ".join(p) for t in texts if t for run in ([*t.split(";")[0].replace(t.split()[2], "<number>", 1).split()], [*t.split(";")[1].replace(t.split()[-1], "<number>").split()]) for p in zip(run, run[1:])}
+    assert got["word_2"]["unique_keys"] == len(pairs)
+    buckets = [hashing.feature_id("word_2", k, b"ngram-v1")[1] for k in pairs]
+    assert got["word_2"]["occupied_buckets"] == len(set(buckets)) and got["word_2"]["max_bucket_depth"] == max(map(buckets.count, buckets))
+    assert token_features.bucket_statistics(docs.where("false")).collect() == []

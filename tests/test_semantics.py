@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import random
-import re
+import time
 import unicodedata
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,23 +14,51 @@ from lumenfold.functions import text
 from lumenfold.operators import alignment, rules, sequences
 
 
-def plain_normalize(raw: str | None) -> str:
-    """The stated rules in plain Python: one line at a time."""
-    lines: list[str] = []
-    for line in unicodedata.normalize("NFKC", raw or "").replace("\0", "").replace("\r\n", "\n").replace("\r", "\n").split("\n"):
-        line = re.sub(r"[\t\f\v ]+", " ", line).strip()
-        if line or (lines and lines[-1]):
-            lines.append(line)
-    return "\n".join(lines).strip()
+#: Raw text and the document it becomes.
+DOCUMENTS = [
+    (None, ""), ("", ""), (" ", ""), ("\n\n\n", ""), ("\0", ""), ("a", "a"), ("a\0b", "ab"), ("  a\t\tb  ", "a b"), ("a   b", "a b"), ("a\vb\fc", "a b c"),
+    ("a\r\nb\rc\nd", "a\nb\nc\nd"), ("a\r\n\r\n\r\nb", "a\n\nb"), ("a\n\n\n\n\nb", "a\n\nb"), ("a\n \t \nb", "a\n\nb"), ("\n\n a \n\n", "a"), ("a\n\nb\n", "a\n\nb"),
+    (" Form  1040\r\n\r\n  Tax\tYear 2025  \n", "Form 1040\n\nTax Year 2025"), ("\u2003a\u2003", "a"), ("a\u2003b", "a b"), ("a\u00a0\u00a0b", "a b"), ("\u3000a\u3000b", "a b"),
+    ("x\u2028y", "x\u2028y"), ("\u2028x\u2028", "x"), ("x\x1cy", "x\x1cy"), ("\x1cx\x1f", "x"), ("x\x85\ny", "x\ny"), ("x\x85y", "x\x85y"), ("\u1680x", "x"),
+    ("\ufb01ne", "fine"), ("\uff21\uff22", "AB"), ("\u2460", "1"), ("e\u0301", "\u00e9"), ("\u00bd", "1\u20442"), ("\u2126", "\u03a9"), ("a\u200bb", "a\u200bb"), ("a \n\n\x1c\n\nb", "a\n\nb"),
+]
 
 
-def test_lines_against_plain_python(spark):
+def test_documents_by_hand(spark):
+    got = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(DOCUMENTS)], "i int, t string").select("i", text.normalize_document(F.col("t")).alias("out")).collect()
+    assert {r["i"]: r["out"] for r in got} == {i: out for i, (_, out) in enumerate(DOCUMENTS)}
+
+
+def test_documents_hold_what_is_promised(spark):
+    """Whatever goes in: normalising twice changes nothing, and no line has blanks at its ends."""
     rng = random.Random(11)
-    pieces = ["a", "b c", " ", "  ", "\t", "\n", "\n\n", "\r\n", "\r", "\v", "\f", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", "　", " ", "​", "\0", "ﬁ", "Ａ", "①"]
-    texts = [None, "", *pieces, "a   b", " Form  1040\r\n\r\n  Tax\tYear 2025  \n"] + ["".join(rng.choices(pieces, k=rng.randrange(1, 14))) for _ in range(600)]
-    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.normalize_document(F.col("t")).alias("out")).collect()
-    for r in got:
-        assert r["out"] == plain_normalize(texts[r["i"]]), repr(texts[r["i"]])
+    pieces = ["a", "b c", " ", "  ", "\t", "\n", "\n\n", "\r\n", "\r", "\v", "\f", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "\0", "\ufb01", "\uff21", "\u2460"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(1, 14))) for _ in range(600)]
+    once = text.normalize_document(F.col("t"))
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", once.alias("out"), text.normalize_document(once).alias("again")).collect():
+        assert r["again"] == r["out"], repr(r["t"])
+        lines = r["out"].split("\n")
+        assert all(x == x.strip() for x in lines) and "\0" not in r["out"] and "\r" not in r["out"] and "\n\n\n" not in r["out"]
+        assert (lines[0] and lines[-1]) or not r["out"]
+        assert [c for c in r["out"] if c.isalnum()] == [c for c in unicodedata.normalize("NFKC", r["t"]) if c.isalnum()]
+
+
+def test_cutting_a_long_line_is_linear():
+    began = time.time()
+    pieces = text.chunk_text("seven77 " * 6_000_000, 512)
+    assert time.time() - began < 30 and max(map(len, pieces)) <= 512 and sum(p.count("seven77") for p in pieces) == 6_000_000
+
+
+def test_hard_cuts_against_rules():
+    """Pieces joined give the paragraph but for blanks; all fit; none could have taken its next word."""
+    rng = random.Random(3)
+    for _ in range(300):
+        words = ["x" * rng.choice([1, 2, 5, 9, 700]) for _ in range(rng.randrange(1, 400))]
+        paragraph = " ".join(words)
+        pieces = text.chunk_text(paragraph, 512)
+        assert "".join(pieces).replace(" ", "") == "".join(words) and all(p and len(p) <= 512 and p == p.strip() for p in pieces)
+        for p, q in zip(pieces, pieces[1:]):
+            assert len(p) == 512 or len(p) + 1 + len(q.split(" ")[0]) > 511
 
 
 def test_spans_lie_within_their_row(spark):
@@ -56,6 +85,30 @@ def test_numbers_compare_exactly(spark, op, left, right, want):
     assert row["x"] is want
 
 
+def test_numbers_against_decimals(spark):
+    """Any exponent and any number of digits, against exact decimals."""
+    rng = random.Random(5)
+
+    def number():
+        digits = lambda n: "".join(rng.choices("0123456789", k=n))
+        body = rng.choice([digits(rng.randrange(1, 45)), f"{digits(rng.randrange(1, 5))}.{digits(rng.randrange(0, 45))}", f".{digits(rng.randrange(1, 42))}", "0" * rng.randrange(1, 4), "0.000"])
+        exponent = rng.choice(["", "", f"e{rng.randrange(-60, 60)}", f"E+{rng.randrange(400)}", f"e-{rng.randrange(400)}"])
+        return rng.choice(["", "-", "+"]) + body + exponent
+
+    def same(x):
+        """Another spelling of the number."""
+        d = Decimal(x)
+        return rng.choice([x, f"{d:f}", f"{d:e}", f" {x} "])
+
+    pairs = [(x, rng.choice([number(), number(), same(x)])) for x in (number() for _ in range(1500))]
+    pairs += [("1e39", "2"), ("1e-400", "0"), ("-1e-400", "0"), ("1e400", "1e399"), ("0e500", "0"), ("-0", "0e-9"), ("1" + "0" * 60, "1e60"), ("0." + "0" * 50 + "1", "1e-51")]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    got = frame.select("a", "b", *[rules.compare(F.lit(o), F.col("a"), F.col("b")).alias(o) for o in ("EQ", "LT", "GTE")]).collect()
+    for r in got:
+        a, b = Decimal(r["a"].strip()), Decimal(r["b"].strip())
+        assert (r["EQ"], r["LT"], r["GTE"]) == (a == b, a < b, a >= b), (r["a"], r["b"])
+
+
 def test_activation_against_brute_force(spark):
     """Rules with and without conditions, MISSING, EXISTS and comparisons, over every state of three concepts."""
     import itertools
