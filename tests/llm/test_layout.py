@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -244,3 +245,24 @@ def test_repeated_rows_and_ids_take_their_places(spark):
     want = sorted((int(s), k[1] if k[0] else -1, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for s, (k, ids) in zip(starts, in_order, strict=False))
     got = sorted((r["start"], -1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_store.token_index(spark, path).collect())
     assert got == want
+
+
+def test_sources_of_one_long_common_prefix(spark):
+    """Whole names decide: a cut can lie between names that agree in all but their last letter."""
+    prefix = "common_crawl_of_the_year_2020_part_"
+    rows = [(i, f"word {i:03d} and some more", "en", prefix + "abcd"[i % 4], 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    table = sharding.ranks(docs, "lang", "source")["source"]
+    assert [(r["value"], r["rank"] - min(x["rank"] for x in table.collect())) for r in table.orderBy("rank").collect()] == [(prefix + c, k) for k, c in enumerate("abcd")]
+    got = sharding.shard(docs, leaves=4).join(docs.select("doc_id", "source"), "doc_id").toPandas()
+    assert got.groupby("shard")["size"].sum().max() <= 1.1 * got["size"].sum() / 4
+    assert [sorted({v[-1] for v in g.source}) for _, g in got.groupby("shard")] == [["a", "b"]] * 2 + [["c", "d"]] * 2
+
+
+def test_ranks_of_many_values(spark):
+    rng = random.Random(6)
+    values = [None, "", "é", "Z", "a"] + [f"s{rng.randrange(10**6)}" for _ in range(3000)]
+    df = spark.createDataFrame([(v, "x") for v in values], "source string, lang string")
+    got = {r["value"]: r["rank"] for r in sharding.ranks(df.repartition(7), "lang", "source")["source"].collect()}
+    ordered = sorted({v or "" for v in values}, key=lambda v: v.encode())
+    assert sorted(got, key=got.get) == ordered and got[""] == 0 and len(set(got.values())) == len(ordered)
