@@ -11,52 +11,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.functions.hashing import ID_DIGITS, cluster_bucket, cluster_split, json_array, json_string
-from lumenfold.sources.storage import checkpoint
+from lumenfold.operators.components import connected_components, hot_limit, meet
+from lumenfold.sources.storage import written
 
 
 def shared_key_links(rows: DataFrame, node: str, *keys: str) -> DataFrame:
-    """Links (a, b) from every row to the smallest row of its key: a star per key, never all pairs."""
-    out = None
+    """Links (a, b) from every row to the smallest row of its key: a star per key, never all pairs; rows of hot keys stay where they are."""
+    out, total = None, rows.count()
     for key in keys:
-        hubs = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(node).alias("hub"), F.count("*").alias("n")).where("n > 1").select(key, "hub")
-        links = rows.join(hubs, key).select(F.col(node).alias("a"), F.col("hub").alias("b"))
+        hubs = written(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(node).alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
+        links = meet(rows.select(node, key), hubs, F.col("n") > hot_limit(total), key).select(F.col(node).alias("a"), F.col("hub").alias("b"))
         out = links if out is None else out.unionByName(links)
     return out.where("a != b").distinct()
 
 
-def components(rows: DataFrame, node: str, links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that links lead to; single rows are their own.
-
-    Every round each node points to its smallest neighbour, pointers are
-    followed to their ends by doubling, and what ends in one node is merged:
-    rounds and doublings grow with the logarithm of the largest component.
-    Rounds are cut off by reliable checkpoints.
-    """
-    label = checkpoint(rows.select(F.col(node).alias("node")).distinct().withColumn("component", F.col("node")))
-    edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    for _ in range(most_rounds):
-        if edges.isEmpty():
-            return label.withColumnRenamed("node", node)
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lower = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("to")))
-        while True:
-            up = lower.select(F.col("u").alias("at"), F.col("to").alias("top"))
-            jumped = checkpoint(lower.join(up, lower["to"] == up["at"]).select("u", F.col("top").alias("to"), (F.col("top") != F.col("to")).alias("moved")))
-            lower = jumped.select("u", "to")
-            if jumped.where("moved").isEmpty():
-                break
-        x, y = lower.select(F.col("u").alias("x"), F.col("to").alias("tx")), lower.select(F.col("u").alias("y"), F.col("to").alias("ty"))
-        label = checkpoint(label.join(x, label["component"] == x["x"], "left").select("node", F.coalesce("tx", "component").alias("component")))
-        edges = checkpoint(edges.join(x, edges["u"] == x["x"]).join(y, edges["v"] == y["y"]).select(F.greatest("tx", "ty").alias("u"), F.least("tx", "ty").alias("v")).where("u != v").distinct())
-    raise RuntimeError("components did not settle")
+def components(rows: DataFrame, node: str, links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that links lead to; single rows are their own."""
+    found = connected_components(links).withColumnRenamed("node", "at")
+    single = rows.select(node).distinct()
+    return single.join(found, single[node] == found["at"], "left").select(node, F.coalesce("component", node).alias("component"))
 
 
 def clusters(rows: DataFrame, node: str, *keys: str, seed: int = 42017, version: str = "v1") -> DataFrame:
     """(node, component, cluster_id, bucket, split): the id is a hash of the sorted members."""
-    found = components(rows, node, shared_key_links(rows, node, *keys))
-    named = member_hashes(found, node).select("component", F.concat(F.lit("CLUSTER-"), F.substring("digest", 1, ID_DIGITS["CLUSTER"])).alias("cluster_id"))
-    placed = named.withColumn("bucket", cluster_bucket(F.col("cluster_id"), seed, version)).withColumn("split", cluster_split(F.col("cluster_id"), seed, version))
-    return found.join(placed, "component").select(node, "component", "cluster_id", "bucket", "split")
+    found = written(components(rows, node, shared_key_links(rows, node, *keys)), "members")
+    hashed = member_hashes(found, node).join(found.groupBy("component").agg(F.count("*").alias("n")), "component")
+    named = hashed.select("component", "n", F.concat(F.lit("CLUSTER-"), F.substring("digest", 1, ID_DIGITS["CLUSTER"])).alias("cluster_id"))
+    placed = written(named.withColumn("bucket", cluster_bucket(F.col("cluster_id"), seed, version)).withColumn("split", cluster_split(F.col("cluster_id"), seed, version)), "clusters")
+    return meet(found, placed, F.col("n") > hot_limit(found.count()), "component").select(node, "component", "cluster_id", "bucket", "split")
 
 
 def member_hashes(found: DataFrame, node: str) -> DataFrame:

@@ -39,6 +39,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors, keeps columns apart."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``F.broadcast(df)`` if a count, which stops one row later, shows at most ``limit`` rows, else ``df``."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
