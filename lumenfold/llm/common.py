@@ -97,7 +97,7 @@ def hot_limit(rows: int) -> int:
     return max(HOT_ROWS, rows // HOT_KEYS)
 
 
-def meet(rows: DataFrame, keyed: DataFrame, hot: Column, key: str = "key") -> DataFrame:
+def meet(rows: DataFrame, keyed: DataFrame, hot: Column, key: str | list[str] = "key") -> DataFrame:
     """``rows`` joined with ``keyed``, which has each key once, by ``key``.
 
     Rows of keys for which ``hot`` holds (a column of ``keyed``, stashed) stay

@@ -1,59 +1,7 @@
-"""Connected components of a link table, by hooking and pointer doubling.
-
-Each round points every node to its smallest neighbour (or itself), follows
-the pointers to their ends by doubling, and merges all that ends in one node.
-Every end takes in at least one more node, so rounds and doublings grow with
-the logarithm of the largest component, chains included. A round is made of
-minima and joins only, never of a group of neighbours in one row, so a hub
-with millions of links is no single task.
-"""
+"""Connected components of a link table, as the core library finds them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lumenfold.llm.common import stash
-
-
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of a link; component is its smallest reachable node.
-
-    Links of a node to itself are fine; null ends are ignored. An empty table
-    gives an empty result. More than ``max_rounds`` rounds raise an error; as
-    each round at least halves a component, 60 exceed any real input.
-    """
-    clean = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    # component(node): the smallest node known so far; edges shrink to edges between components
-    edges = stash(clean.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    nodes = clean.select(F.col("a").alias("node")).unionByName(clean.select(F.col("b").alias("node"))).distinct()
-    labels: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("parent"))
-        parent = _ends(stash(near, "parents"))
-        labels.append(parent)
-        x = parent.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
-        y = parent.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
-        moved = edges.join(x, "u").join(y, "v").select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).where("u != v").distinct()
-        edges = stash(moved, "edges")
-    else:
-        raise RuntimeError("components did not settle")
-    out = nodes.withColumn("component", F.col("node"))
-    for parent in labels:
-        step = parent.select(F.col("node").alias("at"), "parent")
-        out = out.join(step, out["component"] == step["at"], "left").select("node", F.coalesce("parent", "component").alias("component"))
-    return stash(out, "components")
-
+from lumenfold.operators.components import connected_components
 
-def _ends(parents: DataFrame) -> DataFrame:
-    """Every node with the end of its chain of parents."""
-    while True:
-        up = parents.select(F.col("node").alias("at"), F.col("parent").alias("top"))
-        jumped = parents.join(up, parents["parent"] == up["at"]).select("node", F.col("top").alias("parent"), (F.col("top") != F.col("parent")).alias("moved"))
-        jumped = stash(jumped, "parents")
-        parents = jumped.select("node", "parent")
-        if jumped.where("moved").isEmpty():
-            return parents
+__all__ = ["connected_components"]

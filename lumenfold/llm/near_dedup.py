@@ -234,11 +234,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     profile = stash(map_arrow(slim, _profile_batch, "doc_id long, n long, high long, low long, bands array<long>"), "profile")
     filled = profile.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = filled.groupBy("high", "low", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
+    classes = filled.groupBy("high", "low", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("copies"))
     classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
 
     placed = classes.select("node", "n", F.explode("bands").alias("key"))
-    limit = hot_limit(classes.count() * BANDS)
+    total = classes.count()
+    limit = hot_limit(total * BANDS)
     starts = stash(placed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")).where("members > 1").select("key", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), "members"), "bucket-starts")
     buckets = stash(meet(placed, starts, F.col("members") > limit), "buckets")
 
@@ -253,16 +254,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = stash(links.unionByName(more), "all-links")
     found = connected_components(links)
 
-    # A component is named by the smallest id in it.
-    own = classes.select("high", "low", "n", "rep", "node")
-    named = own.join(found.withColumnRenamed("node", "at"), F.col("node") == F.col("at")).select("high", "low", "n", "rep", "component")
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked_classes = stash(named.join(least, "component").select("high", "low", "n", "component_id"), "named")
-    rest = own.join(found.select(F.col("node").alias("at")), F.col("node") == F.col("at"), "left_anti").select("high", "low", "n", F.col("rep").alias("component_id"))
-    class_ids = linked_classes.unionByName(rest)
-    keyed = profile.select("doc_id", "n", "high", "low")
-    linked = keyed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).join(class_ids, ["high", "low", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = keyed.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    # A component is named by the smallest id in it; components of many classes and classes of many copies meet broadcasts.
+    own = classes.select("high", "low", "n", "rep", "copies", "node")
+    named = own.join(found.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").drop("at")
+    least = stash(named.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("classes")), "least")
+    in_component = meet(named.where("component IS NOT NULL"), least, F.col("classes") > hot_limit(total), "component")
+    columns = ["high", "low", "n", "copies", "component_id"]
+    class_ids = stash(in_component.select(columns).unionByName(named.where("component IS NULL").withColumnRenamed("rep", "component_id").select(columns)), "named")
+    keyed, filled = profile.select("doc_id", "n", "high", "low"), (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    linked = meet(keyed.where(filled), class_ids, F.col("copies") > hot_limit(profile.count()), ["high", "low", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = keyed.where(~filled).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

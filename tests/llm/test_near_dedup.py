@@ -147,3 +147,33 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(201)) and got[900] == got[501] == 500 and got[700] == 700
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert connected_components(spark.range(1).select(F.lit(None).cast("long").alias("a"), F.col("id").alias("b"))).count() == 0
+
+
+@pytest.mark.parametrize(("n", "pairs"), [(5_000, 40), (40_000, 12), (60_000, 8), (100_000, 6)])
+def test_recall_of_large_sets(n, pairs):
+    """Pairs of J = 0.80 and 0.85, up to sets that use both rings or the wide one alone."""
+    rng = np.random.default_rng(n)
+    for k in range(pairs):
+        common = -(-n * (80 if k % 2 else 85) // 100)
+        parts = [rng.integers(0, 2**63, m).astype(np.uint64) for m in (common, (n - common) // 2, (n - common) // 2)]
+        x, y = (set(nd.set_bands(np.unique(np.concatenate([parts[0], own]))).tolist()) for own in parts[1:])
+        assert not x.isdisjoint(y)
+
+
+def test_copies_beyond_the_hot_limit_and_one_large_component(spark):
+    """600 copies of one text, and 300 near copies that are one component of many classes."""
+    rng, base = random.Random(8), prose(21, 100).split()
+    rows = [(i, prose(20, 40), "en", "s", 1) for i in range(600)]
+    for i in range(600, 900):
+        words = list(base)
+        words[rng.randrange(100)] = f"edit{i}"
+        rows.append((i, " ".join(words), "en", "s", 1))
+    got = {r["doc_id"]: r for r in nd.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(5), 85).collect()}
+    assert {r["component_id"] for i, r in got.items() if i < 600} == {0} and {r["component_id"] for i, r in got.items() if i >= 600} == {600}
+    assert sum(r["kept"] for r in got.values()) == 2 and len(got) == 900
+
+
+def test_whole_table_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    check(docs, rows, 85)
