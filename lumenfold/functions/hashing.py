@@ -38,9 +38,13 @@ def json_part(part: Column | str | int | bool | None) -> Column:
 
 
 def json_string(col: Column) -> Column:
-    """A string column as a JSON string; null becomes ``null``."""
+    """A string column as a JSON string; null becomes ``null``. Control characters are spelled with small hex digits."""
     quoted = F.to_json(F.array(col))
-    return F.when(col.isNull(), F.lit("null")).otherwise(quoted.substr(F.lit(2), F.length(quoted) - 2))
+    plain = quoted.substr(F.lit(2), F.length(quoted) - 2)
+    small = plain
+    for digit in "ABCDEF":
+        small = F.regexp_replace(small, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
+    return F.when(col.isNull(), F.lit("null")).when(col.rlike(r"[\x0B\x0E-\x1F]"), small).otherwise(plain)
 
 
 def json_array(*parts: Column | str | int | bool | None) -> Column:

@@ -2,26 +2,76 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+from collections.abc import Iterator
 from typing import Any
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.sources.storage import canonical_json, content_hash
 
 
+#: Bytes that are read at a time, and that one task hashes if files are smaller.
+PIECE, TASK_BYTES = 1 << 20, 256 << 20
+
+
 def file_records(spark: SparkSession, folder: str) -> DataFrame:
     """(path, bytes, sha256) of every file below a folder; paths relative to it.
 
-    Files are read where they lie, one row each; content of a file stays
-    within its task.
+    Files are listed without their content, dealt to tasks by size, and read
+    there in pieces of 1 MiB through the hash, so a file of any size needs
+    one piece of memory. Stores that Arrow's file systems don't know are read
+    by Spark, a file a row, which holds files of up to 2 GB.
     """
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    path = F.regexp_replace(F.col("path"), "^.*?" + _quoted(base) + "/", "")
-    return files.select(path.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    path = F.regexp_replace(F.col("path"), "^.*?" + _quoted(base) + "/", "").alias("path")
+    if not _streams(base if root.toUri().getScheme() is None else root.toString()):
+        return files.select(path, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    listed = files.select(path, F.col("path").alias("uri"), F.col("length").alias("bytes"))
+    sizes = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).head()
+    tasks = max(1, min(sizes["n"], max(spark.sparkContext.defaultParallelism, sizes["bytes"] // TASK_BYTES)))
+    # Largest first, round and round: tasks get nearly equal bytes. One row a file.
+    dealt = listed.withColumn("turn", (F.row_number().over(Window.orderBy(F.desc("bytes"), "path")) - 1) % tasks)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([stream_hash(uri) for uri in batch.column("uri").to_pylist()], pa.string())
+            yield pa.record_batch([batch.column("path"), batch.column("bytes"), found], names=["path", "bytes", "sha256"])
+
+    out = dealt.repartition(tasks, "turn").select("path", "uri", "bytes").mapInArrow(hashed, "path string, bytes long, sha256 string")
+    names = files.inputFiles()
+    if len(names) == sizes["n"]:
+        return out
+    # A scan passes over empty files.
+    every = spark.createDataFrame([(unquote(n),) for n in names], "path string").select(path)
+    return out.unionByName(every.join(listed, "path", "left_anti").select("path", F.lit(0).cast("long").alias("bytes"), F.lit(hashlib.sha256(b"").hexdigest()).alias("sha256")))
+
+
+def _streams(uri: str) -> bool:
+    try:
+        pafs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, OSError):
+        return False
+    return True
+
+
+def stream_hash(uri: str) -> str:
+    """SHA-256 of a file, read in pieces. Paths are taken as they stand, whatever characters they have."""
+    scheme, place, path = re.fullmatch("(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/]*))?(.*)", uri, re.DOTALL).groups()
+    store, base = (pafs.LocalFileSystem(), "") if scheme in (None, "file") else pafs.FileSystem.from_uri(f"{scheme}://{place or ''}/")
+    digest = hashlib.sha256()
+    with store.open_input_stream(base.rstrip("/") + path) as file:
+        while piece := file.read(PIECE):
+            digest.update(piece)
+    return digest.hexdigest()
 
 
 def _quoted(text: str) -> str:
@@ -66,12 +116,36 @@ def flatten(config: Any, prefix: str = "") -> dict[str, str]:
     return {prefix: canonical_json(config)}
 
 
-def differing_paths(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(path, change) of two tables (path, value): added, removed or changed."""
-    a, b = left.select("path", F.col("value").alias("a"), F.lit(True).alias("in_a")), right.select("path", F.col("value").alias("b"), F.lit(True).alias("in_b"))
-    both = a.join(b, "path", "full_outer")
+def leaves(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, path, value) of every leaf of JSON documents: dotted path and canonical JSON.
+
+    Objects are opened level by level in the cluster, so there are as many
+    rounds as the deepest document has levels. Arrays and empty objects are
+    leaves. Text that is no JSON, and null, give no leaves; a bare value is
+    one with an empty path.
+    """
+    open_ = documents.select(F.col(key), F.lit("").alias("path"), F.try_parse_json(text).alias("v")).where("v IS NOT NULL")
+    kept = None
+    while True:
+        kind = F.schema_of_variant("v")
+        nested = kind.startswith("OBJECT<") & (kind != "OBJECT<>")
+        own = open_.where(~nested).select(key, "path", F.to_json("v").alias("value"))
+        kept = own if kept is None else kept.unionByName(own)
+        inner = open_.where(nested)
+        if inner.isEmpty():
+            return kept
+        spark = documents.sparkSession
+        below = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("name_"), F.col("value").alias("v_")))
+        open_ = below.select(key, F.concat("path", F.when(F.col("path") == "", "").otherwise("."), F.col("name_")).alias("path"), F.col("v_").alias("v"))
+
+
+def differing_paths(left: DataFrame, right: DataFrame, *by: str) -> DataFrame:
+    """(by, path, change) of two tables (by, path, value): added, removed or changed."""
+    keys = [*by, "path"]
+    a, b = left.select(*keys, F.col("value").alias("a"), F.lit(True).alias("in_a")), right.select(*keys, F.col("value").alias("b"), F.lit(True).alias("in_b"))
+    both = a.join(b, keys, "full_outer")
     change = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
-    return both.select("path", change.alias("change")).where("change IS NOT NULL")
+    return both.select(*keys, change.alias("change")).where("change IS NOT NULL")
 
 
 def one_variable_changed(diff: DataFrame, allowed: str) -> DataFrame:

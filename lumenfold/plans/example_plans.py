@@ -134,12 +134,16 @@ def offset_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.offset_problems(rows).select("record_id", "token_index", "problem")
 
 
-@query("SELECT role, count(*) AS n, count(DISTINCT text) AS texts FROM conversations WHERE role IN (SELECT role FROM conversations WHERE turn = 0 INTERSECT SELECT role FROM conversations WHERE turn = 2) GROUP BY role")
+@query("""WITH f AS (SELECT role, text FROM conversations WHERE turn = 0), l AS (SELECT role, text FROM conversations WHERE turn >= 2),
+r AS (SELECT 'both' AS op, * FROM (SELECT role, text FROM f INTERSECT SELECT role, text FROM l) UNION ALL SELECT 'first only', * FROM (SELECT role, text FROM f EXCEPT SELECT role, text FROM l) UNION ALL SELECT 'either', * FROM (SELECT role, text FROM f UNION SELECT role, text FROM l))
+SELECT op, role, count(*) AS n, sum(length(text))::BIGINT AS characters FROM r GROUP BY ALL""")
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of the roles that both open a conversation and speak third."""
+    """What opens conversations and what is said later: in both, in the first only, in either."""
     turns = table(spark, sf_dir, "conversations")
-    both = turns.where("turn = 0").select("role").intersect(turns.where("turn = 2").select("role"))
-    return turns.join(both, "role", "left_semi").groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
+    first, later = turns.where("turn = 0").select("role", "text"), turns.where("turn >= 2").select("role", "text")
+    named = [("both", first.intersect(later)), ("first only", first.subtract(later)), ("either", first.union(later).distinct())]
+    rows = [df.select(F.lit(op).alias("op"), "role", "text") for op, df in named]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).groupBy("op", "role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"))
 
 
 _PAT = r"[\p{L}\p{N}_]+|\s+|[^\p{L}\p{N}_\s]"

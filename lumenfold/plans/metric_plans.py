@@ -149,11 +149,14 @@ def routing_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.routing_problems(rows, 4, 2).select("vec_id", "problem")
 
 
-@query("WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT i::INT AS i, round(avg(v) FILTER (WHERE vec_id % 3 <> 0), 6) AS pooled FROM e GROUP BY 1")
+@query("""WITH e AS (SELECT vec_id // 16 AS token, vec_id % 3 AS feature, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
+SELECT token, i::INT AS i, round(coalesce(avg(v) FILTER (WHERE feature <> 0), 0), 6) AS pooled FROM e GROUP BY ALL""")
 def masked_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean vector of the rows whose feature is not padding, by dimension."""
-    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 3).alias("feature"), F.posexplode("embedding").alias("i", "v"))
-    return rows.groupBy("i").agg(F.round(F.avg(F.when(F.col("feature") != 0, F.col("v").cast("double"))), 6).alias("pooled"))
+    """Mean vector of each token's features, sixteen of them, of which every third is padding."""
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 16").alias("token"), F.struct("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vector")).alias("r"))
+    held = rows.groupBy("token").agg(F.array_sort(F.collect_list("r")).alias("rows"))  # sixteen at most
+    pooled = metrics.masked_mean(F.transform("rows", lambda r: r["vec_id"] % 3), F.transform("rows", lambda r: r["vector"]))
+    return held.select("token", F.posexplode(pooled).alias("i", "v")).select("token", "i", F.round("v", 6).alias("pooled"))
 
 
 @query("WITH r AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'bf16' ELSE 'fp32' END AS precision, (256 * (1 + o_custkey % 4))::INT AS sequence_length, (1 + o_orderkey % 7)::INT AS microbatch_size, o_orderstatus = 'F' AS ok, o_orderpriority < '3' AS ck FROM orders), m AS (SELECT sequence_length, max(microbatch_size) FILTER (WHERE ok) AS mx FROM r WHERE precision = 'bf16' GROUP BY 1) SELECT m.sequence_length, mx AS max_microbatch, greatest(1, mx // 2)::INT AS recommended, bool_and(ck) AS checkpointing FROM m JOIN r ON r.sequence_length = m.sequence_length AND microbatch_size = mx AND ok AND precision = 'bf16' GROUP BY ALL")

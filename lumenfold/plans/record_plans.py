@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.functions import canonical, hashing, permutation
 from lumenfold.operators import alignment, corpus, sequences
 from lumenfold.plans.base import query, table
+from lumenfold.plans.corpus_plans import _SPLIT, ordered_places
 from lumenfold.plans.example_plans import _CACHE, cached_tokens
-from lumenfold.sources import readers, writers
+from lumenfold.sources import arrow_cache, readers, writers
 from lumenfold.sources.storage import scratch_path
 
 
@@ -81,3 +83,46 @@ def validation_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where no record fell into validation, the one of the smallest hash is moved there."""
     records = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.lit("train").alias("split"))
     return corpus.ensure_validation(records).select("record_id", "split")
+
+
+@query(f"""WITH r AS (SELECT 'D' || printf('%012d', doc_id) AS record_id, {_SPLIT} AS split, (len(regexp_extract_all(text, '\\S+')))::INT AS token_count FROM documents),
+n AS (SELECT *, row_number() OVER (ORDER BY split, record_id) - 1 AS row_index, count(*) OVER () AS total FROM r), w AS (SELECT (row_index * 7 + 3) % total AS row_index FROM n)
+SELECT row_index, record_id, split, token_count, count(*) AS times FROM w JOIN n USING (row_index) GROUP BY ALL""")
+def arrow_cache_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as Arrow shards, and as many rows fetched by their global number, in another order."""
+    docs = table(spark, sf_dir, "documents")
+    record, split = F.format_string("D%012d", "doc_id"), hashing.record_split(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    rows = docs.select(record.alias("record_id"), split.alias("split"), F.transform(words, lambda w: F.length(w)).alias("input_ids")).withColumn("token_count", F.size("input_ids"))
+    path = scratch_path(spark, "arrow-cache")
+    arrow_cache.write_shards(rows, path, batch_rows=256, shard_rows=4096)
+    total = arrow_cache.length(spark, path)
+    wanted = spark.range(total).select(((F.col("id") * 7 + 3) % total).alias("row_index"))
+    found = arrow_cache.rows_at(spark, path, wanted, ["record_id", "split", "token_count"])
+    return found.groupBy("row_index", "record_id", "split", "token_count").agg(F.count("*").alias("times"))
+
+
+@query("""SELECT event_id, sha256('{"at":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 > 0 THEN '.' || printf('%06d', (microsecond(ts) % 1000000)::INT) ELSE '' END || '","event":{"amounts":{"a":' || value || ',"b":' || -value / 4096 || '},"kinds":["' || event_type || '","' || user_id || '"]},"id":' || event_id || ',"none":null}') AS content_hash FROM events""")
+def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as nested records, hashed by their canonical JSON: keys in order at every depth."""
+    amounts = F.create_map(F.lit("b"), -F.col("value") / 4096, F.lit("a"), F.col("value"))
+    event = F.struct(F.array("event_type", F.col("user_id").cast("string")).alias("kinds"), amounts.alias("amounts"))
+    rows = table(spark, sf_dir, "events").select(F.lit(None).cast("string").alias("none"), F.col("event_id").alias("id"), event.alias("event"), "ts").withColumnRenamed("ts", "at")
+    return rows.select(F.col("id").alias("event_id"), F.sha2(canonical.canonical_row(rows.schema), 256).alias("content_hash"))
+
+
+@query("""WITH n AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_number, doc_id, count(*) OVER () AS total FROM documents)
+SELECT doc_id, row_number, true AS back, count(*) OVER () AS places FROM n""")
+def seeded_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in a seeded order, by arithmetic; the way back finds the document again, and places are all different."""
+    rows = numbered(table(spark, sf_dir, "documents").select("doc_id"))
+    total = rows.count()
+    placed = rows.withColumn("place", permutation.place_of(F.col("row_number"), total, 42))
+    back = permutation.row_at(F.col("place"), total, 42) == F.col("row_number")
+    places = placed.agg(F.count_distinct("place").alias("places"))
+    return placed.select("doc_id", "row_number", back.alias("back")).crossJoin(F.broadcast(places))  # one row
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """(doc_id, row_number): places by doc_id from 0, ranks inside range partitions."""
+    return ordered_places(rows, "doc_id").select("doc_id", (F.col("place") - 1).alias("row_number"))

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.functions.canonical import canonical_row
 from lumenfold.operators.integrity import file_records
 
 
-def sorted_json(df: DataFrame):
-    """A row as JSON with its top-level keys in order and nulls kept."""
-    return F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+def write_json_lines(df: DataFrame, path: str, *order: str | Column) -> DataFrame:
+    """One canonical JSON object per line, keys in order at every depth, in the given order of rows.
 
-
-def write_json_lines(df: DataFrame, path: str, *order: str | Column) -> None:
-    """One JSON object per line, in the given order; an existing path is replaced when all is written."""
+    An existing path is replaced when all is written. Returns (path, records,
+    bytes, sha256) of every file written.
+    """
     rows = df.orderBy(*order) if order else df
-    rows.select(sorted_json(df).alias("value")).write.mode("overwrite").text(path)
+    rows.select(canonical_row(df.schema).alias("value")).write.mode("overwrite").text(path)
+    spark, name = df.sparkSession, F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0)
+    lines = spark.read.text(path).groupBy(name.alias("path")).agg(F.count("*").alias("records"))
+    files = file_records(spark, path).where(~F.col("path").startswith("_") & ~F.col("path").startswith("."))
+    return files.join(lines, "path", "left").select("path", F.coalesce("records", F.lit(0)).alias("records"), "bytes", "sha256")
 
 
 def write_examples(examples: DataFrame, path: str) -> None:
