@@ -67,7 +67,9 @@ def _string(col: Column) -> Column:
 def json_float(value: Column) -> Column:
     """A double as the shortest decimal that gives it back: positional from 1e-4 up to below 1e16, else with an exponent of two digits or more.
 
-    Java before 19 writes a digit too many now and then; fewer are taken where they give the value back.
+    Java before 19 writes a digit too many now and then; fewer are taken where
+    they give the value back. Of several shortest texts of one value, which
+    differ in the last of 16 or 17 digits, it may then not be Python's.
     """
     text = F.abs(value).cast("string")
     for digits in (17, 16):

@@ -20,7 +20,9 @@ from lumenfold.functions.hashing import identifier, json_string
 from lumenfold.operators import rules
 from lumenfold.sources.storage import checkpoint, content_hash, content_int
 
-FACT = "struct<fact_id:string,concept_id:string,state:string,value:string,event_id:string,assertions:array<string>>"
+#: Suggestions that stand beside the facts without being any.
+CONTEXT = "array<struct<context_id:string,role:string,concept_id:string,suggested_value:string,trusted:boolean>>"
+FACT = "struct<fact_id:string,concept_id:string,state:string,value:string,event_id:string,assertions:array<struct<assertion_id:string,value:string,source_type:string>>>"
 SCENARIO = f"scenario_id string, family_id string, template_id string, tax_year int, seed decimal(20,0), attempt int, facts array<{FACT}>, events array<string>, documents array<string>"
 _ORDERS = {"before": "lt", "after": "gt"}
 
@@ -113,9 +115,26 @@ def generate_complete(spark: SparkSession, templates: list[dict[str, Any]], coun
         todo = again.select("template_id", "index", F.col("attempt").alias("after"))
 
 
+#: Scenarios that one task draws.
+TASK_SCENARIOS = 20_000
+
+
 def _indexed(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
-    wanted = spark.createDataFrame(list(counts.items()), "template_id string, n int").where("n > 0")
-    return wanted.select("template_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("index"), F.lit(0).alias("after"))
+    """(template_id, index, after) of every wanted scenario: one range of numbers, cut into tasks; each template owns a part of it."""
+    total = sum(max(0, n) for n in counts.values())
+    numbers = spark.range(0, total, 1, max(1, min(-(-total // TASK_SCENARIOS), 100_000), spark.sparkContext.defaultParallelism))
+    parts, first = [], 0
+    for template, n in counts.items():
+        if n > 0:
+            parts.append((template, first, first + n))
+            first += n
+    if len(parts) <= 200:
+        owner = F.coalesce(*[F.when(F.col("id") < end, F.struct(F.lit(t).alias("template_id"), F.lit(begin).cast("long").alias("begin"))) for t, begin, end in parts]) if parts else F.lit(None).cast("struct<template_id:string,begin:long>")
+        placed = numbers.withColumn("owner", owner).select("owner.template_id", (F.col("id") - F.col("owner.begin")).cast("int").alias("index"))
+    else:
+        owners = spark.createDataFrame(parts, "template_id string, begin long, end long")
+        placed = numbers.join(F.broadcast(owners), (F.col("id") >= F.col("begin")) & (F.col("id") < F.col("end"))).select("template_id", (F.col("id") - F.col("begin")).cast("int").alias("index"))
+    return placed.withColumn("after", F.lit(0))
 
 
 def _drawn(indexed: DataFrame, templates: list[dict[str, Any]], year: int, seed: int, known: dict[str, int] | None) -> DataFrame:
@@ -160,9 +179,13 @@ def mark_unknown(scenarios: DataFrame, concept: str, seed: int = 0) -> DataFrame
 
 
 def create_conflict(scenarios: DataFrame, concept: str, other: str, seed: int = 0) -> DataFrame:
-    """All facts of a concept get two assertions, the old value and another."""
+    """All facts of a concept get two assertions, the old value from a document and another stated by the user."""
     none = F.lit(None).cast("string")
-    changed = F.transform("facts", lambda f: F.when(f["concept_id"] == concept, f.withField("state", F.lit("conflicting")).withField("assertions", F.array(f["value"], F.lit(other))).withField("value", none)).otherwise(f))
+
+    def said(f: Column, number: int, value: Column, source: str) -> Column:
+        return F.struct(F.concat(F.lit("A-"), f["fact_id"], F.lit(f"-{number}")).alias("assertion_id"), value.alias("value"), F.lit(source).alias("source_type"))
+
+    changed = F.transform("facts", lambda f: F.when(f["concept_id"] == concept, f.withField("state", F.lit("conflicting")).withField("assertions", F.array(said(f, 1, f["value"], "tax_document"), said(f, 2, F.lit(other), "user_statement"))).withField("value", none)).otherwise(f))
     return _child(scenarios, changed, "create_conflict", seed, F.to_json(F.struct(F.lit(concept).alias("concept_id"))), _targets(concept))
 
 
@@ -170,7 +193,8 @@ def forced_assumption(scenarios: DataFrame, concept: str, value: str, seed: int
     """Adds an unverified suggestion as context; facts stay."""
     context = F.array(F.struct(identifier("CTX", json_string(F.col("scenario_id")), concept, seed).alias("context_id"), F.lit("forced_assumption").alias("role"), F.lit(concept).alias("concept_id"), F.lit(value).alias("suggested_value"), F.lit(False).alias("trusted")))
     params = F.to_json(F.struct(F.lit(concept).alias("concept_id"), F.lit(value).alias("suggested_value")))
-    return _child(scenarios.withColumn("context", context), F.col("facts"), "forced_assumption", seed, params, F.array().cast("array<string>"))
+    before = [F.col("context")] if "context" in scenarios.columns else []
+    return _child(scenarios.withColumn("context", F.concat(*before, context)), F.col("facts"), "forced_assumption", seed, params, F.array().cast("array<string>"))
 
 
 # Fingerprints ----------------------------------------------------------------

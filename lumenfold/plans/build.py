@@ -13,8 +13,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lumenfold.operators import clusters, corpus, export, rules, scenarios
+from lumenfold.functions.canonical import canonical
+from lumenfold.operators import clusters, corpus, export, integrity, rules, scenarios
 from lumenfold.sources import writers
 from lumenfold.sources.storage import checkpoint, content_hash, write_json, write_summary
 
@@ -53,15 +55,13 @@ class Build:
         self.enter("GENERATING")
         base = scenarios.generate_complete(self.spark, c["templates"], c["counts"], c["tax_year"], c["seed"], rules.active_rules(rule_rows, c["tax_year"]))
         self.enter("MUTATING")
+        base = checkpoint(base.withColumn("context", F.array().cast(scenarios.CONTEXT)))
         cols = base.columns
         every = base.withColumn("origin", F.lit("generated"))
-        for concept in c.get("mark_unknown", []):
-            every = every.unionByName(scenarios.mark_unknown(base, concept).select(*cols).withColumn("origin", F.lit("mutated")))
+        for child in self.mutations(base):
+            every = every.unionByName(child.select(*cols).withColumn("origin", F.lit("mutated")))
         every = checkpoint(every)
-        analysed = rules.analyse(every, rules.active_rules(rule_rows, c["tax_year"]), scenarios.facts_of(every))
-        full = every.join(analysed, "scenario_id", "left")
-        tasks = F.array(*map(F.lit, c["tasks"]))
-        full = checkpoint(full.withColumn("structure", scenarios.structural_fingerprint(F.col("facts"), F.col("events"), F.col("documents"), tasks)))
+        full = checkpoint(self.fingerprinted(self.analysed(every, rule_rows)))
         self.enter("SPLITTING")
         placed = clusters.clusters(full, "scenario_id", "family_id", "structure")
         split = checkpoint(full.join(placed.select("scenario_id", "cluster_id", "split"), "scenario_id", "left"))
@@ -80,13 +80,42 @@ class Build:
         self.enter("COMPLETED", summary=summary)
         return summary
 
+    def mutations(self, base: DataFrame) -> list[DataFrame]:
+        """Children of all base scenarios: each kind of mutation that the configuration names."""
+        c = self.config
+        found = [scenarios.mark_unknown(base, concept) for concept in c.get("mark_unknown", [])]
+        found += [scenarios.create_conflict(base, concept, str(value)) for concept, value in c.get("create_conflict", [])]
+        return found + [scenarios.forced_assumption(base, concept, str(value)) for concept, value in c.get("forced_assumption", [])]
+
+    def analysed(self, every: DataFrame, rule_rows: DataFrame) -> DataFrame:
+        """Scenarios, mutated ones too, with the outcome of the rules on their own facts."""
+        return every.join(rules.analyse(every, rules.active_rules(rule_rows, self.config["tax_year"]), scenarios.facts_of(every)), "scenario_id", "left")
+
+    def fingerprinted(self, full: DataFrame) -> DataFrame:
+        """Adds the hashes of content (``content``), meaning (``semantic``) and structure (``structure``) of scenario and analysis."""
+        kinds = {f.name: f.dataType for f in full.schema}
+        as_json = lambda names: canonical(F.struct(*names), T.StructType([T.StructField(n, kinds[n]) for n in names]))
+        tasks = F.array(*map(F.lit, self.config["tasks"]))
+        states = F.transform(tasks, lambda t: F.struct(t.alias("a"), F.coalesce("status", F.lit("")).alias("b")))
+        said = [F.col(n) for n in ("facts", "events", "documents")]
+        outcome = [n for n in (*export.OUTCOMES, "rules") if n in kinds]
+        return full.withColumns({
+            "content": scenarios.content_fingerprint(as_json(["tax_year", "facts", "events", "documents", "context"]), as_json(outcome)),
+            "semantic": scenarios.semantic_fingerprint(*said, states, F.coalesce("rules", F.array().cast("array<string>")), F.col("tax_year")),
+            "structure": scenarios.structural_fingerprint(*said, tasks),
+        })
+
     def validate(self, split: DataFrame, rule_rows: DataFrame) -> list[str]:
-        """Leakage across splits, and outcomes that a second analysis does not confirm."""
+        """Leakage across splits, outcomes that a second analysis does not confirm, and hashes that differ from those stored."""
         lost = split.where(F.col("status").isNull() | F.col("cluster_id").isNull()).count()
         problems = [f"NO-CLUSTER: {lost} scenarios without an analysis or a cluster"] if lost else []
         for key in ("family_id", "structure"):
             n = corpus.leakage(split, F.col(key), F.col("split")).count()
             problems += [f"SPLIT-LEAKAGE: {n} values of {key}"] if n else []
-        again = rules.analyse(split, rules.active_rules(rule_rows, self.config["tax_year"]), scenarios.facts_of(split)).select("scenario_id", F.struct("status", "rules", "missing").alias("again"))
-        wrong = split.join(again, "scenario_id").where(F.struct("status", "rules", "missing") != F.col("again")).count()
-        return problems + ([f"ANALYSIS-MISMATCH: {wrong} scenarios"] if wrong else [])
+        given = ["scenario_id", "tax_year", "facts", "events", "documents", "context"]
+        again = checkpoint(self.fingerprinted(self.analysed(split.select(given), rule_rows)))
+        outcome = F.struct(*[n for n in (*export.OUTCOMES, "rules") if n in again.columns])
+        wrong = split.select("scenario_id", outcome.alias("was")).join(again.select("scenario_id", outcome.alias("now")), "scenario_id").where("was != now").count()
+        problems += [f"ANALYSIS-MISMATCH: {wrong} scenarios"] if wrong else []
+        stale = integrity.stale(split, again, "scenario_id", ("content", "semantic", "structure")).groupBy("part").agg(F.count("*").alias("n"), F.min("scenario_id").alias("first"))
+        return problems + [f"{r['part'].upper()}-MISMATCH: {r['n']} scenarios, {r['first']} first" for r in stale.orderBy("part").collect()]  # three rows at most

@@ -135,7 +135,7 @@ def test_scenarios(spark):
     child = scenarios.mark_unknown(base, "asset.kind").first()
     assert child["scenario_id"] not in rows and child["parent_id"] in rows and child["facts"][3]["state"] == "unknown" and child["facts"][3]["value"] is None
     clash = scenarios.create_conflict(base, "asset.kind", "other").first()["facts"][3]
-    assert clash["state"] == "conflicting" and clash["assertions"][1] == "other"
+    assert clash["state"] == "conflicting" and [tuple(a) for a in clash["assertions"]][1] == (f"A-{clash['fact_id']}-2", "other", "user_statement") and clash["assertions"][0]["source_type"] == "tax_document"
     assert scenarios.forced_assumption(base, "asset.kind", "fund").first()["context"][0]["suggested_value"] == "fund"
     with pytest.raises(Exception, match="no fact with concept"):
         scenarios.mark_unknown(base, "nothing").collect()
