@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from lumenfold.functions import hashing, text
 
 #: Keys whose own features a worker remembers; n-grams that a task gathers before it hands a run over.
-REMEMBERED, RUN_KEYS = 200_000, 2_000_000
+REMEMBERED, RUN_KEYS = 40_000, 1_000_000
+#: Texts whose keys are Python objects at a time.
+TEXTS = 64
 #: Bytes of text for which one group of runs is planned.
 SLICE_BYTES = 16 << 20
 WORD_ORDERS, CHAR_ORDERS = (4, 3, 2), (5, 4, 3)
@@ -61,22 +63,27 @@ class _Hash:
         return first + self.raw(name, key) % buckets
 
 
-def _own(h: _Hash, key: str, aliases: list[str], shaped: bool) -> list[int]:
+def _own(h: _Hash, key: str, aliases: list[str], shaped: bool) -> array:
     """Ids that a token has by its key alone, best first: the word, its aliases, then longer character n-grams first."""
     ids = [h.feature("word_1", key), *sorted(h.feature("word_1", a) for a in aliases)]
     if shaped:
         for n in CHAR_ORDERS:
             ids += sorted({h.feature(f"char_{n}", key[i : i + n]) for i in range(len(key) - n + 1)})
-    return list(dict.fromkeys(ids))
+    return array("i", dict.fromkeys(ids))
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """(row's place, keys, sizes of runs, names, aliases, shaped) without a Python object per struct."""
-    lists = {c: batch.column(batch.schema.get_field_index(c)) for c in ("keys", "sizes", "names", "aliases", "shaped")}
-    offsets = {c: v.offsets.to_pylist() for c, v in lists.items()}
-    values = {c: v.values.to_pylist() for c, v in lists.items()}
-    for i in range(batch.num_rows):
-        yield (i, *(values[c][offsets[c][i] : offsets[c][i + 1]] for c in lists))
+    """(row's place, keys, sizes of runs, names, aliases, shaped) without a Python object per struct; some texts at a time."""
+    for at in range(0, batch.num_rows, TEXTS):
+        part = batch.slice(at, TEXTS)
+        offsets, values = [], []
+        for name in ("keys", "sizes", "names", "aliases", "shaped"):
+            column = part.column(part.schema.get_field_index(name))
+            ends = column.offsets.to_pylist()
+            offsets.append([e - ends[0] for e in ends])
+            values.append(column.values.slice(ends[0], ends[-1] - ends[0]).to_pylist())
+        for i in range(part.num_rows):
+            yield (at + i, *(v[o[i] : o[i + 1]] for o, v in zip(offsets, values, strict=True)))
 
 
 def token_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 24, secret: bytes = b"ngram-v1") -> DataFrame:
@@ -102,7 +109,7 @@ def token_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 flat, lengths, counts, first = array("i"), array("i"), array("i"), 0
                 for size in sizes:
                     for i in range(first, first + size):
-                        words = [h.feature(f"word_{n}", " ".join(keys[i - n + 1 : i + 1])) for n in WORD_ORDERS if i - n + 1 >= first]
+                        words = array("i", [h.feature(f"word_{n}", " ".join(keys[i - n + 1 : i + 1])) for n in WORD_ORDERS if i - n + 1 >= first])
                         ids = words + known[keys[i]]
                         counts.append(len(ids))
                         flat.extend(ids[:most])
