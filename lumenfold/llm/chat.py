@@ -18,7 +18,8 @@ before it. Blocks of a busy conversation meet its participants under salts.
 Defined results: null roles speak as ``unknown``; null texts are empty
 messages; rows of one turn number are ordered by role and text, and repeated
 rows are rendered as often as they occur. Rows of null conv_id or turn are a
-conversation, or a block, of their own (null). Other columns are not read.
+conversation, or a block, of their own (null). An empty table gives an empty
+result. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ cut), each block against all documents, so any number of items is handled.
 
 Defined results: null or empty texts match nothing. An item or document of
 fewer than five words has its whole word sequence as the one shingle. Rows
-repeat if items or documents do. Other columns are not read.
+repeat if items or documents do. An empty table on either side gives an empty
+result. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -8,14 +8,16 @@ measure). The nearest language wins.
 
 Language profiles are counted over a sample of labelled documents: at most
 about ``TRAIN_DOCS`` per language (a parameter), drawn by a hash of the id
-against the language's own count, so rare languages keep all of theirs. At
-most ``MOST_LANGS`` languages are learned, those with most labelled documents,
-so a column of stray values cannot outgrow the driver. Every whole text is
-then compared in one pass.
+against the language's own count, so rare languages keep all of theirs. Every
+language that occurs is learned; more than ``MOST_LANGS`` values of the column
+are an error, as then it doesn't hold languages. Profiles are kept as the list
+of languages and ranks of each n-gram, which grows with the languages alone.
+Every whole text is then compared in one pass.
 
 Defined results: ``und`` with score 0 for a null text, a text without letters,
-or when nothing was learned. Ties go to the first language by code point.
-lang, source and doc_id are never inputs of a prediction.
+or when nothing was learned. Ties go to the first language by code point. Rows
+that repeat get a prediction each; an empty table gives an empty result; extra
+columns are left out. lang, source and doc_id are never inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from lumenfold.llm.common import fold_is
 
 PROFILE = 300
 TRAIN_DOCS = 1500
-#: Languages that profiles are learned for; bounds what the driver collects and broadcasts.
-MOST_LANGS = 200
+#: Languages that may occur; bounds what the driver collects and broadcasts (2.4 kB each).
+MOST_LANGS = 100_000
 _EDGE, _STEP = 1, 21
 
 
@@ -78,31 +80,35 @@ def ranked(grams: np.ndarray, counts: np.ndarray, top: int = PROFILE) -> np.ndar
 
 @dataclass
 class Profiles:
-    """langs in code point order; grams sorted; ranks[gram, lang], PROFILE where absent."""
+    """langs in code point order; grams sorted; of each gram the languages that have it and its rank there, from ``starts`` on."""
 
     langs: list[str]
     grams: np.ndarray
+    starts: np.ndarray
+    owners: np.ndarray
     ranks: np.ndarray
 
     @classmethod
     def of(cls, lists: dict[str, np.ndarray]) -> Profiles:
         langs = sorted(lists)
-        grams = np.unique(np.concatenate([*lists.values(), np.empty(0, np.int64)]))
-        ranks = np.full((len(grams), len(langs)), PROFILE, np.int32)
-        for j, lang in enumerate(langs):
-            ranks[np.searchsorted(grams, lists[lang]), j] = np.arange(len(lists[lang]))
-        return cls(langs, grams, ranks)
+        every = np.concatenate([*(lists[x] for x in langs), np.empty(0, np.int64)])
+        owners = np.repeat(np.arange(len(langs)), [len(lists[x]) for x in langs])
+        ranks = np.concatenate([*(np.arange(len(lists[x])) for x in langs), np.empty(0, np.int64)])
+        order = np.argsort(every, kind="stable")
+        grams, starts = np.unique(every[order], return_index=True)
+        return cls(langs, grams, np.append(starts, len(every)), owners[order].astype(np.int32), ranks[order].astype(np.int32))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         grams = ranked(*gram_counts(text)) if text else np.empty(0, np.int64)
         if not len(grams) or not self.langs:
             return "und", 0.0
         at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        known = self.grams[at] == grams
-        own = np.arange(len(grams))
-        out_of_place = np.where(known[:, None], np.abs(self.ranks[at] - own[:, None]), PROFILE)
-        out_of_place[self.ranks[at] == PROFILE] = PROFILE
-        distance = out_of_place.sum(0)
+        own = np.flatnonzero(self.grams[at] == grams)
+        first, many = self.starts[at[own]], self.starts[at[own] + 1] - self.starts[at[own]]
+        # The entries of all known grams, one after the other; what a language lacks counts PROFILE, what it has that much less.
+        entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+        nearer = PROFILE - np.abs(self.ranks[entry] - np.repeat(own, many))
+        distance = PROFILE * len(grams) - np.bincount(self.owners[entry], nearer, len(self.langs))
         best = int(distance.argmin())
         return self.langs[best], 1.0 - float(distance[best]) / (PROFILE * len(grams))
 
@@ -122,9 +128,11 @@ def _count_batch(batches):
 
 
 def train(docs: DataFrame, use: Column, limit: int = TRAIN_DOCS, most: int = MOST_LANGS) -> Profiles:
-    """Profiles of the ``most`` languages with most documents among those for which ``use`` holds; ties by code point."""
+    """Profiles of all languages of the documents for which ``use`` holds; more than ``most`` raise an error."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & use).select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    if sizes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} languages: lang holds something else")
     shares = sizes.select("lang", F.least(F.lit(1.0), limit / F.col("n")).alias("share"))
     drawn = known.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     counts = drawn.select("lang", F.col("text").cast("string")).mapInArrow(_count_batch, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -15,7 +15,8 @@ The model is fitted on the driver from a bounded sample of labelled rows
 Defined results: null and empty texts have all-zero features and get a score
 like any other text. Without labelled rows every score is 0.5; with labels of
 one kind only, every score is that kind's smoothed share. Labels, lang, source
-and doc_id are never inputs of a score. Other columns pass through unread.
+and doc_id are never inputs of a score. Rows that repeat are scored each; an
+empty table gives an empty result. Other columns pass through unread.
 """
 
 from __future__ import annotations

@@ -377,7 +377,12 @@ def _digest(file: bytes) -> dict:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Per document, of its text stored as TIFF and read back: the digest columns."""
+    """Per document, of its text stored as TIFF and read back: the digest columns.
+
+    Null texts are empty ones, whose payload is 64 zero bytes. Texts of any
+    length are stored whole; rows that repeat get a row each with equal
+    values. An empty table gives an empty result; other columns are not read.
+    """
     stored = docs.select("doc_id", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"), text_to_tiff(F.col("text").cast("string")).alias("media"))
     return stored.select("doc_id", "n_bytes", tiff_digest("media").alias("d")).select("doc_id", "n_bytes", "d.*")
 
@@ -430,7 +435,10 @@ def _page_runs(files: pa.Array) -> Iterator[tuple[list[int], list[dict]]]:
 
 
 def text_pages(docs: DataFrame) -> DataFrame:
-    """The pages of every text stored as TIFF: doc_id, page, width, height, compression, predictor, tiled, samples_sha256, error."""
+    """The pages of every text stored as TIFF: doc_id, page, width, height, compression, predictor, tiled, samples_sha256, error.
+
+    Null and empty texts have one page; nothing else differs from `text_media`.
+    """
     stored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_to_tiff(F.col("text").cast("string")).alias("media"))
     p = read_pages(stored).select("doc_id", "tiff_page.*")
     return p.select("doc_id", "page", "width", "height", "compression", "predictor", "tiled", F.sha2("samples", 256).alias("samples_sha256"), "error")

@@ -8,8 +8,8 @@ Transducers, composed left to right:
    are fixed verbs with their inflections.
 2. *Clauses*: a text is cut at ``.!?;`` (unless a quotation mark follows) and
    line ends; clauses without insult or threat are passed over without further
-   work. Words become the symbols insult, threat, target, negation, report and
-   other; colons, commas and quotation marks are symbols as well.
+   work. Words become the symbols insult, threat, target, owner ("your"),
+   passive ("be"), negation, report and other; colons, commas and quotation marks are symbols as well.
 3. *Grammar*: five transducers, each of which reads symbols and marks some of
    them. ``compose`` feeds one's output to the next and compiles the result
    into one table. From right to left: a target up to ``REACH`` words after an
@@ -27,12 +27,14 @@ weights start from fixed values (negated and reported clauses count least) and
 are fitted to the labels.
 
 Lexicon and weights are learned from at most ``TRAIN_ROWS`` labelled documents
-(a parameter); every whole text is scored. Labels, lang, source and doc_id are
+(a parameter); what that sample has is all learned from, without a cap on
+patterns. Every whole text is scored. Labels, lang, source and doc_id are
 never inputs of a score. Defined results: null or empty texts match nothing
 and get the score of a text without matches. Without toxic labelled rows only
 the fixed list and the fixed weights hold. Of rows that repeat an id the sample
-takes one. Time is linear in a text's length, and clauses are cut from the text
-as it stands. An empty table gives an empty result.
+takes one; rows that repeat are scored each. Time is linear in a text's length,
+and clauses are cut from the text as it stands; apostrophes of all kinds are
+one. An empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -50,17 +52,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lumenfold.llm import labelled
-from lumenfold.llm.common import fold_is, stash
+from lumenfold.llm.common import broadcast_if_small, fold_is, stash
 
 TRAIN_ROWS = 12_000
 THRESHOLD = 0.3
-SCOPE = 3
+SCOPE = 4
 REACH = 3
 
 # Small closed word lists of the grammar's classes.
 INSULTS = "idiot moron stupid loser pathetic worthless disgusting scum trash clown".split()
 THREATS = "kill hurt destroy beat shoot stab burn shot beaten".split()
-TARGETS = "you your yourself he she they them him her people everyone du dich ihr euch tu toi vous eres usted ustedes".split()
+TARGETS = "you yourself he she they them him her people everyone du dich ihr euch tu toi vous eres usted ustedes".split()
+OWNERS = "your his their dein deine euer eure ton ta tes votre vos tu su sus".split()
+PASSIVES = "be been being get gets got".split()
+CONTRACTED = "re s ll ve d m".split()
 NEGATIONS = "not never no isn't aren't wasn't don't nobody nicht kein keine ne pas jamais nunca".split()
 REPORTS = "said says say told tells wrote called claimed quoted sagte schrieb nannte dit écrit dijo escribió".split()
 
@@ -72,7 +77,7 @@ STRONG = 0.95
 STEMS = range(4, 9)
 #: A learned pattern must explain so many toxic documents that no stronger one does. The share of toxic documents among
 #: those that have it must be at least MIN_SHARE with 97.5 % confidence (Wilson bound): 12 of 12 are enough, 11 of 11 are not.
-MIN_DOCS, MIN_SHARE, MAX_CANDIDATES = 6, 0.75, 3000
+MIN_DOCS, MIN_SHARE = 6, 0.75
 
 _TOKEN = re.compile("[^\\W_](?:['\\w-]*[^\\W_])?|[:,\"“”„«»]")
 _END = re.compile("[.!?;]+(?![\"“”„«»])|[\n\r]+")
@@ -84,11 +89,13 @@ def inflected(verb: str) -> list[str]:
     return [verb, *(verb + e for e in ("s", "es")), *(x + e for x in (stem, verb + verb[-1]) for e in ("ed", "ing"))]
 
 
+_APOSTROPHES = str.maketrans("\u2019\u2018\u02bc\u00b4", "''''")
+
 # Symbols: a class and the marks that transducers have put on it.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, COLON, COMMA, QUOTE = range(9)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, COLON, COMMA, QUOTE, OWNER, PASSIVE = range(11)
 TARGETED, NEGATED, REPORTED = 16, 32, 64
-WORDS = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT)
-SYMBOLS = [c | m for c in range(9) for m in range(0, 128, 16) if not m or c in (INSULT, THREAT)]
+WORDS = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, OWNER, PASSIVE)
+SYMBOLS = [c | m for c in range(11) for m in range(0, 128, 16) if not m or c in (INSULT, THREAT)]
 
 
 @dataclass(frozen=True)
@@ -129,23 +136,37 @@ def report_before() -> Transducer:
 
 
 def target_before() -> Transducer:
-    """State: whether a target stands before."""
+    """State: whether a target stands before, and words left after a passive's "be".
 
-    def step(seen: bool, x: int):
-        return seen or x == TARGET, x | TARGETED if seen and _hit(x) else x, 0.5 if seen and _hit(x) else 0.0
+    An insult binds to any target before it, a threat only where the target
+    suffers it: "you will be shot", not "the people shoot a film".
+    """
 
-    return Transducer(False, step)
+    def step(state: tuple[bool, int], x: int):
+        seen, passive = state
+        bound = seen and (x & 15 == INSULT or (x & 15 == THREAT and passive > 0))
+        after = 2 if x == PASSIVE else max(0, passive - (x & 15 in WORDS))
+        return (seen or x in (TARGET, OWNER), after), x | TARGETED if bound else x, 0.5 if bound else 0.0
+
+    return Transducer((False, 0), step)
 
 
 def target_after() -> Transducer:
-    """Read from the right. State: words left in which a target binds."""
+    """Read from the right. State: words left in which a target binds, and in which one binds that is no mere owner.
 
-    def step(left: int, x: int):
-        if x == TARGET:
-            return REACH, x, 0.0
-        return max(0, left - (x & 15 in WORDS)), x | TARGETED if left and _hit(x) else x, 0.5 if left and _hit(x) else 0.0
+    A threat's object is a target itself, not what a target owns ("kill your
+    bacteria"); an insult binds to either ("your stupid face").
+    """
 
-    return Transducer(0, step)
+    def step(state: tuple[int, int], x: int):
+        left, whole = state
+        if x in (TARGET, OWNER):
+            return (REACH, REACH if x == TARGET else 0), x, 0.0
+        bound = (left if x & 15 == INSULT else whole) > 0 and _hit(x)
+        less = x & 15 in WORDS
+        return (max(0, left - less), max(0, whole - less)), x | TARGETED if bound else x, 0.5 if bound else 0.0
+
+    return Transducer((0, 0), step)
 
 
 def report_after() -> Transducer:
@@ -245,21 +266,35 @@ def context_of(symbol: int) -> str | None:
 
 _GRAMMAR = Grammar()
 THREAT_WORDS = {w for v in THREATS for w in inflected(v)}
-_CLASS = {**{w: THREAT for w in THREAT_WORDS}, **{w: k for k, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}, ":": COLON, ",": COMMA, **dict.fromkeys('"“”„«»', QUOTE)}
+_CLASS = {**{w: THREAT for w in THREAT_WORDS}, **{w: k for k, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (PASSIVE, PASSIVES)) for w in words}, **{w: OWNER for w in OWNERS if w not in TARGETS}, ":": COLON, ",": COMMA, **dict.fromkeys('"“”„«»', QUOTE)}
+
+
+def plural(noun: str) -> list[str]:
+    return [noun, noun + ("es" if noun.endswith(("s", "sh", "ch", "x")) else "s")]
 
 
 def lowered(text: str) -> str:
-    """Lower case, with every character in its place."""
+    """Lower case and plain apostrophes, with every character in its place."""
+    text = text.translate(_APOSTROPHES)
     low = text.lower()
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def class_of(token: str) -> int:
+    """A word's class; a contraction's is that of what it begins with ("you're"), and any "...n't" negates."""
+    found = _CLASS.get(token)
+    if found is None and "'" in token:
+        head, _, tail = token.partition("'")
+        found = NEGATION if token.endswith("n't") else _CLASS.get(head) if tail in CONTRACTED else None
+    return OTHER if found is None else found
+
+
 @dataclass
 class Model:
     """stems: learned word starts with weights; words: whole words; weights: of CONTEXTS."""
 
     stems: dict[str, float] = field(default_factory=dict)
-    words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, 1.0))
+    words: dict[str, float] = field(default_factory=lambda: {w: 1.0 for noun in INSULTS for w in plural(noun)})
     weights: tuple[float, ...] = START_WEIGHTS
     base: float = START_BASE
 
@@ -277,7 +312,7 @@ class Model:
         found = self.known.get(token)
         if found is None:
             weight = self.insult(token)
-            found = (INSULT if weight else _CLASS.get(token, OTHER), weight or 1.0)
+            found = (INSULT if weight else class_of(token), weight or 1.0)
             if len(self.known) >= 50_000:
                 self.known.clear()
             self.known[token] = found
@@ -342,16 +377,13 @@ def learn_stems(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     share, z2 = F.col("toxic") / F.col("seen"), 1.96**2
     bound = (share + z2 / (2 * F.col("seen")) - 1.96 * F.sqrt(share * (1 - share) / F.col("seen") + z2 / (4 * F.col("seen") ** 2))) / (1 + z2 / F.col("seen"))
     strong = patterns.groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("seen").alias("seen")).where((F.col("toxic") >= MIN_DOCS) & (bound >= MIN_SHARE))
-    found = strong.orderBy(F.desc("toxic"), "pattern").limit(MAX_CANDIDATES).collect()
-    support = {r["pattern"]: (int(r["toxic"]), int(r["seen"])) for r in found}
+    strong = stash(strong, "toxic-patterns")
+    support = {r["pattern"]: (int(r["toxic"]), int(r["seen"])) for r in strong.collect()}  # all that the bounded sample has
     if not support:
         return {}, {}
-    candidates = sample.sparkSession.createDataFrame([(p,) for p in support], "pattern string")
     toxic = by_word.where("label = 1").select("doc_id", F.explode(F.array_compact(F.array(F.concat("word", F.lit("$")), *map(stem, STEMS)))).alias("pattern"))
-    pairs = toxic.join(F.broadcast(candidates), "pattern").distinct().collect()  # at most TRAIN_ROWS x MAX_CANDIDATES, few in fact
-    docs_of: dict[str, set[int]] = {p: set() for p in support}
-    for pattern, doc_id in pairs:
-        docs_of[pattern].add(doc_id)
+    pairs = toxic.join(broadcast_if_small(strong.select("pattern")), "pattern").groupBy("pattern").agg(F.collect_set("doc_id").alias("docs"))
+    docs_of = {r["pattern"]: set(r["docs"]) for r in pairs.toLocalIterator()}  # a pattern's toxic documents among at most TRAIN_ROWS
     stems, whole, left = {}, {}, set().union(*docs_of.values()) - set().union(*(docs_of.get(w + "$", set()) for w in INSULTS))
     while docs_of:
         # Most new documents first; of equals the purest, then the longest, which says most.

@@ -111,7 +111,7 @@ def test_composed_tables_equal_the_chain_of_transducers():
 
     chain = [(toxicity.target_after(), True), (toxicity.report_after(), True), (toxicity.negation(), False), (toxicity.report_before(), False), (toxicity.target_before(), False)]
     rng = random.Random(8)
-    readings = [list(r) for n in range(4) for r in itertools.product(range(9), repeat=n)] + [[rng.randrange(9) for _ in range(rng.randrange(4, 30))] for _ in range(500)]
+    readings = [list(r) for n in range(4) for r in itertools.product(range(11), repeat=n)] + [[rng.randrange(11) for _ in range(rng.randrange(4, 30))] for _ in range(500)]
     for symbols in readings:
         want, weights = list(symbols), [0.0] * len(symbols)
         for machine, backwards in chain:
@@ -240,7 +240,95 @@ def test_language_equals_plain_distances(spark):
         assert r["lang_pred"] == best and abs(r["score"] - (1 - far[best] / (language.PROFILE * len(own)))) < 1e-12
 
 
-def test_stray_languages_are_bounded(spark):
-    rows = [(i, f"word{i} abc", f"x{i}" if i % 2 else "en", "s", 1) for i in range(400)]
-    got = language.train(spark.createDataFrame(rows, DOCS), F.lit(True), most=5)
-    assert got.langs == ["en", "x1", "x101", "x103", "x105"]
+def test_every_language_is_learned(spark):
+    """Hundreds of values, one document each; beyond the stated number they are an error, none is left out."""
+    rows = [(i, f"word{i} abc", f"x{i:03d}" if i % 2 else "en", "s", 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = language.train(docs, F.lit(True))
+    assert got.langs == sorted({r[2] for r in rows})
+    with pytest.raises(ValueError, match="more than 300 languages"):
+        language.train(docs, F.lit(True), most=300)
+    assert len(language.train(docs, F.lit(True), most=301).langs) == 301
+
+
+def test_rare_languages_are_found(spark):
+    alphabets = ["abcdefgh", "ijklmnop", "qrstuvwx", "αβγδεζηθ", "бвгджзий"]
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choices(alphabets[i % 5], k=5)) for _ in range(30)), f"l{i % 5}", "s", 1) for i in range(300)]
+    got = language.identify_languages(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id'] % 5}" for r in got)
+
+
+def _plain_context(symbols, i):
+    """The context of the hit at ``i``, by looking at its neighbours; for clauses without commas and quotation marks."""
+    words = [k for k, x in enumerate(symbols) if x in toxicity.WORDS]
+    at = words.index(i)
+    near = lambda n, x: any(symbols[k] == x for k in words[max(0, at - n) : at])
+    ahead = [symbols[k] for k in words[at + 1 : at + 1 + toxicity.REACH] if symbols[k] in (toxicity.TARGET, toxicity.OWNER)]
+    before = any(x in (toxicity.TARGET, toxicity.OWNER) for x in symbols[:i])
+    if toxicity.REPORT in symbols[:i]:
+        return "reported"
+    if near(toxicity.SCOPE, toxicity.NEGATION):
+        return "negated"
+    if symbols[i] == toxicity.THREAT:
+        return "threat" if ahead[:1] == [toxicity.TARGET] or (before and near(2, toxicity.PASSIVE)) else None
+    return "targeted" if ahead or before else "plain"
+
+
+def test_contexts_against_looking_at_neighbours():
+    rng = random.Random(12)
+    letters = [toxicity.OTHER, toxicity.OTHER, toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.OWNER, toxicity.PASSIVE, toxicity.COLON]
+    for _ in range(4000):
+        symbols = [rng.choice(letters) for _ in range(rng.randrange(1, 14))]
+        got = toxicity._GRAMMAR.contexts(symbols)
+        for i, x in enumerate(symbols):
+            assert got[i] == (_plain_context(symbols, i) if x in (toxicity.INSULT, toxicity.THREAT) else None), (symbols, i)
+
+
+@pytest.mark.parametrize(
+    ("text", "context"),
+    [
+        ("don\u2019t call him an idiot", "negated"), ("don't call him an idiot", "negated"), ("you\u2019re an idiot", "targeted"), ("you're an idiot", "targeted"), ("they'll see what an idiot", "targeted"), ("Idiots!", "plain"), ("what losers", "plain"),
+        ("the people shoot a film", None), ("I will kill your bacteria", None), ("I will kill you", "threat"), ("people will be shot", "threat"), ("he got beaten", "threat"), ("she shot him", "threat"), ("your stupid face", "targeted"), ("you shoot a film", None),
+        ("shoot them all", "threat"), ("the film was shot in his town", None), ("I couldn't kill you", "negated"),
+    ],
+)
+def test_sentences(text, context):
+    model = toxicity.Model()
+    assert [c[1] for c in model.clauses(text, model.automaton())] == ([context] if context else [])
+
+
+def test_no_pattern_is_left_out_for_want_of_room(spark):
+    """Thousands of marks, each on a few toxic documents of its own: all are learned."""
+    rows, labels = [], []
+    for k in range(300):
+        for j in range(13):
+            i = k * 13 + j
+            rows.append((i, f"w{j} zq{k:03d}xv is here", "en", "s", 1))
+            labels.append((i, 0, 1))
+    for i in range(4000, 9000):
+        rows.append((i, f"w{i} is here and fine", "en", "s", 1))
+        labels.append((i, 0, 0))
+    model = toxicity.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True))
+    learned = (*model.stems, *model.words)
+    assert all(any(f"zq{k:03d}xv".startswith(p) for p in learned) for k in range(300))
+
+
+def test_quality_scores_by_plain_addition(corpus, odd):
+    """The query's scores against a loop over lookup tables with bisection, one text at a time."""
+    import math
+    from bisect import bisect_right
+
+    docs, labels = corpus
+    model = quality.train(docs, labels, ~fold_is("doc_id", 5, 0))
+    edges, tables, coarse = [e.tolist() for e in model.edges], [t.tolist() for t in model.tables], [e.tolist() for e in model.coarse]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality.score_quality(docs, labels).collect():
+        x = [float(v) for v in quality.text_features(None if texts[r["doc_id"]] is None else texts[r["doc_id"]].encode())]
+        z = model.base
+        for j, v in enumerate(x):
+            z += tables[j][bisect_right(edges[j], v)]
+        for i, j, table in model.pairs:
+            z += table[bisect_right(coarse[i], x[i])][bisect_right(coarse[j], x[j])]
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9 and r["predicted"] == (r["score"] >= quality.THRESHOLD)
+    assert quality.score_quality(docs.where("false"), labels).collect() == []
