@@ -2,11 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs. All but the last return
-the columns of ``documents``. Stages look decisions up by doc_id and never read
-other columns than they need, so extra columns pass through.
+the columns of ``documents``. Decisions go by row, so null and repeated ids
+matter nothing, and stages read no other columns than they need, so extra
+columns pass through. ``run`` leaves its intermediate tables in the shared
+folder; ``lumenfold.llm.common.clear_scratch`` deletes them once the result is
+written.
 
 ``ORACLE_SQL`` is None: the classifier's scores have no SQL form. Tests hold
-every stage against a brute-force version instead.
+each stage against a brute-force version of it instead.
 """
 
 from __future__ import annotations
