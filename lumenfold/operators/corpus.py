@@ -42,6 +42,14 @@ def source_summary(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
     return docs.groupBy(F.col(source_col).alias("source"), split.alias("split")).agg(F.count("*").alias("records"), F.sum(F.length("text")).alias("characters"))
 
 
+def page_summary(pages: DataFrame, records: DataFrame) -> DataFrame:
+    """(source_id, pages, records, characters, errors) per source: blank pages count as pages; ``pages`` as `pdf_pages` gives them."""
+    per = pages.groupBy("source_id").agg(F.max("pages").alias("pages"), F.count("error").alias("errors"))
+    own = records.groupBy("source_id").agg(F.count("*").alias("records"), F.sum(F.length("text")).alias("characters"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return per.join(own, "source_id", "left").select("source_id", "pages", zero("records"), zero("characters"), "errors")
+
+
 def corpus_totals(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     split = record_split(F.col(id_col).cast("string"))
     return docs.agg(F.count("*").alias("records"), F.count_if(split == "train").alias("train_records"), F.count_if(split == "validation").alias("validation_records"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"))

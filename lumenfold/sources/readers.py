@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterable
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.operators.export import conversation_problem
+from lumenfold.sources.pdf_pages import pdf_pages
 
 CORPUS = "record_id string, id string, example_id string, text string, split string, source_id string, chunk_id string, metadata map<string,string>"
 DIALOGUE = "record_id string, id string, example_id string, messages array<struct<role:string,content:string>>, split string, dataset_family string, task_id string, metadata map<string,string>"
@@ -52,21 +54,25 @@ def dialogue_records(raw: DataFrame) -> DataFrame:
     return raw.select(record_id.alias("record_id"), "messages", F.coalesce(first_filled(F.col("split")), F.col("metadata")["split"], F.lit("train")).alias("split"), merged.alias("metadata"), problem.alias("problem"))
 
 
-def pages_of(spark: SparkSession, folder: str, extract: Callable[[bytes], Iterable[str]], suffix: str = ".pdf") -> DataFrame:
+def pages_of(spark: SparkSession, folder: str, extract: Callable[[bytes], Iterable[str]] | None = None, suffix: str = ".pdf") -> DataFrame:
     """(source_id, page, text) of the non-blank pages of binary files, numbered from 1.
 
-    ``extract`` turns a file's bytes into page texts and is the place for a
-    document library, of which this package needs none.
+    ``extract`` turns a file's bytes into page texts and is the place for
+    another document library; without it the library's own reader is used,
+    whose unreadable pages are left out here (`pdf_pages` has them as rows).
     """
-
-    @F.udf(T.ArrayType(T.StringType()))
-    def texts(content: bytes) -> list[str]:
-        return list(extract(content))
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.[^.]*$", "")
-    pages = files.select(name.alias("source_id"), F.posexplode(texts("content")).alias("pos", "text"))
-    return pages.select("source_id", (F.col("pos") + 1).alias("page"), "text").where(F.coalesce(F.trim("text"), F.lit("")) != "")
+    if extract is None:
+        pages = pdf_pages(spark, folder, suffix).where("error IS NULL").select("source_id", "page", "text")
+    else:
+
+        @F.arrow_udf(T.ArrayType(T.StringType()))
+        def texts(contents: pa.Array) -> pa.Array:
+            return pa.array([list(extract(c.as_py())) for c in contents], pa.list_(pa.string()))
+
+        files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(folder)
+        name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.[^.]*$", "")
+        pages = files.select(name.alias("source_id"), F.posexplode(texts("content")).alias("pos", "text")).select("source_id", (F.col("pos") + 1).alias("page"), "text")
+    return pages.where(F.coalesce(F.trim("text"), F.lit("")) != "")
 
 
 # Registries (driver-side configuration) -------------------------------------
