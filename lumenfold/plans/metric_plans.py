@@ -90,14 +90,16 @@ def benchmark_after_warmup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.after_warmup(rows, 3, "event_type").select("event_type", F.round("loss", 6).alias("loss"), F.round("tokens_per_second", 6).alias("tokens_per_second"))
 
 
-# Routing over the first four dimensions of the embeddings --------------------
+# Routing: the dimensions of an embedding are the logits of as many experts -----
 
-_LOGITS = "l AS (SELECT vec_id, embedding[1:4] AS x FROM embeddings), e AS (SELECT vec_id, unnest(range(4))::INT AS expert, unnest(x)::DOUBLE AS v FROM l)"
+EXPERTS = 64
+
+_LOGITS = "l AS (SELECT vec_id, embedding AS x FROM embeddings), e AS (SELECT vec_id, unnest(range(64))::INT AS expert, unnest(x)::DOUBLE AS v FROM l)"
 _ROUTED = f"{_LOGITS}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, expert) AS place, exp(v - max(v) OVER (PARTITION BY vec_id)) AS ex FROM e), p AS (SELECT *, ex / sum(ex) OVER (PARTITION BY vec_id) AS prob FROM r)"
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logits = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
+    logits = F.transform("embedding", lambda v: v.cast("double"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", logits.alias("logits"))
     return rows.select("vec_id", metrics.top_k_experts(F.col("logits"), 2).alias("t"), metrics.softmax(F.col("logits")).alias("probabilities")).select("vec_id", "probabilities", "t.experts", "t.weights")
 
@@ -114,16 +116,16 @@ _BALANCE = f"""{_ROUTED}, n AS (SELECT count(*) AS n FROM l), b AS (SELECT exper
 
 @query(f"WITH {_BALANCE} SELECT expert, round(probability_mass, 9) AS probability_mass, assignment_count, round(assignment_fraction, 9) AS assignment_fraction, round(inclusion_rate, 9) AS inclusion_rate, round(top1_share, 9) AS top1_share FROM b")
 def balance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = metrics.expert_balance(_routed(spark, sf_dir), 4, 2)
+    found = metrics.expert_balance(_routed(spark, sf_dir), EXPERTS, 2)
     return found.select("expert", "assignment_count", *[F.round(c, 9).alias(c) for c in ("probability_mass", "assignment_fraction", "inclusion_rate", "top1_share")])
 
 
-@query(f"WITH {_BALANCE}, h AS (SELECT avg(x) AS mean_entropy FROM (SELECT -sum(greatest(prob, 1e-12) * ln(greatest(prob, 1e-12))) AS x FROM p GROUP BY vec_id)) SELECT round(4 * sum(assignment_fraction * probability_mass), 9) AS loss, round(any_value(mean_entropy), 9) AS mean_entropy, min(assignment_fraction) > 0 AND max(top1_share) < 0.95 AS healthy FROM b, h")
+@query(f"WITH {_BALANCE}, h AS (SELECT avg(x) AS mean_entropy FROM (SELECT -sum(greatest(prob, 1e-12) * ln(greatest(prob, 1e-12))) AS x FROM p GROUP BY vec_id)) SELECT round(64 * sum(assignment_fraction * probability_mass), 9) AS loss, round(any_value(mean_entropy), 9) AS mean_entropy, min(assignment_fraction) > 0 AND max(top1_share) < 0.95 AS healthy FROM b, h")
 def routing_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balance loss, entropy and health of the routing: one row."""
     rows = _routed(spark, sf_dir)
-    balance = metrics.expert_balance(rows, 4, 2)
-    one = metrics.balance_loss(balance, 4).crossJoin(F.broadcast(metrics.mean_entropy(rows))).crossJoin(F.broadcast(metrics.routing_health(balance)))  # one row each
+    balance = metrics.expert_balance(rows, EXPERTS, 2)
+    one = metrics.balance_loss(balance, EXPERTS).crossJoin(F.broadcast(metrics.mean_entropy(rows))).crossJoin(F.broadcast(metrics.routing_health(balance)))  # one row each
     return one.select(F.round("loss", 9).alias("loss"), F.round("mean_entropy", 9).alias("mean_entropy"), "healthy")
 
 
@@ -144,9 +146,9 @@ def weighted_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def routing_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Router outputs that are spoilt in three ways."""
     kind = F.col("vec_id") % 5
-    rows = _routed(spark, sf_dir).withColumn("experts", F.when(kind == 1, F.array(F.lit(9), F.lit(0))).when(kind == 3, F.array(F.lit(0))).otherwise(F.col("experts")))
+    rows = _routed(spark, sf_dir).withColumn("experts", F.when(kind == 1, F.array(F.lit(EXPERTS), F.lit(0))).when(kind == 3, F.array(F.lit(0))).otherwise(F.col("experts")))
     rows = rows.withColumn("probabilities", F.when(kind == 2, F.transform("probabilities", lambda p: p * 2)).otherwise(F.col("probabilities")))
-    return metrics.routing_problems(rows, 4, 2).select("vec_id", "problem")
+    return metrics.routing_problems(rows, EXPERTS, 2).select("vec_id", "problem")
 
 
 @query("""WITH e AS (SELECT vec_id // 16 AS token, vec_id % 3 AS feature, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
