@@ -86,9 +86,10 @@ def step_metrics(micro: DataFrame, *by: str) -> DataFrame:
 
 
 def softmax(values: Column) -> Column:
-    top = F.array_max(values)
-    e = F.transform(values, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0).cast("double"), lambda a, x: a + x))
+    """Exponentials over their sum; maximum and sum are computed once, so that the work is linear in the values."""
+    once = lambda value, body: F.transform(F.array(value), body)[0]
+    shifted = once(values, lambda v: once(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))))
+    return once(shifted, lambda e: once(F.aggregate(e, F.lit(0.0).cast("double"), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def top_k_experts(logits: Column, k: int = 2) -> Column:
