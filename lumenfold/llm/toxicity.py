@@ -89,7 +89,7 @@ def inflected(verb: str) -> list[str]:
     return [verb, *(verb + e for e in ("s", "es")), *(x + e for x in (stem, verb + verb[-1]) for e in ("ed", "ing"))]
 
 
-_APOSTROPHES = str.maketrans("\u2019\u2018\u02bc\u00b4", "''''")
+_APOSTROPHES = "\u2019\u2018\u02bc\u00b4"
 
 # Symbols: a class and the marks that transducers have put on it.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, COLON, COMMA, QUOTE, OWNER, PASSIVE = range(11)
@@ -275,7 +275,9 @@ def plural(noun: str) -> list[str]:
 
 def lowered(text: str) -> str:
     """Lower case and plain apostrophes, with every character in its place."""
-    text = text.translate(_APOSTROPHES)
+    for mark in _APOSTROPHES:
+        if mark in text:
+            text = text.replace(mark, "'")
     low = text.lower()
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
