@@ -7,15 +7,19 @@ tokenizers that load files work as well as the built-in one, which needs none.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Callable
+from dataclasses import asdict, dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenfold.sources.storage import content_hash
+
 Tokenizer = Callable[[str], tuple[list[int], list[tuple[int, int]]]]
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 TOKENS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("spans", T.ArrayType(_SPAN))])
@@ -100,8 +104,56 @@ def align_messages(rows: DataFrame, factory: Callable[[], Tokenizer] = word_toke
     return found.withColumn("alignment", F.struct(F.size("kinds").alias("total_tokens"), content.alias("content_tokens"), (F.size("kinds") - content).alias("control_tokens"), count(lambda k: k["special"]).alias("special_tokens"), count(lambda k: k["touched"] & ~k["inside"] & ~k["special"]).alias("crossing_tokens"))).drop("kinds")
 
 
+class CapabilityError(ValueError):
+    """A tokenizer lacks what its use requires."""
+
+
+@dataclass(frozen=True)
+class Requirements:
+    """What a cache needs of its tokenizer."""
+
+    offsets: bool = True
+    assistant_mask: bool = True
+    deterministic: bool = True
+
+    def for_plain_text(self) -> Requirements:
+        """The same for texts without turns: every token is trained, so nobody's words have to be told apart."""
+        return replace(self, assistant_mask=False)
+
+    def check(self, able: dict[str, bool]) -> None:
+        """Names everything that is required and missing."""
+        missing = [name for name, wanted in asdict(self).items() if wanted and not able.get(name)]
+        if missing:
+            raise CapabilityError("the tokenizer lacks: " + ", ".join(missing))
+
+
+#: A short conversation in the chat template, and where its answer stands.
+_CHAT = "<|user|>\nHello<|end|>\n<|assistant|>\nHi é<|end|>\n"
+_ANSWER = (_CHAT.index("Hi é"), _CHAT.index("Hi é") + 4)
+
+
 def capabilities(factory: Callable[[], Tokenizer] = word_tokenizer, probe: str = "a1 é!\n") -> dict[str, bool]:
-    """What a tokenizer can do, tried on a probe."""
-    ids, spans = factory()(probe)
-    joined = "".join(probe[a:b] for a, b in spans)
-    return {"offsets": len(ids) == len(spans) and all(0 <= a <= b <= len(probe) for a, b in spans), "lossless": joined == probe, "deterministic": factory()(probe) == (ids, spans)}
+    """What a tokenizer can do, tried on probes; one that fails on them can do nothing."""
+    try:
+        tokenizer, other = factory(), factory()
+        ids, spans = tokenizer(probe)
+        chat_ids, chat = tokenizer(_CHAT)
+        sound = len(ids) == len(spans) and all(0 <= a <= b <= len(probe) for a, b in spans)
+        inside = [(a, b) for a, b in chat if a < _ANSWER[1] and b > _ANSWER[0]]
+        return {
+            "offsets": sound, "lossless": "".join(probe[a:b] for a, b in spans) == probe, "deterministic": other(probe) == (ids, spans) == tokenizer(probe),
+            # an answer's tokens can be told from the template's if none reaches across its ends
+            "assistant_mask": sound and len(chat_ids) == len(chat) and bool(inside) and all(_ANSWER[0] <= a and b <= _ANSWER[1] for a, b in inside),
+        }
+    except Exception:  # a library of any kind stands behind the interface
+        return dict.fromkeys(("offsets", "lossless", "deterministic", "assistant_mask"), False)
+
+
+def tokenizer_manifest(name: str, revision: str, factory: Callable[[], Tokenizer] = word_tokenizer, vocabulary: int | None = None, special: dict[str, int] | None = None, template: str | None = None, required: Requirements | None = None) -> dict[str, object]:
+    """What caches that must agree record of their tokenizer, sealed; its revision must be pinned and its requirements met."""
+    if not revision:
+        raise ValueError("a tokenizer's revision must be pinned")
+    able = capabilities(factory)
+    (required or Requirements()).check(able)
+    manifest = {"name": name, "revision": revision, "vocabulary": vocabulary, "special_tokens": special or {}, "template_sha256": template and hashlib.sha256(template.encode()).hexdigest(), "capabilities": able, "probe_ids": content_hash(factory()(_CHAT)[0])}
+    return manifest | {"content_hash": content_hash(manifest)}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.hashing import json_string, stable_hash
-from lumenfold.functions.tokenizer import Tokenizer, capabilities, tokenize, word_tokenizer
+from lumenfold.functions.tokenizer import Requirements, Tokenizer, capabilities, tokenize, word_tokenizer
 from lumenfold.operators import corpus, integrity
 from lumenfold.sources import readers, writers
 from lumenfold.sources.storage import checkpoint
@@ -35,8 +35,7 @@ def token_records(records: DataFrame, factory: Callable[[], Tokenizer] = word_to
 def build(spark: SparkSession, pages: DataFrame, folder: str, factory: Callable[[], Tokenizer] = word_tokenizer, limit: int = 6000, validation_percent: int = 10) -> dict[str, Any]:
     """Writes corpus, cache and manifest of (source_id, page, text) and returns the manifest; no records are an error."""
     able = capabilities(factory)
-    if not able["deterministic"]:
-        raise ValueError("the tokenizer is not deterministic")
+    Requirements().for_plain_text().check(able)
     records = checkpoint(corpus.records_of(pages, limit, validation_percent))
     rows = writers.write_cache(token_records(records, factory), f"{folder}/cache").orderBy("split").collect()  # one row per split
     writers.write_json_lines(records, f"{folder}/corpus", F.coalesce("source_id", F.lit("")), F.coalesce("chunk_id", F.lit("")), "record_id")
