@@ -117,3 +117,27 @@ def test_content_fingerprint_and_audit(spark):
     registry = spark.createDataFrame([("s1", "f1", "AB"), ("s2", "f2", "ab"), ("s3", "f3", None), ("s4", "f4", "ab"), ("s5", "f1", "REPLACE_ME")], "source_id string, raw_path string, sha256 string")
     actual = spark.createDataFrame([("f1", "ab"), ("f2", "cd"), ("f3", "ef")], "path string, sha256 string")
     assert {tuple(r) for r in integrity.audit_sources(registry, actual).collect()} == {("s2", "SRC-HASH-MISMATCH", "FATAL"), ("s4", "SRC-MISSING-RAW", "ERROR")}
+
+
+def test_spans_leave_in_bounded_parts(docs, monkeypatch):
+    """Tokens of many texts are not gathered, and a text's tokens may leave in several parts."""
+    import pyarrow as pa
+
+    said = ["one two three. four five", None, "", "a b", "one two three. four five" * 3]
+    want = [[(i, *s) for s in text.spans_of(t or "")] for i, t in enumerate(said)]
+    monkeypatch.setattr(text, "TOKENS_HELD", 4)
+    parts = list(text._token_runs(pa.array(said)))
+    assert max(len(at) for at, _ in parts) <= 4
+    assert [(i, *s.values()) for at, spans in parts for i, s in zip(at, spans.to_pylist(), strict=True)] == sum(want, [])
+    whole = list(text._text_runs(pa.array(said)))
+    assert [b for b, _ in whole] == [0, 1]
+    assert [[tuple(s.values()) for s in row] for _, rows in whole for row in rows.to_pylist()] == [[s[1:] for s in w] for w in want]
+
+
+def test_places_need_no_shuffle(docs):
+    """Places counted within the row are those of the sorted table."""
+    want = occurrences.ordered(occurrences.occurrences(docs)).drop("row").collect()
+    got = occurrences.placed_occurrences(docs)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = lambda found: sorted(tuple(map(str, r.asDict().values())) for r in found)
+    assert rows(got.drop("row").collect()) == rows(want)
