@@ -141,3 +141,22 @@ def test_places_need_no_shuffle(docs):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     rows = lambda found: sorted(tuple(map(str, r.asDict().values())) for r in found)
     assert rows(got.drop("row").collect()) == rows(want)
+
+
+def test_pairs_are_aligned_within_rows(docs):
+    """As the join of all spans and tokens gives them, rows of one id together, and no token is shuffled."""
+    from pyspark.sql import Window
+
+    from lumenfold.operators import alignment
+    from lumenfold.plans.corpus_plans import pair_alignment
+
+    spans = text.token_spans(docs, row="row")
+    run = Window.partitionBy("row", "run").orderBy("ord")
+    keyed = spans.withColumn("key", text.atom_key(text.canonical_surface(F.col("surface"))))
+    pairs = keyed.select("row", "doc_id", "start_char", F.lead("end_char").over(run).alias("end_char"), F.concat("key", F.lit(" "), F.lead("key").over(run)).alias("key")).where("end_char IS NOT NULL")
+    features = pairs.withColumn("feature_id", F.conv(F.substring(F.sha2("key", 256), 1, 6), 16, 10).cast("int")).drop("key")
+    tokens = spans.select("row", F.col("ord").alias("token_index"), F.col("start_char").alias("token_start"), F.col("end_char").alias("token_end"))
+    joined = alignment.align_right_edge(features, tokens, "row")
+    want = joined.groupBy("doc_id").agg(F.count_distinct("token_index", "feature_id").alias("aligned"), F.sum("token_index").alias("index_sum"), F.sum("feature_id").alias("feature_sum")).collect()
+    got = pair_alignment(docs)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) == 2
