@@ -36,6 +36,29 @@ def word_tokenizer(vocabulary: int = 1 << 16) -> Tokenizer:
     return tokenize
 
 
+#: Tokens that are Python objects at a time.
+TOKENS_HELD = 1 << 15
+
+
+def _tokens_of(tokenizer: Tokenizer, texts: pa.Array) -> pa.Array:
+    """Ids and spans of each text; they are Arrow's after TOKENS_HELD tokens, so that no batch is held as objects."""
+    parts, lengths, places = [], [0], [0]
+    ids, starts, ends = [], [], []
+    for i in range(len(texts)):
+        own, spans = tokenizer(texts[i].as_py() or "")
+        ids.extend(own)
+        starts.extend(a for a, _ in spans)
+        ends.extend(z for _, z in spans)
+        lengths.append(lengths[-1] + len(own))
+        places.append(places[-1] + len(spans))
+        if len(ids) >= TOKENS_HELD or i + 1 == len(texts):
+            parts.append([pa.array(x, pa.int32()) for x in (ids, starts, ends)])
+            ids, starts, ends = [], [], []
+    flat = [pa.concat_arrays(x) for x in zip(*parts, strict=True)] or [pa.array([], pa.int32())] * 3
+    spans = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.StructArray.from_arrays(flat[1:], names=["start", "end"]))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat[0]), spans], names=["ids", "spans"])
+
+
 def tokenize(factory: Callable[[], Tokenizer] = word_tokenizer):
     """A column function: text -> struct(ids, spans); null is empty."""
     made: list[Tokenizer] = []
@@ -44,11 +67,7 @@ def tokenize(factory: Callable[[], Tokenizer] = word_tokenizer):
     def run(texts: pa.Array) -> pa.Array:
         if not made:
             made.append(factory())
-        rows = [made[0](t or "") for t in texts.to_pylist()]
-        span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-        ids = pa.array([r[0] for r in rows], pa.list_(pa.int32()))
-        spans = pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in rows], pa.list_(span))
-        return pa.StructArray.from_arrays([ids, spans], names=["ids", "spans"])
+        return _tokens_of(made[0], texts)
 
     return run
 

@@ -261,3 +261,43 @@ def test_orders_and_conservation(spark):
     with pytest.raises(ValueError):
         sequences.token_conservation(rows, 8)
     assert hash_manifest()["rows"] == 147_457 and hash_manifest(b"other")["digest"] != hash_manifest()["digest"]
+
+
+def test_segments_within_rows_are_those_of_the_join(spark):
+    """Empty segments, gaps and borders; and no token becomes a row of a join."""
+    cuts = {"a": [(0, 9), (19, 19), (29, 60)], "b": [(3, 5)], "c": [(7, 14), (14, 28)]}
+    segments = spark.createDataFrame([(r, i, a, z) for r, own in cuts.items() for i, (a, z) in enumerate(own)], "record_id string, segment_id int, seg_start int, seg_end int")
+    tokens = spark.createDataFrame([(r, i, 7 * i, 7 * i + 7) for r in cuts for i in range(10)], "record_id string, token_index int, start int, end int")
+    joined = alignment.map_to_segments(tokens, segments).collect()
+    want = {(r["record_id"], r["token_index"]): -1 if r["problem"] else r["segment_id"] for r in joined}
+    said = segments.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("segment_id", "seg_start", "seg_end"))).alias("s")).withColumn("starts", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: i * 7))
+    found = said.select("record_id", alignment.segments_within(F.col("starts"), F.transform("starts", lambda a: a + 7), F.col("s.seg_start"), F.col("s.seg_end")).alias("at"))
+    assert {(r["record_id"], i): x for r in found.collect() for i, x in enumerate(r["at"])} == want
+
+
+def test_padding_widths_are_broadcast(spark, tmp_path):
+    """A split is not one task's rows."""
+    from lumenfold.plans.registry import QUERIES
+
+    spark.createDataFrame([(c, t, "user", "ab" * (c % 9)) for c in range(40) for t in range(3)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    plan = QUERIES["padded_batches"](spark, str(tmp_path))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+        assert plan.count() == 120
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tokens_are_held_in_parts(monkeypatch):
+    """Few tokens are objects at a time; texts come back whole and in order, spans and ids of their own lengths."""
+    import pyarrow as pa
+
+    from lumenfold.functions import tokenizer
+
+    monkeypatch.setattr(tokenizer, "TOKENS_HELD", 3)
+    said, cut = ["one two three four", None, "", "x", "a b c d e"], tokenizer.word_tokenizer()
+    want = [{"ids": cut(t or "")[0], "spans": [{"start": a, "end": z} for a, z in cut(t or "")[1]]} for t in said]
+    assert tokenizer._tokens_of(cut, pa.array(said)).to_pylist() == want
+    assert tokenizer._tokens_of(lambda t: ([1] * len(t), []), pa.array(["ab", "c"])).to_pylist() == [{"ids": [1, 1], "spans": []}, {"ids": [1], "spans": []}]
+    assert tokenizer._tokens_of(cut, pa.array([], pa.string())).to_pylist() == []
