@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions.hashing import json_string, stable_hash
 from lumenfold.operators import export, integrity, rules, scenarios
 from lumenfold.plans.base import query, table
-from lumenfold.sources.storage import written
+from lumenfold.sources.storage import literal_rows, written
 
 _CONDITION = "array<struct<concept_id:string,operator:string,value:string,value_ref:string>>"
 RULE_SCHEMA = f"rule_id string, status string, tax_years array<int>, conditions {_CONDITION}, effects array<struct<effect_type:string,target:string>>"
@@ -26,7 +26,7 @@ LIMIT_CENTS = 900_000
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, RULE_SCHEMA)
+    return literal_rows(spark, RULES, RULE_SCHEMA)
 
 
 def customer_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -48,7 +48,7 @@ a AS (SELECT *, state = 'present' AND cents >= 500000 AND seg = 'BUILDING' AS hi
 @query(f"WITH {_FACTS} SELECT id AS scenario_id, rule_id FROM (SELECT id, unnest(list_filter(['R-ALL', CASE WHEN high THEN 'R-HIGH' END, CASE WHEN idle THEN 'R-IDLE' END, CASE WHEN lim THEN 'R-LIMIT' END, CASE WHEN other THEN 'R-OTHER' END], lambda x: x IS NOT NULL)) AS rule_id FROM a)")
 def rule_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     people, facts = customer_facts(spark, sf_dir)
-    limits = spark.createDataFrame([("limit", LIMIT_CENTS)], "value_id string, value long")
+    limits = literal_rows(spark, [("limit", LIMIT_CENTS)], "value_id string, value long")
     return rules.activated(people, rules.active_rules(rule_table(spark), 2025), facts, limits)
 
 
@@ -64,7 +64,7 @@ def rule_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     people, facts = customer_facts(spark, sf_dir)
-    limits = spark.createDataFrame([("limit", LIMIT_CENTS)], "value_id string, value long")
+    limits = literal_rows(spark, [("limit", LIMIT_CENTS)], "value_id string, value long")
     return rules.analyse(people, rules.active_rules(rule_table(spark), 2025), facts, limits)
 
 

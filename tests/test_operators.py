@@ -301,3 +301,15 @@ def test_tokens_are_held_in_parts(monkeypatch):
     assert tokenizer._tokens_of(cut, pa.array(said)).to_pylist() == want
     assert tokenizer._tokens_of(lambda t: ([1] * len(t), []), pa.array(["ab", "c"])).to_pylist() == [{"ids": [1, 1], "spans": []}, {"ids": [1], "spans": []}]
     assert tokenizer._tokens_of(cut, pa.array([], pa.string())).to_pylist() == []
+
+
+def test_rules_need_no_python_workers(spark):
+    """Rules and values at hand are part of the plan."""
+    from lumenfold.plans import rule_plans
+    from lumenfold.sources.storage import literal_rows
+
+    rules_ = rule_plans.rule_table(spark)
+    want = spark.createDataFrame(rule_plans.RULES, rule_plans.RULE_SCHEMA)
+    assert sorted(map(str, rules_.collect())) == sorted(map(str, want.collect())) and rules_.dtypes == want.dtypes
+    assert "ExistingRDD" not in rules_._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in literal_rows(spark, [("a", None), (None, 2)], "x string, y long").collect()] == [("a", None), (None, 2)]
