@@ -434,11 +434,32 @@ def _page_runs(files: pa.Array) -> Iterator[tuple[list[int], list[dict]]]:
         yield rows, pages
 
 
+def store_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, media) from (doc_id, text): files leave as they are made, some PAGE_BYTES together."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _file_runs(batch)
+
+    return docs.mapInArrow(each, "doc_id long, media binary")
+
+
+def _file_runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    begin, files, held = 0, [], 0
+    texts = batch.column(1).cast(pa.binary())
+    for i in range(len(texts)):
+        files.append(store_text(texts[i].as_py() or b""))
+        held += len(files[-1])
+        if held >= PAGE_BYTES or i + 1 == len(texts):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(files)), pa.array(files, pa.binary())], names=["doc_id", "media"])
+            begin, files, held = i + 1, [], 0
+
+
 def text_pages(docs: DataFrame) -> DataFrame:
     """The pages of every text stored as TIFF: doc_id, page, width, height, compression, predictor, tiled, samples_sha256, error.
 
     Null and empty texts have one page; nothing else differs from `text_media`.
     """
-    stored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_to_tiff(F.col("text").cast("string")).alias("media"))
+    stored = store_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     p = read_pages(stored).select("doc_id", "tiff_page.*")
     return p.select("doc_id", "page", "width", "height", "compression", "predictor", "tiled", F.sha2("samples", 256).alias("samples_sha256"), "error")

@@ -78,3 +78,17 @@ def test_a_page_per_row(spark):
             want[i, n] = (tiff.ROW, len(part) // tiff.ROW, hashlib.sha256(part).hexdigest(), None)
     assert {k: (r["width"], r["height"], r["samples_sha256"], r["error"]) for k, r in got.items()} == want
     assert tiff.text_pages(docs.where("false")).count() == 0
+
+
+def test_files_leave_in_bounded_parts(monkeypatch):
+    """Stored texts are not gathered for a whole batch."""
+    import pyarrow as pa
+
+    from lumenfold.llm import tiff
+
+    monkeypatch.setattr(tiff, "PAGE_BYTES", 1)
+    said = ["abc", None, "", "d" * 5000]
+    parts = list(tiff._file_runs(pa.record_batch([pa.array(range(4)), pa.array(said)], names=["doc_id", "text"])))
+    assert [p.num_rows for p in parts] == [1] * 4
+    assert [(r["doc_id"], r["media"]) for p in parts for r in p.to_pylist()] == [(i, tiff.store_text((t or "").encode())) for i, t in enumerate(said)]
+    assert not list(tiff._file_runs(pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.string())], names=["doc_id", "text"])))
