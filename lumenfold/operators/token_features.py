@@ -2,16 +2,17 @@
 
 A token's candidates all lie in its own text: the word n-grams that end with
 it, its aliases and its character n-grams. So they are hashed, ranked and cut
-where the text is read, and no n-gram is shuffled. Keys come from built-in
-expressions; hashing (BLAKE2b, which Spark lacks) and ranking are one Arrow
-function. What a key itself contributes is remembered between rows.
+where the text is read, and no n-gram is shuffled. Tokens are numbers of their
+keys; of some texts together, each distinct n-gram is hashed once (BLAKE2b,
+which Spark lacks), and ranking works on arrays. What a key itself contributes
+is remembered between rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,27 +23,14 @@ from pyspark.sql import functions as F
 from lumenfold.functions import hashing, text
 
 #: Keys whose own features a worker remembers; n-grams that a task gathers before it hands a run over.
-REMEMBERED, RUN_KEYS = 40_000, 1_000_000
-#: Texts whose keys are Python objects at a time.
-TEXTS = 64
+REMEMBERED, RUN_KEYS = 200_000, 1_000_000
+#: Items (tokens and breaks) that are looked at together.
+ITEMS = 1 << 17
 #: Bytes of text for which one group of runs is planned.
 SLICE_BYTES = 16 << 20
 WORD_ORDERS, CHAR_ORDERS = (4, 3, 2), (5, 4, 3)
 
 
-def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, keys, ends, names, aliases, shaped) of each text with tokens.
-
-    ``keys``: canonical keys of all tokens, ``ends``: the place after each run
-    that no sentence break interrupts; ``names``: the distinct keys, with their
-    aliases and whether they give character n-grams.
-    """
-    runs = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("row"), text.keyed_runs(F.col(text_col)).alias("runs")).where(F.size("runs") > 0)
-    keys = runs.select(id_col, "row", F.flatten("runs").alias("keys"), F.transform("runs", lambda r: F.size(r)).alias("sizes")).withColumn("names", F.array_distinct("keys"))
-    aliases = F.transform("names", lambda k: F.when(k.startswith("<"), F.array().cast("array<string>")).otherwise(text.atom_aliases(k)))
-    return keys.select(id_col, "row", "keys", "sizes", "names", aliases.alias("aliases"), F.transform("names", lambda k: text.char_gram_eligible(k, k)).alias("shaped"))
-
-
 class _Hash:
     """BLAKE2b of namespace and key; the state after the secret is made once per namespace."""
 
@@ -53,37 +41,62 @@ class _Hash:
             begun.update(name.encode() + b"\0")
             self.of[name] = (begun.copy, 1 + offset, buckets)
 
-    def raw(self, name: str, key: str) -> int:
-        state = self.of[name][0]()
-        state.update(key.encode())
-        return int.from_bytes(state.digest(), "little")
+    def raw(self, name: str, keys: Iterable[bytes]) -> np.ndarray:
+        begun = self.of[name][0]
+
+        def digest(key: bytes) -> bytes:
+            state = begun()
+            state.update(key)
+            return state.digest()
+
+        return np.frombuffer(b"".join(map(digest, keys)), "<u8")
 
-    def feature(self, name: str, key: str) -> int:
+    def features(self, name: str, keys: Iterable[bytes]) -> np.ndarray:
         _, first, buckets = self.of[name]
-        return first + self.raw(name, key) % buckets
+        return (first + self.raw(name, keys) % np.uint64(buckets)).astype(np.int32)
 
 
-def _own(h: _Hash, key: str, aliases: list[str], shaped: bool) -> array:
+def _char_grams(key: str, n: int) -> set[str]:
+    return {key[i : i + n] for i in range(len(key) - n + 1)}
+
+
+def _own(h: _Hash, key: str) -> list[int]:
     """Ids that a token has by its key alone, best first: the word, its aliases, then longer character n-grams first."""
-    ids = [h.feature("word_1", key), *sorted(h.feature("word_1", a) for a in aliases)]
-    if shaped:
+    coded = lambda keys: (k.encode() for k in keys)
+    ids = [*h.features("word_1", coded([key])), *sorted(h.features("word_1", coded(text.aliases_of(key))))]
+    if text.gives_char_grams(key):
         for n in CHAR_ORDERS:
-            ids += sorted({h.feature(f"char_{n}", key[i : i + n]) for i in range(len(key) - n + 1)})
-    return array("i", dict.fromkeys(ids))
+            ids += sorted(set(h.features(f"char_{n}", coded(_char_grams(key, n)))))
+    return list(dict.fromkeys(ids))
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """(row's place, keys, sizes of runs, names, aliases, shaped) without a Python object per struct; some texts at a time."""
-    for at in range(0, batch.num_rows, TEXTS):
-        part = batch.slice(at, TEXTS)
-        offsets, values = [], []
-        for name in ("keys", "sizes", "names", "aliases", "shaped"):
-            column = part.column(part.schema.get_field_index(name))
-            ends = column.offsets.to_pylist()
-            offsets.append([e - ends[0] for e in ends])
-            values.append(column.values.slice(ends[0], ends[-1] - ends[0]).to_pylist())
-        for i in range(part.num_rows):
-            yield (at + i, *(v[o[i] : o[i + 1]] for o, v in zip(offsets, values, strict=True)))
+def _parts(texts: pa.Array, numbers: text.KeyNumbers, most: int = ITEMS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(items, place of the text, token index) of about ``most`` items together.
+
+    The index is -1 for breaks, and for the three items before a part of a very
+    long text, which come again since n-grams reach back to them.
+    """
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+    for at in range(len(texts)):
+        items = np.array(array("i", map(numbers.__getitem__, text.surfaces(texts[at].as_py() or "", breaks=True))), np.int64)
+        index = np.where(items > 0, np.cumsum(items > 0) - 1, -1)
+        for begin in range(0, len(items), most):
+            back = min(begin, 3)
+            own = index[begin - back : begin + most].copy()
+            own[:back] = -1
+            held.append((np.append(items[begin - back : begin + most], 0), np.full(len(own) + 1, at), np.append(own, -1)))
+            size += len(own)
+            if size >= most:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _ends(places: np.ndarray, order: int) -> np.ndarray:
+    """The place of the n-gram that ends at each item, from that of the one that begins there."""
+    return np.concatenate([np.full(order - 1, -1), places])[: len(places)]
 
 
 def token_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 24, secret: bytes = b"ngram-v1") -> DataFrame:
@@ -94,37 +107,45 @@ def token_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     within these. Null and empty texts have no tokens; rows that share an id
     are texts of their own.
     """
-    rows = keyed_rows(docs, id_col, text_col)
-    kind = rows.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, known = _Hash(secret), {}
+        h, numbers = _Hash(secret), text.KeyNumbers()
+        own, starts = array("i"), array("q", [0, 0])  # of each key in turn; breaks have none
         for batch in batches:
-            for at, keys, sizes, names, aliases, shaped in _rows(batch):
-                if len(known) + len(names) > REMEMBERED:
-                    known.clear()
-                for name, others, fit in zip(names, aliases, shaped, strict=True):
-                    if name not in known:
-                        known[name] = _own(h, name, others, fit)
-                flat, lengths, counts, first = array("i"), array("i"), array("i"), 0
-                for size in sizes:
-                    for i in range(first, first + size):
-                        words = array("i", [h.feature(f"word_{n}", " ".join(keys[i - n + 1 : i + 1])) for n in WORD_ORDERS if i - n + 1 >= first])
-                        ids = words + known[keys[i]]
-                        counts.append(len(ids))
-                        flat.extend(ids[:most])
-                        lengths.append(min(len(ids), most))
-                    first += size
-                for begin in range(0, len(counts), 20_000):  # a very long text goes in parts
-                    many = np.frombuffer(counts, np.int32)[begin : begin + 20_000]
-                    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, np.int32))]).astype(np.int64)
-                    end = begin + len(many)
-                    ids = pa.ListArray.from_arrays(pa.array((offsets[begin : end + 1] - offsets[begin]).astype(np.int32)), pa.array(np.frombuffer(flat, np.int32)[offsets[begin] : offsets[end]]))
-                    again = pa.array(np.full(len(many), at))
-                    yield pa.record_batch(
-                        [batch.column(0).take(again), batch.column(1).take(again), pa.array(np.arange(begin, end, dtype=np.int32)), ids, pa.array(many), pa.array(np.maximum(many - most, 0))],
-                        names=[id_col, "row", "token_index", "feature_ids", "candidate_count", "dropped"],
-                    )
+            for items, at, index in _parts(batch.column(2), numbers):
+                names = list(numbers.of_key)
+                for key in names[len(starts) - 1 :]:
+                    own.extend(_own(h, key))
+                    starts.append(len(own))
+                token = np.flatnonzero(index >= 0)
+                key, began = items[token], np.array(starts)
+                grams = dict(zip((2, 3, 4), text.gram_numbers(items, names), strict=True))
+                words = []  # by falling order, the id of the n-gram that ends with each token, or 0
+                for n in WORD_ORDERS:
+                    keys, places = grams[n]
+                    ids = np.append(h.features(f"word_{n}", keys.cast(pa.binary()).to_pylist()), np.int32(0))
+                    words.append(ids[_ends(places, n)[token]])
+                longer = sum((w > 0).astype(np.int64) for w in words)
+                counts = longer + began[key + 1] - began[key]
+                kept = np.minimum(counts, most)
+                ends = np.cumsum(kept)
+                rank = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - kept, kept)
+                flat = np.array(own, np.int32)[np.maximum(np.repeat(began[key] - longer, kept) + rank, 0)]  # places of words are filled below
+                before = np.zeros(len(token), np.int64)
+                for w in words:
+                    here = (w > 0) & (before < kept)
+                    flat[(ends - kept + before)[here]] = w[here]
+                    before += w > 0
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat, pa.int32()))
+                again = pa.array(at[token])
+                yield pa.record_batch(
+                    [batch.column(0).take(again), batch.column(1).take(again), pa.array(index[token].astype(np.int32)), ids, pa.array(counts.astype(np.int32)), pa.array(np.maximum(counts - most, 0).astype(np.int32))],
+                    names=[id_col, "row", "token_index", "feature_ids", "candidate_count", "dropped"],
+                )
+            if len(numbers.of_key) >= REMEMBERED or numbers.held >= text.SURFACES_HELD:
+                numbers, own, starts = text.KeyNumbers(), array("i"), array("q", [0, 0])
 
     return rows.mapInArrow(each, f"`{id_col}` {kind}, row long, token_index int, feature_ids array<int>, candidate_count int, dropped int")
 
@@ -143,44 +164,52 @@ def bucket_statistics(docs: DataFrame, text_col: str = "text", secret: bytes = b
     volume = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).head()[0] or 0
     bits = min(16, max(3, int(volume // SLICE_BYTES).bit_length()))
     runs = pa.schema([("space", pa.string()), ("slice", pa.int32()), ("keys", pa.binary())])
-    packed = np.dtype([("raw", ">u8"), ("more", ">u2")])  # bytes in the order of their values
+    packed = np.dtype([("raw", "<u8"), ("more", "<u2")])
+
+    def packed_keys(h: _Hash, name: str, keys: list[bytes]) -> np.ndarray:
+        found = np.empty(len(keys), packed)
+        found["raw"] = h.raw(name, keys)
+        found["more"] = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)) & np.uint64(0xFFFF)
+        return found
 
-    def hand_over(h: _Hash, sets: dict[str, set[str]]) -> Iterator[pa.RecordBatch]:
+    def hand_over(gathered: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for name, keys in sets.items():
-            found = np.empty(len(keys), packed)
-            found["raw"] = np.fromiter((h.raw(name, k) for k in keys), np.uint64, len(keys))
-            found["more"] = np.fromiter((xxhash.xxh3_64_intdigest(k) & 0xFFFF for k in keys), np.uint16, len(keys))
-            found = found[np.argsort(found["raw"], kind="stable")]
-            cut = (found["raw"].astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+        for name, parts in gathered.items():
+            found = np.concatenate([np.empty(0, packed), *parts])
+            raw, more = found["raw"].astype(np.uint64), found["more"].astype(np.uint16)
+            found = found[(order := np.lexsort((more, raw)))]
+            raw, more = raw[order], more[order]
+            fresh = np.append(True, (raw[1:] != raw[:-1]) | (more[1:] != more[:-1]))[: len(found)]
+            found, cut = found[fresh], (raw[fresh] >> np.uint64(64 - bits)).astype(np.int32)
             for part in np.split(np.arange(len(found)), np.flatnonzero(np.diff(cut)) + 1):
                 if len(part):
                     rows.append((name, int(cut[part[0]]), found[part].tobytes()))
-            keys.clear()
+            parts.clear()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), runs, strict=True)], schema=runs)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, sets, known = _Hash(secret), {n: set() for n in hashing.NAMESPACE_BUCKETS}, set()
+        h, numbers, known = _Hash(secret), text.KeyNumbers(), 1
+        gathered: dict[str, list[np.ndarray]] = {n: [] for n in hashing.NAMESPACE_BUCKETS}
         for batch in batches:
-            for _, keys, sizes, names, aliases, shaped in _rows(batch):
-                for name, others, fit in zip(names, aliases, shaped, strict=True):
-                    if name not in known:
-                        known.add(name)
-                        sets["word_1"].update([name, *others])
-                        if fit:
-                            for n in CHAR_ORDERS:
-                                sets[f"char_{n}"].update(name[i : i + n] for i in range(len(name) - n + 1))
-                first = 0
-                for size in sizes:
-                    run = keys[first : first + size]
-                    for n in WORD_ORDERS:
-                        sets[f"word_{n}"].update(map(" ".join, zip(*(run[k:] for k in range(n)))))  # noqa: B905
-                    first += size
-                if sum(map(len, sets.values())) >= RUN_KEYS:
-                    known.clear()
-                    yield from hand_over(h, sets)
-        yield from hand_over(h, sets)
+            for items, _, _ in _parts(batch.column(0), numbers):
+                names = list(numbers.of_key)
+                own: dict[str, set[str]] = {"word_1": set(), **{f"char_{n}": set() for n in CHAR_ORDERS}}
+                for key in names[known:]:
+                    own["word_1"].update([key, *text.aliases_of(key)])
+                    if text.gives_char_grams(key):
+                        for n in CHAR_ORDERS:
+                            own[f"char_{n}"] |= _char_grams(key, n)
+                known = len(names)
+                for name, keys in own.items():
+                    gathered[name].append(packed_keys(h, name, [k.encode() for k in keys]))
+                for n, (keys, _) in zip((2, 3, 4), text.gram_numbers(items, names), strict=True):
+                    gathered[f"word_{n}"].append(packed_keys(h, f"word_{n}", keys.cast(pa.binary()).to_pylist()))
+                if sum(len(x) for parts in gathered.values() for x in parts) >= RUN_KEYS:
+                    yield from hand_over(gathered)
+            if len(numbers.of_key) >= REMEMBERED or numbers.held >= text.SURFACES_HELD:
+                numbers, known = text.KeyNumbers(), 1
+        yield from hand_over(gathered)
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct keys of each bucket, in one slice of one namespace."""
@@ -194,7 +223,7 @@ def bucket_statistics(docs: DataFrame, text_col: str = "text", secret: bytes = b
         hit = np.flatnonzero(depth)
         yield pa.record_batch([pa.array([name] * len(hit)), pa.array(hit.astype(np.int32)), pa.array(depth[hit].astype(np.int64))], names=["namespace", "bucket", "keys"])
 
-    rows = keyed_rows(docs.select(F.lit(0).alias("doc_id"), text_col), "doc_id", text_col)
+    rows = docs.select(F.col(text_col).cast("string").alias("text"))
     counts = rows.mapInArrow(each, "space string, slice int, keys binary").groupBy("space", "slice").applyInArrow(merge, "namespace string, bucket int, keys long")
     depth = counts.groupBy("namespace", "bucket").agg(F.sum("keys").alias("keys"))
     size = F.create_map(*[F.lit(x) for pair in hashing.NAMESPACE_BUCKETS.items() for x in pair])[F.col("namespace")]

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text
+from lumenfold.operators import token_features
 from lumenfold.plans import corpus_plans
 
 TEXTS = ["a b c. a b c d e\nf; $ 5 4.5% 1/2/2025 w-2 1099-B x_y/z don't", "", None, "one two " * 40 + "! one", "é Ünïcode –dash 2024 3,000.50 -$7 +4 a--b", ";;;. . .", "z"]
@@ -47,3 +48,23 @@ def test_keys(spark):
     found = sorted({m for t in TEXTS for m in re.findall(text.TOKEN, t or "", re.ASCII)} | {"1099", "109", "W2", "1/2/25", "A1", "10,5", "1999", "2150", "1040-EZ", "12-A", "5%"})
     rows = spark.createDataFrame([(s,) for s in found], "s string").select("s", text.atom_key(text.canonical_surface(F.col("s"))).alias("k"))
     assert {r["s"]: r["k"] for r in rows.collect()} == {s: text.key_of(s) for s in found}
+
+
+def test_aliases_and_shapes(spark):
+    found = sorted({text.key_of(m) for t in TEXTS for m in re.findall(text.TOKEN, t or "", re.ASCII)} | {"w-2", "1099-b", "a_b-c/d", "x/y/x", "a-b-c-d-e", "1-2x", "12-34", "<date>", "abcdefg", "a" * 65, "don't-x"})
+    key = F.col("k")
+    rows = spark.createDataFrame([(k,) for k in found], "k string").select("k", F.when(key.startswith("<"), F.array().cast("array<string>")).otherwise(text.atom_aliases(key)).alias("a"), text.char_gram_eligible(key, key).alias("c"))
+    assert {r["k"]: (list(r["a"]), r["c"]) for r in rows.collect()} == {k: (text.aliases_of(k), text.gives_char_grams(k)) for k in found}
+
+
+@pytest.mark.parametrize("items", [4, 7])
+def test_features_of_parts(spark, monkeypatch, items):
+    """A long text in parts, texts together and forgotten keys: as if each text were looked at whole; no key is an array of the plan."""
+    docs = spark.createDataFrame(list(enumerate(TEXTS * 3)), "doc_id long, text string").repartition(2).cache()
+    own = lambda: sorted((r["doc_id"], r["token_index"], list(r["feature_ids"]), r["candidate_count"], r["dropped"]) for r in token_features.token_features(docs, most=6).collect())
+    want, stats = own(), sorted(map(tuple, token_features.bucket_statistics(docs).collect()))
+    monkeypatch.setattr(token_features, "REMEMBERED", 3)
+    parts = token_features._parts
+    monkeypatch.setattr(token_features, "_parts", lambda texts, numbers, size=items: parts(texts, numbers, size))
+    assert own() == want and sorted(map(tuple, token_features.bucket_statistics(docs).collect())) == stats
+    assert "lambdafunction" not in _plan(token_features.token_features(docs))
