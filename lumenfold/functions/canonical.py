@@ -8,6 +8,7 @@ itself; its numbers are spelled as variants spell them.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,26 +72,54 @@ def json_float(value: Column) -> Column:
     they give the value back. Of several shortest texts of one value, which
     differ in the last of 16 or 17 digits, it may then not be Python's.
     """
-    text = F.abs(value).cast("string")
-    for digits in (17, 16):
-        fewer = F.regexp_replace(F.format_string(f"%.{digits - 1}e", F.abs(value)), r"e\+?", "E")
-        long = F.length(F.regexp_replace(text, r"E.*|\.", "")) > digits
-        text = F.when(long & (fewer.cast("double") == F.abs(value)), fewer).otherwise(text)
-    mantissa = F.regexp_replace(F.regexp_extract(text, r"^([0-9.]+)", 1), r"\.0$", "")
-    power = F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
-    whole = F.regexp_extract(mantissa, r"^(\d+)", 1)
-    fraction = F.regexp_extract(mantissa, r"\.(\d+)$", 1)
-    every = F.concat(whole, fraction)
-    digits = F.regexp_replace(F.regexp_replace(every, "^0+", ""), "0+$", "")
-    first = F.length(whole) - 1 - (F.length(every) - F.length(F.regexp_replace(every, "^0+", ""))) + power  # power of ten of the first digit
-    n = F.length(digits)
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -first - 1), digits)
-    middle = F.concat(F.substring(F.rpad(digits, first + 1, "0"), F.lit(1), first + 1), F.lit("."), F.when(n > first + 1, F.substring(digits, first + 2, n)).otherwise("0"))
-    scientific = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), F.lit("e"), F.when(first < 0, "-").otherwise("+"), F.lpad(F.abs(first).cast("string"), F.greatest(F.lit(2), F.length(F.abs(first).cast("string"))), F.lit("0")))
-    plain = F.when(digits == "", "0.0").when(first < -4, scientific).when(first < 0, small).when(first < 16, middle).otherwise(scientific)
-    sign = F.when((value < 0) | (value.cast("string") == "-0.0"), "-").otherwise("")
+
+    def shorter(digits: int) -> Callable[[Column], Column]:
+        """A text with more digits than these, with just these where they give the value back."""
+
+        def of(t: Column) -> Column:
+            long = F.length(F.regexp_replace(t, r"E.*|\.", "")) > digits
+            return F.when(long, _let(_rounded(value, digits), lambda f: F.when(f.cast("double") == F.abs(value), f).otherwise(t))).otherwise(t)
+
+        return of
+
+    def parts(t: Column) -> Column:
+        mantissa = F.regexp_replace(F.regexp_extract(t, r"^([0-9.]+)", 1), r"\.0$", "")
+        power = F.coalesce(F.nullif(F.regexp_extract(t, r"E(-?\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
+        return _let(F.struct(mantissa.alias("mantissa"), power.alias("power")), lambda m: F.struct(F.regexp_extract(m["mantissa"], r"^(\d+)", 1).alias("whole"), F.regexp_extract(m["mantissa"], r"\.(\d+)$", 1).alias("fraction"), m["power"].alias("power")))
+
+    def placed(p: Column) -> Column:
+        """struct(digits, first): digits without zeros at the ends, and the power of ten of the first."""
+        every = F.concat(p["whole"], p["fraction"])
+        return _let(F.struct(every.alias("every"), F.regexp_replace(every, "^0+", "").alias("bare")), lambda e: F.struct(F.regexp_replace(e["bare"], "0+$", "").alias("digits"), (F.length(p["whole"]) - 1 - (F.length(e["every"]) - F.length(e["bare"])) + p["power"]).alias("first")))
+
+    def spelled(p: Column) -> Column:
+        digits, first = p["digits"], p["first"]
+        n = F.length(digits)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -first - 1), digits)
+        middle = F.concat(F.substring(F.rpad(digits, first + 1, "0"), F.lit(1), first + 1), F.lit("."), F.when(n > first + 1, F.substring(digits, first + 2, n)).otherwise("0"))
+        scientific = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), F.lit("e"), F.when(first < 0, "-").otherwise("+"), F.lpad(F.abs(first).cast("string"), F.greatest(F.lit(2), F.length(F.abs(first).cast("string"))), F.lit("0")))
+        return F.when(digits == "", "0.0").when(first < -4, scientific).when(first < 0, small).when(first < 16, middle).otherwise(scientific)
+
+    def signed(own: Column) -> Column:
+        whole = _let(_let(_let(_let(_let(F.regexp_replace(own, "^-", ""), shorter(17)), shorter(16)), parts), placed), spelled)
+        plain = F.length(own) <= 17  # at most 16 digits: spelled as here already, where no zero is at the end
+        return F.when(plain & own.rlike(_PLAIN), own).otherwise(F.concat(F.when(own.startswith("-"), "-").otherwise(""), whole))
+
     special = F.when(F.isnan(value), "NaN").when(value == float("inf"), "Infinity").when(value == float("-inf"), "-Infinity")
-    return F.when(value.isNotNull(), F.coalesce(special, F.concat(sign, plain)))
+    return F.when(value.isNotNull(), F.coalesce(special, _let(value.cast("string"), signed)))
+
+
+#: Positional numbers without needless zeros.
+_PLAIN = r"^-?(?:0|[1-9]\d*)\.(?:0|\d*[1-9])$"
+
+
+def _rounded(value: Column, digits: int) -> Column:
+    return F.regexp_replace(F.format_string(f"%.{digits - 1}e", F.abs(value)), r"e\+?", "E")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def canonical_row(schema: T.StructType) -> Column:

@@ -126,3 +126,10 @@ def test_leaves_of_documents(spark):
     got = integrity.leaves(spark.createDataFrame(rows, "k int, j string"), "k", "j").collect()
     want = {(i, p, v) for i, d in enumerate(docs) if d is not None for p, v in integrity.flatten(d).items()}
     assert {(r["k"], r["path"], r["value"]) for r in got} == want
+
+
+def test_float_steps_are_computed_once(spark):
+    """Each step of a double's spelling stands once in the plan, also where the map's values are written by a lambda."""
+    rows = spark.createDataFrame([({"a": 0.1},)], "m map<string,double>")
+    plan = rows.select(canonical.canonical_row(rows.schema).alias("j"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") < 10 and plan.count("format_string(") <= 4
