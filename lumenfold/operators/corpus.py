@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.hashing import json_string, record_split, stable_int
-from lumenfold.functions.text import chunks, normalize_document
+from lumenfold.functions.text import chunk_rows
 
 
 def records_of(pages: DataFrame, limit: int = 6000, validation_percent: int = 10) -> DataFrame:
@@ -15,16 +15,19 @@ def records_of(pages: DataFrame, limit: int = 6000, validation_percent: int = 10
     Texts are normalised and cut into chunks, numbered from 1 per page; blank
     pages give none.
     """
-    cut = pages.select("source_id", "page", F.posexplode(chunks(limit)(normalize_document(F.col("text")))).alias("pos", "text"))
-    numbered = cut.withColumn("chunk", F.col("pos") + 1)
+    numbered = chunk_rows(pages.select("source_id", "page", "text"), limit)
     record_id = F.format_string("CPT-%s-P%04d-C%03d", "source_id", "page", "chunk")
     chunk_id = F.format_string("%s:page=%d:chunk=%d", "source_id", "page", "chunk")
     return ensure_validation(numbered.select(record_id.alias("record_id"), "text", record_split(record_id, validation_percent).alias("split"), "source_id", chunk_id.alias("chunk_id")), validation_percent)
 
 
 def ensure_validation(records: DataFrame, validation_percent: int = 10) -> DataFrame:
-    """Moves one record to ``validation`` if several records have none there: the one of the smallest hash."""
-    if validation_percent <= 0:
+    """Moves one record to ``validation`` if several records have none there: the one of the smallest hash.
+
+    A look that ends at the first validation record comes before that choice,
+    for which all records would have to be made once more.
+    """
+    if validation_percent <= 0 or records.where(F.col("split") == "validation").select("split").head(1):
         return records
     order = stable_int("cpt-validation-fallback-v1", json_string(F.col("record_id")))
     chosen = records.agg(F.count("*").alias("n"), F.count_if(F.col("split") == "validation").alias("held"), F.min_by("record_id", F.struct(order, "record_id")).alias("pick")).where("n > 1 AND held = 0").select("pick")

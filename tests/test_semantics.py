@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text
-from lumenfold.operators import alignment, rules, sequences
+from lumenfold.operators import alignment, corpus, rules, sequences
 
 
 #: Raw text and the document it becomes.
@@ -43,6 +43,32 @@ def test_documents_hold_what_is_promised(spark):
         assert [c for c in r["out"] if c.isalnum()] == [c for c in unicodedata.normalize("NFKC", r["t"]) if c.isalnum()]
 
 
+def test_document_text_against_built_in_rules(spark):
+    rng = random.Random(11)
+    pieces = ["a", "b1", "é", "ﬁ", "  ", " ", "\t", "\f\v", "\n", "\n\n", "\r", "\r\n", "\0", "\x1c", "\x85", "\xa0", "\u1680", "\u200b", "\u2003", "\u2028", "\u3000"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(0, 16))) for _ in range(1500)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.normalize_lines(text.nfkc(F.col("t"))).alias("want"), text.normalize_document(F.col("t")).alias("got")).collect()
+    assert [r for r in rows if r["got"] != r["want"] or text.document_text(r["t"] or "") != r["want"]] == []
+
+
+def test_chunks_leave_in_bounded_parts(spark, monkeypatch):
+    """Rows with several chunks, none, nulls and equal ids, with a flush after nearly each text."""
+    monkeypatch.setattr(text, "CHUNKS_HELD", 700)
+    texts = ["one", None, " \n ", "x " * 900, "two\r\n\r\n\r\n  deux", "", "y" * 1300, "one", " "]
+    pages = spark.createDataFrame([("S" if i % 2 else None, i // 2, t) for i, t in enumerate(texts)], "source_id string, page int, text string").coalesce(1)
+    want = [("S" if i % 2 else None, i // 2, k, part) for i, t in enumerate(texts) for k, part in enumerate(text.chunk_text(text.document_text(t or ""), 512), 1)]
+    assert [tuple(r) for r in text.chunk_rows(pages, 512).collect()] == want and len(want) > 8
+
+
+def test_records_are_made_once(spark):
+    """Where a validation record is found first, no second branch of the plan makes all records for the choice of one."""
+    pages = spark.createDataFrame([("S", i, f"text {i}") for i in range(200)], "source_id string, page int, text string")
+    records = corpus.records_of(pages)
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+    assert {r["split"] for r in records.collect()} == {"train", "validation"}
+
+
 def test_cutting_a_long_line_is_linear():
     began = time.time()
     pieces = text.chunk_text("seven77 " * 6_000_000, 512)
