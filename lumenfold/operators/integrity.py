@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.sources.storage import canonical_json, content_hash
+from lumenfold.sources.storage import canonical_json, content_hash, written
 
 
 #: Bytes that are read at a time, and that one task hashes if files are smaller.
@@ -116,27 +116,42 @@ def flatten(config: Any, prefix: str = "") -> dict[str, str]:
     return {prefix: canonical_json(config)}
 
 
+#: Levels of objects that are opened within a row before leaves are written.
+LEVELS = 3
+
+
 def leaves(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, path, value) of every leaf of JSON documents: dotted path and canonical JSON.
 
-    Objects are opened level by level in the cluster, so there are as many
-    rounds as the deepest document has levels. Arrays and empty objects are
+    A document is parsed once and ``LEVELS`` levels of objects are opened
+    within its row; what is deeper is written with the leaves and opened in
+    further rounds, which read nothing else. Arrays and empty objects are
     leaves. Text that is no JSON, and null, give no leaves; a bare value is
     one with an empty path.
     """
-    open_ = documents.select(F.col(key), F.lit("").alias("path"), F.try_parse_json(text).alias("v")).where("v IS NOT NULL")
-    kept = None
+    open_, kept = documents.select(F.col(key), F.lit("").alias("path"), F.col(text).alias("value")), None
+    nested = F.col("value").startswith("{") & (F.col("value") != "{}")
     while True:
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT<") & (kind != "OBJECT<>")
-        own = open_.where(~nested).select(key, "path", F.to_json("v").alias("value"))
+        found = written(_opened(open_, key), "leaves")
+        open_ = found.where(nested)
+        done = open_.isEmpty()
+        own = found if done else found.where(~nested)
         kept = own if kept is None else kept.unionByName(own)
-        inner = open_.where(nested)
-        if inner.isEmpty():
+        if done:
             return kept
-        spark = documents.sparkSession
-        below = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("name_"), F.col("value").alias("v_")))
-        open_ = below.select(key, F.concat("path", F.when(F.col("path") == "", "").otherwise("."), F.col("name_")).alias("path"), F.col("v_").alias("v"))
+
+
+def _opened(documents: DataFrame, key: str) -> DataFrame:
+    """(key, path, value) of JSON values below a path, objects opened ``LEVELS`` times."""
+    rows = documents.select(key, "path", F.try_parse_json("value").alias("v"))
+    for _ in range(LEVELS):
+        fields = rows.select(key, "path", "v", F.try_variant_get("v", "$", "map<string,variant>").alias("fields"))
+        itself = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("v").alias("value")))
+        below = fields.select(F.col(key), "path", F.explode(F.when(F.size("fields") > 0, F.map_entries("fields")).otherwise(itself)).alias("field"))
+        name = F.col("field.key")
+        path = F.when(name.isNull(), F.col("path")).otherwise(F.concat("path", F.when(F.col("path") == "", "").otherwise("."), name))
+        rows = below.select(key, path.alias("path"), F.col("field.value").alias("v"))
+    return rows.select(key, "path", F.to_json("v").alias("value")).where("value IS NOT NULL")
 
 
 def differing_paths(left: DataFrame, right: DataFrame, *by: str) -> DataFrame:

@@ -131,11 +131,12 @@ def config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = F.when(F.col("event_id") % 3 == 0, ',"notes":{}').when(F.col("event_id") % 3 == 1, ',"notes":{"seen":[1,{"b":2}]}').otherwise("")
     config = F.concat(F.lit('{"event":{"kind":"'), "event_type", F.lit('","user":'), F.col("user_id").cast("string"), notes, F.lit('},"props":'), "props", F.lit("}"))
     events = table(spark, sf_dir, "events").select("event_id", config.alias("config"))
-    found = written(integrity.leaves(events, "event_id", "config"), "leaves")
-    ids = events.select("event_id")
-    after = found.withColumn("event_id", F.col("event_id") + 1).join(ids, "event_id", "left_semi")
-    own = found.join(ids.select((F.col("event_id") + 1).alias("event_id")), "event_id", "left_semi")
-    return integrity.differing_paths(after, own, "event_id")
+    beside = events.select(F.col("event_id").alias("id"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("step")).groupBy((F.col("id") + F.col("step")).alias("event_id"))
+    beside = beside.agg(F.max(F.col("step") == 1).alias("before"), F.max(F.col("step") == -1).alias("after"))  # whether the event before, and the one after, is there
+    known = events.join(beside, "event_id").select(F.struct("event_id", "before", "after").alias("event"), "config")
+    found = integrity.leaves(known, "event", "config").select("event.*", "path", "value")
+    after = found.where("after").withColumn("event_id", F.col("event_id") + 1)
+    return integrity.differing_paths(after, found.where("before"), "event_id")
 
 
 _PAIRS = "'[[\"account.balance\",\"' || state || '\"],[\"account.segment\",\"present\"]' || CASE WHEN n > 0 THEN ',[\"orders.count\",\"present\"]' ELSE '' END || ']'"

@@ -133,3 +133,39 @@ def test_float_steps_are_computed_once(spark):
     rows = spark.createDataFrame([({"a": 0.1},)], "m map<string,double>")
     plan = rows.select(canonical.canonical_row(rows.schema).alias("j"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") < 10 and plan.count("format_string(") <= 4
+
+
+def test_leaves_deeper_than_a_round(spark):
+    """Objects of more levels than one round opens, beside shallow ones; texts that only look like objects; names with dots, or empty."""
+    deep = {"end": [1, {"z": {}}]}
+    for k in range(3 * integrity.LEVELS, 0, -1):
+        deep = {f"l{k}": deep, "own": {"b": None, "e": {}}}
+    docs = [deep, {"a": {"b": {"c": {"d": "{not open"}}}}, {"a.b": {"": 1}, "": {"x": "{}"}}, {"a": {"b": {"c": {"d": {}}}}}, "{", {}, [deep]]
+    rows = [(i, json.dumps(d)) for i, d in enumerate(docs)] + [(9, "{"), (10, None), (0, json.dumps({"again": True}))]
+    got = [(r["k"], r["path"], r["value"]) for r in integrity.leaves(spark.createDataFrame(rows, "k int, j string"), "k", "j").collect()]
+    plain = [(i, p, v) for i, d in [*enumerate(docs), (0, {"again": True})] for p, v in integrity.flatten(d).items()]
+    assert sorted(got) == sorted(plain)
+
+
+def test_documents_are_parsed_once(spark, tmp_path):
+    """One round for three levels, which parses each document once; its leaves are read back."""
+    folder = str(tmp_path / "events")
+    spark.createDataFrame([(i, json.dumps({"a": {"b": {"c": i}}})) for i in range(8)], "k int, j string").write.parquet(folder)
+    rows = integrity._opened(spark.read.parquet(folder).select("k", F.lit("").alias("path"), F.col("j").alias("value")), "k")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and "schemaOfVariant" not in plan
+    found = integrity.leaves(spark.read.parquet(folder), "k", "j")
+    assert folder not in " ".join(found.inputFiles()) and sorted(r["value"] for r in found.collect()) == [str(i) for i in range(8)]
+
+
+def test_config_diff_of_repeated_and_missing_ids(spark, tmp_path):
+    """Ids that repeat, lack a neighbour or are null, and configurations that are null, against the SQL."""
+    from lumenfold.plans.registry import ORACLE_SQL, QUERIES
+
+    rows = [(1, "a", 1, '{"k": 1}'), (2, "a", 1, '{"k": 2}'), (2, "b", 1, '{"k": 1, "m": {"n": {}}}'), (3, "b", 2, None), (3, "c", 1, '{"k": 2}'), (4, "c", 1, '{"m": {"n": {"o": [1]}}}'), (6, "c", 1, '{"k": 2}'), (None, "c", 1, '{"k": 2}'), (8, "a", 1, "{}"), (9, "a", None, "{}")]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = c.sql(ORACLE_SQL["config_diff"])
+    got = QUERIES["config_diff"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and len(got) > 12
