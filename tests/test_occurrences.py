@@ -160,3 +160,53 @@ def test_pairs_are_aligned_within_rows(docs):
     want = joined.groupBy("doc_id").agg(F.count_distinct("token_index", "feature_id").alias("aligned"), F.sum("token_index").alias("index_sum"), F.sum("feature_id").alias("feature_sum")).collect()
     got = pair_alignment(docs)
     assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) == 2
+
+
+ODD = ["a b c. a b c d e\nf; $ 5 4.5% 1/2/2025 w-2 1099-B x_y/z don't ab1 a1 q-r", "", None, "one two " * 30 + "! wonderful-long_words", "é Ünïcode –dash 2024 3,000.50 -$7 +4 a--b 𝒳 x", ";;;. . .", "z", "x" * 64 + " " + "y" * 65, "a-b-c-d-e-a f/g/f $\n5.\n6"]
+
+
+def _digests(rows) -> dict:
+    """By row, from single occurrences with their places."""
+    found: dict = {}
+    for r in rows:
+        last, place, key = found.get(r["row"], (0, 0, 0))
+        number = int(hashlib.sha256(r["key"].encode()).hexdigest()[:4], 16)
+        found[r["row"]] = (max(last, r["place"]), place + (r["place"] * r["end_char"] + r["order"]) % 1000003, key + (r["place"] + 1) * number % 1000003)
+    return found
+
+
+def test_place_digests(spark):
+    """As single occurrences give them, texts of one id apart; no occurrence is a row, and nothing is shuffled."""
+    docs = spark.createDataFrame([*TEXTS, *enumerate(ODD)], "doc_id long, text string").repartition(2).cache()
+    singles = occurrences.placed_occurrences(docs).collect()
+    want, ids = _digests(singles), {r["row"]: r["doc_id"] for r in singles}
+    got = occurrences.place_digests(docs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "lambdafunction" not in plan
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((ids[r], *d)) for r, d in want.items())
+
+
+@pytest.mark.parametrize("most", [4, 5, 7, 1 << 17])
+def test_digests_of_parts(monkeypatch, most):
+    """Texts in parts, occurrences a few at a time and forgotten keys give the same occurrences."""
+    import pyarrow as pa
+
+    def all_of(keys, **sizes):
+        return sorted(x for at, place, end, order, number in occurrences._placed(pa.array(ODD * 2), keys, **sizes) for x in zip(at, place, end, [order] * len(at) if isinstance(order, int) else order, number, strict=True))
+
+    want = all_of(occurrences._Keys(occurrences._own))
+    assert [p for at, p, *_ in want if at == 0] == list(range(sum(x[0] == 0 for x in want)))
+    monkeypatch.setattr(occurrences, "REMEMBERED", 3)
+    assert all_of(occurrences._Keys(occurrences._own), most=most, placed=3) == want
+
+
+def test_ordered_occurrences_query(spark, tmp_path):
+    """The registered query makes no occurrence a row."""
+    from lumenfold.plans import corpus_plans
+
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_plans.ordered_occurrences(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "last_place", "place_digest", "key_digest"] and got.count() == 6  # texts with tokens
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
