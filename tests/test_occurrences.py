@@ -210,3 +210,33 @@ def test_ordered_occurrences_query(spark, tmp_path):
     assert got.columns == ["doc_id", "last_place", "place_digest", "key_digest"] and got.count() == 6  # texts with tokens
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Exchange" not in plan
+
+
+def test_text_statistics(spark):
+    """As single occurrences give them, texts of one id apart."""
+    docs = spark.createDataFrame([*TEXTS, *enumerate(ODD)], "doc_id long, text string").repartition(2).cache()
+    want = occurrences.extraction_statistics(occurrences.occurrences(docs))
+    got = occurrences.text_statistics(docs)
+    assert got.columns == want.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
+@pytest.mark.parametrize("most", [4, 5, 7])
+def test_statistics_of_parts(monkeypatch, most):
+    """Texts in parts, long items and forgotten keys change no count."""
+    import pyarrow as pa
+
+    want = occurrences._statistics(pa.array(ODD * 2), occurrences._Keys(occurrences._shape)).tolist()
+    monkeypatch.setattr(occurrences, "REMEMBERED", 3)
+    assert occurrences._statistics(pa.array(ODD * 2), occurrences._Keys(occurrences._shape), most).tolist() == want
+    monkeypatch.setattr(occurrences, "CHARACTERS", most)
+    assert occurrences._statistics(pa.array(ODD * 2), occurrences._Keys(occurrences._shape)).tolist() == want
+
+
+def test_extraction_statistics_query(spark, tmp_path):
+    """The registered query makes no occurrence a row and shuffles nothing."""
+    from lumenfold.plans import corpus_plans
+
+    spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_plans.extraction_statistics(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 6 and "Generate" not in plan and "Exchange" not in plan
