@@ -225,11 +225,11 @@ def test_statistics_of_parts(monkeypatch, most):
     """Texts in parts, long items and forgotten keys change no count."""
     import pyarrow as pa
 
-    want = occurrences._statistics(pa.array(ODD * 2), occurrences._Keys(occurrences._shape)).tolist()
+    want = occurrences._statistics(pa.array(ODD * 2), occurrences._Keys(occurrences._shapes)).tolist()
     monkeypatch.setattr(occurrences, "REMEMBERED", 3)
-    assert occurrences._statistics(pa.array(ODD * 2), occurrences._Keys(occurrences._shape), most).tolist() == want
+    assert occurrences._statistics(pa.array(ODD * 2), occurrences._Keys(occurrences._shapes), most).tolist() == want
     monkeypatch.setattr(occurrences, "CHARACTERS", most)
-    assert occurrences._statistics(pa.array(ODD * 2), occurrences._Keys(occurrences._shape)).tolist() == want
+    assert occurrences._statistics(pa.array(ODD * 2), occurrences._Keys(occurrences._shapes)).tolist() == want
 
 
 def test_extraction_statistics_query(spark, tmp_path):
